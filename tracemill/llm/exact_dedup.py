@@ -11,7 +11,7 @@ from tracemill.llm.common import Scratch, fold_az, read_table
 BROADCAST_ROWS = 200_000
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, prefix_chars: int = 64) -> DataFrame:
+def duplicate_groups(spark: SparkSession, docs: DataFrame, prefix_chars: int = 64) -> tuple[DataFrame, DataFrame]:
     """Find documents whose texts are equal after lower-casing A-Z.
 
     Three tiers, each on what the one before left: documents alone with their length are unique; then those alone
@@ -19,8 +19,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, prefix_chars: int = 64) ->
     (SHA-256). Tiers one and two are aggregates with map-side combining, so a length or a prefix that a third of all
     rows share costs one row per task. The key table of the third tier is broadcast only below ``BROADCAST_ROWS``.
 
-    Returns ``doc_id, keep_id, group_size, kept`` for documents in groups of two or more. Of a group, the largest
-    doc_id stays. A null text is an empty text. A null doc_id never stays if its group has another; a group of null
+    Returns (groups, candidates): ``digest, keep_id, group_size`` for groups of two or more, and ``doc_id, digest`` of
+    the documents whose text was read. Of a group, the largest doc_id stays. A null text is an empty text. A null doc_id never stays if its group has another; a group of null
     doc_ids only has keep_id null and kept true on each row. Rows that repeat a doc_id count each; the row kept is
     then every row of that doc_id. An empty table gives no rows. Other columns are ignored.
     """
@@ -40,13 +40,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, prefix_chars: int = 64) ->
     full = rows.join(keys, ["len", "head"], "left_semi").select("doc_id", F.sha2(fold_az(F.col("body")), 256).alias("digest"))
     full = scratch.save(full, "full")
     groups = full.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    return full.join(groups, "digest").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
-        F.col("digest"),
-    )
+    return groups, full
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, prefix_chars: int = 64) -> DataFrame:
+    """The documents of ``duplicate_groups``: doc_id, keep_id, group_size, kept, digest."""
+    groups, full = duplicate_groups(spark, docs, prefix_chars)
+    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
+    return full.join(groups, "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The contract's columns for all documents: group decisions joined to the hash that every row must report."""
-    groups = exact_dedup(spark, docs).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
+    groups, _ = duplicate_groups(spark, docs)
     every = docs.select("doc_id", F.sha2(fold_az(F.coalesce(F.col("text"), F.lit(""))), 256).alias("text_sha256"))
     out = every.join(groups.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))

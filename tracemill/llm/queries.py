@@ -2,12 +2,14 @@
 
 from tracemill.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tracemill.llm.mixing import op3_mixing
+from tracemill.llm.token_output import op7_token_output
 from tracemill.llm.url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_mixing": op3_mixing,
     "op6_url_filter": op6_url_filter,
+    "op7_token_output": op7_token_output,
 }
 
 ORACLE_SQL = {
