@@ -1,5 +1,6 @@
 """Registered queries of this subpackage and their SQL."""
 
+from tracemill.llm.decontaminate import op5_decontaminate
 from tracemill.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tracemill.llm.mixing import op3_mixing
 from tracemill.llm.token_output import op7_token_output
@@ -8,6 +9,7 @@ from tracemill.llm.url_filter import OP6_SQL, op6_url_filter
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_mixing": op3_mixing,
+    "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
     "op7_token_output": op7_token_output,
 }
