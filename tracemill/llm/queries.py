@@ -3,6 +3,7 @@
 from tracemill.llm.decontaminate import op5_decontaminate
 from tracemill.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tracemill.llm.language import op10_language
+from tracemill.llm.minhash import op8_minhash
 from tracemill.llm.mixing import op3_mixing
 from tracemill.llm.quality import op9_quality
 from tracemill.llm.token_output import op7_token_output
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
     "op7_token_output": op7_token_output,
+    "op8_minhash": op8_minhash,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
 }
