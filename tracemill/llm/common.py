@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: Rows in one Arrow batch; texts are long, so Spark's default of 10,000 rows would be tens of MB.
-BATCH_ROWS = 1000
+#: Session settings of these operators: Arrow batches are bounded by bytes, as texts may be long, and an action's shuffle files go
+#: when it ends, as all that is read again has been written to the shared folder.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,8 +37,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        for key, value in SETTINGS.items():
+            spark.conf.set(key, value)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
