@@ -6,12 +6,16 @@ from tracemill.llm.language import op10_language
 from tracemill.llm.minhash import op8_minhash
 from tracemill.llm.mixing import op3_mixing
 from tracemill.llm.quality import op9_quality
+from tracemill.llm.substring_dedup import op4_substring_dedup
+from tracemill.llm.suffix_dedup import op2_suffix_dedup
 from tracemill.llm.token_output import op7_token_output
 from tracemill.llm.url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mixing": op3_mixing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
     "op7_token_output": op7_token_output,
