@@ -58,6 +58,17 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Id tables of at most so many rows (8 bytes each) may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def without_ids(scratch: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not among ``ids``; rows without a doc_id stay."""
+    ids = scratch.save(ids.select(F.col("doc_id").cast("long").alias("gone_id")).filter("gone_id is not null").distinct(), "gone")
+    few = ids.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
 def fold_az(column):
     """Lower-case A-Z and nothing else."""
     return F.translate(column, UPPER, LOWER)

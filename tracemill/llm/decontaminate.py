@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import kernels as K
-from tracemill.llm.common import Scratch, read_table
+from tracemill.llm.common import Scratch, read_table, without_ids
 
 WINDOW = 13
 #: Bytes of benchmark text in one block of test suffixes; a larger benchmark takes several blocks.
@@ -194,9 +194,8 @@ def judged(matches: DataFrame) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their columns; null doc_ids are judged as one document."""
-    bad = judged(find_matches(spark, docs, benchmark)).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """The documents that are not contaminated, with their columns; rows without a doc_id can't be named and stay."""
+    return without_ids(Scratch(spark, "decontaminated"), docs, judged(find_matches(spark, docs, benchmark)).filter("contaminated"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,24 @@ def predict_languages(spark: SparkSession, docs: DataFrame, model: Model) -> Dat
     return found.withColumn("ambiguous", F.col("score") < AMBIGUOUS)
 
 
+def _keep_known(model, least: float):
+    def run(batches):
+        m = model.value
+        for batch in batches:
+            letters, keep = K.column(batch, "has_letter").to_numpy(zero_copy_only=False), []
+            for lo, hi, data, offs in K.text_blocks(K.column(batch, "text"), 1 << 19):
+                keep.append((m.decode(features(data, offs))[1] >= least) & letters[lo:hi])
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_())).drop_columns(["has_letter"])
+
+    return run
+
+
+def keep_known(spark: SparkSession, docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The documents whose language is told: with a letter, and with a score of at least ``least``."""
+    rows = docs.withColumn("has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return rows.mapInArrow(_keep_known(spark.sparkContext.broadcast(model), least), docs.schema)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learnt outside the held-out fold."""
     Scratch(spark, "language")  # batch size

@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracemill.llm import kernels as K
-from tracemill.llm.common import Scratch, read_table
+from tracemill.llm.common import BROADCAST_ROWS, Scratch, read_table, without_ids
 from tracemill.llm.components import connected_components
 
 BINS = 128  # one-permutation bins: BANDS bands of ROWS bins
@@ -16,8 +17,6 @@ BANDS, ROWS = 32, 4
 #: Sets of up to so many shingles also get prefix keys, which miss no pair whose smaller set has 40 shingles.
 SMALL = 50
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Id tables of at most so many rows may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
 _PROBES = 64
 
 
@@ -214,6 +213,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one of each component left, that with the smallest doc_id.
+
+    Of rows that repeat a doc_id one is left, that with the smallest text. Rows without a doc_id stay.
+    """
+    scratch = Scratch(spark, "near-deduped")
+    found = near_duplicates(spark, docs, shingle, percent)
+    left = without_ids(scratch, docs, found.filter(~F.col("kept")))
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again_id"))
+    again = scratch.save(again, "again")
+    if again.isEmpty():
+        return left
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    once = left.join(again, F.col("doc_id") == F.col("again_id"), "left_semi").withColumn("near_turn", turn).filter("near_turn = 1").drop("near_turn")
+    return left.join(again, F.col("doc_id").eqNullSafe(F.col("again_id")), "left_anti").unionByName(once)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by four-word shingles at 80 percent."""
     return near_duplicates(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=80)

@@ -60,25 +60,23 @@ class UnitEncoder:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def many(self, units: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(units)
-        plain = [i for i, u in enumerate(units) if "\0" not in u]
-        for i in sorted(set(range(len(units))) - set(plain)):
-            out[i] = np.array(self.whole(units[i]), dtype=np.uint32)
-        for lo in range(0, len(plain), 4096):
-            part = plain[lo : lo + 4096]
-            text = " \0 ".join(units[i] for i in part)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else np.zeros(0, np.int64)
-            if len(cuts) == len(part) - 1:
-                for i, x in zip(part, np.split(ids, cuts)):
-                    out[i] = x
-                for i in part[1:]:
-                    out[i] = out[i][1:]
-            else:
-                for i in part:
-                    out[i] = np.array(self.whole(units[i]), dtype=np.uint32)
-        return out
+    def many(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units in turn, number of ids of each)."""
+        ids, lengths = [], []
+        for lo in range(0, len(units), 4096):
+            part = units[lo : lo + 4096]
+            text = " \0 ".join(part)
+            if len(self.mark) == 1 and text.count("\0") == len(part) - 1:
+                found = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+                marks = np.flatnonzero(found == self.mark[0])
+                if len(marks) == len(part) - 1:
+                    ids.append(np.delete(found, marks))
+                    lengths.append(np.diff(np.concatenate(([-1], marks, [len(found)]))) - 1)
+                    continue
+            each = [self.whole(u) for u in part]
+            ids.append(np.array([i for x in each for i in x], dtype=np.uint32))
+            lengths.append(np.array([len(x) for x in each], dtype=np.int64))
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
@@ -118,13 +116,12 @@ class UnitEncoder:
         if not len(new):
             return
         raw = data.tobytes()
-        found = self.many([raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[new].tolist(), ends[new].tolist())])
-        lengths = np.array([len(x) for x in found], dtype=np.int64)
+        found, lengths = self.many([raw[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist())])
         begin = len(self.ids) + np.cumsum(lengths) - lengths
         self.at = np.insert(self.at, at[new], len(self.starts) + np.arange(len(new)))
         self.keys = np.insert(self.keys, at[new], uniq[new])
         self.starts, self.lengths = np.concatenate((self.starts, begin)), np.concatenate((self.lengths, lengths))
-        self.ids = np.concatenate([self.ids, *found])
+        self.ids = np.concatenate((self.ids, found))
 
 
 _encoders: dict[str, UnitEncoder] = {}
