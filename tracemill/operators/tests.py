@@ -1,0 +1,117 @@
+"""Group comparisons, calibration and agreement measures."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tracemill.config import PARAMS
+from tracemill.functions.stats import mann_whitney_p_udf, spearman_p_udf
+from tracemill.operators.ranks import rank_sums, spearman
+
+
+def long_features(features: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """One row per trace and feature; -1 stands for "none" in any feature and is left out."""
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in names])
+    return features.select(*keys, "is_correct", F.explode(cells).alias("cell")).select(*keys, "is_correct", "cell.*").filter("value is not null and value <> -1")
+
+
+def cohens_d(n1: Column, m1: Column, v1: Column, n0: Column, m0: Column, v0: Column, floor: float | None = None) -> Column:
+    """Difference of means over the pooled sample deviation; 0 if a group has under 2 values or the deviation is 0.
+
+    With ``floor`` the deviation is at least that much instead.
+    """
+    pooled = F.sqrt(F.try_divide((n1 - 1) * v1 + (n0 - 1) * v0, (n1 + n0 - 2).cast("double")))
+    by = pooled if floor is None else F.greatest(pooled, F.lit(floor))
+    return F.when((n1 < 2) | (n0 < 2), 0.0).otherwise(F.coalesce(F.try_divide(m1 - m0, F.when(by > 0, by)), F.lit(0.0)))
+
+
+def group_comparison(long: DataFrame, group: list[str], floor: float | None = None) -> DataFrame:
+    """G2-G4 but p: per group and feature the means, population deviations, d and the U statistic of right traces."""
+    keys, right = [*group, "feature"], F.col("is_correct")
+    one, zero = F.when(right, F.col("value")), F.when(~right, F.col("value"))
+    stats = long.groupBy(*keys).agg(
+        F.count(one).alias("n_correct"), F.count(zero).alias("n_incorrect"), F.avg(one).alias("correct_mean"), F.stddev_pop(one).alias("correct_std"),
+        F.avg(zero).alias("incorrect_mean"), F.stddev_pop(zero).alias("incorrect_std"), F.var_samp(one).alias("v1"), F.var_samp(zero).alias("v0"),
+    )
+    d = cohens_d(F.col("n_correct"), F.col("correct_mean"), F.col("v1"), F.col("n_incorrect"), F.col("incorrect_mean"), F.col("v0"), floor)
+    ranks = rank_sums(long, keys, "value", "is_correct").select(*keys, "u", "ties")
+    return stats.withColumn("cohens_d", d).drop("v1", "v0").join(ranks, keys)
+
+
+def with_p(comparison: DataFrame) -> DataFrame:
+    """Adds the Mann-Whitney p, whether it is significant, and a note where a group is too small."""
+    out = comparison.withColumn("p", mann_whitney_p_udf("u", "n_correct", "n_incorrect", "ties"))
+    small = (F.col("n_correct") < 2) | (F.col("n_incorrect") < 2)
+    return out.withColumns({"significant": ~small & (F.col("p") < PARAMS.p), "note": F.when(small, "insufficient_data")})
+
+
+def marker_correlations(long: DataFrame, group: list[str]) -> DataFrame:
+    """Correlation of density with error, mean densities by correctness, and whether |rho| passes."""
+    rho = spearman(long, group, "density", "is_error")
+    means = long.groupBy(*group).agg(
+        F.coalesce(F.avg(F.when(F.col("is_error") == 0, F.col("density"))), F.lit(0.0)).alias("mean_density_correct"),
+        F.coalesce(F.avg(F.when(F.col("is_error") == 1, F.col("density"))), F.lit(0.0)).alias("mean_density_incorrect"),
+    )
+    return rho.join(means, group).withColumn("passes_rho", F.abs("rho") > PARAMS.rho)
+
+
+def with_rho_p(correlations: DataFrame) -> DataFrame:
+    """G7."""
+    return correlations.withColumn("p", F.when((F.col("n") < 3) | (F.col("rho") == 0), 1.0).otherwise(spearman_p_udf("rho", "n")))
+
+
+def box_stats(long: DataFrame, group: list[str]) -> DataFrame:
+    """Quartiles, and the last values within 1.5 interquartile ranges of them."""
+    q = long.groupBy(*group).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(*group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    rows = long.join(q, group)
+    return rows.groupBy(*group, "q1", "q2", "q3").agg(
+        F.min(F.when(F.col("value") >= F.col("q1") - reach, F.col("value"))).alias("low"), F.max(F.when(F.col("value") <= F.col("q3") + reach, F.col("value"))).alias("high"), F.count("*").alias("n")
+    )
+
+
+def auroc(scored: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+    """Area under the ROC curve, from the U statistic; null if a class is missing."""
+    return rank_sums(scored, keys, score, label).select(*keys, "n1", "n0", F.try_divide("u", (F.col("n1") * F.col("n0")).cast("double")).alias("auroc"))
+
+
+def calibration_error(scored: DataFrame, keys: list[str], score: str, label: str, bins: int = 10) -> DataFrame:
+    """Expected calibration error over equal-width bins, and Brier score."""
+    y, p = F.col(label).cast("double"), F.col(score)
+    bin_ = F.least(F.floor(p * bins), F.lit(bins - 1))
+    cells = scored.groupBy(*keys, bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("conf"), F.avg(y).alias("acc"), F.sum((p - y) * (p - y)).alias("sq"))
+    total = F.sum("n")
+    return cells.groupBy(*keys).agg((F.sum(F.col("n") * F.abs(F.col("conf") - F.col("acc"))) / total).alias("ece"), (F.sum("sq") / total).alias("brier"), total.alias("n"))
+
+
+def detection_quality(found: DataFrame, truth: DataFrame, keys: list[str], group: list[str]) -> DataFrame:
+    """Precision and recall of detected places against annotated ones."""
+    both = found.select(*keys, F.lit(1).alias("f")).join(truth.select(*keys, F.lit(1).alias("t")), keys, "full")
+    hit, n_found, n_true = F.count_if((F.col("f") == 1) & (F.col("t") == 1)), F.count("f"), F.count("t")
+    return both.groupBy(*group).agg(hit.alias("hits"), n_found.alias("n_found"), n_true.alias("n_true"), F.try_divide(hit, n_found).alias("precision"), F.try_divide(hit, n_true).alias("recall"))
+
+
+def kappa(pairs: DataFrame, a: str, b: str, group: list[str]) -> DataFrame:
+    """Cohen's kappa of two annotators, from their contingency table."""
+    cells = pairs.groupBy(*group, a, b).agg(F.count("*").alias("n"))
+    agree = cells.groupBy(*group).agg(F.sum("n").alias("total"), F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)).alias("same"))
+    left = cells.groupBy(*group, F.col(a).alias("c")).agg(F.sum("n").alias("na"))
+    right = cells.groupBy(*group, F.col(b).alias("c")).agg(F.sum("n").alias("nb"))
+    chance = left.join(right, [*group, "c"]).groupBy(*group).agg(F.sum(F.col("na") * F.col("nb")).alias("by_chance"))
+    po, pe = F.col("same") / F.col("total"), F.coalesce("by_chance", F.lit(0)) / (F.col("total") * F.col("total"))
+    return agree.join(chance, group, "left").select(*group, po.alias("observed"), pe.alias("expected"), F.coalesce(F.try_divide(po - pe, 1 - pe), F.lit(1.0)).alias("kappa"))
+
+
+def failure_modes(traces: DataFrame, early: float = 0.33, quiet: float = 0.33) -> DataFrame:
+    """Wrong traces by how they fail: early and silent, late and noisy, or oscillating; accuracy per mode.
+
+    Early and silent: commits in the first third of places and has a density in the lower third of all; late and noisy:
+    the last and the upper third; the others oscillate.
+    """
+    cuts = traces.agg(F.percentile("normalized_commitment", F.array(F.lit(early), F.lit(1 - early))).alias("c"), F.percentile("density", F.array(F.lit(quiet), F.lit(1 - quiet))).alias("d"))
+    rows = traces.crossJoin(F.broadcast(cuts))  # one row
+    mode = F.when((F.col("normalized_commitment") <= F.col("c")[0]) & (F.col("density") <= F.col("d")[0]), "early_silent").when((F.col("normalized_commitment") >= F.col("c")[1]) & (F.col("density") >= F.col("d")[1]), "late_noisy").otherwise("oscillating")
+    return rows.withColumn("mode", mode).groupBy("mode").agg(F.count("*").alias("n"), F.avg(F.col("is_correct").cast("double")).alias("accuracy"))
+
+
