@@ -73,11 +73,21 @@ def spearman_p(rho: float, n: int) -> float:
     return incomplete_beta((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
 
 
-@pandas_udf("double")
-def mann_whitney_p_udf(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
-    return pd.Series([mann_whitney_p(*x) for x in zip(u, n1, n2, ties)], dtype=float)
+def mann_whitney_p_udf():
+    """A pandas UDF of (u, n1, n2, ties)."""
 
+    @pandas_udf("double")
+    def p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([mann_whitney_p(*x) for x in zip(u, n1, n2, ties)], dtype=float)
 
-@pandas_udf("double")
-def spearman_p_udf(rho: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([spearman_p(r, int(k)) for r, k in zip(rho, n)], dtype=float)
+    return p
+
+
+def spearman_p_udf():
+    """A pandas UDF of (rho, n)."""
+
+    @pandas_udf("double")
+    def p(rho: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([spearman_p(r, int(k)) for r, k in zip(rho, n)], dtype=float)
+
+    return p

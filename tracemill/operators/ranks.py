@@ -44,11 +44,13 @@ def spearman(df: DataFrame, keys: list[str], value: str, label: str) -> DataFram
     """Rank correlation of a value with a 0/1 label per group; 0 if either is constant or there are under 3 rows.
 
     Ranks of the label follow from its counts; the correlation is that of the ranks, from sums over distinct values.
+    Also the value's means for label 0 and 1 (``mean_0``, ``mean_1``), null without such rows.
     """
     ranks = average_ranks(df, keys, value, {"ones": F.col(label).cast("int")})
     s = ranks.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.sum("ones").alias("n1"), F.sum(F.col("rank") * F.col("ones")).alias("r1"),
         F.sum(F.col("rank") * F.col("rank") * F.col("n")).alias("rr"),
+        F.sum(F.col(value) * F.col("ones")).alias("sum1"), F.sum(F.col(value) * (F.col("n") - F.col("ones"))).alias("sum0"),
     )
     n, n1 = F.col("n"), F.col("n1")
     mean = (n + 1) / 2
@@ -56,4 +58,5 @@ def spearman(df: DataFrame, keys: list[str], value: str, label: str) -> DataFram
     var = F.col("rr") / n - mean * mean
     p = n1 / n
     rho = F.try_divide(cov, F.sqrt(F.greatest(var, F.lit(0.0)) * p * (1 - p)))
-    return s.select(*keys, "n", F.when(n >= 3, F.coalesce(rho, F.lit(0.0))).otherwise(0.0).alias("rho"))
+    means = F.try_divide("sum0", (n - n1).cast("double")).alias("mean_0"), F.try_divide("sum1", n1.cast("double")).alias("mean_1")
+    return s.select(*keys, "n", F.when(n >= 3, F.coalesce(rho, F.lit(0.0))).otherwise(0.0).alias("rho"), *means)

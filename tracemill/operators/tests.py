@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracemill.config import PARAMS
 from tracemill.functions.stats import mann_whitney_p_udf, spearman_p_udf
 from tracemill.operators.ranks import rank_sums, spearman
+from tracemill.session import ship_package
 
 
 def long_features(features: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
@@ -41,7 +42,8 @@ def group_comparison(long: DataFrame, group: list[str], floor: float | None = No
 
 def with_p(comparison: DataFrame) -> DataFrame:
     """Adds the Mann-Whitney p, whether it is significant, and a note where a group is too small."""
-    out = comparison.withColumn("p", mann_whitney_p_udf("u", "n_correct", "n_incorrect", "ties"))
+    ship_package(comparison.sparkSession)
+    out = comparison.withColumn("p", mann_whitney_p_udf()("u", "n_correct", "n_incorrect", "ties"))
     small = (F.col("n_correct") < 2) | (F.col("n_incorrect") < 2)
     return out.withColumns({"significant": ~small & (F.col("p") < PARAMS.p), "note": F.when(small, "insufficient_data")})
 
@@ -49,16 +51,14 @@ def with_p(comparison: DataFrame) -> DataFrame:
 def marker_correlations(long: DataFrame, group: list[str]) -> DataFrame:
     """Correlation of density with error, mean densities by correctness, and whether |rho| passes."""
     rho = spearman(long, group, "density", "is_error")
-    means = long.groupBy(*group).agg(
-        F.coalesce(F.avg(F.when(F.col("is_error") == 0, F.col("density"))), F.lit(0.0)).alias("mean_density_correct"),
-        F.coalesce(F.avg(F.when(F.col("is_error") == 1, F.col("density"))), F.lit(0.0)).alias("mean_density_incorrect"),
-    )
-    return rho.join(means, group).withColumn("passes_rho", F.abs("rho") > PARAMS.rho)
+    means = {"mean_density_correct": F.coalesce("mean_0", F.lit(0.0)), "mean_density_incorrect": F.coalesce("mean_1", F.lit(0.0))}
+    return rho.withColumns(means).drop("mean_0", "mean_1").withColumn("passes_rho", F.abs("rho") > PARAMS.rho)
 
 
 def with_rho_p(correlations: DataFrame) -> DataFrame:
     """G7."""
-    return correlations.withColumn("p", F.when((F.col("n") < 3) | (F.col("rho") == 0), 1.0).otherwise(spearman_p_udf("rho", "n")))
+    ship_package(correlations.sparkSession)
+    return correlations.withColumn("p", F.when((F.col("n") < 3) | (F.col("rho") == 0), 1.0).otherwise(spearman_p_udf()("rho", "n")))
 
 
 def box_stats(long: DataFrame, group: list[str]) -> DataFrame:
