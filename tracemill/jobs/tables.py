@@ -58,10 +58,13 @@ TRANSITIONS = (
     STEPS
     + """, stats AS (
   SELECT *, pos AS idx, count(*) OVER w AS n, avg(sim) OVER w AS m, stddev_pop(sim) OVER w AS sd,
-         sum(sim) OVER near AS ns, count(*) OVER near AS nn
-  FROM steps WINDOW w AS (PARTITION BY user_id), near AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)
+         lag(sim, 2) OVER o AS b2, lag(sim) OVER o AS b1, lead(sim) OVER o AS a1, lead(sim, 2) OVER o AS a2
+  FROM steps WINDOW w AS (PARTITION BY user_id), o AS (PARTITION BY user_id ORDER BY pos)
+), near AS (
+  SELECT * EXCLUDE (b2, b1, a1, a2), (coalesce(b2, 0) + coalesce(b1, 0) + coalesce(a1, 0) + coalesce(a2, 0)) AS ns,
+         (b2 IS NOT NULL)::INT + (b1 IS NOT NULL)::INT + (a1 IS NOT NULL)::INT + (a2 IS NOT NULL)::INT AS nn FROM stats
 ), curve AS (
-  SELECT *, n >= 3 AND ((sd > 0.01 AND (sim - m) / nullif(sd, 0) < -1.5) OR (nn > 1 AND (ns - sim) / nullif(nn - 1, 0) - sim > 0.15)) AS is_transition FROM stats)"""
+  SELECT *, n >= 3 AND ((sd > 0.01 AND (sim - m) / nullif(sd, 0) < -1.5) OR (nn > 0 AND ns / nullif(nn, 0) - sim > 0.15)) AS is_transition FROM near)"""
 )
 
 

@@ -47,10 +47,12 @@ def drift_curve(steps: DataFrame, keys: list[str], pos: str = "pos", vec: str =
 def with_transitions(curve: DataFrame, keys: list[str], drop: float = PARAMS.drop) -> DataFrame:
     """V3: adds ``is_transition``: unlikely low (z below -1.5 on a curve that isn't flat), or ``drop`` below the mean
     of the two neighbours on each side. Curves of fewer than 3 points have none."""
-    whole, near = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("idx").rowsBetween(-2, 2)
+    whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("idx")
     n, std = F.count("*").over(whole), F.stddev_pop("sim").over(whole)
     low = (std > PARAMS.flat_std) & (F.try_divide(F.col("sim") - F.avg("sim").over(whole), std) < PARAMS.z)
-    others = F.try_divide(F.sum("sim").over(near) - F.col("sim"), F.count("*").over(near) - 1)
+    near = [F.lag("sim", 2).over(order), F.lag("sim").over(order), F.lead("sim").over(order), F.lead("sim", 2).over(order)]
+    total = sum((F.coalesce(x, F.lit(0.0)) for x in near[1:]), F.coalesce(near[0], F.lit(0.0)))  # added in order: exact ties count
+    others = F.try_divide(total, sum((x.isNotNull().cast("int") for x in near), F.lit(0)).cast("double"))
     return curve.withColumn("is_transition", (n >= 3) & (F.coalesce(low, F.lit(False)) | F.coalesce(others - F.col("sim") > drop, F.lit(False))))
 
 

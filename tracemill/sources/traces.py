@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUESTION_SCHEMA = "question_id string, question string, options map<string,string>, answer_idx string"
@@ -24,7 +24,8 @@ def _numbered(df: DataFrame) -> DataFrame:
     part = F.spark_partition_id()
     rows = df.withColumn("_part", part).withColumn("_row", F.monotonically_increasing_id())
     counts = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part"), F.col("a._first")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per file split
+    before = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
     return rows.join(F.broadcast(before), "_part").withColumn("_idx", F.col("_before") + F.col("_row") - F.col("_first")).drop("_part", "_row", "_first", "_before")
 
 
