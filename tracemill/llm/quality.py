@@ -17,7 +17,7 @@ SAMPLE_ROWS = 3000
 #: Bytes of a class's dictionary, and characters that one labelled text adds to it.
 DICTIONARY_BYTES = 1 << 20
 PIECE_CHARS = 2000
-LEVEL = 3
+LEVEL = 6
 THRESHOLD = 0.7
 
 
@@ -50,9 +50,12 @@ class Scorer:
         return self._tools
 
     def difference(self, text: bytes) -> float:
-        """(size with bad dictionary - size with good dictionary) / bytes; 0 for an empty text."""
+        """(size with bad dictionary - size with good dictionary) / square root of bytes; 0 for an empty text.
+
+        The difference of a text's two sizes is a sum over its pieces, whose spread grows as the square root.
+        """
         good, bad = self.tools()
-        return (len(bad.compress(text)) - len(good.compress(text))) / len(text) if text else 0.0
+        return (len(bad.compress(text)) - len(good.compress(text))) / math.sqrt(len(text)) if text else 0.0
 
     def score(self, difference: float) -> float:
         z = self.slope * difference + self.intercept
