@@ -66,21 +66,21 @@ def mix_sources(
     spark: SparkSession, docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, shards: int = 16,
     block_words: int = BLOCK_WORDS, seed: int = SEED, max_sources: int = 100_000,
 ) -> DataFrame:
-    """Decide a mix of whole documents in which each source has about its target number of words.
+    """Decide a mix of documents in which each source has about its target number of words.
 
     Sources by code point (null last) weigh ``weights``, repeating, and share all words; a source gets at most
     ``max_epochs`` times its size and the excess is shared again by weight. Documents are hashed to blocks of about
     ``block_words`` words; a source's blocks, in an order permuted by the seed, are its draw list: all blocks once for
     every whole epoch of its target, then a run of permuted blocks for the rest. The block where the target falls is
-    opened and its documents are taken in permuted order, each if it still fits. A splitting tree on the driver
+    opened and its documents are taken in permuted order, each if it still fits; one is cut to the room left. A splitting tree on the driver
     (``split_tree``; sources x shards integers) deals the block quotas out to shards, every shard takes a disjoint run
     of each source's draw list, and documents are shuffled within their shard by a seeded hash.
 
     Only one row per source comes to the driver, checked against ``max_sources``; blocks and documents stay in Spark.
     Texts are read once, to be measured; what is joined and shuffled are ids and sizes.
 
-    Returns one row per input row: ``doc_id, source, size long, source_size long, target double, copies int, draws
-    array<struct<shard int, place long>>`` (one draw per copy). Null texts have size 0; documents of size 0 are never
+    Returns one row per input row: ``doc_id, source, size long, source_size long, target double, taken long,
+    copies int, cut_words long, draws array<struct<shard int, place long, words long>>`` (one draw per copy or cut). Null texts have size 0; documents of size 0 are never
     taken. Rows that repeat a doc_id and a size fall in one block and are taken together or not at all, each at most
     ``max_epochs`` times. An empty table gives no rows. Reruns agree: all orders depend on doc_id, size and seed only.
     """
@@ -119,41 +119,60 @@ def mix_sources(
 
     # Opened blocks: one per source at most, each of about block_words words.
     opened = placed.join(F.broadcast(table.filter("state = 'cut'").select("rank", "block", "room")), ["rank", "block"])
-    fitted = opened.select("rank", "doc_id", "size", "ord", "room").groupBy("rank").applyInPandas(_fit, "rank int, doc_id long, size long, extra int")
+    fitted = opened.select("rank", "doc_id", "size", "ord", "room").groupBy("rank").applyInPandas(_fit, "rank int, doc_id long, size long, extra long")
 
     out = placed.drop("whole").join(table.select("rank", "block", "whole", "turn", "state"), ["rank", "block"]).join(F.broadcast(dealt), "rank")
     fitted = fitted.select(F.col("rank").alias("f_rank"), F.col("doc_id").alias("f_doc_id"), F.col("size").alias("f_size"), "extra")
     out = out.join(fitted, (F.col("rank") == F.col("f_rank")) & F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("size") == F.col("f_size")), "left")
-    extra = F.when(F.col("state") == "in", 1).when(F.col("state") == "cut", F.coalesce("extra", F.lit(0))).otherwise(0)
-    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0).cast("int"))
+    extra = F.when(F.col("state") == "in", F.col("size")).when(F.col("state") == "cut", F.coalesce("extra", F.lit(0))).otherwise(0)
+    out = out.withColumn("extra", extra).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("extra") == F.col("size"), 1).otherwise(0)).otherwise(0).cast("int"))
+    out = out.withColumn("cut_words", F.when(F.col("extra") < F.col("size"), F.col("extra")).otherwise(0).cast("long"))
 
     def drawn(c):  # the block's place in the source's draw list for copy c lies in one shard's run
         at = F.col("turn") - 1 + (c - 1) * F.col("n")
-        return F.struct(F.size(F.filter("ends", lambda e: e <= at)).cast("int").alias("shard"), F.xxhash64(F.lit(seed + 3), "doc_id", "size", c).alias("place"))
+        return F.struct(
+            F.size(F.filter("ends", lambda e: e <= at)).cast("int").alias("shard"),
+            F.xxhash64(F.lit(seed + 3), "doc_id", "size", c).alias("place"),
+            F.when(c <= F.col("copies"), F.col("size")).otherwise(F.col("cut_words")).alias("words"),
+        )
 
-    draws = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(1), F.col("copies")), drawn))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", draws.alias("draws"))
+    n = F.col("copies") + F.when(F.col("cut_words") > 0, 1).otherwise(0)
+    draws = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), drawn))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies") + F.col("cut_words")).alias("taken"), "copies", "cut_words", draws.alias("draws"))
 
 
 def mixed_documents(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The mix itself: the documents' columns once per draw, with ``mix_shard`` and ``mix_place`` (order in the shard)."""
-    per_id = decisions.filter("copies > 0").groupBy("doc_id").agg(F.first("draws").alias("mix_draws"))
+    """The mix itself: the documents' columns once per draw, with ``mix_shard`` and ``mix_place`` (order in the shard).
+
+    A cut document, one per source at most, comes as its first words joined by spaces.
+    """
+    per_id = decisions.filter("taken > 0").groupBy("doc_id").agg(F.first("draws").alias("mix_draws"))
     drawn = docs.join(per_id.withColumnRenamed("doc_id", "mix_id"), F.col("doc_id").eqNullSafe(F.col("mix_id"))).withColumn("mix_draw", F.explode("mix_draws"))
-    return drawn.select(*docs.columns, F.col("mix_draw.shard").alias("mix_shard"), F.col("mix_draw.place").alias("mix_place"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    whole = F.col("mix_draw.words") >= F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("mix_draw.words").cast("int")), " "))
+    return drawn.withColumn("text", text).select(*docs.columns, F.col("mix_draw.shard").alias("mix_shard"), F.col("mix_draw.place").alias("mix_place"))
 
 
 def _fit(block: pd.DataFrame) -> pd.DataFrame:
-    """Documents of an opened block in permuted order, each taken if it still fits; repeated rows stand or fall together."""
+    """Words to take of each document of an opened block: whole documents in permuted order while they fit.
+
+    The first document that doesn't fit is cut to what room is left at the end. Repeated rows stand or fall together, uncut.
+    """
     block = block.assign(alike=1).groupby(["ord", "doc_id", "size", "rank", "room"], dropna=False, as_index=False, sort=True)["alike"].sum()
-    room, taken = int(block["room"].iloc[0]) if len(block) else 0, []
-    for size in block["size"] * block["alike"]:
-        fits = 0 < size <= room
-        room -= int(size) * fits
-        taken.append(int(fits))
-    return block.assign(extra=np.array(taken, dtype=np.int32))[["rank", "doc_id", "size", "extra"]]
+    room, taken, cut = int(block["room"].iloc[0]) if len(block) else 0, [], None
+    for i, (size, alike) in enumerate(zip(block["size"], block["alike"])):
+        fits = 0 < size * alike <= room
+        room -= int(size * alike) * fits
+        taken.append(int(size) * fits)
+        if not fits and cut is None and alike == 1 and size > 0:
+            cut = i
+    if cut is not None and room > 0:
+        taken[cut] = min(room, int(block["size"].iloc[cut]))
+    return block.assign(extra=np.array(taken, dtype=np.int64))[["rank", "doc_id", "size", "extra"]]
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
     mix = mix_sources(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "draws")
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "copies", "cut_words", "draws")
