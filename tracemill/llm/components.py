@@ -22,20 +22,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _open_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes that are not yet settled: with two parents, or both a child and a parent."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent"))
+    )
+    return ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).filter("child > 1 or child = 1 and parent = 1")
+
+
 def connected_components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (u, v) reaches.
 
-    Every round writes its edges to the shared folder, so lineage stays short and nothing is gathered on the driver
-    but a count and a checksum. Ends when a round changes no edge; then all edges are stars around the smallest node.
+    Every round writes its edges to the shared folder, so lineage stays short, and the driver only learns whether a
+    node is left that isn't settled. Ends when all edges are stars around the smallest node.
     """
-    edges = scratch.save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
-    state, k = None, 0
+    edges, k = edges.filter("u <> v"), 0
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state, k = now, k + 1
         edges = scratch.save(_small_star(_large_star(edges)), f"{name}-{k}")
-        scratch.drop(f"{name}-{k - 1}")
+        if k:
+            scratch.drop(f"{name}-{k - 1}")
+        if _open_nodes(edges).isEmpty():
+            break
+        k += 1
     ends = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return ends.unionByName(ends.select(F.col("component").alias("node"), "component").distinct())

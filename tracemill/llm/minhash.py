@@ -14,6 +14,10 @@ from tracemill.llm.components import connected_components
 
 BINS = 128  # one-permutation bins: BANDS bands of ROWS bins
 BANDS, ROWS = 32, 4
+#: Later turns sketch afresh, each with its own permutation: bins and rows of a fine band.
+FINE_BINS, FINE_ROWS = 512, 8
+#: Permutations of a later turn; the search ends with a turn that finds nothing.
+FINE_DRAWS = 2
 #: Sets of up to so many shingles also get prefix keys, which miss no pair whose smaller set has 40 shingles.
 SMALL = 50
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -41,35 +45,29 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndar
     return (np.concatenate(parts) if parts else grams[:0]), np.array(at)
 
 
-def signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One-permutation signatures, (texts x BINS), with optimal densification.
+def signatures(hashes: np.ndarray, at: np.ndarray, bins: int = BINS, turn: int = 0) -> np.ndarray:
+    """One-permutation signatures, (texts x bins), with optimal densification.
 
-    A hash's top bits choose its bin and each bin keeps its smallest hash; as sets are sorted, that is the first of
-    each bin. An empty bin copies a filled one, found by probing bins in an order that depends on the bin alone.
+    A hash's top bits choose its bin and each bin keeps its smallest hash. An empty bin copies a filled one, found by
+    probing bins in an order that depends on the bin alone. ``turn`` chooses the permutation.
     """
-    n, shift = len(at) - 1, np.uint64(64 - (BINS.bit_length() - 1))
-    out = np.full((n, BINS), EMPTY)
-    doc, slot = np.repeat(np.arange(n), np.diff(at)), (hashes >> shift).astype(np.int64)
-    place = doc * BINS + slot
-    head = np.concatenate(([True], place[1:] != place[:-1])) if len(place) else np.zeros(0, bool)
-    out.ravel()[place[head]] = hashes[head]
+    if turn:
+        hashes = K.mix64(hashes ^ np.uint64((turn * K.MULT) % 2**64))
+    n, shift = len(at) - 1, np.uint64(64 - (bins.bit_length() - 1))
+    out = np.full((n, bins), EMPTY)
+    np.minimum.at(out.ravel(), np.repeat(np.arange(n), np.diff(at)) * bins + (hashes >> shift).astype(np.int64), hashes)
     filled = out != EMPTY
     todo = np.flatnonzero(filled.any(axis=1) & ~filled.all(axis=1))
     original = out.copy()
-    for t in range(_PROBES):
+    places = np.arange(bins, dtype=np.uint64) * np.uint64(1_000_003)
+    for t in range(_PROBES + bins):
         if not len(todo):
             break
-        probe = (K.mix64(np.arange(BINS, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(t + 1)) % np.uint64(BINS)).astype(np.int64)
-        take = ~filled[todo] & (original[todo][:, probe] != EMPTY)
-        rows = out[todo]
-        rows[take] = original[todo][:, probe][take]
-        out[todo] = rows
-        filled[todo] |= take
-        todo = todo[~filled[todo].all(axis=1)]
-    for step in range(1, BINS):  # very small sets: the next filled bin
-        if not len(todo):
-            break
-        near = np.roll(original[todo], -step, axis=1)
+        if t < _PROBES:
+            probe = (K.mix64(places + np.uint64(t + 1)) % np.uint64(bins)).astype(np.int64)
+        else:  # very small sets: the next filled bin
+            probe = (np.arange(bins) + t - _PROBES + 1) % bins
+        near = original[todo][:, probe]
         take = ~filled[todo] & (near != EMPTY)
         rows = out[todo]
         rows[take] = near[take]
@@ -79,10 +77,12 @@ def signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(K.MULT) + np.zeros((len(sig), 1), np.uint64)
-    for r in range(ROWS):
-        keys = K.mix64(keys ^ sig[:, r::ROWS][:, :BANDS])
+def band_keys(sig: np.ndarray, rows: int = ROWS, turn: int = 0) -> np.ndarray:
+    """A key for each band of ``rows`` bins."""
+    bands = sig.shape[1] // rows
+    keys = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(K.MULT) + np.full((len(sig), 1), turn, np.uint64)
+    for r in range(rows):
+        keys = K.mix64(keys ^ sig[:, r::rows])
     return keys
 
 
@@ -109,13 +109,29 @@ def _sketch(size: int, percent: int):
     return run
 
 
+def _fine_keys(turn: int):
+    """Keys of fine bands from the sets of shingles."""
+
+    def run(batches):
+        for batch in batches:
+            data, offs = K.buffers(K.column(batch, "grams"))
+            for lo in range(0, batch.num_rows, 256):
+                hi = min(lo + 256, batch.num_rows)
+                hashes = np.frombuffer(data[offs[lo] : offs[hi]].tobytes(), np.uint64)
+                at, draws = (offs[lo : hi + 1] - offs[lo]) // 8, range(turn * FINE_DRAWS, (turn + 1) * FINE_DRAWS)
+                keys = np.concatenate([band_keys(signatures(hashes, at, FINE_BINS, d), FINE_ROWS, d) for d in draws], axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([K.column(batch, "node").slice(lo, hi - lo), K.column(batch, "n").slice(lo, hi - lo), pa.array(list(keys), pa.list_(pa.int64()))], names=["node", "n", "keys"])
+
+    return run
+
+
 def _sets(size: int):
     def run(batches):
         for batch in batches:
             for lo, hi, data, offs in K.text_blocks(K.column(batch, "text")):
                 hashes, at = shingle_sets(data, offs, size)
                 raw = hashes.tobytes()
-                yield pa.RecordBatch.from_arrays([K.column(batch, "node").slice(lo, hi - lo), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["node", "grams"])
+                yield pa.RecordBatch.from_arrays([K.column(batch, "node").slice(lo, hi - lo), K.column(batch, "n").slice(lo, hi - lo), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["node", "n", "grams"])
 
     return run
 
@@ -146,11 +162,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     3. Nodes that share a key form a bucket. Each bucket gives a star, edges from its smallest node to the others, so
        candidates grow with bucket sizes and not with their squares.
     4. Edges are confirmed on full sets, each node's most promising edge first; then the edges between different
-       components; then buckets that still hold several components get new stars around other centres, round by
-       round, until a round confirms nothing. An edge within a component can't change the result and isn't checked.
+       stars. Links between two members of a bucket that are unlike its centre are found in further turns: nodes of
+       buckets that still hold several components are sketched afresh, with new permutations and bands of
+       ``FINE_ROWS`` bins, which hold little but like nodes, and get stars around centres drawn by hash. A turn that
+       confirms nothing is the last. An edge within a component can't change the result and isn't checked.
     5. Components by alternating stars over tables in the shared folder.
 
-    With 32 bands of 4 bins a pair at similarity 0.8 shares no key with probability 5e-8; no bucket is capped.
+    With 32 bands of 4 bins a pair at similarity 0.8 shares no key with probability 5e-8; a fine turn's 128 bands of 8
+    bins bring such a pair together 21 times on average. No bucket is capped, and work is linear in nodes and keys.
 
     Returns one row per input row: doc_id, n_shingles, component_id, kept. Words are runs of non-space bytes, A-Z
     lower-cased; a text with fewer words than ``shingle`` is one shingle, one without words is empty and linked with
@@ -163,14 +182,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     real = sketch.filter("n > 0 and doc_id is not null")
     nodes = real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
     nodes = scratch.save(nodes, "nodes")
-    buckets = nodes.select(F.explode("keys").alias("key"), "node", "n").distinct()
+    buckets = nodes.select(F.explode("keys").alias("key"), "node", "n")
     shared = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     buckets = scratch.save(buckets.join(shared, "key", "left_semi"), "buckets")
 
-    ids = scratch.save(buckets.select("node").distinct(), "candidates")
+    ids = scratch.save(buckets.select("node", "n").distinct(), "candidates")
     few = ids.count() <= BROADCAST_ROWS
-    texts = rows.withColumnRenamed("doc_id", "node").join(F.broadcast(ids) if few else ids, "node", "left_semi")
-    grams = scratch.save(texts.mapInArrow(_sets(shingle), "node long, grams binary"), "grams")
+    texts = rows.withColumnRenamed("doc_id", "node").join(F.broadcast(ids) if few else ids, "node")
+    grams = scratch.save(texts.select("node", "text", "n").mapInArrow(_sets(shingle), "node long, n long, grams binary"), "grams")
+    grams = grams.filter(F.octet_length("grams") == 8 * F.col("n"))  # of a doc_id's rows, those of the node's own set
 
     def confirm(edges: DataFrame, name: str) -> DataFrame:
         a, b = grams.select(F.col("node").alias("u"), F.col("grams").alias("a")), grams.select(F.col("node").alias("v"), F.col("grams").alias("b"))
@@ -178,32 +198,39 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
         return scratch.save(found, name)
 
     def stars(members: DataFrame, turn: int) -> DataFrame:
-        """Edges from each bucket's centre, its smallest node or in later turns another, to its other members."""
-        rank = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
-        centre = members.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "n")).alias("c"))
-        pairs = members.join(centre, "key").filter("node <> c.node and 100 * least(n, c.n) >= %d * greatest(n, c.n)" % percent)
+        """Edges from each bucket's centre, its smallest node or in later turns one drawn by hash, to its other members.
+
+        Members have a ``part``: buckets of one part give no star, and no edge stays within a part.
+        """
+        rank = F.col("node") if turn == 0 else F.xxhash64("key", "node")
+        ends = [F.min("part").alias("lo"), F.max("part").alias("hi")]
+        centre = members.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "part")).alias("c"), *ends).filter("lo < hi").select("key", "c")
+        pairs = members.join(centre, "key").filter("part <> c.part and 100 * least(n, c.n) >= %d * greatest(n, c.n)" % percent)
         return pairs.groupBy(F.greatest("node", "c.node").alias("u"), F.least("node", "c.node").alias("v")).agg(F.count("*").alias("shared"))
 
-    candidates = scratch.save(stars(buckets, 0), "stars-0")
+    def between(pairs: DataFrame, homes: DataFrame) -> DataFrame:
+        """The pairs whose ends have different homes; a node without one is its own."""
+        at = lambda side: homes.select(F.col("node").alias(side), F.col("component").alias(f"{side}_home"))
+        return pairs.join(at("u"), "u", "left").join(at("v"), "v", "left").filter("coalesce(u_home, u) <> coalesce(v_home, v)").select("u", "v")
+
+    candidates = scratch.save(stars(buckets.withColumn("part", F.col("node")), 0), "stars")
     best = candidates.groupBy("u").agg(F.max_by("v", F.struct("shared", -F.col("v"))).alias("v"))
-    tested = confirm(best, "tested-0")
+    links = confirm(best, "links-best").filter("linked").select("u", "v")
+    rest = scratch.save(between(candidates, links.toDF("node", "component")), "rest")
+    links = links.unionByName(confirm(rest, "links-rest").filter("linked").select("u", "v"))
     turn = 0
     while True:
-        linked = tested.filter("linked").select("u", "v")
-        parts = connected_components(scratch, linked, f"parts-{turn}")
-        at = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part"))
-        if turn:  # the first turn's remaining candidates come before new stars
-            inside = buckets.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-            mixed = inside.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-            candidates = stars(inside.join(mixed, "key", "left_semi").select("key", "node", "n"), turn)
-        apart = candidates.join(at("u"), "u", "left").join(at("v"), "v", "left").filter("coalesce(u_part, u) <> coalesce(v_part, v)").select("u", "v")
-        more = scratch.save(apart.join(tested.select("u", "v"), ["u", "v"], "left_anti"), f"more-{turn}")
-        new = confirm(more, f"tested-{turn + 1}")
-        gain = new.filter("linked").count()
-        tested = tested.unionByName(new)
-        if turn and not gain:
-            break
+        parts = connected_components(scratch, links, f"parts-{turn}")
         turn += 1
+        inside = buckets.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+        mixed = inside.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
+        open_ = scratch.save(inside.join(mixed, "key", "left_semi").select("node", "part").distinct(), f"open-{turn}")
+        fine = grams.join(open_.select("node"), "node", "left_semi").mapInArrow(_fine_keys(turn), "node long, n long, keys array<long>").join(open_, "node")
+        pairs = scratch.save(stars(fine.select(F.explode("keys").alias("key"), "node", "n", "part"), turn), f"pairs-{turn}")
+        new = confirm(pairs, f"links-{turn}").filter("linked").select("u", "v")
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
 
     member = sketch.join(nodes.select("n", "k1", "k2", "node"), ["n", "k1", "k2"], "left")
     out = member.join(parts, "node", "left")
