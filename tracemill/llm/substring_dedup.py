@@ -63,7 +63,7 @@ class ReferenceBlock:
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
 
 
-def factored_windows(bodies: list[bytes], keys: np.ndarray, starts: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+def factored_windows(bodies: list[bytes], keys: np.ndarray, starts: np.ndarray, seeds: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
     """Windows of the pieces that also start elsewhere.
 
     Windows within a factor of the window's size or more repeat. Every other window crosses the end of a factor: those

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,16 @@ END = 255  # never a byte of UTF-8
 FILE_BLOCK = 1 << 22
 
 
+def count_before(block: np.ndarray, symbol: int, places: np.ndarray) -> np.ndarray:
+    """How often the symbol stands in the block before each place: a bit per symbol, counted by words of 64."""
+    bits = np.packbits(block == symbol, bitorder="little")
+    words = np.zeros(len(block) // 64 + 1, np.uint64)
+    words.view(np.uint8)[: len(bits)] = bits
+    ones = np.bitwise_count(words)
+    word, rest = places >> 6, (places & 63).astype(np.uint64)
+    return np.cumsum(ones, dtype=np.int64)[word] - ones[word] + np.bitwise_count(words[word] & ((np.uint64(1) << rest) - np.uint64(1)))
+
+
 class CollectionBwt:
     """Burrows-Wheeler transform of a collection of strings, built by columns over sequential files.
 
@@ -45,26 +56,29 @@ class CollectionBwt:
         out, at = np.empty(len(places), np.int64), 0
         for block in self._blocks(name):
             lo, hi = np.searchsorted(places, [at, at + len(block)])
-            order = np.argsort(block, kind="stable")
-            inverse = np.empty(len(block), np.int64)
-            inverse[order] = np.arange(len(block))
-            own = np.bincount(block, minlength=256)
-            shift = below - np.concatenate(([0], np.cumsum(own)[:-1]))
             inside = places[lo:hi] - at
-            out[lo:hi] = inverse[inside] + shift[block[inside]]
-            below = below + own
+            symbols = block[inside]
+            by_symbol = np.argsort(symbols, kind="stable")
+            edges = np.flatnonzero(np.diff(symbols[by_symbol], prepend=-1, append=-1))
+            for a, b in zip(edges[:-1], edges[1:]):
+                who = by_symbol[a:b]
+                symbol = symbols[who[0]]
+                out[lo + who] = below[symbol] + count_before(block, symbol, inside[who])
             at += len(block)
+            if len(block) == FILE_BLOCK:
+                below = below + np.bincount(block, minlength=256)
         return out
 
     def _build(self) -> None:
         name, m = f"{self.folder}/0", self.m
-        before = lambda who, j: np.where(self.lengths[who] > j, self.data[np.minimum(self.offs[who + 1] - j - 1, len(self.data) - 1)], END).astype(np.uint8)
+        data = np.append(self.data, np.uint8(END))
+        before = lambda who, j: np.where(self.lengths[who] > j, data[self.offs[who + 1] - j - 1], END).astype(np.uint8)
         who = np.arange(m)  # strings in the order of their newest suffix
         symbols = before(who, 0)
         symbols.tofile(name)
         counts = np.bincount(symbols, minlength=256)
         places = np.arange(m)
-        for j in range(1, int(self.lengths.max()) + 1):
+        for j in range(1, int(self.lengths.max(initial=0)) + 1):
             going = self.lengths[who] >= j
             who, places = who[going], places[going]
             ranks = self._ranks(name, places, counts)
@@ -84,29 +98,28 @@ class CollectionBwt:
             name, counts = target, counts + np.bincount(symbols, minlength=256)
         self.file, self.counts = name, counts
 
-    def suffix_ranks(self, shortest: int):
-        """(string, length, rank) of all suffixes of at least ``shortest`` symbols, walking the transform backwards."""
+    def suffix_ranks(self):
+        """(string, length, rank) of all suffixes, the empty ones too, walking the transform backwards."""
         who, places = np.arange(self.m), np.arange(self.m)
-        out = []
-        for j in range(1, int(self.lengths.max()) + 1):
+        out = [(who, np.zeros(self.m, np.int64), places)]
+        for j in range(1, int(self.lengths.max(initial=0)) + 1):
             going = self.lengths[who] >= j
             who, places = who[going], places[going]
-            ranks = self._ranks(self.file, places, self.counts) if self._step is None else self._step[places]
+            ranks = self._ranks(self.file, places, self.counts) if self.steps is None else self.steps[places]
             order = np.argsort(ranks)
             who, places = who[order], ranks[order]
-            if j >= shortest:
-                out.append((who, np.full(len(who), j), places))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-
-    @property
-    def _step(self):
-        """Ranks of all symbols at once if the transform is one block."""
-        if not hasattr(self, "_whole"):
-            blocks = list(self._blocks(self.file)) if self.counts.sum() <= FILE_BLOCK else []
-            self._whole = None
-            if len(blocks) == 1:
-                self._whole = self._ranks(self.file, np.arange(len(blocks[0])), self.counts)
-        return self._whole
+            out.append((who, np.full(len(who), j), places))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    @cached_property
+    def steps(self) -> np.ndarray | None:
+        """Ranks for all places at once, by one sort, if the transform is a single block."""
+        if self.counts.sum() > FILE_BLOCK:
+            return None
+        block = next(self._blocks(self.file))
+        out = np.empty(len(block), np.int64)
+        out[np.argsort(block, kind="stable")] = np.arange(self.m, self.m + len(block))
+        return out
 
 
 def same_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
@@ -121,17 +134,43 @@ def same_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np
     return same
 
 
-def later_windows(bodies: list[bytes], keys: np.ndarray, starts: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+def seed_places(data: np.ndarray, offs: np.ndarray, seeds: np.ndarray, unit: Unit) -> np.ndarray:
+    """Where in its piece each seed stands: all windows hold it, so it is the first such gram from the last window on.
+
+    0 for single windows of hot seeds, which are keyed by their own hash.
+    """
+    out = np.zeros(len(seeds), np.int64)
+    if len(data) >= unit.gram:
+        at = np.arange(len(data) - unit.gram + 1)
+        piece = np.repeat(np.arange(len(seeds)), np.diff(offs))[: len(at)]
+        place = at - offs[piece]
+        hit = K.span_hash(K.prefix_sums(K.CODES[data]), at, at + unit.gram) == seeds.view(np.uint64)[piece]
+        hit &= (place >= np.diff(offs)[piece] - unit.size) & (at + unit.gram <= offs[piece + 1])
+        found = np.flatnonzero(hit)[::-1]  # the first one is written last
+        out[piece[found]] = place[found]
+    return out
+
+
+def later_windows(bodies: list[bytes], keys: np.ndarray, starts: np.ndarray, seeds: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
     """Windows of the pieces that also start earlier: all but the first, by (key, start), of each run of equal windows.
 
-    In the order of the transform, suffixes with a common prefix of the window's size stand next to each other.
+    Equal windows hold the same seed at the same place, so columns are needed from the seed leftwards only: strings end
+    at their seeds, and their ends are ordered by what follows (sorted as bytes). In the order of the transform, windows
+    that are equal then stand next to each other; whether neighbours have a common prefix of the window's size is read
+    off their bytes.
     """
     data = np.frombuffer(b"".join(bodies), np.uint8)
     offs = np.concatenate(([0], np.cumsum([len(b) for b in bodies])))
+    cut = seed_places(data, offs, seeds, unit)
+    order = np.array(sorted(range(len(bodies)), key=[b[c:] for b, c in zip(bodies, cut.tolist())].__getitem__))
+    heads = np.frombuffer(b"".join([bodies[i][: cut[i]] for i in order.tolist()]), np.uint8)
     with tempfile.TemporaryDirectory() as folder:
-        who, length, rank = CollectionBwt(data, offs, folder).suffix_ranks(unit.size)
-    order = np.argsort(rank)
-    who, place = who[order], (offs[who + 1] - length - offs[who])[order]
+        who, length, rank = CollectionBwt(heads, np.concatenate(([0], np.cumsum(cut[order]))), folder).suffix_ranks()
+    who = order[who]
+    place = cut[who] - length
+    keep = place <= np.diff(offs)[who] - unit.size
+    by_rank = np.argsort(rank[keep])
+    who, place = who[keep][by_rank], place[keep][by_rank]
     at = offs[who] + place
     head = np.concatenate(([True], ~same_prefix(data, at[1:], at[:-1], unit.size)))
     run = np.cumsum(head) - 1

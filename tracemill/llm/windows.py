@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm import kernels as K
-from tracemill.llm.common import Scratch
+from tracemill.llm.common import BROADCAST_ROWS, Scratch
 
 SEED = "mh long, ph long, key long, start int, n int"
 #: A seed shared by more distinct pieces than this has its pieces cut to single windows, keyed by their own hash.
 HOT_PIECES = 50_000
 #: Pieces that are compared at once; whole seed groups are added until there are so many.
-CHUNK = 3000
+CHUNK = 6000
 
 
 @dataclass(frozen=True)
@@ -198,7 +198,7 @@ def _compare(unit: Unit, repeated: Callable):
                 return []
             bodies = [h[2] for h in held]
             keys, starts = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
-            piece, place = repeated(bodies, keys, starts, unit)
+            piece, place = repeated(bodies, keys, starts, np.array([h[3] for h in held], np.int64), unit)
             order = np.lexsort((place, piece))
             piece, place = piece[order], place[order]
             if not len(piece):
@@ -228,7 +228,7 @@ def _compare(unit: Unit, repeated: Callable):
                         same[2].append(n)
                     continue
                 base = base or (key, start, body)
-                held.append((key, start, body))
+                held.append((key, start, body, mh))
             if same[0]:
                 found.append(tuple(np.array(x, np.int64) for x in same))
             if found:
@@ -243,7 +243,7 @@ def _compare(unit: Unit, repeated: Callable):
 def repeated_windows(scratch: Scratch, docs: DataFrame, unit: Unit, repeated: Callable, hot_pieces: int = HOT_PIECES) -> DataFrame:
     """(key, start, n): runs of window starts that repeat, for documents (key, text).
 
-    ``repeated(bodies, keys, starts, unit)`` compares the pieces of a chunk and returns (piece, place in it) of the
+    ``repeated(bodies, keys, starts, seeds, unit)`` compares the pieces of a chunk and returns (piece, place in it) of the
     windows to mark. Pieces travel by seed; a seed with more than ``hot_pieces`` distinct pieces is split to the hashes of its single
     windows.
     """
@@ -251,7 +251,13 @@ def repeated_windows(scratch: Scratch, docs: DataFrame, unit: Unit, repeated: Ca
     kept = scratch.save(seeds.mapInArrow(_group(unit), "mh long, key long, start int, n int"), "seeds")
     pieces = kept.filter("n > 0")
     hot = pieces.groupBy("mh").agg(F.count("*").alias("size")).filter(F.col("size") > hot_pieces).select("mh", F.lit(True).alias("hot"))
-    pieces = pieces.join(hot, "mh", "left").select("key", F.struct("mh", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("piece"))
+    hot = scratch.save(hot, "hot")  # each stands for more than hot_pieces rows, so there are few
+    n_hot = hot.count()
+    if n_hot:
+        pieces = pieces.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, "mh", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    else:
+        pieces = pieces.withColumn("hot", F.lit(False))
+    pieces = pieces.select("key", F.struct("mh", "start", "n", "hot").alias("piece"))
     lists = pieces.groupBy("key").agg(F.collect_list("piece").alias("pieces"))  # bounded by a document's length
     bodies = docs.select("key", "text").join(lists, "key").mapInArrow(_extract(unit), "mh long, key long, start int, n int, body binary")
     bodies = bodies.repartition("mh").sortWithinPartitions("mh", "key", "start")
