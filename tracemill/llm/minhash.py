@@ -16,10 +16,16 @@ BINS = 128  # one-permutation bins: BANDS bands of ROWS bins
 BANDS, ROWS = 32, 4
 #: Later turns sketch afresh, each with its own permutation: bins and rows of a fine band.
 FINE_BINS, FINE_ROWS = 512, 8
-#: Permutations of a later turn; the search ends with a turn that finds nothing.
+#: Permutations of a later turn, and later turns before what is left is joined exactly.
 FINE_DRAWS = 2
+TURNS = 1
 #: Sets of up to so many shingles also get prefix keys, which miss no pair whose smaller set has 40 shingles.
 SMALL = 50
+#: Nodes left open are joined exactly: slots of the shingle counts that order them, members of a key that are paired one by one, and
+#: members and shingles of a block where a key has more.
+SLOTS = 1 << 20
+PAIRED = 16
+BLOCK_NODES, BLOCK_SHINGLES = 512, 400_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PROBES = 64
 
@@ -152,6 +158,77 @@ def _confirm(percent: int):
     return run
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _slot_counts(batches):
+    """How many shingles of a task's sets fall in each slot."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        data, offs = K.buffers(K.column(batch, "grams"))
+        total += np.bincount(_slots(np.frombuffer(data[offs[0] : offs[-1]].tobytes(), np.uint64)), minlength=SLOTS)
+    at = np.flatnonzero(total)
+    for lo in range(0, len(at), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + (1 << 16)]), pa.array(total[at[lo : lo + (1 << 16)]])], names=["slot", "n"])
+
+
+def _rare_keys(counts, percent: int):
+    """Each set's rarest shingles, so many that two sets with the given similarity share one, whatever the counts.
+
+    The first ones are ``lead`` keys: of two similar sets the smaller has the shared one among these, as overlap is at
+    least 2t / (1 + t) of its size.
+    """
+
+    def run(batches):
+        table = counts.value
+        for batch in batches:
+            keys, leads = [], []
+            for x in K.column(batch, "grams"):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                keep = len(s) - -(-percent * len(s) // 100) + 1
+                keys.append(s[np.lexsort((s, table[_slots(s)]))[:keep]].view(np.int64))
+                leads.append(len(s) - -(-2 * percent * len(s) // (100 + percent)) + 1)
+            yield pa.RecordBatch.from_arrays([*(K.column(batch, c) for c in ("node", "n", "part")), pa.array(leads, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "n", "part", "leads", "keys"])
+
+    return run
+
+
+def _block_links(percent: int):
+    """Links between the two sides of a block, by counting the common shingles of all of them at once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, n, part, left = (table.column(c).to_numpy() for c in ("node", "n", "part", "left"))
+        hashes = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")])
+        owner = np.repeat(np.arange(len(node)), n)
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        row = np.zeros(len(node), np.int64)
+        row[a], row[b] = np.arange(len(a)), np.arange(len(b))
+        words, at = np.unique(hashes, return_inverse=True)
+        side = left[owner]
+        both = (np.bincount(at[side], minlength=len(words)) > 0) & (np.bincount(at[~side], minlength=len(words)) > 0)
+        place = np.cumsum(both) - 1
+        here = both[at]
+        place, owner, side = place[at[here]], owner[here], side[here]
+        order = np.argsort(place, kind="stable")
+        place, owner, side = place[order], owner[order], side[order]
+        common = np.zeros((len(a), len(b)), np.float32)
+        for lo in range(0, int(both.sum()), 4096):
+            x, y = np.searchsorted(place, (lo, lo + 4096))
+            width = min(4096, int(both.sum()) - lo)
+            ma, mb = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+            w, o, l = place[x:y] - lo, owner[x:y], side[x:y]
+            ma[row[o[l]], w[l]] = 1
+            mb[row[o[~l]], w[~l]] = 1
+            common += ma @ mb.T
+        common = common.astype(np.int64)
+        i, j = np.nonzero((common > 0) & (100 * common >= percent * (n[a][:, None] + n[b][None, :] - common)) & (part[a][:, None] != part[b][None, :]))
+        u, v = node[a[i]], node[b[j]]
+        return pa.table({"u": pa.array(np.maximum(u, v)), "v": pa.array(np.minimum(u, v))})
+
+    return run
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose sets of word shingles are similar: 100 * intersection >= percent * union.
 
@@ -162,14 +239,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     3. Nodes that share a key form a bucket. Each bucket gives a star, edges from its smallest node to the others, so
        candidates grow with bucket sizes and not with their squares.
     4. Edges are confirmed on full sets, each node's most promising edge first; then the edges between different
-       stars. Links between two members of a bucket that are unlike its centre are found in further turns: nodes of
+       stars. Links between two members of a bucket that are unlike its centre are found in a further turn: nodes of
        buckets that still hold several components are sketched afresh, with new permutations and bands of
-       ``FINE_ROWS`` bins, which hold little but like nodes, and get stars around centres drawn by hash. A turn that
-       confirms nothing is the last. An edge within a component can't change the result and isn't checked.
-    5. Components by alternating stars over tables in the shared folder.
+       ``FINE_ROWS`` bins, which hold little but like nodes, and get stars around centres drawn by hash. An edge within a component can't change the result and isn't checked.
+    5. What is still open is finished exactly, as that turn draws by chance: each open set is keyed by its rarest shingles, so
+       many that no link can miss them, and members of different components that share a key are compared, pair by
+       pair where a key has up to ``PAIRED`` members, else in blocks of two sides that count all common shingles at
+       once. Only members outside the key's most frequent component are a left side.
+    6. Components by alternating stars over tables in the shared folder.
 
     With 32 bands of 4 bins a pair at similarity 0.8 shares no key with probability 5e-8; a fine turn's 128 bands of 8
-    bins bring such a pair together 21 times on average. No bucket is capped, and work is linear in nodes and keys.
+    bins bring such a pair together 21 times on average; pairs that a fine turn leaves are found by step 5. No bucket is capped, and work is linear in nodes and keys.
 
     Returns one row per input row: doc_id, n_shingles, component_id, kept. Words are runs of non-space bytes, A-Z
     lower-cased; a text with fewer words than ``shingle`` is one shingle, one without words is empty and linked with
@@ -213,24 +293,70 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
         at = lambda side: homes.select(F.col("node").alias(side), F.col("component").alias(f"{side}_home"))
         return pairs.join(at("u"), "u", "left").join(at("v"), "v", "left").filter("coalesce(u_home, u) <> coalesce(v_home, v)").select("u", "v")
 
+    def finish(open_: DataFrame) -> DataFrame:
+        """All links between open nodes of different parts."""
+        sets = scratch.save(grams.join(open_, "node"), "open-sets")
+        counts = np.zeros(SLOTS, np.int64)
+        found = sets.select("grams").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+        counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+        rare = sets.mapInArrow(_rare_keys(spark.sparkContext.broadcast(counts), percent), "node long, n long, part long, leads long, keys array<long>")
+        rare = rare.select(F.posexplode("keys").alias("pos", "key"), "node", "n", "part", "leads").withColumn("lead", F.col("pos") < F.col("leads")).drop("pos", "leads")
+        rare = scratch.save(rare, "rare")
+        sizes = rare.groupBy("key").agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("lead").alias("led"))
+        sizes = scratch.save(sizes.filter("lo < hi and led").select("key", "size"), "rare-sizes")
+        near = scratch.save(rare.join(sizes, "key"), "rare-shared")
+
+        few = near.filter(F.col("size") <= PAIRED).select("key", "node", "n", "part", "lead")
+        other = few.toDF("key", "node_2", "n_2", "part_2", "lead_2")
+        pairs = few.join(other, "key").filter("node > node_2 and part <> part_2 and (lead or lead_2) and 100 * least(n, n_2) >= %d * greatest(n, n_2)" % percent)
+        links = confirm(scratch.save(pairs.select(F.col("node").alias("u"), F.col("node_2").alias("v")).distinct(), "rare-pairs"), "links-rare").filter("linked").select("u", "v")
+
+        many = near.filter(F.col("size") > PAIRED)
+        if many.isEmpty():
+            return links
+        lead = F.when(F.col("lead"), F.col("n"))
+        of_part = many.groupBy("key", "part").agg(F.count("*").alias("k"), F.sum("n").alias("m"), F.count(lead).alias("lk"), F.coalesce(F.sum(lead), F.lit(0)).alias("lm"))
+        of_key = of_part.groupBy("key").agg(F.max_by(F.struct("part", "k", "m", "lk", "lm"), "k").alias("main"), *[F.sum(c).alias(f"all_{c}") for c in ("k", "m", "lk", "lm")])
+        cut = lambda k, m: F.ceil(F.greatest(F.expr(k) / BLOCK_NODES, F.expr(m) / BLOCK_SHINGLES))
+        of_key = of_key.select(
+            "key", F.col("main.part").alias("main"), cut("all_k", "all_m").alias("every"),
+            cut("all_lk - main.lk", "all_lm - main.lm").alias("a"), cut("all_k - all_lk - main.k + main.lk", "all_m - all_lm - main.m + main.lm").alias("b"), cut("main.lk", "main.lm").alias("main_b"),
+        )
+        many = many.join(of_key, "key").withColumn("salt", F.xxhash64("key", "node", "n"))
+
+        def side(where: str, kind: str, own: str, others: str, left: bool) -> DataFrame:
+            """One side's rows, each in a block of its own side and in every block of the other."""
+            at, all_ = F.pmod("salt", own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1))
+            return many.filter(f"{own} > 0 and {others} > 0").filter(where).select(
+                "key", "node", "n", "part", F.lit(kind).alias("kind"), (at if left else all_).alias("i"), (all_ if left else at).alias("j"), F.lit(left).alias("left")
+            )
+
+        # of members outside the main part: those with the key as a lead meet all, the others the main part's leads
+        sides = side("part <> main and lead", "a", "a", "every", True).unionByName(side("true", "a", "every", "a", False))
+        sides = sides.unionByName(side("part <> main and not lead", "b", "b", "main_b", True)).unionByName(side("part = main and lead", "b", "main_b", "b", False))
+        sides = sides.join(sets.select("node", "n", "grams"), ["node", "n"])
+        blocked = sides.groupBy("key", "kind", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
+        return links.unionByName(scratch.save(blocked.distinct(), "links-blocks"))
+
     candidates = scratch.save(stars(buckets.withColumn("part", F.col("node")), 0), "stars")
     best = candidates.groupBy("u").agg(F.max_by("v", F.struct("shared", -F.col("v"))).alias("v"))
     links = confirm(best, "links-best").filter("linked").select("u", "v")
     rest = scratch.save(between(candidates, links.toDF("node", "component")), "rest")
     links = links.unionByName(confirm(rest, "links-rest").filter("linked").select("u", "v"))
-    turn = 0
-    while True:
+    for turn in range(1, TURNS + 2):
         parts = connected_components(scratch, links, f"parts-{turn}")
-        turn += 1
         inside = buckets.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
         mixed = inside.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
         open_ = scratch.save(inside.join(mixed, "key", "left_semi").select("node", "part").distinct(), f"open-{turn}")
+        if open_.isEmpty():
+            break
+        if turn > TURNS:
+            links = links.unionByName(finish(open_))
+            parts = connected_components(scratch, links, "parts-last")
+            break
         fine = grams.join(open_.select("node"), "node", "left_semi").mapInArrow(_fine_keys(turn), "node long, n long, keys array<long>").join(open_, "node")
         pairs = scratch.save(stars(fine.select(F.explode("keys").alias("key"), "node", "n", "part"), turn), f"pairs-{turn}")
-        new = confirm(pairs, f"links-{turn}").filter("linked").select("u", "v")
-        if new.isEmpty():
-            break
-        links = links.unionByName(new)
+        links = links.unionByName(confirm(pairs, f"links-{turn}").filter("linked").select("u", "v"))
 
     member = sketch.join(nodes.select("n", "k1", "k2", "node"), ["n", "k1", "k2"], "left")
     out = member.join(parts, "node", "left")
