@@ -242,3 +242,18 @@ def test_codewords(n):
     assert len(code) == n and len({tuple(r) for r in code.tolist()}) == max(n, 0)
     if 3 <= n <= 7:
         assert min((a != b).sum() for i, a in enumerate(code) for b in code[:i]) == 2 ** (n - 2)
+
+
+def test_op9_long_text():
+    """What stands at the end of a text of several MB counts as much as what stands at its begin."""
+    import random
+
+    from tracemill.llm.quality import Scorer
+
+    rng = random.Random(9)
+    noise = lambda n: rng.randbytes(n).hex().encode()
+    good, bad = noise(200_000), noise(200_000)
+    filler = noise(2_500_000)
+    scorer = Scorer(good, bad)
+    start, end, worse = (scorer.difference(x) for x in (good[:100_000] + filler, filler + good[:100_000], filler + bad[:100_000]))
+    assert start > 20 and abs(end - start) < 0.1 * start and worse < -20

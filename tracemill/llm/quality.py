@@ -18,6 +18,8 @@ SAMPLE_ROWS = 3000
 DICTIONARY_BYTES = 1 << 20
 PIECE_CHARS = 2000
 LEVEL = 6
+#: Bytes that are compressed at once: zstandard drops a dictionary when a text has moved past its window, about 2 MB at this level.
+CHUNK_BYTES = 256 << 10
 THRESHOLD = 0.7
 
 
@@ -52,10 +54,12 @@ class Scorer:
     def difference(self, text: bytes) -> float:
         """(size with bad dictionary - size with good dictionary) / square root of bytes; 0 for an empty text.
 
-        The difference of a text's two sizes is a sum over its pieces, whose spread grows as the square root.
+        A text is compressed in consecutive pieces of ``CHUNK_BYTES``, each with the whole dictionary. The difference of
+        its two sizes is a sum over its pieces, whose spread grows as the square root.
         """
         good, bad = self.tools()
-        return (len(bad.compress(text)) - len(good.compress(text))) / math.sqrt(len(text)) if text else 0.0
+        pieces = (text[a : a + CHUNK_BYTES] for a in range(0, len(text), CHUNK_BYTES))
+        return sum(len(bad.compress(p)) - len(good.compress(p)) for p in pieces) / math.sqrt(len(text)) if text else 0.0
 
     def score(self, difference: float) -> float:
         z = self.slope * difference + self.intercept
