@@ -127,3 +127,12 @@ def test_coupling(spark):
     assert s["revise"].within_near == 1 and s["revise"].pct_within_near == 50.0 and s["hedge"].mean_distance == 4.0
     lift = coupling.lift_over_chance(coupling.coupling_summary(events.withColumn("m", F.lit("m")), ["m"]), sizes.withColumn("m", F.lit("m")), ["m"]).first()
     assert lift.chance_pct == pytest.approx(37.5) and lift.lift == pytest.approx(50 / 37.5) and not lift.strong
+
+
+def test_mean_curve_longer_than_1000(spark):
+    """The grid is as long as the longest curve, however long that is."""
+    n = 1500
+    rows = [("m", "a", i, float(i % 7)) for i in range(n)] + [("m", "b", i, 2.0 * i) for i in range(2)]
+    got = {r.g: (r.mean_sim, r.n_curves) for r in curves.mean_curve(spark.createDataFrame(rows, "g0 string, k string, idx long, sim double"), ["k"], ["g0"]).collect()}
+    assert len(got) == n
+    assert all(got[i][1] == 2 and abs(got[i][0] - (i % 7 + 2.0 * i / (n - 1)) / 2) < 1e-9 for i in range(n))

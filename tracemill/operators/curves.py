@@ -125,13 +125,13 @@ def accumulated_variance(steps: DataFrame, keys: list[str], pos: str = "pos", ve
     return long.withColumn("v", var).groupBy(*keys, pos).agg(F.sum("v").alias("variance"))
 
 
-def mean_curve(curve: DataFrame, keys: list[str], group: list[str], max_points: int = 1000) -> DataFrame:
-    """Curves of a group laid on a grid as long as the group's longest (``max_points`` at most), averaged by place.
+def mean_curve(curve: DataFrame, keys: list[str], group: list[str]) -> DataFrame:
+    """Curves of a group laid on a grid as long as the group's longest, averaged by place.
 
     Each curve stands between its own first and last point; grid points between two of its points are interpolated.
     """
     sized = curve.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    longest = sized.groupBy(*group).agg(F.least(F.max("n"), F.lit(max_points)).alias("points"))
+    longest = sized.groupBy(*group).agg(F.max("n").alias("points"))
     nxt = F.lead("sim").over(Window.partitionBy(*keys).orderBy("idx"))
     rows = sized.withColumn("next", nxt).join(longest, group)
     # Grid points g with idx <= g * (n - 1) / (points - 1) < idx + 1; the last point closes the grid.
