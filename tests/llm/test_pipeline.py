@@ -51,3 +51,25 @@ def test_stages(spark, edge, tmp_path):
 def test_run(spark, edge, empty):
     assert corpus_pipeline.run(spark, edge[0]).count() > 0
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_rows_without_a_doc_id_of_their_own(spark):
+    from tracemill.llm.decontaminate import decontaminate
+    from tracemill.llm.minhash import drop_near_duplicates
+    from tracemill.llm.mixing import mix_sources, mixed_documents
+
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    passage = words("p", 30)
+    made = [(None, words("a", 10)), (None, words("b", 1000)), (None, words("c", 300)), (None, words("c", 300)), (None, f"{words('d', 20)} {passage}"), (3, words("e", 15)), (3, f"{words('f', 40)} {passage}"), (4, words("g", 700))]
+    docs = spark.createDataFrame([(d, t, "s") for d, t in made], "doc_id long, text string, source string")
+    near = drop_near_duplicates(spark, docs.filter("doc_id is null or doc_id <> 3"))
+    assert Counter((r.doc_id, r.text) for r in near.collect()) == Counter({r for r in made if r[0] != 3})
+    clean = decontaminate(spark, docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(r for r in made if passage not in r[1])
+    two = docs.unionByName(spark.createDataFrame([(None, words("h", 2000), "t"), (3, words("i", 900), "t")], docs.schema))
+    decisions = mix_sources(spark, two, block_words=200)
+    want, got = Counter(), Counter()
+    for r in decisions.collect():
+        want.update((r.doc_id, r.source, x.words) for x in r.draws or [])
+    got.update((r.doc_id, r.source, len(r.text.split())) for r in mixed_documents(two, decisions).collect())
+    assert got == want

@@ -62,11 +62,17 @@ class Scratch:
 BROADCAST_ROWS = 200_000
 
 
-def without_ids(scratch: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among ``ids``; rows without a doc_id stay."""
+def row_keyed(scratch: Scratch, docs: DataFrame, ordered: bool = False) -> DataFrame:
+    """The documents with a ``row_key`` of their own, written so that it stays; if ``ordered`` ascending with doc_id (nulls last) and text."""
+    docs = docs.orderBy(F.asc_nulls_last("doc_id"), "text") if ordered else docs
+    return scratch.save(docs.withColumn("row_key", F.monotonically_increasing_id()), "row-keyed")
+
+
+def without_ids(scratch: Scratch, docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents whose ``key`` is not among the doc_ids of ``ids``; rows without a key stay."""
     ids = scratch.save(ids.select(F.col("doc_id").cast("long").alias("gone_id")).filter("gone_id is not null").distinct(), "gone")
     few = ids.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("gone_id"), "left_anti")
 
 
 def fold_az(column):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import kernels as K
-from tracemill.llm.common import Scratch, read_table, without_ids
+from tracemill.llm.common import Scratch, read_table, row_keyed, without_ids
 
 WINDOW = 13
 #: Bytes of benchmark text in one block of test suffixes; a larger benchmark takes several blocks.
@@ -194,8 +194,11 @@ def judged(matches: DataFrame) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their columns; rows without a doc_id can't be named and stay."""
-    return without_ids(Scratch(spark, "decontaminated"), docs, judged(find_matches(spark, docs, benchmark)).filter("contaminated"))
+    """The documents that are not contaminated, with their columns; every row is judged by its own text, whatever its doc_id."""
+    scratch = Scratch(spark, "decontaminated")
+    rows = row_keyed(scratch, docs)
+    found = judged(find_matches(spark, rows.select(F.col("row_key").alias("doc_id"), "text"), benchmark))
+    return without_ids(scratch, rows, found.filter("contaminated"), "row_key").drop("row_key")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

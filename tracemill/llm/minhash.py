@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemill.llm import kernels as K
-from tracemill.llm.common import BROADCAST_ROWS, Scratch, read_table, without_ids
+from tracemill.llm.common import BROADCAST_ROWS, Scratch, read_table, row_keyed, without_ids
 from tracemill.llm.components import connected_components
 
 BINS = 128  # one-permutation bins: BANDS bands of ROWS bins
@@ -369,11 +369,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one of each component left, that with the smallest doc_id.
 
-    Of rows that repeat a doc_id one is left, that with the smallest text. Rows without a doc_id stay.
+    Where doc_ids repeat or are missing each row is a node of its own, in the order of doc_id (nulls last) and text. Of
+    what is left of rows that repeat a doc_id one stays, that with the smallest text.
     """
     scratch = Scratch(spark, "near-deduped")
-    found = near_duplicates(spark, docs, shingle, percent)
-    left = without_ids(scratch, docs, found.filter(~F.col("kept")))
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        return without_ids(scratch, docs, near_duplicates(spark, docs, shingle, percent).filter(~F.col("kept")))
+    rows = row_keyed(scratch, docs, ordered=True)
+    found = near_duplicates(spark, rows.select(F.col("row_key").alias("doc_id"), "text"), shingle, percent)
+    docs = left = scratch.save(without_ids(scratch, rows, found.filter(~F.col("kept")), "row_key").drop("row_key"), "left")
     again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again_id"))
     again = scratch.save(again, "again")
     if again.isEmpty():

@@ -144,10 +144,13 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The mix itself: the documents' columns once per draw, with ``mix_shard`` and ``mix_place`` (order in the shard).
 
-    A cut document, one per source at most, comes as its first words joined by spaces.
+    A cut document, one per source at most, comes as its first words joined by spaces. Decisions depend on doc_id, source
+    and size alone, so the three name each row's own, also where doc_ids repeat or are missing.
     """
-    per_id = decisions.filter("taken > 0").groupBy("doc_id").agg(F.first("draws").alias("mix_draws"))
-    drawn = docs.join(per_id.withColumnRenamed("doc_id", "mix_id"), F.col("doc_id").eqNullSafe(F.col("mix_id"))).withColumn("mix_draw", F.explode("mix_draws"))
+    alike = decisions.filter("taken > 0").groupBy(*[F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", "size")]).agg(F.first("draws").alias("mix_draws"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    same = F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_row_size") == F.col("mix_size"))
+    drawn = docs.withColumn("mix_row_size", size).join(alike, same).withColumn("mix_draw", F.explode("mix_draws"))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     whole = F.col("mix_draw.words") >= F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
     text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("mix_draw.words").cast("int")), " "))
