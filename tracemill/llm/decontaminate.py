@@ -164,8 +164,8 @@ def find_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, win
     """Locate every benchmark window in every document.
 
     A shard is about 1 MB of whole documents within a task: its suffix array (word suffixes, sorted by their first
-    ``window`` words) is searched for all test suffixes at once by binary search; the runs found are the verbatim
-    matches and their places. Words are A-Z-lower-cased runs of ASCII letters and digits and non-ASCII characters. An
+    ``window`` words) is searched for all distinct benchmark windows at once by binary search; the runs found are
+    the verbatim matches of that length and their places. Longest matches are not computed. Words are A-Z-lower-cased runs of ASCII letters and digits and non-ASCII characters. An
     item with fewer words than ``window`` is one window; an item without words is none.
 
     The benchmark is measured first and dealt to blocks of about ``block_bytes`` by a hash; one block at a time goes to
