@@ -74,6 +74,7 @@ class Params:
     coupling_sentences: int = 5
     min_traces: int = 5
     p: float = 0.05
+    pct_with_transitions: float = 50.0
     rho: float = 0.15
     models_passing: int = 2
     tau: float = 0.8

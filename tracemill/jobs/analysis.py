@@ -379,7 +379,7 @@ def failure_modes(spark, sf_dir):
 
 @job(FEATURE_SQL + """ SELECT model_name, question, idx, sim FROM (SELECT c.model_name, c.user_id AS question, c.idx, round(c.sim, 6) + 0.0 AS sim, row_number() OVER (PARTITION BY c.user_id ORDER BY c.idx) AS k, dense_rank() OVER (PARTITION BY c.model_name ORDER BY c.user_id) AS t FROM curve c WHERE is_transition) WHERE k <= 2 AND t <= 3""")
 def top_examples(spark, sf_dir):
-    """Of each model the first three traces with transitions, two of them each; the limits are the feature."""
+    """D4, examples of transitions (questions: ``mixed_examples``): of each model the first three traces with transitions, two of them each; the limits are the feature."""
     found = curves.with_transitions(T.curve(spark, sf_dir), KEYS).filter("is_transition")
     heads = found.withColumn("k", F.row_number().over(Window.partitionBy("model_name", "user_id").orderBy("idx"))).filter("k <= 2")
     # Ranked on one row per trace, after the first cut.
@@ -390,7 +390,21 @@ def top_examples(spark, sf_dir):
 @job(LONG_SQL + COMPARE_SQL + f""", best AS (SELECT model_name, count(*) FILTER (abs(cohens_d) > 0.2) AS n_strong, {r('avg(abs(cohens_d))', 'mean_abs_d')} FROM effect GROUP BY model_name)
 SELECT model_name, n_strong, mean_abs_d, row_number() OVER (ORDER BY n_strong DESC, model_name) AS place FROM best""")
 def best_models(spark, sf_dir):
-    """Models (of which there are few) by the number of features with an effect, first on ties."""
+    """Beside D2 (``best_by_p``): models (of which there are few) by the number of features with an effect, first on ties."""
     c = G.group_comparison(long_features(spark, sf_dir), ["model_name"])
     best = c.groupBy("model_name").agg(F.count_if(F.abs("cohens_d") > 0.2).alias("n_strong"), F.avg(F.abs("cohens_d")).alias("mean_abs_d"))
     return rounded(best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_strong"), "model_name"))))
+
+
+@job(PROFILE_SQL + " SELECT question_id, n_correct, n_wrong, correct_models, wrong_models FROM profiles WHERE difficulty = 'mixed' ORDER BY question_id LIMIT 5")
+def mixed_examples(spark, sf_dir):
+    """The first five mixed questions in id order; the limit is the feature."""
+    mixed = question_profiles(spark, sf_dir).filter("difficulty = 'mixed'")
+    return mixed.select("question_id", "n_correct", "n_wrong", "correct_models", "wrong_models").orderBy("question_id").limit(5)
+
+
+@job()
+def best_by_p(spark, sf_dir):
+    """Models (of which there are few) by the number of significant features, first on ties."""
+    best = feature_tests(spark, sf_dir).groupBy("model_name").agg(F.count_if("significant").alias("n_significant"))
+    return rounded(best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_significant"), "model_name"))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracemill.config import ABBREVIATIONS, COMMON_MARKERS, COMMON_STATES, PARAMS, whole_words
 from tracemill.functions import text as X
 from tracemill.jobs import tables as T
-from tracemill.jobs.analysis import r, rounded
+from tracemill.jobs.analysis import feature_tests, r, rounded, transition_summary
 from tracemill.operators import consensus, markers, sampling
 from tracemill.operators import tests as G
 from tracemill.session import ship_package
@@ -165,11 +165,21 @@ def best_categories(spark, sf_dir):
 
 @job(RHO_SQL + """ SELECT count(DISTINCT model_name) FILTER (region = 'all' AND abs(rho) > 0.15) AS models_with_signal, count(DISTINCT model_name) FILTER (region = 'all' AND abs(rho) > 0.15) >= 2 AS passes FROM rho""")
 def verdict(spark, sf_dir):
-    """Do markers tell right from wrong for two models at least?"""
+    """D1, third pilot (all three: ``verdicts``): do markers tell right from wrong for two models at least?"""
     n = F.count_distinct(F.when((F.col("region") == "all") & F.col("passes_rho"), F.col("model_name")))
     return correlations(spark, sf_dir).agg(n.alias("models_with_signal"), (n >= PARAMS.models_passing).alias("passes"))
 
 
+@job()
+def verdicts(spark, sf_dir):
+    """What counts for each of the three pilots, how many, and whether it passes."""
+    found = transition_summary(spark, sf_dir).agg(F.count_if(F.col("pct_with_transitions") > PARAMS.pct_with_transitions).alias("n"))
+    significant = feature_tests(spark, sf_dir).agg(F.count_if("significant").alias("n"))
+    pilots = [found.select(F.lit(1).alias("pilot"), "n", (F.col("n") > 0).alias("passes")), significant.select(F.lit(2).alias("pilot"), "n", (F.col("n") > 0).alias("passes"))]
+    pilots.append(verdict(spark, sf_dir).select(F.lit(3).alias("pilot"), F.col("models_with_signal").alias("n"), "passes"))
+    return rounded(pilots[0].unionByName(pilots[1]).unionByName(pilots[2]))
+
+
 @job("WITH " + T.TRACES + r""", x AS (SELECT doc_id, model_name, is_correct, thinking_text AS t, regexp_replace(thinking_text, '^\s+|\s+$', '', 'g') AS s, regexp_replace(left(thinking_text, 500), '([^\p{L}\p{N}\p{M}_])', '\1\1', 'g') AS d FROM traces)
 SELECT doc_id, coalesce(
   upper(nullif(regexp_extract(t, '\\boxed\{([A-E])\}', 1), '')),
