@@ -222,7 +222,7 @@ OPTIONS_SQL = "o AS (SELECT string_agg(chr(65 + r_regionkey) || ') ' || r_name,
 
 @job("WITH " + OPTIONS_SQL + """ SELECT n_nationkey::BIGINT AS question_id, 'Where is ' || n_name || '?' || chr(10) || chr(10) || options_text AS prompt, chr(65 + n_regionkey) AS correct_answer, coalesce(r_name, '?') AS correct_text FROM nation CROSS JOIN o LEFT JOIN region ON r_regionkey = n_regionkey""")
 def prompts(spark, sf_dir):
-    """Questions about nations with regions as options."""
+    """P2, P3, J7 on fixed tables: questions about nations with regions as options (``trace_prompts`` grows with the tables)."""
     letter = lambda c: F.char(F.lit(65) + F.col(c))
     options = T.read(spark, sf_dir, "region").agg(F.map_from_entries(F.collect_list(F.struct(letter("r_regionkey").alias("key"), F.col("r_name").alias("value")))).alias("options"))
     q = T.read(spark, sf_dir, "nation").crossJoin(F.broadcast(options))  # one row
@@ -230,6 +230,17 @@ def prompts(spark, sf_dir):
     return q.select(F.col("n_nationkey").cast("long").alias("question_id"), prompt.alias("prompt"), letter("n_regionkey").alias("correct_answer"), X.option_value(F.col("options"), letter("n_regionkey")).alias("correct_text"))
 
 
+@job("WITH " + T.TRACES + """, o AS (SELECT question_id, chr((65 + doc_id % 3)::INT) AS key, min(left(coalesce(thinking_text, ''), 40)) AS value, bool_or(is_correct) AS is_right FROM traces GROUP BY ALL)
+SELECT question_id, 'Question ' || question_id || ': which text is right?' || chr(10) || chr(10) || string_agg(key || ') ' || value, chr(10) ORDER BY key) AS prompt, min(key) FILTER (is_right) AS correct_answer, coalesce(min_by(value, key) FILTER (is_right), '?') AS correct_text FROM o GROUP BY question_id""")
+def trace_prompts(spark, sf_dir):
+    """A question per group of traces, its texts' heads as options; the first right one is the answer."""
+    t = T.traces(spark, sf_dir)
+    options = t.groupBy("question_id", F.char(F.lit(65) + F.col("doc_id") % 3).alias("key")).agg(F.min(F.substring(F.coalesce("thinking_text", F.lit("")), 1, 40)).alias("value"), F.bool_or("is_correct").alias("is_right"))
+    q = options.groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("options"), F.min(F.when(F.col("is_right"), F.col("key"))).alias("correct_answer"))  # three options at most
+    prompt = X.fill("Question {id}: which text is right?\n\n{options}", id=F.col("question_id").cast("string"), options=X.options_text(F.col("options")))
+    return q.select("question_id", prompt.alias("prompt"), "correct_answer", X.option_value(F.col("options"), F.col("correct_answer")).alias("correct_text"))
+
+
 @job("SELECT doc_id FROM documents ORDER BY md5('42-' || doc_id), doc_id LIMIT 20")
 def pilot_sample(spark, sf_dir):
     """20 questions, by a seeded hash; the number is the feature."""
