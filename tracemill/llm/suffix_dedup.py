@@ -210,7 +210,8 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, size: int = WINDOW, gra
 
     Earlier: in a document with a smaller doc_id, or in the same one. Strings are judged on the input. Candidate pieces
     come from ``windows.repeated_windows``; each chunk of them goes through ``CollectionBwt``, and windows with a
-    common prefix of ``size`` bytes with a neighbour in its order repeat. Comparisons are of bytes, never of hashes.
+    common prefix of ``size`` bytes with a neighbour in its order repeat. That comparison is of bytes; equal pieces are
+    marked before it, by 64-bit hashes of the seed and of the piece.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed), one row per input row. A null text is empty.
     Null doc_ids come after all others; rows that repeat a doc_id are documents of their own, in order of text. An

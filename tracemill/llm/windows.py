@@ -3,8 +3,10 @@
 A window is ``size`` symbols of one document in a row; symbols are bytes or words. Comparing all windows would move
 many times the corpus, so windows are first tied to seeds: the smallest hashed gram of ``gram`` symbols in a window.
 Equal windows have the same seed at the same place, so a window whose seed is unique in the corpus can't repeat. The
-windows tied to one seed occurrence lie in a row; together they are a *piece*. Pieces with a repeated seed are compared
-in full by the operator's own method; that is where results come from.
+windows tied to one seed occurrence lie in a row; together they are a *piece*. Results come from two places: pieces of
+equal seed and equal hash are marked as repeated by these 64-bit hashes alone, and of the distinct pieces with a
+repeated seed, the first of each is compared by the operator's own method. Windows of hot seeds are grouped by their own
+hashes.
 """
 
 from __future__ import annotations
