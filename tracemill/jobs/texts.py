@@ -234,8 +234,11 @@ def prompts(spark, sf_dir):
 SELECT question_id, 'Question ' || question_id || ': which text is right?' || chr(10) || chr(10) || string_agg(key || ') ' || value, chr(10) ORDER BY key) AS prompt, min(key) FILTER (is_right) AS correct_answer, coalesce(min_by(value, key) FILTER (is_right), '?') AS correct_text FROM o GROUP BY question_id""")
 def trace_prompts(spark, sf_dir):
     """A question per group of traces, its texts' heads as options; the first right one is the answer."""
-    t = T.traces(spark, sf_dir)
-    options = t.groupBy("question_id", F.char(F.lit(65) + F.col("doc_id") % 3).alias("key")).agg(F.min(F.substring(F.coalesce("thinking_text", F.lit("")), 1, 40)).alias("value"), F.bool_or("is_correct").alias("is_right"))
+    # Texts are cut to their heads before they are moved.
+    heads = T.read(spark, sf_dir, "documents").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("value"))
+    right = T.read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("is_right"))
+    t = heads.join(right, "doc_id", "left").withColumns({"question_id": F.expr("doc_id div 3"), "key": F.char(F.lit(65) + F.col("doc_id") % 3)})
+    options = t.groupBy("question_id", "key").agg(F.min("value").alias("value"), F.bool_or(F.coalesce("is_right", F.lit(False))).alias("is_right"))
     q = options.groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("options"), F.min(F.when(F.col("is_right"), F.col("key"))).alias("correct_answer"))  # three options at most
     prompt = X.fill("Question {id}: which text is right?\n\n{options}", id=F.col("question_id").cast("string"), options=X.options_text(F.col("options")))
     return q.select("question_id", prompt.alias("prompt"), "correct_answer", X.option_value(F.col("options"), F.col("correct_answer")).alias("correct_text"))
