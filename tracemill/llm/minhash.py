@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +18,16 @@ BINS = 128  # one-permutation bins: BANDS bands of ROWS bins
 BANDS, ROWS = 32, 4
 #: Later turns sketch afresh, each with its own permutation: bins and rows of a fine band.
 FINE_BINS, FINE_ROWS = 512, 8
-#: Permutations of a later turn, and later turns before what is left is joined exactly.
+#: Permutations of a later turn.
 FINE_DRAWS = 2
-TURNS = 1
 #: Sets of up to so many shingles also get prefix keys, which miss no pair whose smaller set has 40 shingles.
 SMALL = 50
-#: Nodes left open are joined exactly: slots of the shingle counts that order them, members of a key that are paired one by one, and
-#: members and shingles of a block where a key has more.
-SLOTS = 1 << 20
+#: Nodes left open are joined exactly: members of a key that are paired one by one, and members and shingles of a block
+#: where a key has more.
 PAIRED = 16
 BLOCK_NODES, BLOCK_SHINGLES = 512, 400_000
+#: Edges of one node that meet its set in one task.
+HUB_EDGES = 256
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PROBES = 64
 
@@ -126,7 +128,7 @@ def _fine_keys(turn: int):
                 hashes = np.frombuffer(data[offs[lo] : offs[hi]].tobytes(), np.uint64)
                 at, draws = (offs[lo : hi + 1] - offs[lo]) // 8, range(turn * FINE_DRAWS, (turn + 1) * FINE_DRAWS)
                 keys = np.concatenate([band_keys(signatures(hashes, at, FINE_BINS, d), FINE_ROWS, d) for d in draws], axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([K.column(batch, "node").slice(lo, hi - lo), K.column(batch, "n").slice(lo, hi - lo), pa.array(list(keys), pa.list_(pa.int64()))], names=["node", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([*(K.column(batch, c).slice(lo, hi - lo) for c in ("node", "n", "part")), pa.array(list(keys), pa.list_(pa.int64()))], names=["node", "n", "part", "keys"])
 
     return run
 
@@ -148,7 +150,7 @@ def _confirm(percent: int):
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(K.column(batch, "a"), K.column(batch, "b")):
+            for x, y in zip(K.column(batch, "u_set"), K.column(batch, "v_set")):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.sort(np.concatenate((a, b)))
                 common = int((both[1:] == both[:-1]).sum())
@@ -158,40 +160,13 @@ def _confirm(percent: int):
     return run
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
-def _slot_counts(batches):
-    """How many shingles of a task's sets fall in each slot."""
-    total = np.zeros(SLOTS, np.int64)
+def _shingle_rows(batches):
+    """One row for each shingle of a set."""
     for batch in batches:
         data, offs = K.buffers(K.column(batch, "grams"))
-        total += np.bincount(_slots(np.frombuffer(data[offs[0] : offs[-1]].tobytes(), np.uint64)), minlength=SLOTS)
-    at = np.flatnonzero(total)
-    for lo in range(0, len(at), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + (1 << 16)]), pa.array(total[at[lo : lo + (1 << 16)]])], names=["slot", "n"])
-
-
-def _rare_keys(counts, percent: int):
-    """Each set's rarest shingles, so many that two sets with the given similarity share one, whatever the counts.
-
-    The first ones are ``lead`` keys: of two similar sets the smaller has the shared one among these, as overlap is at
-    least 2t / (1 + t) of its size.
-    """
-
-    def run(batches):
-        table = counts.value
-        for batch in batches:
-            keys, leads = [], []
-            for x in K.column(batch, "grams"):
-                s = np.frombuffer(x.as_buffer(), np.uint64)
-                keep = len(s) - -(-percent * len(s) // 100) + 1
-                keys.append(s[np.lexsort((s, table[_slots(s)]))[:keep]].view(np.int64))
-                leads.append(len(s) - -(-2 * percent * len(s) // (100 + percent)) + 1)
-            yield pa.RecordBatch.from_arrays([*(K.column(batch, c) for c in ("node", "n", "part")), pa.array(leads, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "n", "part", "leads", "keys"])
-
-    return run
+        hashes = np.frombuffer(data[offs[0] : offs[-1]].tobytes(), np.int64)
+        repeat = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(offs) // 8))
+        yield pa.RecordBatch.from_arrays([*(K.column(batch, c).take(repeat) for c in ("node", "n", "part")), pa.array(hashes)], names=["node", "n", "part", "key"])
 
 
 def _block_links(percent: int):
@@ -229,6 +204,24 @@ def _block_links(percent: int):
     return run
 
 
+def _length_classes(members: DataFrame, percent: int) -> DataFrame:
+    """Each member (key, n, ...) in the class of its set's size and, as a ``guest``, in the next larger one.
+
+    Sets whose sizes are within the similarity of each other are in one class or in two that follow each other, so of a
+    key only members of one class and its guests can be linked.
+    """
+    own = F.floor(F.ln("n") / F.lit(math.log(100 / percent) + 1e-9)).cast("int")
+    at = F.array(F.struct(own.alias("class"), F.lit(False).alias("guest")), F.struct((own + 1).alias("class"), F.lit(True).alias("guest")))
+    return members.withColumn("at", F.explode(at)).select(*members.columns, "at.class", "at.guest")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """(key, class, size, lead) of the classes in which members of different parts meet one that is no guest."""
+    lead = F.max("lead") if "lead" in members.columns else F.lit(True)
+    groups = members.groupBy("key", "class").agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("guest").alias("empty"), lead.alias("led"))
+    return groups.filter("lo < hi and not empty and led").select("key", "class", "size")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose sets of word shingles are similar: 100 * intersection >= percent * union.
 
@@ -239,25 +232,41 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     3. Nodes that share a key form a bucket. Each bucket gives a star, edges from its smallest node to the others, so
        candidates grow with bucket sizes and not with their squares.
     4. Edges are confirmed on full sets, each node's most promising edge first; then the edges between different
-       stars. Links between two members of a bucket that are unlike its centre are found in a further turn: nodes of
-       buckets that still hold several components are sketched afresh, with new permutations and bands of
-       ``FINE_ROWS`` bins, which hold little but like nodes, and get stars around centres drawn by hash. An edge within a component can't change the result and isn't checked.
-    5. What is still open is finished exactly, as that turn draws by chance: each open set is keyed by its rarest shingles, so
-       many that no link can miss them, and members of different components that share a key are compared, pair by
-       pair where a key has up to ``PAIRED`` members, else in blocks of two sides that count all common shingles at
-       once. Only members outside the key's most frequent component are a left side.
+       stars. Nodes of buckets that still hold several components of like sizes are sketched afresh, with new
+       permutations and bands of ``FINE_ROWS`` bins, which hold little but like nodes, and get stars around centres
+       drawn by hash. An edge within a component can't change the result and isn't checked.
+    5. Buckets of fine bands that then still hold several components are finished exactly (``_finish``), as centres are
+       drawn by chance.
     6. Components by alternating stars over tables in the shared folder.
 
-    With 32 bands of 4 bins a pair at similarity 0.8 shares no key with probability 5e-8; a fine turn's 128 bands of 8
-    bins bring such a pair together 21 times on average; pairs that a fine turn leaves are found by step 5. No bucket is capped, and work is linear in nodes and keys.
+    With 32 bands of 4 bins a pair at similarity 0.8 shares no key with probability 5e-8, and no fine band of 128 with
+    probability 6e-11; every pair that shares a fine band is compared or in one component. No bucket is capped, and work is
+    linear in nodes and keys but for keys of step 5 that many unlike components share.
 
     Returns one row per input row: doc_id, n_shingles, component_id, kept. Words are runs of non-space bytes, A-Z
     lower-cased; a text with fewer words than ``shingle`` is one shingle, one without words is empty and linked with
-    nothing. Rows that repeat a doc_id are one node of the graph (their links add up). A null doc_id is linked with nothing: component_id
-    is null, kept true. An empty table gives no rows.
+    nothing. Rows that repeat a doc_id are one node of the graph: what one of them is linked with, all are. A null doc_id
+    is linked with nothing: component_id is null, kept true. An empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(spark, "minhash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return _components(scratch, rows, shingle, percent)
+    # each row is a node, and then the components that rows of one doc_id are in are joined; keys ascend with doc_id
+    rows = row_keyed(scratch, rows, ordered=True)
+    found = scratch.save(_components(scratch, rows.select(F.col("row_key").alias("doc_id"), "text"), shingle, percent).select(F.col("doc_id").alias("row_key"), "n_shingles", "component_id"), "by-row")
+    found = rows.drop("text").join(found, "row_key").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    first = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("v"), F.max("component_id").alias("u")).filter("u <> v")
+    bonds = found.join(first.select("doc_id", "v"), "doc_id").select(F.col("component_id").alias("u"), "v").filter("u <> v").distinct()
+    whole = connected_components(scratch, scratch.save(bonds, "bonds"), "whole")
+    found = found.join(whole, found["component_id"] == whole["node"], "left").withColumn("component_id", F.coalesce("component", "component_id"))
+    name = rows.select(F.col("row_key").alias("component_id"), F.col("doc_id").alias("least"))
+    out = found.select("doc_id", "n_shingles", "component_id").join(name, "component_id", "left").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _components(scratch: Scratch, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``near_duplicates`` of rows (doc_id, text) whose doc_ids don't repeat."""
     sketch = scratch.save(rows.mapInArrow(_sketch(shingle, percent), "doc_id long, n long, k1 long, k2 long, keys array<long>"), "sketch")
     real = sketch.filter("n > 0 and doc_id is not null")
     nodes = real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
@@ -270,15 +279,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     few = ids.count() <= BROADCAST_ROWS
     texts = rows.withColumnRenamed("doc_id", "node").join(F.broadcast(ids) if few else ids, "node")
     grams = scratch.save(texts.select("node", "text", "n").mapInArrow(_sets(shingle), "node long, n long, grams binary"), "grams")
-    grams = grams.filter(F.octet_length("grams") == 8 * F.col("n"))  # of a doc_id's rows, those of the node's own set
 
     def confirm(edges: DataFrame, name: str) -> DataFrame:
-        a, b = grams.select(F.col("node").alias("u"), F.col("grams").alias("a")), grams.select(F.col("node").alias("v"), F.col("grams").alias("b"))
-        found = edges.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long, linked boolean")
-        return scratch.save(found, name)
+        """The edges (u, v) with ``linked``; a node of many edges has its set copied, so that they meet it in several tasks."""
+        edges, sides = edges.select("u", "v"), {}
+        for end in ("u", "v"):
+            hubs = edges.groupBy(end).agg(F.ceil(F.count("*") / HUB_EDGES).cast("int").alias(f"{end}_cuts")).filter(f"{end}_cuts > 1")
+            sides[end] = (
+                grams.select(F.col("node").alias(end), F.col("grams").alias(f"{end}_set")).join(hubs, end, "left")
+                .withColumn(f"{end}_salt", F.explode(F.sequence(F.lit(0), F.coalesce(f"{end}_cuts", F.lit(1)) - 1))).drop(f"{end}_cuts")
+            )
+            edges = edges.join(hubs, end, "left").withColumn(f"{end}_salt", F.pmod(F.xxhash64("u", "v"), F.coalesce(f"{end}_cuts", F.lit(1))).cast("int")).drop(f"{end}_cuts")
+        found = edges.join(sides["u"], ["u", "u_salt"]).join(sides["v"], ["v", "v_salt"])
+        return scratch.save(found.select("u", "v", "u_set", "v_set").mapInArrow(_confirm(percent), "u long, v long, linked boolean"), name)
 
     def stars(members: DataFrame, turn: int) -> DataFrame:
-        """Edges from each bucket's centre, its smallest node or in later turns one drawn by hash, to its other members.
+        """Edges from each bucket's centre, its smallest node or in a later turn one drawn by hash, to its other members.
 
         Members have a ``part``: buckets of one part give no star, and no edge stays within a part.
         """
@@ -293,79 +309,116 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
         at = lambda side: homes.select(F.col("node").alias(side), F.col("component").alias(f"{side}_home"))
         return pairs.join(at("u"), "u", "left").join(at("v"), "v", "left").filter("coalesce(u_home, u) <> coalesce(v_home, v)").select("u", "v")
 
-    def finish(open_: DataFrame) -> DataFrame:
-        """All links between open nodes of different parts."""
-        sets = scratch.save(grams.join(open_, "node"), "open-sets")
-        counts = np.zeros(SLOTS, np.int64)
-        found = sets.select("grams").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
-        counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-        rare = sets.mapInArrow(_rare_keys(spark.sparkContext.broadcast(counts), percent), "node long, n long, part long, leads long, keys array<long>")
-        rare = rare.select(F.posexplode("keys").alias("pos", "key"), "node", "n", "part", "leads").withColumn("lead", F.col("pos") < F.col("leads")).drop("pos", "leads")
-        rare = scratch.save(rare, "rare")
-        sizes = rare.groupBy("key").agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("lead").alias("led"))
-        sizes = scratch.save(sizes.filter("lo < hi and led").select("key", "size"), "rare-sizes")
-        near = scratch.save(rare.join(sizes, "key"), "rare-shared")
-
-        few = near.filter(F.col("size") <= PAIRED).select("key", "node", "n", "part", "lead")
-        other = few.toDF("key", "node_2", "n_2", "part_2", "lead_2")
-        pairs = few.join(other, "key").filter("node > node_2 and part <> part_2 and (lead or lead_2) and 100 * least(n, n_2) >= %d * greatest(n, n_2)" % percent)
-        links = confirm(scratch.save(pairs.select(F.col("node").alias("u"), F.col("node_2").alias("v")).distinct(), "rare-pairs"), "links-rare").filter("linked").select("u", "v")
-
-        many = near.filter(F.col("size") > PAIRED)
-        if many.isEmpty():
-            return links
-        lead = F.when(F.col("lead"), F.col("n"))
-        of_part = many.groupBy("key", "part").agg(F.count("*").alias("k"), F.sum("n").alias("m"), F.count(lead).alias("lk"), F.coalesce(F.sum(lead), F.lit(0)).alias("lm"))
-        of_key = of_part.groupBy("key").agg(F.max_by(F.struct("part", "k", "m", "lk", "lm"), "k").alias("main"), *[F.sum(c).alias(f"all_{c}") for c in ("k", "m", "lk", "lm")])
-        cut = lambda k, m: F.ceil(F.greatest(F.expr(k) / BLOCK_NODES, F.expr(m) / BLOCK_SHINGLES))
-        of_key = of_key.select(
-            "key", F.col("main.part").alias("main"), cut("all_k", "all_m").alias("every"),
-            cut("all_lk - main.lk", "all_lm - main.lm").alias("a"), cut("all_k - all_lk - main.k + main.lk", "all_m - all_lm - main.m + main.lm").alias("b"), cut("main.lk", "main.lm").alias("main_b"),
-        )
-        many = many.join(of_key, "key").withColumn("salt", F.xxhash64("key", "node", "n"))
-
-        def side(where: str, kind: str, own: str, others: str, left: bool) -> DataFrame:
-            """One side's rows, each in a block of its own side and in every block of the other."""
-            at, all_ = F.pmod("salt", own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1))
-            return many.filter(f"{own} > 0 and {others} > 0").filter(where).select(
-                "key", "node", "n", "part", F.lit(kind).alias("kind"), (at if left else all_).alias("i"), (all_ if left else at).alias("j"), F.lit(left).alias("left")
-            )
+    def in_parts(members: DataFrame, parts: DataFrame) -> DataFrame:
+        return members.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
 
-        # of members outside the main part: those with the key as a lead meet all, the others the main part's leads
-        sides = side("part <> main and lead", "a", "a", "every", True).unionByName(side("true", "a", "every", "a", False))
-        sides = sides.unionByName(side("part <> main and not lead", "b", "b", "main_b", True)).unionByName(side("part = main and lead", "b", "main_b", "b", False))
-        sides = sides.join(sets.select("node", "n", "grams"), ["node", "n"])
-        blocked = sides.groupBy("key", "kind", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
-        return links.unionByName(scratch.save(blocked.distinct(), "links-blocks"))
+    def open_nodes(members: DataFrame) -> DataFrame:
+        """(node, part) of the members that meet another part of like size in one of their buckets."""
+        classed = _length_classes(members, percent)
+        return classed.join(_mixed(classed), ["key", "class"], "left_semi").select("node", "part").distinct()
 
     candidates = scratch.save(stars(buckets.withColumn("part", F.col("node")), 0), "stars")
     best = candidates.groupBy("u").agg(F.max_by("v", F.struct("shared", -F.col("v"))).alias("v"))
     links = confirm(best, "links-best").filter("linked").select("u", "v")
     rest = scratch.save(between(candidates, links.toDF("node", "component")), "rest")
     links = links.unionByName(confirm(rest, "links-rest").filter("linked").select("u", "v"))
-    for turn in range(1, TURNS + 2):
-        parts = connected_components(scratch, links, f"parts-{turn}")
-        inside = buckets.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-        mixed = inside.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-        open_ = scratch.save(inside.join(mixed, "key", "left_semi").select("node", "part").distinct(), f"open-{turn}")
-        if open_.isEmpty():
-            break
-        if turn > TURNS:
-            links = links.unionByName(finish(open_))
+    parts = connected_components(scratch, links, "parts")
+    open_ = scratch.save(open_nodes(in_parts(buckets, parts)), "open")
+    if not open_.isEmpty():
+        fine = grams.join(open_, "node").select("node", "n", "part", "grams").mapInArrow(_fine_keys(1), "node long, n long, part long, keys array<long>")
+        fine = scratch.save(fine.select(F.explode("keys").alias("key"), "node", "n", "part"), "fine")
+        pairs = scratch.save(stars(fine, 1), "pairs")
+        links = links.unionByName(confirm(pairs, "links-fine").filter("linked").select("u", "v"))
+        parts = connected_components(scratch, links, "parts-fine")
+        crowded = fine.groupBy("key").agg(F.count("*").alias("size")).filter("size > 2").select("key")  # of two members, one was the centre
+        left = scratch.save(open_nodes(in_parts(fine.join(crowded, "key", "left_semi").drop("part"), parts)), "left")
+        if not left.isEmpty():
+            links = links.unionByName(_finish(scratch, grams, left, confirm, percent))
             parts = connected_components(scratch, links, "parts-last")
-            break
-        fine = grams.join(open_.select("node"), "node", "left_semi").mapInArrow(_fine_keys(turn), "node long, n long, keys array<long>").join(open_, "node")
-        pairs = scratch.save(stars(fine.select(F.explode("keys").alias("key"), "node", "n", "part"), turn), f"pairs-{turn}")
-        links = links.unionByName(confirm(pairs, f"links-{turn}").filter("linked").select("u", "v"))
 
     member = sketch.join(nodes.select("n", "k1", "k2", "node"), ["n", "k1", "k2"], "left")
     out = member.join(parts, "node", "left")
-    # a doc_id that repeats with other texts belongs to the least component of its rows
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "node", "doc_id")).cast("long")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _families(scratch: Scratch, many: DataFrame) -> DataFrame:
+    """Members of large keys (key, class, node, n, part, lead), dealt so that sets are copied least.
+
+    Members of an edited family share many keys and would be compared under each. Where all nodes that are connected by
+    such keys make fewer copies of sets as one group than their keys do, the family takes the keys' place (class -1, all
+    members lead).
+    """
+    volume = F.sum("n") * F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES))
+    groups = scratch.save(many.groupBy("key", "class").agg(F.min("node").alias("first"), volume.alias("copied")), "large-keys")
+    edges = many.join(groups, ["key", "class"]).select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
+    family = connected_components(scratch, edges, "families").withColumnRenamed("component", "family")
+    members = many.select("node", "n", "part").distinct().join(family, "node")
+    by_key = groups.join(family, groups["first"] == family["node"]).groupBy("family").agg(F.sum("copied").alias("by_key"))
+    whole = scratch.save(members.groupBy("family").agg(volume.alias("copied")).join(by_key, "family").filter("copied <= by_key").select("family"), "whole-families")
+    alone = many.join(family.join(whole, "family", "left_anti").select("node"), "node", "left_semi").select(*many.columns)
+    return alone.unionByName(members.join(whole, "family").select(F.col("family").alias("key"), F.lit(-1).alias("class"), "node", "n", "part", F.lit(True).alias("lead")))
+
+
+def _finish(scratch: Scratch, grams: DataFrame, open_: DataFrame, confirm, percent: int) -> DataFrame:
+    """All links between open nodes (node, part) of different parts, by prefix filter.
+
+    Shingles are ordered by how many open sets hold them; those that one part alone has come first, can't be common, and
+    are only counted. Of two similar sets the first n - ceil(t n) + 1 shingles have one in common, which is a ``lead`` of
+    the smaller one (among its first n - ceil(2 t n / (1 + t)) + 1), as overlap is at least 2t / (1 + t) of its size. Members
+    of a key and a class of set sizes are compared pair by pair if they are up to ``PAIRED``, else in blocks of two
+    sides that count all common shingles at once, by key or by family of keys (``_families``). Only members outside the
+    most frequent part are a left side.
+    """
+    sets = scratch.save(grams.join(open_, "node"), "open-sets")
+    long = sets.select("node", "n", "part", "grams").mapInArrow(_shingle_rows, "node long, n long, part long, key long")
+    common = long.groupBy("key").agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key", "size")
+    own = Window.partitionBy("node")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("size", "key"))
+    first = lambda over, under: F.col("n") - F.ceil(over * F.col("n") / under) + 1
+    rare = long.join(common, "key").withColumn("place", place).filter(F.col("place") <= first(percent, 100))
+    rare = rare.select("key", "node", "n", "part", (F.col("place") <= first(2 * percent, 100 + percent)).alias("lead"))
+    rare = _length_classes(scratch.save(rare, "rare"), percent)
+    near = scratch.save(rare.join(_mixed(rare), ["key", "class"]), "rare-shared")
+
+    few = near.filter(F.col("size") <= PAIRED).drop("size")
+    other = few.select("key", "class", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "part", "lead", "guest")])
+    once = "not (guest and guest_2) and (guest or not guest_2 and node > node_2)"
+    led = "(lead and n <= n_2 or lead_2 and n_2 <= n)"
+    pairs = few.join(other, ["key", "class"]).filter(f"part <> part_2 and {once} and {led} and 100 * least(n, n_2) >= {percent} * greatest(n, n_2)")
+    pairs = scratch.save(pairs.select(F.greatest("node", "node_2").alias("u"), F.least("node", "node_2").alias("v")).distinct(), "rare-pairs")
+    links = confirm(pairs, "links-rare").filter("linked").select("u", "v")
+
+    many = near.filter(F.col("size") > PAIRED).select("key", "class", "node", "n", "part", "lead")
+    if many.isEmpty():
+        return links
+    many = scratch.save(_families(scratch, many), "large")
+    lead = F.when(F.col("lead"), F.col("n"))
+    of_part = many.groupBy("key", "class", "part").agg(F.count("*").alias("k"), F.sum("n").alias("m"), F.count(lead).alias("lk"), F.coalesce(F.sum(lead), F.lit(0)).alias("lm"))
+    of_key = of_part.groupBy("key", "class").agg(F.max_by(F.struct("part", "k", "m", "lk", "lm"), "k").alias("main"), *[F.sum(c).alias(f"all_{c}") for c in ("k", "m", "lk", "lm")])
+    cut = lambda k, m: F.ceil(F.greatest(F.expr(k) / BLOCK_NODES, F.expr(m) / BLOCK_SHINGLES))
+    of_key = of_key.select(
+        "key", "class", F.col("main.part").alias("main"), cut("all_k", "all_m").alias("every"),
+        cut("all_lk - main.lk", "all_lm - main.lm").alias("a"), cut("all_k - all_lk - main.k + main.lk", "all_m - all_lm - main.m + main.lm").alias("b"), cut("main.lk", "main.lm").alias("main_b"),
+    )
+    many = many.join(of_key, ["key", "class"]).withColumn("salt", F.xxhash64("key", "node", "n"))
+
+    def side(where: str, kind: str, own: str, others: str, left: bool) -> DataFrame:
+        """One side's rows, each in a block of its own side and in every block of the other."""
+        at, all_ = F.pmod("salt", own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1))
+        return many.filter(f"{own} > 0 and {others} > 0").filter(where).select(
+            "key", "class", "node", "n", "part", F.lit(kind).alias("kind"), (at if left else all_).alias("i"), (all_ if left else at).alias("j"), F.lit(left).alias("left")
+        )
+
+    # of members outside the main part: those with the key as a lead meet all, the others the main part's leads
+    sides = side("part <> main and lead", "a", "a", "every", True).unionByName(side("true", "a", "every", "a", False))
+    sides = sides.unionByName(side("part <> main and not lead", "b", "b", "main_b", True)).unionByName(side("part = main and lead", "b", "main_b", "b", False))
+    sides = sides.join(sets.select("node", "grams"), "node")
+    blocked = sides.groupBy("key", "class", "kind", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
+    return links.unionByName(scratch.save(blocked.distinct(), "links-blocks"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one of each component left, that with the smallest doc_id.
 
