@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import consensus
-from tracemill.operators import tests as G
+from tracemill.operators import comparison as G
 
 TEXT = (Path(__file__).resolve().parents[1] / "FIXTURES.md").read_text()
 

@@ -15,7 +15,7 @@ def test_questions(spark, tmp_path):
 
 def test_hub_rows(spark):
     rows = [("a", [("A", "one"), ("B", "two")], "B", None, None, None, None, None), ("b", [], None, "C", "w", "x", "y", None), ("c", None, None, None, "w", "x", "y", "z")]
-    got = {r.clinical_vignette: (r.options, r.correct_answer) for r in S.normalise_hub(spark.createDataFrame(rows, S.HUB_SCHEMA)).collect()}
+    got = {r.clinical_vignette: (r.options, r.correct_answer) for r in S.normalise_hub(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], S.HUB_SCHEMA + ", place long"), "place").collect()}
     assert got == {"a": ({"A": "one", "B": "two"}, "B"), "b": ({"A": "w", "B": "x", "C": "y", "D": ""}, "C"), "c": ({"A": "w", "B": "x", "C": "y", "D": "z"}, "A")}
 
 

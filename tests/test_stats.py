@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions.stats import mann_whitney_p, spearman_p
-from tracemill.operators import tests as G
+from tracemill.operators import comparison as G
 from tracemill.operators.ranks import average_ranks, rank_sums, spearman
 
 # Published two-sided p by group sizes and larger U.

@@ -10,15 +10,17 @@ from pyspark.sql.functions import pandas_udf
 
 
 def exact_u_tail(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact probability of a U at least as far from its mean, without ties."""
+    """Two-sided exact probability of a U at least as far from its mean, without ties; 8 bytes for each of n1 * n2 values."""
     counts = np.zeros(n1 * n2 + 1)
     counts[0] = 1.0
-    # Generating function of U: product of (1 - q^(n2 + i)) / (1 - q^i) for i = 1 .. n1.
-    for i in range(1, n1 + 1):
-        for k in range(n1 * n2, n2 + i - 1, -1):
-            counts[k] -= counts[k - n2 - i]
-        for k in range(i, n1 * n2 + 1):
-            counts[k] += counts[k - i]
+    few, many = sorted((n1, n2))
+    # Generating function of U: product of (1 - q^(many + i)) / (1 - q^i) for i = 1 .. few.
+    for i in range(1, few + 1):
+        if many + i < len(counts):
+            counts[many + i :] -= counts[: -(many + i)].copy()
+        whole = np.zeros(-(-len(counts) // i) * i)
+        whole[: len(counts)] = counts
+        counts = whole.reshape(-1, i).cumsum(axis=0).ravel()[: len(counts)]
     high = max(u, n1 * n2 - u)
     return float(min(1.0, 2 * counts[math.ceil(high - 1e-9) :].sum() / counts.sum()))
 

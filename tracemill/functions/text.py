@@ -23,6 +23,14 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"(?U)\S+"))
 
 
+#: Dots of abbreviations with one dot, told by the letters before them.
+_SHORT = "|".join(a[:-1] for a in ABBREVIATIONS if a.count(".") == 1)
+#: White space between sentences: a blank line, or after a stop white space before a capital letter or with a line end.
+_STOP = r"(?<=[.!?\u3002\uff01\uff1f])"
+_BETWEEN = rf"(?U)\s*\n\s*\n\s*|{_STOP}\s+(?=[A-Z\u4e00-\u9fff])|{_STOP}\s*\n\s*"
+_ITEMS = r"(?U)\s*\n\s*(?=\d+[.)]\s|-\s|\*\s|\u2022\s)"
+
+
 def sentences(text: Column, min_words: int = PARAMS.min_words) -> Column:
     """Array of sentences in order, nothing for texts under 10 characters.
 
@@ -30,23 +38,24 @@ def sentences(text: Column, min_words: int = PARAMS.min_words) -> Column:
     Chinese) letter or a line end follows, but not at the full stops of abbreviations and decimals; list items are
     cut out of sentences. Bold and italic marks go. Pieces with fewer than ``min_words`` words are dropped before
     and after list items are cut.
+
+    The text is cut once as a whole: a run of white space is a boundary by itself, whichever paragraph it is in. Rows of
+    sentences should be made with ``posexplode_outer``, as the optimiser copies the expression into a filter for ``posexplode``.
     """
-    t = F.regexp_replace(text, "\r\n", "\n")
+    t = strip(text)
+    long_enough = F.length(t) >= 10
+    t = F.regexp_replace(t, "\r\n", "\n")
     t = F.regexp_replace(t, r"(?d)\*\*(.+?)\*\*", "$1")
     t = F.regexp_replace(t, r"(?d)\*(.+?)\*", "$1")
-
-    def paragraph(p: Column) -> Column:
-        p = strip(p)
-        for short in ABBREVIATIONS:
-            p = F.replace(p, F.lit(short), F.lit(short.replace(".", DOT)))
-        p = F.regexp_replace(p, r"(?U)(\d)\.(?=\d)", f"$1{DOT}")
-        parts = F.split(p, r"(?U)(?<=[.!?\u3002\uff01\uff1f])\s+(?=[A-Z\u4e00-\u9fff])|(?<=[.!?\u3002\uff01\uff1f])\s*\n", -1)
-        return F.transform(parts, lambda s: strip(F.replace(s, F.lit(DOT), F.lit("."))))
-
-    enough = lambda s: word_count(s) >= min_words
-    found = F.filter(F.flatten(F.transform(F.split(t, r"(?U)\n\s*\n", -1), paragraph)), enough)
-    items = F.flatten(F.transform(found, lambda s: F.transform(F.split(s, r"(?U)\n\s*(?=\d+[.)]\s|-\s|\*\s|\u2022\s)", -1), strip)))
-    return F.when(F.length(strip(text)) >= 10, F.filter(items, enough)).otherwise(F.array().cast("array<string>"))
+    t = F.regexp_replace(t, rf"\.(?<=(?:{_SHORT})\.)", DOT)
+    for short in ABBREVIATIONS:
+        if short.count(".") > 1:
+            t = F.replace(t, F.lit(short), F.lit(short.replace(".", DOT)))
+    t = F.regexp_replace(t, r"(?U)\.(?<=\d\.)(?=\d)", DOT)
+    enough = lambda s: s.rlike(rf"(?U)^\s*+(?:\S++\s++){{{min_words - 1}}}\S")
+    found = F.filter(F.transform(F.split(strip(t), _BETWEEN, -1), lambda s: F.replace(s, F.lit(DOT), F.lit("."))), enough)
+    items = F.flatten(F.transform(found, lambda s: F.when(s.contains("\n"), F.filter(F.split(s, _ITEMS, -1), enough)).otherwise(F.array(s))))
+    return F.when(long_enough, items).otherwise(F.array().cast("array<string>"))
 
 
 def marker_count(text: Column, patterns: list[str]) -> Column:
@@ -69,12 +78,11 @@ def density(count: Column, length: Column) -> Column:
 
 def sentence_state(sentence: Column, lexicon: dict[str, list[str]]) -> Column:
     """The state with most patterns that occur; the first of the lexicon on ties, neutral if none does."""
-    scores = {s: sum((sentence.rlike(f"(?iu){p}").cast("int") for p in ps), F.lit(0)) for s, ps in lexicon.items()}
-    best = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
-    out = F.when(F.coalesce(best, F.lit(0)) == 0, NEUTRAL)
-    for state, score in scores.items():
-        out = out.when(score == best, state)
-    return out
+    hits = lambda ps: F.coalesce(sum((sentence.rlike(f"(?iu){p}").cast("int") for p in ps), F.lit(0)), F.lit(0))
+    # One array, so that each pattern is matched once: of equal scores the larger place wins, and neutral stands over all at 0.
+    scored = [F.struct(F.lit(0).alias("score"), F.lit(1).alias("place"), F.lit(NEUTRAL).alias("state"))]
+    scored += [F.struct(hits(ps).alias("score"), F.lit(-i).alias("place"), F.lit(s).alias("state")) for i, (s, ps) in enumerate(lexicon.items())]
+    return F.array_max(F.array(*scored))["state"]
 
 
 def cut_final_answers(text: Column) -> Column:
@@ -96,36 +104,48 @@ def cut_boxed(text: Column, slashes: int = 2) -> Column:
 
 
 def _block_cut(text: str, least: int) -> int:
-    """Where to cut a text that repeats a block three times, or -1. See ``remove_repetitions``."""
-    codes = np.fromiter(map(ord, text), np.uint64, len(text)) + np.uint64(1)
-    base, n = 0x9E3779B97F4A7C15, len(codes)
-    for size in range(200, least - 1, -10):
-        if n < 3 * size:
+    """Where to cut a text that repeats a block three times, or -1. See ``remove_repetitions``.
+
+    A block that occurs three times begins with a block of the least length that does, so one sort of the hashes of
+    these leaves the places where longer ones can start. Hashes of all lengths come from the same prefix sums.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    n = len(codes)
+    if n < 3 * least:
+        return -1
+    up = np.full(n + 1, 0x9E3779B97F4A7C15, np.uint64)
+    up[0] = 1
+    up = np.multiply.accumulate(up)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * up[:n])))
+
+    def repeated(places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, group of equal blocks of each) of the blocks that three places or more begin, by group and place."""
+        hashes = (sums[places + size] - sums[places]) * up[n - places]
+        order = np.argsort(hashes, kind="stable")
+        head = np.flatnonzero(np.concatenate(([True], np.diff(hashes[order]) != 0)))
+        count = np.diff(np.append(head, len(order)))
+        return places[order][np.repeat(count >= 3, count)], np.repeat(np.arange(int((count >= 3).sum())), count[count >= 3])
+
+    starts = np.sort(repeated(np.arange(n - least + 1), least)[0])
+    for size in range(200, least - 1, -10) if len(starts) else ():
+        places, group = repeated(starts[starts <= n - size], size) if (starts <= n - size).any() else (starts[:0], starts[:0])
+        if not len(places):
             continue
-        hashes, width, power = codes, 1, base
-        out, at = np.zeros(n - size + 1, np.uint64), 0
-        rest = size
-        while rest:  # the block's hash from those of power-of-two lengths
-            if rest & 1:
-                out = out * np.uint64(power) + hashes[at : at + n - size + 1]
-                at += width
-            rest >>= 1
-            if rest:
-                hashes = hashes[:-width] * np.uint64(power) + hashes[width:]
-                width, power = 2 * width, power * power % 2**64
-        _, inverse, count = np.unique(out, return_inverse=True, return_counts=True)
-        places = np.flatnonzero(count[inverse] >= 3)
-        for start in places[places < n - 2 * size].tolist():
-            block = text[start : start + size]
-            if text.count(block) >= 3:
-                second = text.find(block, start + size)
-                if second > 0:
-                    return second + size
+        # Of each group the first place, the first one after it without overlap, and so on: three must be of the group.
+        keys = group * (n + 1) + places
+        first = np.flatnonzero(np.concatenate(([True], np.diff(group) != 0)))
+        second = np.minimum(np.searchsorted(keys, keys[first] + size), len(keys) - 1)
+        third = np.minimum(np.searchsorted(keys, keys[second] + size), len(keys) - 1)
+        apart = (group[third] == group[first]) & (places[third] >= places[second] + size) & (group[second] == group[first]) & (places[second] >= places[first] + size)
+        for k in np.flatnonzero(apart)[np.argsort(places[first[apart]])].tolist():
+            a, b, c = (int(places[x[k]]) for x in (first, second, third))
+            if text[a : a + size] == text[b : b + size] == text[c : c + size]:
+                return b + size
     return -1
 
 
 def repetition_cutter(least: int = PARAMS.min_chars):
-    """T1c as a pandas UDF: hashes of all blocks of a length at once, then the strings themselves decide."""
+    """T1c as a pandas UDF: hashes of all blocks of a length at once, confirmed on the strings."""
 
     @pandas_udf("string")
     def cut(texts: pd.Series) -> pd.Series:
@@ -177,7 +197,18 @@ def split_thinking(raw: Column, has_tags: Column) -> Column:
 
 def drop_special_tokens(raw: Column) -> Column:
     """Without chat tokens such as ``<|end|>``; think tags stay."""
-    return strip(F.regexp_replace(raw, r"<\|[^|>]*\|>", ""))
+    return strip(F.regexp_replace(raw, r"<\|[^>]+\|>", ""))
+
+
+def split_by_tags_first(raw: Column, has_tags: Column) -> Column:
+    """The split of outputs of which only the thinking may loop: closed think tags first, then T1 on the thinking alone.
+
+    Where there are no tags, repetitions are removed from the whole before T2 looks for headings.
+    """
+    text = drop_special_tokens(raw)
+    tagged = text.rlike(r"(?s)<think>.*?</think>") & has_tags
+    parts = split_thinking(F.when(tagged, text).otherwise(remove_repetitions(text)), has_tags)
+    return F.struct(remove_repetitions(parts["thinking"]).alias("thinking"), parts["answer"].alias("answer"))
 
 
 def predicted_option(text: Column) -> Column:
@@ -194,6 +225,11 @@ def predicted_option(text: Column) -> Column:
     )
 
 
+def chosen_option(answer: Column, thinking: Column) -> Column:
+    """T4 as graded: from the answer without its repetitions, else from the thinking without its own."""
+    return F.coalesce(predicted_option(remove_repetitions(answer)), predicted_option(remove_repetitions(thinking)))
+
+
 def options_text(options: Column) -> Column:
     """Lines "K) V" in order of the keys."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(options)), lambda e: F.concat(e["key"], F.lit(") "), e["value"])), "\n")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tracemill.jobs import tables as T
 from tracemill.operators import consensus, coupling, curves, states
-from tracemill.operators import tests as G
+from tracemill.operators import comparison as G
+from tracemill.operators.ranks import quantiles, spearman
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -117,10 +118,11 @@ def accumulated_variance(spark, sf_dir):
 def transition_summary(spark, sf_dir):
     """G1."""
     f = features(spark, sf_dir)
+    middle = quantiles(f, ["model_name"], "n_transitions", {"median_transitions": 0.5})
     return rounded(f.groupBy("model_name").agg(
         F.count("*").alias("n_traces"), (100.0 * F.count_if(F.col("n_transitions") > 0) / F.count("*")).alias("pct_with_transitions"), F.avg("n_transitions").alias("mean_transitions"),
-        F.median("n_transitions").alias("median_transitions"), F.avg("trace_length").alias("mean_sentences"), F.avg("mean_sim").alias("mean_similarity"),
-    ))
+        F.avg("trace_length").alias("mean_sentences"), F.avg("mean_sim").alias("mean_similarity"),
+    ).join(middle, "model_name"))
 
 
 COMPARE_SQL = """, ranked AS (
@@ -408,3 +410,99 @@ def best_by_p(spark, sf_dir):
     """Models (of which there are few) by the number of significant features, first on ties."""
     best = feature_tests(spark, sf_dir).groupBy("model_name").agg(F.count_if("significant").alias("n_significant"))
     return rounded(best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_significant"), "model_name"))))
+
+
+VECTOR_FEATURES = [f for f in FEATURES if f != "roughness"] + ["mean_drift_to_final"]
+VKEYS = ["model_name", "embedding_model", "trace_id", "is_correct"]
+VECTOR_SQL = FEATURE_SQL.replace(T.STEPS, T.EMBEDDED) + """, ends AS (SELECT trace_id, embedding_model, max(pos) AS last_pos, arg_max(vec, pos) AS last FROM emb GROUP BY ALL
+), drift AS (
+  SELECT trace_id || '-' || embedding_model AS user_id, avg(list_dot_product(vec, last) / (sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(last, last)) + 1e-9)) AS mean_drift_to_final
+  FROM emb JOIN ends USING (trace_id, embedding_model) WHERE pos < last_pos GROUP BY ALL
+), vfeatures AS (SELECT *, split_part(user_id, '-', 2) AS embedding_model, split_part(user_id, '-', 1)::BIGINT AS trace_id FROM features JOIN drift USING (user_id) WHERE trace_length >= 3)"""
+VLONG_SQL = VECTOR_SQL + ", long AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT model_name || '/' || embedding_model AS model_name, is_correct, '{f}' AS feature, {f}::DOUBLE AS value FROM vfeatures" for f in VECTOR_FEATURES) + ") WHERE value IS NOT NULL AND value <> -1)"
+
+
+def embedded_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.vector_features(T.embedded_steps(spark, sf_dir), VKEYS)
+
+
+@job(VECTOR_SQL + f" SELECT model_name, embedding_model, trace_id, is_correct, n_transitions, trace_length, commitment_point, {', '.join(r(f) for f in VECTOR_FEATURES if f not in ('n_transitions', 'trace_length', 'commitment_point'))} FROM vfeatures")
+def vector_features(spark, sf_dir):
+    """The twelve features of every trace and embedding, from step vectors through curve and drift."""
+    return rounded(embedded_features(spark, sf_dir).select(*VKEYS, *VECTOR_FEATURES))
+
+
+def embedded_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group = ["model_name", "embedding_model"]
+    return G.group_comparison(G.long_features(G.enough_traces(embedded_features(spark, sf_dir), group), group, VECTOR_FEATURES), group)
+
+
+@job(VLONG_SQL + COMPARE_SQL + f" SELECT split_part(model_name, '/', 1) AS model_name, split_part(model_name, '/', 2) AS embedding_model, feature, n_correct, n_incorrect, {', '.join(map(r, ['correct_mean', 'correct_std', 'incorrect_mean', 'incorrect_std', 'cohens_d', 'u', 'ties']))} FROM effect")
+def vector_comparison(spark, sf_dir):
+    """The flagship from vectors to statistics: V2, V3, V5-V12, V16, P4, G2, G4 and the statistic of G3."""
+    return rounded(embedded_comparison(spark, sf_dir))
+
+
+@job()
+def embedding_effects(spark, sf_dir):
+    """Model x embedding x feature with p-values and effect sizes."""
+    return rounded(G.with_p(embedded_comparison(spark, sf_dir)).select("model_name", "embedding_model", "feature", "cohens_d", "p", "significant"))
+
+
+@job()
+def best_embedding(spark, sf_dir):
+    """Model and embedding by number of significant features, first in order on ties."""
+    return rounded(G.effect_by_group(G.with_p(embedded_comparison(spark, sf_dir)), ["model_name", "embedding_model"]))
+
+
+@job(FEATURE_SQL + """ SELECT model_name, n_transitions, count(*) FILTER (is_correct) AS n_correct, count(*) FILTER (NOT is_correct) AS n_incorrect,
+CASE WHEN count(*) < 5 THEN 'too_few_traces' WHEN least(count(*) FILTER (is_correct), count(*) FILTER (NOT is_correct)) < 2 THEN 'insufficient_group_size' END AS warning FROM features GROUP BY ALL""")
+def group_warnings(spark, sf_dir):
+    """Groups too small to be tested, of models and numbers of transitions."""
+    return G.group_sizes(features(spark, sf_dir), ["model_name", "n_transitions"])
+
+
+MODES_SQL = FEATURE_SQL + """, t AS (SELECT model_name, is_correct, normalized_commitment, n_transitions / n_steps AS density FROM features), q AS (SELECT quantile_cont(normalized_commitment, 0.33) AS c0, quantile_cont(normalized_commitment, 0.67) AS c1, quantile_cont(density, 0.33) AS d0, quantile_cont(density, 0.67) AS d1 FROM t),
+modes AS (SELECT t.*, CASE WHEN normalized_commitment <= c0 AND density <= d0 THEN 'early_silent' WHEN normalized_commitment >= c1 AND density >= d1 THEN 'late_noisy' ELSE 'oscillating' END AS mode FROM t, q)"""
+
+
+@job(MODES_SQL + f" SELECT model_name, mode, count(*) AS n, {r('avg(is_correct::INT)', 'accuracy')} FROM modes GROUP BY ALL")
+def failure_mode_domains(spark, sf_dir):
+    """R5 by domain, for which models stand."""
+    return rounded(G.failure_modes(features(spark, sf_dir).withColumn("density", F.col("n_transitions") / F.col("n_steps")), ["model_name"]))
+
+
+@job(MODES_SQL + f""", k AS (SELECT *, is_correct::INT AS y, rank() OVER (PARTITION BY mode ORDER BY density) + (count(*) OVER (PARTITION BY mode, density) - 1) / 2.0 AS rk FROM modes)
+SELECT mode, count(*) AS n, {r('CASE WHEN count(*) >= 3 THEN coalesce(covar_pop(rk, y) / nullif(stddev_pop(rk) * stddev_pop(y), 0), 0.0) ELSE 0.0 END', 'rho')} FROM k GROUP BY mode""")
+def mode_correlation(spark, sf_dir):
+    """Correlation of density with correctness within each failure mode."""
+    modes = G.with_modes(features(spark, sf_dir).withColumn("density", F.col("n_transitions") / F.col("n_steps")))
+    return rounded(spearman(modes.withColumn("y", F.col("is_correct").cast("int")), ["mode"], "density", "y").select("mode", "n", "rho"))
+
+
+@job("""WITH RECURSIVE e AS (SELECT user_id, event_type AS a, lead(event_type) OVER w AS b, abs(value - lead(value) OVER w) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+both_ways AS (SELECT user_id, a, b FROM e WHERE gap < 2 AND a <> b UNION SELECT user_id, b, a FROM e WHERE gap < 2 AND a <> b),
+reach AS (SELECT DISTINCT user_id, event_type AS a, event_type AS b FROM events UNION SELECT r.user_id, r.a, x.b FROM reach r JOIN both_ways x ON x.user_id = r.user_id AND x.a = r.b),
+c AS (SELECT user_id, a AS event_type, min(b) AS cluster FROM reach GROUP BY ALL), n AS (SELECT user_id, cluster, count(*) AS n FROM events JOIN c USING (user_id, event_type) GROUP BY ALL), p AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM n)
+SELECT user_id, round(-sum(p * ln(p)) + 1e-9, 6) + 0.0 AS entropy, count(*) AS n_clusters FROM p GROUP BY user_id""")
+def equivalence_entropy(spark, sf_dir):
+    """R6 from equivalences: event types are answers, alike where one follows the other with nearly its value."""
+    e = T.read(spark, sf_dir, "events")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    pairs = e.select("user_id", F.col("event_type").alias("a"), F.lead("event_type").over(order).alias("b"), F.abs(F.col("value") - F.lead("value").over(order)).alias("gap"))
+    found = consensus.equivalence_clusters(e, pairs.filter("gap < 2"), "user_id", "event_type")
+    entropy = consensus.semantic_entropy(e.select("user_id", "event_type").join(found, ["user_id", "event_type"]), "user_id", "cluster")
+    return rounded(entropy.withColumn("entropy", F.col("entropy") + 1e-9))  # off the sign of zero
+
+
+@job(FEATURE_SQL + """ SELECT model_name, count(*) AS n_traces, round(100.0 * count(*) FILTER (n_transitions > 0) / count(*), 0) AS pct_with_transitions, round(avg(n_transitions), 1) AS mean_transitions, round(avg(mean_sim), 3) AS mean_similarity FROM features GROUP BY model_name""")
+def transition_table(spark, sf_dir):
+    """The first pilot's table as reports round it."""
+    return transition_summary(spark, sf_dir).select("model_name", "n_traces", F.round("pct_with_transitions", 0).alias("pct_with_transitions"), F.round("mean_transitions", 1).alias("mean_transitions"), F.round("mean_similarity", 3).alias("mean_similarity"))
+
+
+@job()
+def feature_table(spark, sf_dir):
+    """The second pilot's table: means, deviations, p and effect as reports round them, without features of too few values."""
+    t = G.with_p(embedded_comparison(spark, sf_dir)).filter("note is null")
+    return t.select("model_name", "embedding_model", "feature", *[F.round(c, 3).alias(c) for c in ("correct_mean", "correct_std", "incorrect_mean", "incorrect_std", "cohens_d")], F.round("p", 4).alias("p"), "significant")

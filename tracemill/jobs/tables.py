@@ -75,4 +75,19 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(trace.alias("trace_id"), (F.col("vec_id") % 20).alias("pos"), F.col("embedding").alias("vec"), "label", (trace % 2 == 0).alias("is_correct"))
 
 
+def embedded_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces of three models under two embedding models: whole vectors and their first half."""
+    forms = F.array(F.struct(F.lit("full").alias("embedding_model"), F.col("vec")), F.struct(F.lit("half").alias("embedding_model"), F.slice("vec", 1, 32).alias("vec")))
+    v = vectors(spark, sf_dir).withColumn("form", F.explode(forms))
+    return v.select(F.concat(F.lit("m"), F.col("trace_id") % 3).alias("model_name"), "form.embedding_model", "trace_id", "is_correct", "pos", "form.vec")
+
+
 VECTORS = "vectors AS (SELECT vec_id // 20 AS trace_id, vec_id % 20 AS pos, embedding::DOUBLE[] AS vec, label, (vec_id // 20) % 2 = 0 AS is_correct FROM embeddings)"
+
+#: The same steps' curves, with a trace's and an embedding's name as one key.
+EMBEDDED = VECTORS + """, emb AS (
+  SELECT trace_id, pos, is_correct, 'full' AS embedding_model, vec FROM vectors UNION ALL SELECT trace_id, pos, is_correct, 'half', vec[1:32] FROM vectors
+), pairs AS (SELECT *, lead(vec) OVER (PARTITION BY trace_id, embedding_model ORDER BY pos) AS nxt FROM emb
+), steps AS (
+  SELECT 'm' || (trace_id % 3) AS model_name, trace_id || '-' || embedding_model AS user_id, is_correct, pos,
+         list_dot_product(vec, nxt) / (sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(nxt, nxt))) AS sim FROM pairs WHERE nxt IS NOT NULL)"""

@@ -9,10 +9,10 @@ from tracemill.config import ABBREVIATIONS, COMMON_MARKERS, COMMON_STATES, PARAM
 from tracemill.functions import text as X
 from tracemill.jobs import tables as T
 from tracemill.jobs.analysis import feature_tests, r, rounded, transition_summary
-from tracemill.operators import consensus, markers, sampling
-from tracemill.operators import tests as G
+from tracemill.operators import consensus, coupling, curves, markers, sampling
+from tracemill.operators import comparison as G
 from tracemill.session import ship_package
-from tracemill.sources.traces import merged, unseen
+from tracemill.sources.traces import graded, merged, unseen
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,26 +66,77 @@ def n_of(words: list[str], of: str = "w") -> str:
 
 def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.traces(spark, sf_dir).select("doc_id", X.sentences(F.col("thinking_text")).alias("s"))
-    return t.select("doc_id", F.posexplode("s").alias("pos", "sentence"))
+    return t.select("doc_id", F.posexplode_outer("s").alias("pos", "sentence")).filter("sentence is not null")  # see X.sentences
 
 
 @job("WITH " + SENTENCES + " SELECT doc_id, count(*) AS n_sentences, sum(words)::BIGINT AS n_words, max(length(sentence)) AS longest, md5(string_agg(md5(sentence), '' ORDER BY pos)) AS digest FROM sentences GROUP BY doc_id")
 def sentences(spark, sf_dir):
     """T6 on all texts; a digest of the sentences stands for them."""
-    t = T.traces(spark, sf_dir).select("doc_id", X.sentences(F.col("thinking_text")).alias("s")).filter(F.size("s") > 0)
+    # One row per text, through a generator, so that the filter below can't take a copy of the split.
+    t = T.traces(spark, sf_dir).select("doc_id", F.explode_outer(F.array(X.sentences(F.col("thinking_text")))).alias("s"))
     return t.select(
         "doc_id", F.size("s").cast("long").alias("n_sentences"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + X.word_count(x)).alias("n_words"),
         F.array_max(F.transform("s", F.length)).cast("long").alias("longest"), F.md5(F.array_join(F.transform("s", lambda x: F.md5(x.cast("binary"))), "").cast("binary")).alias("digest"),
-    )
+    ).filter("n_sentences > 0")
 
 
 @job("WITH " + SENTENCES + f""", c AS (SELECT doc_id, pos, words, {WORD_LIST.format('sentence')} AS w FROM sentences)
 SELECT doc_id, pos, {' + '.join(n_of(w) for w in COMMON_MARKERS.values())} AS markers, words, round(({' + '.join(n_of(w) for w in COMMON_MARKERS.values())}) / words, 6) + 0.0 AS density FROM c""")
 def step_density(spark, sf_dir):
-    """R3, T11."""
+    """Density of all categories together."""
     return rounded(markers.step_density(sentence_rows(spark, sf_dir), ["doc_id"], LEXICON))
 
 
+_HITS = " UNION ALL ".join(f"SELECT doc_id, pos, '{c}' AS category FROM w WHERE {n_of(ws)} > 0" for c, ws in COMMON_MARKERS.items())
+POSITION_SQL = "WITH " + SENTENCES + f", w AS (SELECT doc_id, pos, {WORD_LIST.format('sentence')} AS w FROM sentences WHERE doc_id IN (SELECT doc_id FROM traces WHERE length(thinking_text) >= 50)), hits AS ({_HITS})"
+
+
+def text_traces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(sentences, markers by sentence) of texts of at least 50 characters."""
+    t = T.traces(spark, sf_dir).filter(F.length("thinking_text") >= PARAMS.min_chars)
+    t = t.select("model_name", "doc_id", F.posexplode_outer(X.sentences(F.col("thinking_text"))).alias("pos", "sentence")).filter("sentence is not null")
+    return t, markers.marker_positions(t, ["model_name", "doc_id"], LEXICON)
+
+
+@job(POSITION_SQL + " SELECT doc_id, category, count(*) AS n_sentences, min(pos) AS first, max(pos) AS last FROM hits GROUP BY ALL")
+def marker_positions(spark, sf_dir):
+    """Sentences of each text that hold a category."""
+    found = text_traces(spark, sf_dir)[1]
+    return rounded(found.groupBy("doc_id", "category").agg(F.count("*").alias("n_sentences"), F.min("pos").alias("first"), F.max("pos").alias("last")))
+
+
+TEXT_COUPLING_SQL = POSITION_SQL + """, size AS (SELECT doc_id, count(*) AS n_sentences FROM w GROUP BY doc_id),
+sv AS (SELECT s.doc_id, s.pos, e.embedding::DOUBLE[] AS vec, lead(e.embedding::DOUBLE[]) OVER (PARTITION BY s.doc_id ORDER BY s.pos) AS nxt FROM w s JOIN embeddings e ON e.vec_id = (s.doc_id * 7 + s.pos) % 500),
+steps AS (SELECT doc_id AS user_id, pos, list_dot_product(vec, nxt) / (sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(nxt, nxt))) AS sim FROM sv WHERE nxt IS NOT NULL)""" + T.TRANSITIONS[len(T.STEPS):] + """,
+coupled AS (SELECT *, nxt - pos AS distance FROM (SELECT 'm' || (h.doc_id % 3) AS model_name, h.doc_id, h.category, h.pos, min(t.idx) AS nxt FROM hits h JOIN size s ON s.doc_id = h.doc_id AND n_sentences >= 5 JOIN curve t ON t.user_id = h.doc_id AND t.is_transition AND t.idx > h.pos GROUP BY ALL)),
+summary AS (SELECT model_name, category, count(*) AS n_events, avg(distance) AS mean_distance, count(*) FILTER (distance <= 3) AS within_near, 100.0 * count(*) FILTER (distance <= 3) / count(*) AS pct_within_near FROM coupled GROUP BY ALL)"""
+
+
+def text_coupled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Markers of texts with the next transition of their sentences' vectors, and the number of sentences."""
+    keys = ["model_name", "doc_id"]
+    sentences_, found = text_traces(spark, sf_dir)
+    vectors = T.read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    steps = sentences_.select(*keys, "pos", ((F.col("doc_id") * 7 + F.col("pos")) % 500).alias("vec_id")).join(vectors, "vec_id")
+    turns = curves.with_transitions(curves.similarity_curve(steps, keys), keys).filter("is_transition").select(*keys, F.col("idx").alias("pos"))
+    sizes = sentences_.groupBy(*keys).agg(F.count("*").alias("n_sentences"))
+    return coupling.coupling_events(found, turns, sizes, keys), sizes
+
+
+@job(TEXT_COUPLING_SQL + f" SELECT model_name, category, n_events, {r('mean_distance')}, within_near, {r('pct_within_near')} FROM summary")
+def text_coupling(spark, sf_dir):
+    """From texts and sentence vectors to the coupling of markers with transitions."""
+    return rounded(coupling.coupling_summary(text_coupled(spark, sf_dir)[0], ["model_name"]))
+
+
+@job(TEXT_COUPLING_SQL + f""", chance AS (SELECT 'm' || (doc_id % 3) AS model_name, 300.0 / avg(n_sentences) AS chance_pct FROM size GROUP BY 1)
+SELECT model_name, {r('pct_within_near')}, {r('chance_pct')}, {r('pct_within_near / greatest(chance_pct, 0.1)', 'lift')}, pct_within_near > 2 * chance_pct AS strong FROM summary JOIN chance USING (model_name) WHERE category = 'revise'""")
+def text_coupling_lift(spark, sf_dir):
+    """G13 on texts."""
+    events, sizes = text_coupled(spark, sf_dir)
+    return rounded(coupling.lift_over_chance(coupling.coupling_summary(events, ["model_name"]), sizes, ["model_name"]))
+
+
 _SCORE = {s: " + ".join(f"(list_contains(w, '{x}'))::INT" for x in ws) for s, ws in COMMON_STATES.items()}
 
 
@@ -192,6 +243,16 @@ def predicted_options(spark, sf_dir):
     return T.traces(spark, sf_dir).select("doc_id", X.predicted_option(F.col("thinking_text")).alias("predicted_option"))
 
 
+@job()
+def graded_traces(spark, sf_dir):
+    """Outputs cleaned and split, options read from the answer and else from the thinking, and graded."""
+    ship_package(spark)
+    t = T.traces(spark, sf_dir).select("doc_id", "question_id", "model_name", X.remove_repetitions(X.drop_special_tokens(F.col("thinking_text"))).alias("raw"))
+    t = t.select("doc_id", "question_id", "model_name", X.split_thinking(F.col("raw"), F.lit(True)).alias("s"))
+    t = t.select("doc_id", "question_id", "model_name", X.chosen_option(F.col("s.answer"), F.col("s.thinking")).alias("predicted_option"))
+    return graded(t, trace_prompts(spark, sf_dir).select("question_id", "correct_answer")).select("doc_id", "model_name", "predicted_option", "correct_option", "is_correct")
+
+
 @job("WITH " + T.TRACES + r""", x AS (SELECT doc_id, thinking_text AS t, length(thinking_text) - length(string_split(thinking_text, chr(10) || chr(10))[-1]) - 2 AS b, instr(thinking_text, chr(10)) AS first_line FROM traces)
 SELECT doc_id, length(CASE WHEN b >= 0 THEN """ + STRIP.format("left(t, b)") + " ELSE t END) AS thinking_chars, length(" + STRIP.format("string_split(t, chr(10) || chr(10))[-1]") + ") AS answer_chars FROM x")
 def split_traces(spark, sf_dir):

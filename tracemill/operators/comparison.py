@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.config import PARAMS
 from tracemill.functions.stats import mann_whitney_p_udf, spearman_p_udf
-from tracemill.operators.ranks import rank_sums, spearman
+from tracemill.operators.ranks import average_ranks, quantiles, rank_sums, spearman, ties, u_statistic
 from tracemill.session import ship_package
 
 
@@ -28,16 +28,44 @@ def cohens_d(n1: Column, m1: Column, v1: Column, n0: Column, m0: Column, v0: Col
 
 
 def group_comparison(long: DataFrame, group: list[str], floor: float | None = None) -> DataFrame:
-    """G2-G4 but p: per group and feature the means, population deviations, d and the U statistic of right traces."""
-    keys, right = [*group, "feature"], F.col("is_correct")
-    one, zero = F.when(right, F.col("value")), F.when(~right, F.col("value"))
-    stats = long.groupBy(*keys).agg(
-        F.count(one).alias("n_correct"), F.count(zero).alias("n_incorrect"), F.avg(one).alias("correct_mean"), F.stddev_pop(one).alias("correct_std"),
-        F.avg(zero).alias("incorrect_mean"), F.stddev_pop(zero).alias("incorrect_std"), F.var_samp(one).alias("v1"), F.var_samp(zero).alias("v0"),
-    )
-    d = cohens_d(F.col("n_correct"), F.col("correct_mean"), F.col("v1"), F.col("n_incorrect"), F.col("incorrect_mean"), F.col("v0"), floor)
-    ranks = rank_sums(long, keys, "value", "is_correct").select(*keys, "u", "ties")
-    return stats.withColumn("cohens_d", d).drop("v1", "v0").join(ranks, keys)
+    """G2-G4 but p: per group and feature the means, population deviations, d and the U statistic of right traces.
+
+    All of it comes from the rows of ``average_ranks`` (one per distinct value), so features are computed once. Moments are
+    taken around a value in the middle of the group; a side whose values are all equal has deviation 0.
+    """
+    keys = [*group, "feature"]
+    v = F.col("value") - F.col("mid")
+    side = {"correct": F.col("ones"), "incorrect": F.col("n") - F.col("ones")}
+    sums = {}
+    for name, w in side.items():
+        mine = F.when(w > 0, F.col("value"))
+        sums |= {f"n_{name}": F.sum(w), f"s_{name}": F.sum(v * w), f"q_{name}": F.sum(v * v * w), f"same_{name}": F.min(mine) == F.max(mine)}
+    ranks = average_ranks(long, keys, "value", {"ones": F.col("is_correct").cast("int")})
+    out = ranks.groupBy(*keys).agg(*[c.alias(k) for k, c in sums.items()], F.max("mid").alias("mid"), u_statistic().alias("u"), ties(F.col("n")).alias("ties"))
+    for name in side:
+        n, s, q = F.col(f"n_{name}"), F.col(f"s_{name}"), F.col(f"q_{name}")
+        spread = F.when(F.col(f"same_{name}"), 0.0).otherwise(F.greatest(q - F.try_divide(s * s, n), F.lit(0.0)))
+        out = out.withColumns({
+            f"{name}_mean": F.col("mid") + F.try_divide(s, n), f"{name}_std": F.sqrt(F.try_divide(spread, n)), f"v_{name}": F.try_divide(spread, n - 1),
+        })
+    d = cohens_d(F.col("n_correct"), F.col("correct_mean"), F.col("v_correct"), F.col("n_incorrect"), F.col("incorrect_mean"), F.col("v_incorrect"), floor)
+    return out.withColumn("cohens_d", d).select(*keys, "n_correct", "n_incorrect", "correct_mean", "correct_std", "incorrect_mean", "incorrect_std", "cohens_d", "u", "ties")
+
+
+def group_sizes(features: DataFrame, group: list[str]) -> DataFrame:
+    """Traces per group and side, with the warning that keeps a group out of the tests.
+
+    A group with fewer than ``min_traces`` traces is ``too_few_traces``, one with fewer than two on a side
+    ``insufficient_group_size``.
+    """
+    n = features.groupBy(*group).agg(F.count_if("is_correct").alias("n_correct"), F.count_if(~F.col("is_correct")).alias("n_incorrect"))
+    warning = F.when(F.col("n_correct") + F.col("n_incorrect") < PARAMS.min_traces, "too_few_traces").when(F.least("n_correct", "n_incorrect") < 2, "insufficient_group_size")
+    return n.withColumn("warning", warning)
+
+
+def enough_traces(features: DataFrame, group: list[str]) -> DataFrame:
+    """The rows of groups without a warning."""
+    return features.join(group_sizes(features, group).filter("warning is null").select(*group), group, "left_semi")
 
 
 def with_p(comparison: DataFrame) -> DataFrame:
@@ -63,7 +91,7 @@ def with_rho_p(correlations: DataFrame) -> DataFrame:
 
 def box_stats(long: DataFrame, group: list[str]) -> DataFrame:
     """Quartiles, and the last values within 1.5 interquartile ranges of them."""
-    q = long.groupBy(*group).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(*group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
+    q = quantiles(long, group, "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     rows = long.join(q, group)
     return rows.groupBy(*group, "q1", "q2", "q3").agg(
@@ -103,15 +131,27 @@ def kappa(pairs: DataFrame, a: str, b: str, group: list[str]) -> DataFrame:
     return agree.join(chance, group, "left").select(*group, po.alias("observed"), pe.alias("expected"), F.coalesce(F.try_divide(po - pe, 1 - pe), F.lit(1.0)).alias("kappa"))
 
 
-def failure_modes(traces: DataFrame, early: float = 0.33, quiet: float = 0.33) -> DataFrame:
-    """Wrong traces by how they fail: early and silent, late and noisy, or oscillating; accuracy per mode.
+def with_modes(traces: DataFrame, early: float = 0.33, quiet: float = 0.33) -> DataFrame:
+    """Adds ``mode``, how a trace goes: early and silent, late and noisy, or oscillating.
 
     Early and silent: commits in the first third of places and has a density in the lower third of all; late and noisy:
-    the last and the upper third; the others oscillate.
+    the last and the upper third; the others oscillate. Right and wrong traces alike have a mode.
     """
-    cuts = traces.agg(F.percentile("normalized_commitment", F.array(F.lit(early), F.lit(1 - early))).alias("c"), F.percentile("density", F.array(F.lit(quiet), F.lit(1 - quiet))).alias("d"))
-    rows = traces.crossJoin(F.broadcast(cuts))  # one row
-    mode = F.when((F.col("normalized_commitment") <= F.col("c")[0]) & (F.col("density") <= F.col("d")[0]), "early_silent").when((F.col("normalized_commitment") >= F.col("c")[1]) & (F.col("density") >= F.col("d")[1]), "late_noisy").otherwise("oscillating")
-    return rows.withColumn("mode", mode).groupBy("mode").agg(F.count("*").alias("n"), F.avg(F.col("is_correct").cast("double")).alias("accuracy"))
+    rows = traces.withColumn("_all", F.lit(0))
+    shares = {"normalized_commitment": {"c0": early, "c1": 1 - early}, "density": {"d0": quiet, "d1": 1 - quiet}}
+    cuts = [quantiles(rows, ["_all"], c, q).drop("_all") for c, q in shares.items()]
+    rows = rows.crossJoin(F.broadcast(cuts[0])).crossJoin(F.broadcast(cuts[1]))  # one row each
+    c, d = F.col("normalized_commitment"), F.col("density")
+    mode = F.when((c <= F.col("c0")) & (d <= F.col("d0")), "early_silent").when((c >= F.col("c1")) & (d >= F.col("d1")), "late_noisy").otherwise("oscillating")
+    return rows.withColumn("mode", mode).drop("_all", "c0", "c1", "d0", "d1")
+
+
+def failure_modes(traces: DataFrame, group: list[str] = (), early: float = 0.33, quiet: float = 0.33) -> DataFrame:
+    """Traces and accuracy per mode, and per domain if ``group`` names it."""
+    return with_modes(traces, early, quiet).groupBy(*group, "mode").agg(F.count("*").alias("n"), F.avg(F.col("is_correct").cast("double")).alias("accuracy"))
 
 
+def effect_by_group(comparison: DataFrame, group: list[str]) -> DataFrame:
+    """Groups (model x embedding) by their number of significant features, the first in order on ties, from ``with_p``."""
+    best = comparison.groupBy(*group).agg(F.count_if("significant").alias("n_significant"), F.min("p").alias("least_p"), F.max(F.abs("cohens_d")).alias("largest_d"))
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_significant"), *group)))  # few groups

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,6 +58,25 @@ def semantic_entropy(answers: DataFrame, key: str, cluster: str) -> DataFrame:
     return n.withColumn("h", -p * F.ln(p)).groupBy(key).agg(F.sum("h").alias("entropy"), F.count("*").alias("n_clusters"))
 
 
+def equivalence_clusters(answers: DataFrame, edges: DataFrame, key: str, answer: str, most: int = 10) -> DataFrame:
+    """(key, answer, cluster), the smallest answer that each reaches over equivalences (key, a, b) within its key.
+
+    A key has at most ``most`` answers (the samples of one question), so a path has at most that many less one steps; each
+    step passes labels on to the neighbours, and twice the labels' own labels, so steps double.
+    """
+    both = edges.select(key, F.col("a"), F.col("b")).unionByName(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    near = answers.select(key, F.col(answer).alias("a")).distinct().join(both, [key, "a"], "left").groupBy(key, "a").agg(F.collect_set("b").alias("near"))
+    rows = near.groupBy(key).agg(F.collect_list(F.struct("a", F.array_min(F.array_append("near", F.col("a"))).alias("label"), "near")).alias("nodes"))
+
+    def step(nodes: Column, _: Column) -> Column:
+        label = lambda x: F.get(F.transform(F.filter(nodes, lambda m: m["a"] == x), lambda m: m["label"]), F.lit(0))
+        passed = F.transform(nodes, lambda n: F.struct(n["a"], F.array_min(F.transform(F.array_append(n["near"], n["label"]), label)).alias("m"), n["label"].alias("old"), n["near"]))
+        return F.transform(passed, lambda n: F.struct(n["a"].alias("a"), F.least(n["m"], n["old"]).alias("label"), n["near"].alias("near")))
+
+    done = rows.withColumn("nodes", F.aggregate(F.sequence(F.lit(1), F.lit(most - 1)), F.col("nodes"), step))
+    return done.select(key, F.explode("nodes").alias("n")).select(key, F.col("n.a").alias(answer), F.col("n.label").alias("cluster"))
+
+
 def run_summary(traces: DataFrame) -> DataFrame:
     """Per model the traces, right, parsed and failed ones and the mean characters of thinking."""
     return traces.groupBy("model_name").agg(

@@ -63,23 +63,28 @@ def transition_contexts(curve: DataFrame, steps: DataFrame, keys: list[str], pos
     return curve.filter("is_transition").select(*keys, "idx", "sim").join(pairs, [*keys, "idx"])
 
 
+def _held(keys: list[str], sustain: int | None) -> Column:
+    """Least of the ``sustain`` values from here on (cut off at the end), or of all of them: a running minimum from the end."""
+    if sustain is None:
+        return F.min("sim").over(Window.partitionBy(*keys).orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.min("sim").over(Window.partitionBy(*keys).orderBy("idx").rowsBetween(0, sustain - 1))
+
+
 def commitment(curve: DataFrame, keys: list[str], tau: float = PARAMS.tau, sustain: int | None = PARAMS.sustain) -> DataFrame:
     """First place from which ``sustain`` values (cut off at the end) are at least ``tau``; -1 and 1.0 for never.
 
     ``sustain=None`` is the strict form (R4): to the end of the curve.
     """
-    frame = Window.partitionBy(*keys).orderBy("idx").rowsBetween(0, Window.unboundedFollowing if sustain is None else sustain - 1)
-    held = curve.withColumn("low", F.min("sim").over(frame))
+    held = curve.withColumn("low", _held(keys, sustain))
     out = held.groupBy(*keys).agg(F.min(F.when(F.col("low") >= tau, F.col("idx"))).alias("c"), F.count("*").alias("n"))
     return out.select(*keys, F.coalesce("c", F.lit(-1)).cast("long").alias("commitment_point"), F.coalesce(F.col("c") / F.col("n"), F.lit(1.0)).alias("normalized_commitment"))
 
 
 def commitment_sweep(curve: DataFrame, keys: list[str], taus: list[float]) -> DataFrame:
-    """Strict commitment at several thresholds: the curve once per threshold, one window pass."""
-    grid = curve.withColumn("tau", F.explode(F.array(*[F.lit(t) for t in taus])))
-    frame = Window.partitionBy(*keys, "tau").orderBy("idx").rowsBetween(0, Window.unboundedFollowing)
-    held = grid.withColumn("low", F.min("sim").over(frame))
-    out = held.groupBy(*keys, "tau").agg(F.min(F.when(F.col("low") >= F.col("tau"), F.col("idx"))).alias("c"), F.count("*").alias("n"))
+    """Strict commitment at several thresholds, all read off one running minimum."""
+    held = curve.withColumn("low", _held(keys, None))
+    first = F.array(*[F.struct(F.lit(t).alias("tau"), F.min(F.when(F.col("low") >= t, F.col("idx"))).alias("c")) for t in taus])
+    out = held.groupBy(*keys).agg(first.alias("found"), F.count("*").alias("n")).select(*keys, "n", F.explode("found").alias("f")).select(*keys, "n", "f.*")
     return out.select(*keys, "tau", F.coalesce("c", F.lit(-1)).cast("long").alias("commitment_point"), F.coalesce(F.col("c") / F.col("n"), F.lit(1.0)).alias("normalized_commitment"))
 
 
@@ -93,7 +98,7 @@ def trace_features(curve: DataFrame, keys: list[str], drop: float = PARAMS.drop,
     rows = with_transitions(curve, keys, drop)
     rows = rows.withColumns({
         "n": F.count("*").over(whole), "next": F.lead("sim").over(order), "next2": F.lead("sim", 2).over(order),
-        "held": F.min("sim").over(order.rowsBetween(0, sustain - 1)),
+        "held": _held(keys, sustain),
     })
     i, n, sim = F.col("idx"), F.col("n"), F.col("sim")
     half = F.floor(n / 2)
@@ -117,6 +122,21 @@ def trace_features(curve: DataFrame, keys: list[str], drop: float = PARAMS.drop,
     }).drop("c")
 
 
+def mean_drift(drift: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean drift of a trace to its last step."""
+    return drift.groupBy(*keys).agg(F.avg("drift").alias("mean_drift_to_final"))
+
+
+def vector_features(steps: DataFrame, keys: list[str], pos: str = "pos", vec: str = "vec", min_steps: int = PARAMS.min_sentences) -> DataFrame:
+    """The whole feature row of a trace from its step vectors; traces of fewer than ``min_steps`` steps give none.
+
+    Curve, drift and features are keyed by trace, so one shuffle of the vectors serves all three.
+    """
+    features = trace_features(similarity_curve(steps, keys, pos, vec), keys).filter(F.col("trace_length") >= min_steps)
+    drift = mean_drift(drift_curve(steps, keys, pos, vec), keys)
+    return features.join(drift, keys, "left").withColumn("mean_drift_to_final", F.coalesce("mean_drift_to_final", F.lit(0.0)))
+
+
 def accumulated_variance(steps: DataFrame, keys: list[str], pos: str = "pos", vec: str = "vec") -> DataFrame:
     """R2: variance of the first d step vectors around their mean, for each d: mean square norm minus squared norm of the mean."""
     run = Window.partitionBy(*keys, "dim").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -1,7 +1,10 @@
-"""Marker densities of traces, whole and by halves."""
+"""Marker densities of traces, whole and by halves, and places of markers."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +48,10 @@ def step_density(sentences: DataFrame, keys: list[str], lexicon: dict[str, list[
     """Markers per word of each sentence."""
     total = sum((X.marker_count(F.col("sentence"), p) for p in lexicon.values()), F.lit(0).cast("long"))
     return sentences.select(*keys, "pos", total.alias("markers"), X.word_count(F.col("sentence")).cast("long").alias("words")).withColumn("density", F.try_divide("markers", "words"))
+
+
+def marker_positions(sentences: DataFrame, keys: list[str], lexicon: dict[str, list[str]] = MARKERS) -> DataFrame:
+    """(keys, pos, category) of every category that occurs in a sentence, however often."""
+    hit = lambda ps: reduce(or_, [F.coalesce(F.col("sentence").rlike(f"(?iu){p}"), F.lit(False)) for p in ps])
+    found = F.array_compact(F.array(*[F.when(hit(ps), F.lit(c)) for c, ps in lexicon.items()]))
+    return sentences.select(*keys, "pos", F.explode_outer(found).alias("category")).filter("category is not null")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUESTION_SCHEMA = "question_id string, question string, options map<string,string>, answer_idx string"
@@ -16,33 +19,42 @@ TRACE_SCHEMA = (
 )
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Rows numbered in file order: by file name and, within a file, by its line order in one split.
+def _numbered(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines with ``_idx``, their number by file name, place of the split in the file, and line.
 
-    Questions sets are small files; a running number needs an order that the files themselves give.
+    Spark packs splits into partitions by size, but reads each in one go: the rows of a split are numbered by their running
+    ids, and splits (one row each) get offsets from the counts of those before.
     """
-    part = F.spark_partition_id()
-    rows = df.withColumn("_part", part).withColumn("_row", F.monotonically_increasing_id())
-    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per file split
-    before = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(before), "_part").withColumn("_idx", F.col("_before") + F.col("_row") - F.col("_first")).drop("_part", "_row", "_first", "_before")
+    split = ["_file", "_begin"]
+    rows = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_begin"), F.monotonically_increasing_id().alias("_row"))
+    counts = rows.groupBy(*split).agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    ahead = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)  # over one row per split
+    before = counts.select(*split, "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    return rows.join(before, split).withColumn("_idx", F.col("_before") + F.col("_row") - F.col("_first")).drop(*split, "_row", "_first", "_before")
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Questions from JSON lines; a missing id becomes ``medqa_`` and the row's number in four digits."""
-    rows = _numbered(spark.read.schema(QUESTION_SCHEMA).json(path))
+    rows = _numbered(spark, path, QUESTION_SCHEMA)
     return rows.select(
         F.coalesce("question_id", F.format_string("medqa_%04d", "_idx")).alias("question_id"), F.col("question").alias("clinical_vignette"), "options", F.col("answer_idx").alias("correct_answer")
     )
 
 
-def normalise_hub(rows: DataFrame) -> DataFrame:
-    """Options to a map, from the list or else from the flat columns; answer ``answer_idx``, else ``answer``, else A."""
+def read_hub(spark: SparkSession, path: str) -> DataFrame:
+    """Questions as the hub has them, in JSON lines; ids are row numbers."""
+    return normalise_hub(_numbered(spark, path, HUB_SCHEMA), "_idx")
+
+
+def normalise_hub(rows: DataFrame, number: str) -> DataFrame:
+    """Options to a map, from the list or else from the flat columns; answer ``answer_idx``, else ``answer``, else A.
+
+    ``number`` names the column that has each row's place.
+    """
     listed = F.map_from_entries(F.transform("options", lambda o: F.struct(o["key"], o["value"])))
     flat = F.map_from_arrays(F.array(*[F.lit(k) for k in "ABCD"]), F.array(*[F.coalesce(f"option_{k}", F.lit("")) for k in "abcd"]))
-    return _numbered(rows).select(
-        F.format_string("medqa_%04d", "_idx").alias("question_id"), F.col("question").alias("clinical_vignette"),
+    return rows.select(
+        F.format_string("medqa_%04d", number).alias("question_id"), F.col("question").alias("clinical_vignette"),
         F.when(F.coalesce(F.size("options"), F.lit(0)) > 0, listed).otherwise(flat).alias("options"), F.coalesce("answer_idx", "answer", F.lit("A")).alias("correct_answer"),
     )
 
@@ -60,30 +72,45 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
     })
 
 
+def _same(names: list[str]) -> Column:
+    """Equal keys of two sides, null equal to null."""
+    return reduce(and_, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in names])
+
+
 def unseen(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows whose key isn't there yet; failed rows count as there."""
-    return new.join(existing.select(*keys).distinct(), keys, "left_anti")
+    """New rows whose key isn't there yet; failed rows count as there, and a null in a key equals a null."""
+    return new.alias("a").join(existing.select(*keys).distinct().alias("b"), _same(keys), "left_anti")
 
 
 def append_traces(new: DataFrame, path: str) -> int:
-    """Append what is new, a directory per model; returns how many rows."""
+    """Append what is new, a directory per model; returns how many rows.
+
+    Of new rows with one key, the one whose other columns are largest in order is taken, so that reruns agree.
+    """
     spark = new.sparkSession
     keys = ["model_name", "question_id"]
+    rest = [c for c in new.columns if c not in keys]
     try:
         new = unseen(new, spark.read.parquet(path), keys)
     except Exception as e:  # nothing written yet
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-    new = new.dropDuplicates(keys)
+    new = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("row")).select(*keys, "row.*")
     n = new.count()
     if n:
         new.write.mode("append").partitionBy("model_name").parquet(path)
     return n
 
 
+def write_tables(tables: dict[str, DataFrame], path: str, form: str = "parquet") -> None:
+    """Analysis tables, each below its name; ``form`` is any of Spark's writers (``json`` for exchange)."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").format(form).save(f"{path}/{name}")
+
+
 def merged(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New results replace old ones of the same key, other keys stay."""
-    return existing.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+    return unseen(existing, new, keys).unionByName(new)
 
 
 def graded(traces: DataFrame, questions: DataFrame, predicted: str = "predicted_option") -> DataFrame:
