@@ -12,8 +12,9 @@ from tracemill.session import ship_package
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: Session settings of these operators: Arrow batches are bounded by bytes, as texts may be long, and an action's shuffle files go
-#: when it ends, as all that is read again has been written to the shared folder.
+#: Session settings of these operators, which stay set, as results are computed after the operator has returned: Arrow batches
+#: are bounded by bytes, as texts may be long, and an action's shuffle files go when it ends, as all that is read again has been
+#: written to the shared folder.
 SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
@@ -21,9 +22,11 @@ SETTINGS = {
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset a local one, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -62,17 +65,27 @@ class Scratch:
 BROADCAST_ROWS = 200_000
 
 
-def row_keyed(scratch: Scratch, docs: DataFrame, ordered: bool = False) -> DataFrame:
-    """The documents with a ``row_key`` of their own, written so that it stays; if ``ordered`` ascending with doc_id (nulls last) and text."""
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_keyed(scratch: Scratch, docs: DataFrame, ordered: bool = False) -> tuple[DataFrame, str]:
+    """The documents, written, with a key of their own and its name; if ``ordered`` ascending with doc_id (nulls last) and text."""
     docs = docs.orderBy(F.asc_nulls_last("doc_id"), "text") if ordered else docs
-    return scratch.save(docs.withColumn("row_key", F.monotonically_increasing_id()), "row-keyed")
+    key = fresh(docs, "row_key")
+    return scratch.save(docs.withColumn(key, F.monotonically_increasing_id()), "row-keyed"), key
 
 
 def without_ids(scratch: Scratch, docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents whose ``key`` is not among the doc_ids of ``ids``; rows without a key stay."""
-    ids = scratch.save(ids.select(F.col("doc_id").cast("long").alias("gone_id")).filter("gone_id is not null").distinct(), "gone")
+    name = fresh(docs, "gone_id")
+    ids = scratch.save(ids.select(F.col("doc_id").cast("long").alias(name)).filter(F.col(name).isNotNull()).distinct(), "gone")
     few = ids.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("gone_id"), "left_anti")
+    return docs.join(F.broadcast(ids) if few else ids, F.col(key) == F.col(name), "left_anti")
 
 
 def fold_az(column):

@@ -27,17 +27,19 @@ class TestSuffixes:
         sums = np.concatenate([K.span_hash(K.prefix_sums(K.CODES[data[s:e]]), np.array([0]), np.array([e - s])) for s, e in zip(starts, ends)]) if len(starts) else np.zeros(0, np.uint64)
         self.window, self.item_ids = window, item_ids
         self.vocabulary, ids = np.unique(sums, return_inverse=True)
+        self.words = [[bytes(data[x:y]) for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())] for a, b in zip(first[:-1], first[1:])]
         rows, owners = [], []
         for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
             size = min(window, b - a)
             for s in range(a, b - size + 1 if size else a):
                 rows.append(np.concatenate((ids[s : s + size], np.full(window - size, PAD))))
-                owners.append(i)
+                owners.append((i, s - a))
         table = np.array(rows, dtype=np.int32).reshape(len(rows), window)
         self.rows, inverse = np.unique(table, axis=0, return_inverse=True) if len(rows) else (table, np.zeros(0, np.int64))
-        pairs = np.unique(np.stack((inverse.ravel(), np.array(owners, dtype=np.int64))), axis=1) if len(rows) else np.zeros((2, 0), np.int64)
-        self.owners = pairs[1]
-        self.owner_at = np.searchsorted(pairs[0], np.arange(len(self.rows) + 1))
+        owners = np.array(owners, dtype=np.int64).reshape(-1, 2)
+        order = np.lexsort((owners[:, 1], owners[:, 0], inverse.ravel()))
+        self.owners, self.offsets = owners[order, 0], owners[order, 1]  # items that hold each window, and where
+        self.owner_at = np.searchsorted(inverse.ravel()[order], np.arange(len(self.rows) + 1))
         self.sizes = (self.rows != PAD).sum(axis=1)
         self.least = int(self.sizes.min()) if len(self.rows) else window
         self.filter = np.zeros(1 << 20, dtype=bool)
@@ -90,42 +92,63 @@ def bounds(rows: np.ndarray, tests: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     return search(False), search(True)
 
 
+def longest_matches(block: TestSuffixes, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(place, item, place in the item, words) of all longest matches of a shard with items, of a window's words or more.
+
+    Test windows are searched in the shard's suffix array; hits of one item that follow each other on one diagonal are one
+    longer match.
+    """
+    none = (np.zeros(0, np.int64),) * 4
+    if not len(ids) or not len(block.rows):
+        return none
+    stop = np.flatnonzero((ids < 0) | np.concatenate((doc[1:] != doc[:-1], [True])))
+    nxt = stop[np.searchsorted(stop, np.arange(len(ids)))]
+    reach = np.where(ids >= 0, nxt - np.arange(len(ids)) + (ids[nxt] >= 0), 0)
+    places, rows = suffix_array(ids, reach, block.least, block.window)
+    if not len(places):
+        return none
+    lower, upper = bounds(rows, block.rows, block.sizes)
+    n = upper - lower
+    window = np.repeat(np.arange(len(n)), n)
+    at = places[np.repeat(lower, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+    holders = np.diff(block.owner_at)[window]
+    pick = np.repeat(block.owner_at[window], holders) + np.arange(int(holders.sum())) - np.repeat(np.cumsum(holders) - holders, holders)
+    at, size = np.repeat(at, holders), np.repeat(block.sizes[window], holders)
+    item, offset = block.owners[pick], block.offsets[pick]
+    order = np.lexsort((at, at - offset, item))
+    at, size, item, offset = at[order], size[order], item[order], offset[order]
+    if not len(at):
+        return none
+    head = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1) | (offset[1:] != offset[:-1] + 1))))
+    last = np.append(head[1:], len(at)) - 1
+    return at[head], item[head], offset[head], at[last] - at[head] + size[head]
+
+
 def _mark(tests, last: bool):
-    """Adds to each document the words hit by a block of items and the items that occur."""
-    names = ["doc_id", "text", "n_words", "hits", "items"]
+    """Adds to each document the words hit by a block of items, the items that occur, and where."""
+    names = ["doc_id", "text", "n_words", "hits", "items", "matches"]
 
-    def shard(block, data, offs, hits, items):
+    def shard(block, data, offs, hits, items, matches):
         data = K.FOLD[data]
         starts, ends, first = K.words(data, offs, K.ALNUM_WORDS)
-        count = np.diff(first)
-        ids = block.word_ids(K.word_hashes(data, starts, ends))
-        doc = K.per_text(starts, first)
-        stop = np.flatnonzero((ids < 0) | np.concatenate((doc[1:] != doc[:-1], [True]))[: len(ids)]) if len(ids) else np.zeros(0, np.int64)
-        nxt = stop[np.searchsorted(stop, np.arange(len(ids)))] if len(ids) else np.zeros(0, np.int64)
-        reach = nxt - np.arange(len(ids)) + (ids[nxt] >= 0) if len(ids) else nxt
-        reach = np.where(ids >= 0, reach, 0)
-        places, rows = suffix_array(ids, reach, block.least, block.window)
-        if len(places) and len(block.rows):
-            lower, upper = bounds(rows, block.rows, block.sizes)
-            n = upper - lower
-            hit = np.repeat(np.arange(len(n)), n)
-            at = places[np.repeat(lower, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-            cover = np.zeros(len(ids) + 1, dtype=np.int64)
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + block.sizes[hit], -1)
-            begin, end = K.runs(np.cumsum(cover[:-1]) > 0)
-            cuts = np.unique(np.concatenate((begin, first[(first > 0) & (first < len(ids))])))  # a run ends with its document
-            covered = np.cumsum(cover[:-1]) > 0
-            for a, b in zip(begin, end):
-                inner = cuts[(cuts > a) & (cuts < b)]
-                for x, y in zip(np.concatenate(([a], inner)), np.concatenate((inner, [b]))):
-                    if covered[x]:
-                        d = doc[x]
-                        hits[d].append((int(x - first[d]), int(y - first[d])))
-            pair = np.unique(doc[at] * np.int64(len(block.rows)) + hit)
-            for d, w in zip(pair // len(block.rows), pair % len(block.rows)):
-                items[d].update(block.item_ids[o] for o in block.owners[block.owner_at[w] : block.owner_at[w + 1]])
-        return count
+        ids, doc = block.word_ids(K.word_hashes(data, starts, ends)), K.per_text(starts, first)
+        while True:
+            place, item, offset, size = longest_matches(block, ids, doc)
+            # Words were compared by hash: they are now compared as they stand, and a word that differs is in no item.
+            wrong = [p + k for p, i, o, n in zip(place.tolist(), item.tolist(), offset.tolist(), size.tolist()) for k in range(n) if bytes(data[starts[p + k] : ends[p + k]]) != block.words[i][o + k]]
+            if not wrong:
+                break
+            ids[wrong] = -1
+        for p, i, o, n in zip(place.tolist(), item.tolist(), offset.tolist(), size.tolist()):
+            d = doc[p]
+            begin = int(p - first[d])
+            hits[d].append((begin, begin + n))
+            items[d].add(block.item_ids[i])
+            matches[d].append({"item": block.item_ids[i], "item_start": o, "start": begin, "words": n})
+        return np.diff(first)
+
+    span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    match = pa.list_(pa.struct([("item", pa.string()), ("item_start", pa.int64()), ("start", pa.int64()), ("words", pa.int64())]))
 
     def run(batches):
         block = tests.value
@@ -133,14 +156,13 @@ def _mark(tests, last: bool):
             doc_id, text = K.column(batch, "doc_id"), K.column(batch, "text")
             hits = [[(r["a"], r["b"]) for r in x or []] for x in K.column(batch, "hits").to_pylist()]
             items = [set(x or []) for x in K.column(batch, "items").to_pylist()]
+            matches = [list(x or []) for x in K.column(batch, "matches").to_pylist()]
             count = np.zeros(batch.num_rows, dtype=np.int64)
             for lo, hi, data, offs in K.text_blocks(text):
-                h, i = hits[lo:hi], items[lo:hi]
-                count[lo:hi] = shard(block, data, offs, h, i)
+                count[lo:hi] = shard(block, data, offs, hits[lo:hi], items[lo:hi], matches[lo:hi])
             yield pa.RecordBatch.from_arrays([
                 doc_id, pa.nulls(len(text), pa.string()) if last else text.cast(pa.string()), pa.array(count),
-                pa.array([[{"a": a, "b": b} for a, b in union(x)] for x in hits], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
-                pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                pa.array([[{"a": a, "b": b} for a, b in union(x)] for x in hits], span), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(matches, match),
             ], names=names)
 
     return run
@@ -157,29 +179,31 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-SHAPE = "doc_id long, text string, n_words long, hits array<struct<a:long,b:long>>, items array<string>"
+SHAPE = "doc_id long, text string, n_words long, hits array<struct<a:long,b:long>>, items array<string>, matches array<struct<item:string,item_start:long,start:long,words:long>>"
 
 
 def find_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Locate every benchmark window in every document.
 
     A shard is about 1 MB of whole documents within a task: its suffix array (word suffixes, sorted by their first
-    ``window`` words) is searched for all distinct benchmark windows at once by binary search; the runs found are
-    the verbatim matches of that length and their places. Longest matches are not computed. Words are A-Z-lower-cased runs of ASCII letters and digits and non-ASCII characters. An
-    item with fewer words than ``window`` is one window; an item without words is none.
+    ``window`` words) is searched for all distinct benchmark windows at once by binary search, and hits that follow each other
+    in an item and in a document are joined to longest matches, which are then compared word by word. Suffixes that hold a word that no
+    item has are left out of the arrays. Words are A-Z-lower-cased runs of ASCII letters and digits and non-ASCII characters.
+    An item with fewer words than ``window`` is one window; an item without words is none.
 
     The benchmark is measured first and dealt to blocks of about ``block_bytes`` by a hash; one block at a time goes to
     the driver and out as a broadcast, and documents pass through the blocks in a chain without a shuffle.
 
     Returns one row per input row: doc_id, n_words, hits (word spans in matches, merged), items (ids as strings,
-    sorted). Null texts have no words; null item ids are named "null"; repeated rows are each judged; empty documents or an
-    empty benchmark give no hits.
+    sorted), matches (item, place in it, place in the document, words of each longest match). Null texts have no words; null item
+    ids are named "null"; repeated rows are each judged; empty documents or an empty benchmark give no hits. Other columns are
+    ignored.
     """
     Scratch(spark, "decontaminate")  # batch size
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(size // block_bytes) + 1
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr("cast(0 as long) n_words"), F.expr("cast(null as array<struct<a:long,b:long>>) hits"), F.expr("cast(null as array<string>) items"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr("cast(0 as long) n_words"), F.expr("cast(null as array<struct<a:long,b:long>>) hits"), F.expr("cast(null as array<string>) items"), F.expr("cast(null as array<struct<item:string,item_start:long,start:long,words:long>>) matches"))
     for k in range(n):
         rows = items.filter(F.col("part") == k).select("item_id", "text").collect()  # about block_bytes
         block = spark.sparkContext.broadcast(TestSuffixes([r[0] for r in rows], [r[1] for r in rows], window))
@@ -194,20 +218,21 @@ def judged(matches: DataFrame) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their columns; every row is judged by its own text, whatever its doc_id."""
+    """The documents that are not contaminated, with their columns; every row is judged by its own text, whatever its doc_id.
+
+    Null and empty texts have no words and stay.
+    """
     scratch = Scratch(spark, "decontaminated")
-    rows = row_keyed(scratch, docs)
-    found = judged(find_matches(spark, rows.select(F.col("row_key").alias("doc_id"), "text"), benchmark))
-    return without_ids(scratch, rows, found.filter("contaminated"), "row_key").drop("row_key")
+    rows, key = row_keyed(scratch, docs)
+    found = judged(find_matches(spark, rows.select(F.col(key).alias("doc_id"), "text"), benchmark))
+    return without_ids(scratch, rows, found.filter("contaminated"), key).drop(key)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its hits against the whole benchmark."""
+    """Every document with its hits against the whole benchmark; cases as in ``find_matches``."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = judged(find_matches(spark, docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text")))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
-
-

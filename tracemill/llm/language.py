@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import kernels as K
-from tracemill.llm.common import Scratch, read_table
+from tracemill.llm.common import Scratch, fresh, read_table
 from tracemill.llm.quality import held_out
 
-#: Labelled rows that fitting reads at most, for each language.
+#: Labelled rows that fitting reads at most, for each language and for all of them (8 KB of features each on the driver).
 SAMPLE_ROWS = 500
+SAMPLE_TOTAL = 10_000
 #: Languages are as many as label values; more than this is taken for a wrong column.
 MAX_LANGUAGES = 2000
 DIMENSIONS = 4096
@@ -99,7 +100,8 @@ def _featurise(batches):
 
 
 def fit_languages(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Train on the rows given (doc_id, text, lang): at most about ``sample_rows`` for each language, by a hash of doc_id.
+    """Train on the rows given (doc_id, text, lang): at most about ``sample_rows`` for each language and ``SAMPLE_TOTAL`` in
+    all, by a hash of doc_id.
 
     Rows without text, doc_id or lang are not learnt from. One language gives a model that always answers it; none
     gives one that answers ``und``.
@@ -109,6 +111,7 @@ def fit_languages(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPL
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     langs = sorted(r["lang"] for r in counts)
+    sample_rows = min(sample_rows, max(1, SAMPLE_TOTAL // max(1, len(langs))))
     share = spark.createDataFrame([(r["lang"], min(1.0, sample_rows / r["n"])) for r in counts], "lang string, share double")
     picked = rows.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     code = codewords(len(langs))
@@ -149,26 +152,30 @@ def predict_languages(spark: SparkSession, docs: DataFrame, model: Model) -> Dat
     return found.withColumn("ambiguous", F.col("score") < AMBIGUOUS)
 
 
-def _keep_known(model, least: float):
+def _keep_known(model, least: float, has_letter: str):
     def run(batches):
         m = model.value
         for batch in batches:
-            letters, keep = K.column(batch, "has_letter").to_numpy(zero_copy_only=False), []
+            letters, keep = K.column(batch, has_letter).to_numpy(zero_copy_only=False), []
             for lo, hi, data, offs in K.text_blocks(K.column(batch, "text"), 1 << 19):
                 keep.append((m.decode(features(data, offs))[1] >= least) & letters[lo:hi])
-            yield batch.filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_())).drop_columns(["has_letter"])
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_())).drop_columns([has_letter])
 
     return run
 
 
 def keep_known(spark: SparkSession, docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The documents whose language is told: with a letter, and with a score of at least ``least``."""
-    rows = docs.withColumn("has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return rows.mapInArrow(_keep_known(spark.sparkContext.broadcast(model), least), docs.schema)
+    """The documents whose language is told: with a letter, and with a score of at least ``least``.
+
+    Null and empty texts go; every other row is judged by its own text, whatever its doc_id; all columns stay as they are.
+    """
+    name = fresh(docs, "has_letter")
+    rows = docs.withColumn(name, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return rows.mapInArrow(_keep_known(spark.sparkContext.broadcast(model), least, name), docs.schema)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages of all documents, learnt outside the held-out fold."""
+    """Languages of all documents, learnt outside the held-out fold; null doc_ids are held out, other cases as in ``predict_languages``."""
     Scratch(spark, "language")  # batch size
     docs = read_table(spark, sf_dir, "documents")
     fold = held_out(F.col("doc_id"), 3, 1)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemill.llm import kernels as K
-from tracemill.llm.common import BROADCAST_ROWS, Scratch, read_table, row_keyed, without_ids
+from tracemill.llm.common import BROADCAST_ROWS, Scratch, fresh, read_table, row_keyed, without_ids
 from tracemill.llm.components import connected_components
 
 BINS = 128  # one-permutation bins: BANDS bands of ROWS bins
@@ -253,7 +253,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     if rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         return _components(scratch, rows, shingle, percent)
     # each row is a node, and then the components that rows of one doc_id are in are joined; keys ascend with doc_id
-    rows = row_keyed(scratch, rows, ordered=True)
+    rows, _ = row_keyed(scratch, rows, ordered=True)
     found = scratch.save(_components(scratch, rows.select(F.col("row_key").alias("doc_id"), "text"), shingle, percent).select(F.col("doc_id").alias("row_key"), "n_shingles", "component_id"), "by-row")
     found = rows.drop("text").join(found, "row_key").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     first = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("v"), F.max("component_id").alias("u")).filter("u <> v")
@@ -284,12 +284,10 @@ def _components(scratch: Scratch, rows: DataFrame, shingle: int, percent: int) -
         """The edges (u, v) with ``linked``; a node of many edges has its set copied, so that they meet it in several tasks."""
         edges, sides = edges.select("u", "v"), {}
         for end in ("u", "v"):
-            hubs = edges.groupBy(end).agg(F.ceil(F.count("*") / HUB_EDGES).cast("int").alias(f"{end}_cuts")).filter(f"{end}_cuts > 1")
-            sides[end] = (
-                grams.select(F.col("node").alias(end), F.col("grams").alias(f"{end}_set")).join(hubs, end, "left")
-                .withColumn(f"{end}_salt", F.explode(F.sequence(F.lit(0), F.coalesce(f"{end}_cuts", F.lit(1)) - 1))).drop(f"{end}_cuts")
-            )
-            edges = edges.join(hubs, end, "left").withColumn(f"{end}_salt", F.pmod(F.xxhash64("u", "v"), F.coalesce(f"{end}_cuts", F.lit(1))).cast("int")).drop(f"{end}_cuts")
+            ends = edges.groupBy(end).agg(F.ceil(F.count("*") / HUB_EDGES).cast("int").alias(f"{end}_cuts"))  # only sets of these are moved
+            salts = F.explode(F.sequence(F.lit(0), F.col(f"{end}_cuts") - 1)).alias(f"{end}_salt")
+            sides[end] = grams.select(F.col("node").alias(end), F.col("grams").alias(f"{end}_set")).join(ends, end).select(end, f"{end}_set", salts)
+            edges = edges.join(ends, end).withColumn(f"{end}_salt", F.pmod(F.xxhash64("u", "v"), f"{end}_cuts").cast("int")).drop(f"{end}_cuts")
         found = edges.join(sides["u"], ["u", "u_salt"]).join(sides["v"], ["v", "v_salt"])
         return scratch.save(found.select("u", "v", "u_set", "v_set").mapInArrow(_confirm(percent), "u long, v long, linked boolean"), name)
 
@@ -327,6 +325,8 @@ def _components(scratch: Scratch, rows: DataFrame, shingle: int, percent: int) -
     if not open_.isEmpty():
         fine = grams.join(open_, "node").select("node", "n", "part", "grams").mapInArrow(_fine_keys(1), "node long, n long, part long, keys array<long>")
         fine = scratch.save(fine.select(F.explode("keys").alias("key"), "node", "n", "part"), "fine")
+        mixed = fine.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
+        fine = scratch.save(fine.select("key", "node").join(mixed, "key", "left_semi").join(ids.select("node", "n"), "node").join(open_, "node").select("key", "node", "n", "part"), "fine-mixed")
         pairs = scratch.save(stars(fine, 1), "pairs")
         links = links.unionByName(confirm(pairs, "links-fine").filter("linked").select("u", "v"))
         parts = connected_components(scratch, links, "parts-fine")
@@ -336,6 +336,7 @@ def _components(scratch: Scratch, rows: DataFrame, shingle: int, percent: int) -
             links = links.unionByName(_finish(scratch, grams, left, confirm, percent))
             parts = connected_components(scratch, links, "parts-last")
 
+    scratch.drop("buckets", "candidates", "grams", "stars", "links-best", "rest", "links-rest", "open", "fine", "fine-mixed", "pairs", "links-fine", "left", *FINISH_TABLES)
     member = sketch.join(nodes.select("n", "k1", "k2", "node"), ["n", "k1", "k2"], "left")
     out = member.join(parts, "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "node", "doc_id")).cast("long")
@@ -361,6 +362,9 @@ def _families(scratch: Scratch, many: DataFrame) -> DataFrame:
     return alone.unionByName(members.join(whole, "family").select(F.col("family").alias("key"), F.lit(-1).alias("class"), "node", "n", "part", F.lit(True).alias("lead")))
 
 
+FINISH_TABLES = ("open-sets", "rare", "rare-shared", "rare-pairs", "links-rare", "large-keys", "whole-families", "large", "links-blocks")
+
+
 def _finish(scratch: Scratch, grams: DataFrame, open_: DataFrame, confirm, percent: int) -> DataFrame:
     """All links between open nodes (node, part) of different parts, by prefix filter.
 
@@ -428,18 +432,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5,
     scratch = Scratch(spark, "near-deduped")
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
         return without_ids(scratch, docs, near_duplicates(spark, docs, shingle, percent).filter(~F.col("kept")))
-    rows = row_keyed(scratch, docs, ordered=True)
-    found = near_duplicates(spark, rows.select(F.col("row_key").alias("doc_id"), "text"), shingle, percent)
-    docs = left = scratch.save(without_ids(scratch, rows, found.filter(~F.col("kept")), "row_key").drop("row_key"), "left")
-    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again_id"))
+    rows, key = row_keyed(scratch, docs, ordered=True)
+    found = near_duplicates(spark, rows.select(F.col(key).alias("doc_id"), "text"), shingle, percent)
+    left = scratch.save(without_ids(scratch, rows, found.filter(~F.col("kept")), key).drop(key), "left")
+    name, turn = fresh(docs, "again_id"), fresh(docs, "near_turn")
+    again = left.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(name)).filter(F.col(name) > 1).select(F.col("doc_id").alias(name))
     again = scratch.save(again, "again")
     if again.isEmpty():
         return left
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    once = left.join(again, F.col("doc_id") == F.col("again_id"), "left_semi").withColumn("near_turn", turn).filter("near_turn = 1").drop("near_turn")
-    return left.join(again, F.col("doc_id").eqNullSafe(F.col("again_id")), "left_anti").unionByName(once)
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    once = left.join(again, F.col("doc_id") == F.col(name), "left_semi").withColumn(turn, first).filter(F.col(turn) == 1).drop(turn)
+    return left.join(again, F.col("doc_id") == F.col(name), "left_anti").unionByName(once)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of all documents by four-word shingles at 80 percent."""
+    """Components of all documents by four-word shingles at 80 percent; nulls, repeats and empty texts as in ``near_duplicates``."""
     return near_duplicates(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=80)
