@@ -9,7 +9,7 @@ from tracemill.llm.common import Scratch, read_table
 from tracemill.llm.decontaminate import decontaminate
 from tracemill.llm.language import fit_languages, keep_known
 from tracemill.llm.minhash import drop_near_duplicates
-from tracemill.llm.mixing import mix_sources, mixed_documents
+from tracemill.llm.mixing import mixed_documents
 from tracemill.llm.quality import held_out
 from tracemill.llm.token_output import tokens_of
 
@@ -31,9 +31,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draw the mix: a document comes once per draw, shards apart and shuffled within."""
-    mixed = mixed_documents(docs, mix_sources(spark, docs))
-    return mixed.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place").select(*docs.columns)
+    """Draw the mix: a document comes once per draw, shards apart and shuffled within. Of rows that repeat a doc_id each is drawn by itself."""
+    return mixed_documents(spark, docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

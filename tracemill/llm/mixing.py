@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracemill.llm.common import Scratch, read_table
+from tracemill.llm.common import BROADCAST_ROWS, Scratch, read_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 SEED = 20240601
-#: Words in one block; a source of 10^12 words has 10^6 blocks of 10^6 words.
+#: Words in one block, the unit that is dealt out.
 BLOCK_WORDS = 50_000
+#: Words in one output shard, about 50 MB of text, unless there would be more shards than the bound.
+SHARD_WORDS = 1 << 23
+MAX_SHARDS = 1 << 18
+#: Nodes of the splitting tree that the driver draws; each one's subtree is drawn in a task.
+TOP_NODES = 256
+#: Blocks of a source that one window orders: a source's blocks are cut to strata of the permuted order first.
+STRATUM_BLOCKS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -36,12 +45,14 @@ def shares(sizes: list[int], weights: list[float], max_epochs: float = MAX_EPOCH
     return targets
 
 
-def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
+def split_tree(quotas: np.ndarray, shards: int, seed: int, edges: list[int] | None = None) -> np.ndarray:
     """Deal exact block quotas (one per source) out to shards: (shards x sources) counts.
 
     A node holds a run of shards and a vector of quotas; its left half gets a multivariate-hypergeometric draw of as
-    many blocks as its share of the shards, its right half the rest. Column sums are the quotas.
+    many blocks as its share of the shards, its right half the rest. Column sums are the quotas. With ``edges`` the shards
+    are runs of smaller ones, the k-th of edges[k] to edges[k + 1], and get shares by that.
     """
+    edges = list(range(shards + 1)) if edges is None else edges
     out = np.zeros((shards, len(quotas)), dtype=np.int64)
     stack = [(0, shards, np.asarray(quotas, dtype=np.int64))]
     while stack:
@@ -51,7 +62,7 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
             continue
         mid, total = (lo + hi) // 2, int(q.sum())
         rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
-        take = total * (mid - lo) // (hi - lo)
+        take = total * (edges[mid] - edges[lo]) // (edges[hi] - edges[lo])
         left = np.zeros_like(q)
         rest, need = total, take
         for i, n in enumerate(q):  # the marginals of the multivariate draw, one source at a time
@@ -62,31 +73,92 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix_sources(
-    spark: SparkSession, docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, shards: int = 16,
+def _words(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _subtrees(shards: int, top: int, seed: int):
+    """Runs of every source's draw list, one per shard that gets any: (rank, shard, begin, end)."""
+
+    def run(frames):
+        for frame in frames:
+            for node, quotas, begins in zip(frame["node"], frame["quotas"], frame["begins"]):
+                lo, hi = node * shards // top, (node + 1) * shards // top
+                counts = split_tree(np.asarray(quotas, np.int64), hi - lo, seed + 1 + int(node))
+                ends = np.asarray(begins, np.int64) + counts.cumsum(axis=0)
+                shard, rank = np.nonzero(counts)
+                yield pd.DataFrame({"rank": rank.astype(np.int32), "shard": (lo + shard).astype(np.int32), "begin": (ends - counts)[shard, rank], "end": ends[shard, rank]})
+
+    return run
+
+
+@dataclass(frozen=True)
+class Mix:
+    """A decided mix: per source its target, per block its shards, and the documents of opened blocks. All of it are tables."""
+
+    targets: DataFrame
+    blocks: DataFrame
+    fitted: DataFrame
+    shards: int
+    seed: int
+
+    def decide(self, docs: DataFrame) -> DataFrame:
+        """Adds the decision to rows with ``doc_id``, ``source`` and ``size``, by which alone it is made.
+
+        New columns: source_size, target, taken, copies, cut_words, draws. Tables of blocks and opened documents are
+        broadcast up to ``BROADCAST_ROWS`` rows, else joined by shuffle.
+        """
+        small = lambda table: F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+        placed = _placed(docs, self.targets, self.seed)
+        out = placed.join(small(self.blocks), ["rank", "block"])
+        fitted = self.fitted.select(F.col("rank").alias("f_rank"), F.col("doc_id").alias("f_doc_id"), F.col("size").alias("f_size"), "extra")
+        out = out.join(small(fitted), (F.col("rank") == F.col("f_rank")) & F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("size") == F.col("f_size")), "left")
+        extra = F.when(F.col("state") == "in", F.col("size")).when(F.col("state") == "cut", F.coalesce("extra", F.lit(0))).otherwise(0)
+        out = out.withColumn("extra", extra).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("extra") == F.col("size"), 1).otherwise(0)).otherwise(0).cast("int"))
+        out = out.withColumn("cut_words", F.when(F.col("extra") < F.col("size"), F.col("extra")).otherwise(0).cast("long"))
+
+        def drawn(c):
+            return F.struct(
+                F.col("homes")[c - 1].alias("shard"), F.xxhash64(F.lit(self.seed + 3), "doc_id", "size", c).alias("place"),
+                F.when(c <= F.col("copies"), F.col("size")).otherwise(F.col("cut_words")).alias("words"),
+            )
+
+        n = F.col("copies") + F.when(F.col("cut_words") > 0, 1).otherwise(0)
+        out = out.withColumn("draws", F.when(n > 0, F.transform(F.sequence(F.lit(1), n), drawn)))
+        taken = F.aggregate(F.coalesce("draws", F.array()), F.lit(0).cast("long"), lambda t, d: t + d["words"])
+        return out.select(*docs.columns, "source_size", "target", taken.alias("taken"), "copies", "cut_words", "draws")
+
+
+def _placed(docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """Rows with their source's plan, block and place in the order of opened blocks."""
+    placed = docs.join(F.broadcast(targets), docs["source"].eqNullSafe(F.col("mix_source")))  # one row per source, of which the number is checked
+    return placed.withColumns({"block": F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("n_blocks")), "ord": F.xxhash64(F.lit(seed + 1), "doc_id", "size")})
+
+
+def plan_mix(
+    spark: SparkSession, sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, shards: int | None = None,
     block_words: int = BLOCK_WORDS, seed: int = SEED, max_sources: int = 100_000,
-) -> DataFrame:
-    """Decide a mix of documents in which each source has about its target number of words.
+) -> Mix:
+    """Decide a mix, for rows (doc_id, source, size), in which each source has about its target number of words.
 
     Sources by code point (null last) weigh ``weights``, repeating, and share all words; a source gets at most
     ``max_epochs`` times its size and the excess is shared again by weight. Documents are hashed to blocks of about
     ``block_words`` words; a source's blocks, in an order permuted by the seed, are its draw list: all blocks once for
     every whole epoch of its target, then a run of permuted blocks for the rest. The block where the target falls is
-    opened and its documents are taken in permuted order, each if it still fits; one is cut to the room left. A splitting tree on the driver
-    (``split_tree``; sources x shards integers) deals the block quotas out to shards, every shard takes a disjoint run
-    of each source's draw list, and documents are shuffled within their shard by a seeded hash.
+    opened and its documents are taken in permuted order, each if it still fits; one is cut to the room left.
 
-    Only one row per source comes to the driver, checked against ``max_sources``; blocks and documents stay in Spark.
-    Texts are read once, to be measured; what is joined and shuffled are ids and sizes.
+    Blocks are ordered in strata of their permuting hash: a window gives each stratum the turns and words before it, and
+    one per stratum those within, so that no task holds a source. A splitting tree deals the block quotas out to
+    ``shards`` (by default one for every ``SHARD_WORDS`` words, so their number grows and their size doesn't): its first
+    ``TOP_NODES`` nodes are drawn on the driver and the rest in tasks. Every shard takes a disjoint run of each source's
+    draw list, found by an equi-join on coarse places in the list. Only one row per source comes to the driver, checked
+    against ``max_sources``.
 
-    Returns one row per input row: ``doc_id, source, size long, source_size long, target double, taken long,
-    copies int, cut_words long, draws array<struct<shard int, place long, words long>>`` (one draw per copy or cut). Null texts have size 0; documents of size 0 are never
-    taken. Rows that repeat a doc_id and a size fall in one block and are taken together or not at all, each at most
-    ``max_epochs`` times. An empty table gives no rows. Reruns agree: all orders depend on doc_id, size and seed only.
+    Null texts have size 0; documents of size 0 are never taken. Rows that repeat a doc_id and a size, null ids too, fall
+    in one block and are taken together or not at all, each at most ``max_epochs`` times. Reruns agree: all orders depend
+    on doc_id, size and seed only.
     """
     scratch = Scratch(spark, "mixing")
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = scratch.save(sized, "sized")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
     if len(per_source) > max_sources:
         raise ValueError(f"more than {max_sources} sources: raise max_sources")
@@ -94,18 +166,26 @@ def mix_sources(
     sizes = [int(r["n"] or 0) for r in per_source]
     goal = shares(sizes, [weights[i % len(weights)] for i in range(len(sizes))], max_epochs)
     whole = [min(int(t // s), max_epochs) if s else 0 for s, t in zip(sizes, goal)]
+    shards = shards or max(1, min(MAX_SHARDS, -(-sum(sizes) // SHARD_WORDS)))
     plan = [
         (r["source"], sizes[i], goal[i], i, max(1, -(-sizes[i] // block_words)), whole[i], max(0, round(goal[i] - whole[i] * sizes[i])))
         for i, r in enumerate(per_source)
     ]
-    targets = spark.createDataFrame(plan, "mix_source string, source_size long, target double, rank int, blocks long, whole int, part long")
-    placed = sized.join(F.broadcast(targets), sized["source"].eqNullSafe(F.col("mix_source")))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("blocks"))).withColumn("ord", F.xxhash64(F.lit(seed + 1), "doc_id", "size"))
-
-    # Blocks in permuted order with running totals: the window runs over blocks, not documents.
-    table = placed.groupBy("rank", "block", "whole", "part").agg(F.sum("size").alias("words"))
-    perm = Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed + 2), "rank", "block"), "block")
-    table = table.withColumn("turn", F.row_number().over(perm)).withColumn("upto", F.sum("words").over(perm.rowsBetween(Window.unboundedPreceding, 0)))
+    targets = spark.createDataFrame(plan, "mix_source string, source_size long, target double, rank int, n_blocks long, whole int, part long")
+
+    # Blocks in permuted order with running totals, over strata and then within each.
+    table = _placed(sized, targets, seed).groupBy("rank", "block", "n_blocks", "whole", "part").agg(F.sum("size").alias("words"))
+    turn = F.xxhash64(F.lit(seed + 2), "rank", "block")
+    strata = F.ceil(F.col("n_blocks") / STRATUM_BLOCKS)
+    table = table.withColumns({"place": F.shiftrightunsigned(turn, 1), "stratum": F.shiftright(F.shiftrightunsigned(turn, 40) * strata, 24)})
+    table = scratch.save(table, "words")
+    totals = table.groupBy("rank", "stratum").agg(F.count("*").alias("k"), F.sum("words").alias("w"))
+    ahead = Window.partitionBy("rank").orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)  # one row per stratum
+    before = totals.select("rank", "stratum", F.coalesce(F.sum("k").over(ahead), F.lit(0)).alias("k0"), F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("w0"))
+    perm = Window.partitionBy("rank", "stratum").orderBy("place", "block")
+    table = table.join(before, ["rank", "stratum"]).withColumns({
+        "turn": F.col("k0") + F.row_number().over(perm), "upto": F.col("w0") + F.sum("words").over(perm.rowsBetween(Window.unboundedPreceding, 0)),
+    })
     table = table.withColumn("room", F.col("part") - (F.col("upto") - F.col("words")))
     table = table.withColumn("state", F.when(F.col("upto") <= F.col("part"), "in").when(F.col("room") > 0, "cut").otherwise("out"))
     table = scratch.save(table.select("rank", "block", "whole", "turn", "room", "state"), "blocks")
@@ -113,48 +193,56 @@ def mix_sources(
     # Draw list of a source: whole epochs of all blocks, then the permuted blocks up to the cut.
     taken = F.count(F.when(F.col("state") != "out", 1))
     quotas = {r["rank"]: r for r in table.groupBy("rank").agg(F.count("*").alias("n"), taken.alias("m")).collect()}  # one row per source
-    lists = [quotas[i]["n"] * whole[i] + quotas[i]["m"] for i in range(len(sizes))]
-    ends = split_tree(np.array(lists, dtype=np.int64), shards, seed).cumsum(axis=0)
-    dealt = spark.createDataFrame([(i, int(quotas[i]["n"]), [int(x) for x in ends[:, i]]) for i in range(len(sizes))], "rank int, n long, ends array<long>")
+    lists = np.array([quotas[i]["n"] * whole[i] + quotas[i]["m"] for i in range(len(sizes))], dtype=np.int64)
+    top = min(shards, TOP_NODES)
+    counts = split_tree(lists, top, seed, [k * shards // top for k in range(top + 1)])
+    begins = counts.cumsum(axis=0) - counts
+    nodes = spark.createDataFrame([(k, counts[k].tolist(), begins[k].tolist()) for k in range(top)], "node int, quotas array<long>, begins array<long>")
+    dealt = nodes.repartition(min(top, 64)).mapInPandas(_subtrees(shards, top, seed), "rank int, shard int, begin long, end long")
+    steps = [(i, int(quotas[i]["n"]), max(1, -(-int(lists[i]) // shards))) for i in range(len(sizes))]
+    steps = F.broadcast(spark.createDataFrame(steps, "rank int, n long, step long"))
+    dealt = dealt.join(steps.drop("n"), "rank").withColumn("coarse", F.explode(F.sequence(F.expr("begin div step"), F.expr("(end - 1) div step")))).drop("step")
+    dealt = scratch.save(dealt, "dealt")
+    draws = table.withColumn("copy", F.explode(F.expr("sequence(1, whole + 1)"))).filter("copy <= whole or state <> 'out'")
+    draws = draws.join(steps, "rank").withColumn("at", F.col("turn") - 1 + (F.col("copy") - 1) * F.col("n"))
+    draws = draws.withColumn("coarse", F.expr("at div step")).join(dealt, ["rank", "coarse"]).filter("begin <= at and at < end")
+    homes = draws.groupBy("rank", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda d: d["shard"]).alias("homes"))  # max_epochs + 1 at most
+    blocks = scratch.save(table.select("rank", "block", "state", "room").join(homes, ["rank", "block"], "left"), "homes")
 
     # Opened blocks: one per source at most, each of about block_words words.
-    opened = placed.join(F.broadcast(table.filter("state = 'cut'").select("rank", "block", "room")), ["rank", "block"])
-    fitted = opened.select("rank", "doc_id", "size", "ord", "room").groupBy("rank").applyInPandas(_fit, "rank int, doc_id long, size long, extra long")
-
-    out = placed.drop("whole").join(table.select("rank", "block", "whole", "turn", "state"), ["rank", "block"]).join(F.broadcast(dealt), "rank")
-    fitted = fitted.select(F.col("rank").alias("f_rank"), F.col("doc_id").alias("f_doc_id"), F.col("size").alias("f_size"), "extra")
-    out = out.join(fitted, (F.col("rank") == F.col("f_rank")) & F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("size") == F.col("f_size")), "left")
-    extra = F.when(F.col("state") == "in", F.col("size")).when(F.col("state") == "cut", F.coalesce("extra", F.lit(0))).otherwise(0)
-    out = out.withColumn("extra", extra).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("extra") == F.col("size"), 1).otherwise(0)).otherwise(0).cast("int"))
-    out = out.withColumn("cut_words", F.when(F.col("extra") < F.col("size"), F.col("extra")).otherwise(0).cast("long"))
-
-    def drawn(c):  # the block's place in the source's draw list for copy c lies in one shard's run
-        at = F.col("turn") - 1 + (c - 1) * F.col("n")
-        return F.struct(
-            F.size(F.filter("ends", lambda e: e <= at)).cast("int").alias("shard"),
-            F.xxhash64(F.lit(seed + 3), "doc_id", "size", c).alias("place"),
-            F.when(c <= F.col("copies"), F.col("size")).otherwise(F.col("cut_words")).alias("words"),
-        )
-
-    n = F.col("copies") + F.when(F.col("cut_words") > 0, 1).otherwise(0)
-    draws = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), drawn))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies") + F.col("cut_words")).alias("taken"), "copies", "cut_words", draws.alias("draws"))
-
-
-def mixed_documents(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The mix itself: the documents' columns once per draw, with ``mix_shard`` and ``mix_place`` (order in the shard).
-
-    A cut document, one per source at most, comes as its first words joined by spaces. Decisions depend on doc_id, source
-    and size alone, so the three name each row's own, also where doc_ids repeat or are missing.
+    opened = F.broadcast(blocks.filter("state = 'cut'").select("rank", "block", "room"))
+    opened = _placed(sized, targets, seed).join(opened, ["rank", "block"]).select("rank", "doc_id", "size", "ord", "room")
+    fitted = scratch.save(opened.groupBy("rank").applyInPandas(_fit, "rank int, doc_id long, size long, extra long"), "fitted")
+    return Mix(targets, blocks.drop("room"), fitted, shards, seed)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The decision for every row of documents (doc_id, text, source); see ``plan_mix`` for the mix and its options.
+
+    Returns one row per input row: ``doc_id, source, size long, source_size long, target double, taken long,
+    copies int, cut_words long, draws array<struct<shard int, place long, words long>>`` (one draw per copy or cut). An empty
+    table gives no rows; other columns are ignored.
+    """
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _words("text").alias("size"))
+    sized = Scratch(spark, "mixing").save(sized, "sized")
+    return plan_mix(spark, sized, **options).decide(sized)
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the documents' columns once per draw, each shard in a partition of its own and shuffled within.
+
+    A cut document, one per source at most, comes as its first words joined by spaces. Every row is decided by its own doc_id,
+    source and size, also where doc_ids repeat or are missing. Documents travel in a struct, so that no column of theirs can
+    clash; texts are moved once, to their shard.
     """
-    alike = decisions.filter("taken > 0").groupBy(*[F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", "size")]).agg(F.first("draws").alias("mix_draws"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    same = F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_row_size") == F.col("mix_size"))
-    drawn = docs.withColumn("mix_row_size", size).join(alike, same).withColumn("mix_draw", F.explode("mix_draws"))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    whole = F.col("mix_draw.words") >= F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("mix_draw.words").cast("int")), " "))
-    return drawn.withColumn("text", text).select(*docs.columns, F.col("mix_draw.shard").alias("mix_shard"), F.col("mix_draw.place").alias("mix_place"))
+    scratch = Scratch(spark, "mixed")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _words("text").alias("size"))
+    mix = plan_mix(spark, scratch.save(rows.drop("row"), "sized"), **options)
+    drawn = mix.decide(rows).select("row", "size", F.explode("draws").alias("draw"))
+    drawn = drawn.repartitionById(mix.shards, F.col("draw.shard")).sortWithinPartitions("draw.shard", "draw.place")
+    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("draw.words").cast("int")), " ")
+    text = F.when(F.col("draw.words") >= F.col("size"), F.col("row.text")).otherwise(cut)
+    return drawn.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _fit(block: pd.DataFrame) -> pd.DataFrame:
@@ -176,6 +264,6 @@ def _fit(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it."""
+    """Every document with the words that the mix takes of it; nulls, repeats and empty texts as in ``plan_mix``."""
     mix = mix_sources(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies", "cut_words", "draws")
