@@ -3,6 +3,7 @@
 from collections import Counter
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
@@ -67,9 +68,20 @@ def test_rows_without_a_doc_id_of_their_own(spark):
     clean = decontaminate(spark, docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
     assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(r for r in made if passage not in r[1])
     two = docs.unionByName(spark.createDataFrame([(None, words("h", 2000), "t"), (3, words("i", 900), "t")], docs.schema))
-    decisions = mix_sources(spark, two, block_words=200)
+    decisions = mix_sources(spark, two, block_words=200, shards=3)
     want, got = Counter(), Counter()
     for r in decisions.collect():
         want.update((r.doc_id, r.source, x.words) for x in r.draws or [])
-    got.update((r.doc_id, r.source, len(r.text.split())) for r in mixed_documents(two, decisions).collect())
+    got.update((r.doc_id, r.source, len(r.text.split())) for r in mixed_documents(spark, two, block_words=200, shards=3).collect())
     assert got == want
+
+
+def test_columns_that_clash(spark, edge):
+    """Every helper name of the stages as a column of the documents: rows and columns come out as they went in."""
+    names = ["row_key", "ROW_KEY_", "gone_id", "again_id", "near_turn", "has_letter", "row", "size", "draw", "draws", "taken", "block", "ord", "mix_source", "rank", "homes", "state", "copies", "node", "component", "kept"]
+    docs = spark.read.parquet(f"{edge[0]}/documents.parquet").select("doc_id", "text", "lang", "source", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, edge[0])
+        assert out.columns == docs.columns, name
+        got = out.select("doc_id", *names).collect()
+        assert got and all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for r in got for n in names), name

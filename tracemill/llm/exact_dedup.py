@@ -9,6 +9,8 @@ from tracemill.llm.common import Scratch, fold_az, read_table
 
 #: A key table of at most so many rows (about 25 bytes each) may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Rows of a group that meet its decision in one task, and groups that can be larger than their share of all rows.
+GROUP_ROWS, HOT_GROUPS = 1000, 100_000
 
 
 def duplicate_groups(spark: SparkSession, docs: DataFrame, prefix_chars: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -29,29 +31,40 @@ def duplicate_groups(spark: SparkSession, docs: DataFrame, prefix_chars: int = 6
     rows = docs.select(
         F.col("doc_id"),
         F.octet_length(text).alias("len"),
-        F.xxhash64(fold_az(F.substring(text, 1, prefix_chars))).alias("head"),
         text.alias("body"),
     )
-    lengths = rows.groupBy("len").agg(F.count("*").alias("n")).filter("n > 1").select("len")
-    heads = rows.groupBy("len", "head").agg(F.count("*").alias("n")).filter("n > 1")
-    keys = scratch.save(heads.join(lengths, "len", "left_semi").select("len", "head"), "keys")
-    if keys.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    full = rows.join(keys, ["len", "head"], "left_semi").select("doc_id", F.sha2(fold_az(F.col("body")), 256).alias("digest"))
+    small = lambda table: F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    lengths = scratch.save(rows.groupBy("len").agg(F.count("*").alias("n")).filter("n > 1").select("len"), "lengths")
+    alike = rows.join(small(lengths), "len", "left_semi").withColumn("head", F.xxhash64(fold_az(F.substring("body", 1, prefix_chars))))
+    keys = scratch.save(alike.groupBy("len", "head").agg(F.count("*").alias("n")).filter("n > 1").select("len", "head"), "keys")
+    full = alike.join(small(keys), ["len", "head"], "left_semi").select("doc_id", F.sha2(fold_az(F.col("body")), 256).alias("digest"))
     full = scratch.save(full, "full")
     groups = full.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    return groups, full
+    return scratch.save(groups, "groups"), full
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, how: str) -> DataFrame:
+    """Rows (doc_id, digest) joined to their groups; a group that holds many rows is joined in several tasks.
+
+    Groups larger than a share of 1 / ``HOT_GROUPS`` of all rows are fewer than ``HOT_GROUPS``, so their numbers of cuts may be
+    broadcast.
+    """
+    least = max(GROUP_ROWS, (groups.agg(F.sum("group_size")).first()[0] or 0) // HOT_GROUPS)
+    hot = groups.filter(F.col("group_size") > least).select("digest", F.ceil(F.col("group_size") / least).cast("int").alias("cuts"))
+    rows = rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("cuts", F.lit(1))).cast("int")).drop("cuts")
+    salts = F.sequence(F.lit(0), F.when(F.col("group_size") > least, F.ceil(F.col("group_size") / least).cast("int")).otherwise(1) - 1)
+    return rows.join(groups.withColumn("salt", F.explode(salts)), ["digest", "salt"], how).drop("salt")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, prefix_chars: int = 64) -> DataFrame:
     """The documents of ``duplicate_groups``: doc_id, keep_id, group_size, kept, digest."""
     groups, full = duplicate_groups(spark, docs, prefix_chars)
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
-    return full.join(groups, "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
+    return with_groups(full, groups, "inner").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the row that stays of its group and the hash of its normalised text."""
+    """Every document with the row that stays of its group and the hash of its normalised text; cases as in ``duplicate_groups``."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return digest(spark, docs)
 
@@ -59,8 +72,8 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The contract's columns for all documents: group decisions joined to the hash that every row must report."""
     groups, _ = duplicate_groups(spark, docs)
-    every = docs.select("doc_id", F.sha2(fold_az(F.coalesce(F.col("text"), F.lit(""))), 256).alias("text_sha256"))
-    out = every.join(groups.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left")
+    every = docs.select("doc_id", F.sha2(fold_az(F.coalesce(F.col("text"), F.lit(""))), 256).alias("digest"))
+    out = with_groups(every, groups, "left").withColumnRenamed("digest", "text_sha256")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
         "doc_id",

@@ -89,12 +89,14 @@ def _differences(scorer, extra: list[str]):
     return run
 
 
-def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
+def fit_quality(
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, piece_chars: int = PIECE_CHARS, dictionary_bytes: int = DICTIONARY_BYTES
+) -> Scorer:
     """Dictionaries and calibration from the labelled rows given (doc_id, quality).
 
     Of each class at most about ``sample_rows`` rows are used, chosen by a hash of doc_id: one half gives pieces of
-    ``PIECE_CHARS`` characters from hashed places to the class's dictionary, the other half, unseen by the
-    dictionaries, calibrates. Calibration rows are weighted so that the classes have their shares of all labels.
+    ``piece_chars`` characters from hashed places to the class's dictionary, which ends at ``dictionary_bytes``, the other
+    half, unseen by the dictionaries, calibrates. Calibration rows are weighted so that the classes have their shares of all labels.
     Labels that are null and rows without text count as unlabelled; repeated labels count once. With one class or none the score
     is 0.5 or that class's share.
     """
@@ -106,12 +108,12 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_
     sample = labels.filter(pick < bound * (1 << 30))
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id")  # about 2 * sample_rows rows
     rows = rows.withColumn("half", F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(2)))
-    place = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.greatest(F.lit(1), F.length("text") - PIECE_CHARS + 1)).cast("int") + 1
-    pieces = rows.filter("half = 0").select("quality", F.col("text").substr(place, F.lit(PIECE_CHARS)).alias("piece"), F.xxhash64(F.lit(10), "doc_id").alias("turn"))
+    place = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.greatest(F.lit(1), F.length("text") - piece_chars + 1)).cast("int") + 1
+    pieces = rows.filter("half = 0").select("quality", F.col("text").substr(place, F.lit(piece_chars)).alias("piece"), F.xxhash64(F.lit(10), "doc_id").alias("turn"))
     content = {0: [], 1: []}
     for r in sorted(pieces.collect(), key=lambda r: r["turn"]):
         content[r["quality"]].append(r["piece"].encode())
-    good, bad = (b"\n".join(content[k])[:DICTIONARY_BYTES] for k in (1, 0))
+    good, bad = (b"\n".join(content[k])[:dictionary_bytes] for k in (1, 0))
     scorer = Scorer(good, bad)
     seen = rows.filter("half = 1").select("doc_id", "text", "quality").mapInArrow(_differences(spark.sparkContext.broadcast(scorer), ["quality"]), "doc_id long, quality int, difference double").select("quality", "difference").collect()
     y = np.array([r["quality"] for r in seen], dtype=float)
@@ -132,7 +134,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, scorer: Scorer) -> DataF
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents, learnt from labels outside the held-out fold."""
+    """Scores of all documents, learnt from labels outside the held-out fold; null doc_ids are held out, other cases as in ``score_quality``."""
     Scratch(spark, "quality")  # batch size
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     scorer = fit_quality(spark, docs, labels.filter(~held_out(F.col("doc_id"), 4, 2)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import struct
 import zlib
 
@@ -34,6 +35,9 @@ _CUTS = np.zeros((4, 4), dtype=bool)
 _CUTS[SPACE, :] = _CUTS[:, SPACE] = True
 _CUTS[ALNUM, PUNCT] = _CUTS[PUNCT, ALNUM] = True
 _CUTS = _CUTS.ravel()
+# The steps before the model, in a tokenizer's file, for which units may be encoded apart.
+UNIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+UNIT_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 
 class UnitEncoder:
@@ -42,7 +46,7 @@ class UnitEncoder:
     Pre-tokens of this kind of tokenizer never reach over ASCII white space or from an ASCII letter to ASCII
     punctuation, so a text's ids are those of its units in order. Special tokens could: a text with ``<|`` in it is
     encoded whole. Units travel to the library many at a time, with NUL between spaces as a mark; units that hold a
-    NUL are encoded alone.
+    NUL are encoded alone. All this is read off the tokenizer's file; with any other one, texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -50,6 +54,7 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.encode("\0", add_special_tokens=False).ids
+        self.by_units = _cuts_to_units(json.loads(self.tokenizer.to_str()))
         self.clear()
 
     def clear(self) -> None:
@@ -80,6 +85,10 @@ class UnitEncoder:
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
+        if not self.by_units:
+            raw = data.tobytes()
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], add_special_tokens=False)]
+            return np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
         kind = CLASS[data]
         inside = kind != SPACE
         cut = np.ones(len(data) + 1, dtype=bool)
@@ -124,6 +133,16 @@ class UnitEncoder:
         self.ids = np.concatenate((self.ids, found))
 
 
+def _cuts_to_units(spec: dict) -> bool:
+    """Whether a tokenizer lower-cases and cuts texts as ``UnitEncoder`` takes it, and has no token with white space in it."""
+    normalizer, cutter = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = [normalizer] if normalizer.get("type") != "Sequence" else normalizer["normalizers"]
+    cutters = cutter.get("pretokenizers") or [{}]
+    split = cutters[0].get("type") == "Split" and cutters[0].get("pattern") == {"Regex": UNIT_PATTERN} and cutters[0].get("behavior") == "Removed" and cutters[0].get("invert")
+    later = all(c.get("type") == "ByteLevel" and not c.get("add_prefix_space") and not c.get("use_regex") for c in cutters[1:])
+    return bool(steps == UNIT_NORMALIZERS and split and later and all(t["content"].startswith("<|") for t in spec.get("added_tokens", [])))
+
+
 _encoders: dict[str, UnitEncoder] = {}
 
 
@@ -255,9 +274,9 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
     documents to segments of about ``SEGMENT_IDS`` ids (a longer document is one segment), and Spark's committed
     writer stores them, so a task that is run again leaves nothing behind. ``path`` must be in a folder that all
     executors share. A null text is empty and has the end id only; null doc_ids come first; rows that repeat a doc_id
-    are written each, next to each other in any order; an empty table writes no segment.
+    are written each, next to each other in the order of a hash of their texts; an empty table writes no segment.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows.mapInArrow(_encode(tokenizer, end_id), SEGMENTS).write.mode("overwrite").option("compression", "none").parquet(path)
     return spark.read.schema(SEGMENTS).parquet(path)
 
@@ -274,7 +293,7 @@ def read_tokens(segments: DataFrame) -> DataFrame:
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode all documents, write the segments and report each document as the files have it."""
+    """Encode all documents, write the segments and report each document as the files have it; cases as in ``write_tokens``."""
     return tokens_of(spark, read_table(spark, sf_dir, "documents"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracemill.llm.common import fold_az, read_table
+from tracemill.llm.common import BROADCAST_ROWS, fold_az, read_table
 
 #: (host, path prefix, verdict) of the contract's rules.
 RULES = [
@@ -18,6 +18,8 @@ RULES = [
 ]
 #: Verdict of a url that no rule fits.
 DEFAULT = "allow"
+#: Urls of a domain in one task at least, and domains that can be larger than their share of all urls.
+DOMAIN_URLS, HOT_DOMAINS = 10_000, 100_000
 
 
 def url_parts(url):
@@ -34,8 +36,11 @@ def host_key(host):
 
 
 def rule_table(spark: SparkSession, rules) -> DataFrame:
-    rows = [(str(h).lower(), p, v) for h, p, v in rules]
-    return spark.createDataFrame(rows, "host string, path string, verdict string")
+    """Rules as a table (host, path, verdict), from a list or from a table."""
+    if isinstance(rules, DataFrame):
+        return rules.select(fold_az(F.col("host")).alias("host"), "path", "verdict")
+    rows = F.array(*[F.struct(fold_az(F.lit(h)).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules])
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
 
 
 def boundaries(rules: DataFrame) -> DataFrame:
@@ -59,34 +64,50 @@ def boundaries(rules: DataFrame) -> DataFrame:
     return start.select("key", "stack").unionByName(end)
 
 
+def _domain(key):
+    """First two labels of a host's key or of an interval's end: the domain that is swept by itself."""
+    return F.regexp_extract(F.translate(key, "/", "."), r"^[^.]*\.(?:[^.]*\.)?", 0)
+
+
 def url_filter(spark: SparkSession, pages: DataFrame, rules=RULES, default: str = DEFAULT) -> DataFrame:
     """Judge each url by the longest rule that fits.
 
-    Urls and interval boundaries are merged in key order within (first label, salt); each url takes the stack of the
-    last boundary at or before its key, and of that stack the longest rule whose path starts the url's path (total
-    length of host and path, then the longer host, then text order). A label's boundaries are copied to every salt, so a host that holds
-    a third of all rows is spread over all tasks and no url is dropped or sampled. Rules travel through a shuffle,
-    never a broadcast of unchecked size.
+    Urls and interval boundaries are merged in key order within a domain (the first two labels of the reversed host); each
+    url takes the stack of the last boundary at or before its key, or where there is none the stack of its first label,
+    whose interval holds the whole domain. Of that stack the longest rule whose path starts the url's path decides (total
+    length of host and path, then the longer host, then text order). A domain with many urls is dealt to several tasks,
+    each with a copy of that domain's boundaries, so a host that holds a third of all rows is spread and no url is dropped or
+    sampled. Domains with more than 1 / ``HOT_DOMAINS`` of the urls are fewer than that, so their table is broadcast; rules
+    of a single label are broadcast up to ``BROADCAST_ROWS``, all others travel through the shuffle.
 
     Returns page_id, host, path, rule, verdict, one row per input row. Null urls, urls without ``://`` and urls that
-    no rule fits have rule null and the ``default`` verdict; repeated rows and null page_ids are kept as they are.
+    no rule fits have rule null and the ``default`` verdict; repeated rows and null page_ids are kept as they are. An empty
+    table gives no rows; other columns are ignored.
     """
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     host, path = url_parts(F.col("url"))
-    first = lambda key: F.substring_index(F.translate(key, "/", "."), ".", 1)
-    urls = pages.select("page_id", host.alias("host"), path.alias("path")).select(
-        "page_id", "host", "path", host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("array<struct<host:string,path:string,verdict:string>>").alias("stack")
-    )
-    urls = urls.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
-    events = boundaries(rule_table(spark, rules)).select(
-        F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "key", F.lit(0).alias("kind"), "stack",
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
+    urls = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host"))).withColumn("domain", _domain(F.col("key")))
+    counts = urls.groupBy("domain").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(DOMAIN_URLS, total // HOT_DOMAINS)
+    hot = F.broadcast(counts.filter(F.col("n") > least).select("domain", F.ceil(F.col("n") / least).cast("int").alias("cuts")))
+    swept = boundaries(rule_table(spark, rules)).withColumn("domain", _domain(F.col("key")))
+    single = swept.filter("key = domain and length(key) - length(replace(key, '.', '')) = 1").select(F.col("key").alias("label"), F.col("stack").alias("label_stack"))
+    if single.count() <= BROADCAST_ROWS:
+        single = F.broadcast(single)
+
+    stack = swept.schema["stack"].dataType
+    urls = urls.join(hot, "domain", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.coalesce("cuts", F.lit(1))).cast("int")).select(
+        "domain", "salt", "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast(stack).alias("stack")
+    )
+    events = swept.join(hot, "domain", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1))).select(
+        "domain", "salt", "key", F.lit(0).alias("kind"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "stack"
     )
-    sweep = Window.partitionBy("label", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = urls.unionByName(events).withColumn("label", first(F.col("key"))).withColumn("active", F.last("stack", ignorenulls=True).over(sweep))
-    fits = F.filter("active", lambda r: F.col("path").startswith(r["path"]))
+    sweep = Window.partitionBy("domain", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = urls.unionByName(events).withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
+    found = found.withColumn("label", F.concat(F.substring_index("key", ".", 1), F.lit("."))).join(single, "label", "left")
+    fits = F.filter(F.coalesce("active", "label_stack"), lambda r: F.col("path").startswith(r["path"]))
     ranked = F.transform(fits, lambda r: F.struct((F.length(r["host"]) + F.length(r["path"])).alias("size"), F.length(r["host"]).alias("host_size"), r["host"].alias("host"), r["path"].alias("path"), r["verdict"].alias("verdict")))
-    return swept.filter("kind = 1").withColumn("best", F.array_max(ranked)).select(
+    return found.withColumn("best", F.array_max(ranked)).select(
         "page_id", "host", "path",
         F.when(F.col("best").isNotNull(), F.concat("best.host", "best.path")).alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
@@ -94,7 +115,7 @@ def url_filter(spark: SparkSession, pages: DataFrame, rules=RULES, default: str
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's url judged by the contract's rules."""
+    """Every page's url judged by the contract's rules; null urls and urls without a host as in ``url_filter``."""
     return url_filter(spark, read_table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
