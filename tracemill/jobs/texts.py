@@ -94,8 +94,9 @@ POSITION_SQL = "WITH " + SENTENCES + f", w AS (SELECT doc_id, pos, {WORD_LIST.fo
 def text_traces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(sentences, markers by sentence) of texts of at least 50 characters."""
     t = T.traces(spark, sf_dir).filter(F.length("thinking_text") >= PARAMS.min_chars)
-    t = t.select("model_name", "doc_id", F.posexplode_outer(X.sentences(F.col("thinking_text"))).alias("pos", "sentence")).filter("sentence is not null")
-    return t, markers.marker_positions(t, ["model_name", "doc_id"], LEXICON)
+    t = t.select("model_name", "doc_id", F.explode_outer(F.array(X.sentences(F.col("thinking_text")))).alias("s"))
+    t = t.select("model_name", "doc_id", F.size("s").alias("n_sentences"), F.posexplode_outer("s").alias("pos", "sentence")).filter("sentence is not null")
+    return t, markers.marker_positions(t, ["model_name", "doc_id", "n_sentences"], LEXICON)
 
 
 @job(POSITION_SQL + " SELECT doc_id, category, count(*) AS n_sentences, min(pos) AS first, max(pos) AS last FROM hits GROUP BY ALL")
@@ -119,8 +120,7 @@ def text_coupled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     vectors = T.read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     steps = sentences_.select(*keys, "pos", ((F.col("doc_id") * 7 + F.col("pos")) % 500).alias("vec_id")).join(vectors, "vec_id")
     turns = curves.with_transitions(curves.similarity_curve(steps, keys), keys).filter("is_transition").select(*keys, F.col("idx").alias("pos"))
-    sizes = sentences_.groupBy(*keys).agg(F.count("*").alias("n_sentences"))
-    return coupling.coupling_events(found, turns, sizes, keys), sizes
+    return coupling.coupling_events(found, turns, None, keys), sentences_.filter("pos = 0").select(*keys, "n_sentences")
 
 
 @job(TEXT_COUPLING_SQL + f" SELECT model_name, category, n_events, {r('mean_distance')}, within_near, {r('pct_within_near')} FROM summary")

@@ -51,7 +51,7 @@ def step_density(sentences: DataFrame, keys: list[str], lexicon: dict[str, list[
 
 
 def marker_positions(sentences: DataFrame, keys: list[str], lexicon: dict[str, list[str]] = MARKERS) -> DataFrame:
-    """(keys, pos, category) of every category that occurs in a sentence, however often."""
+    """(keys, pos, category) of every category that occurs in a sentence, however often; ``keys`` may name more columns to carry."""
     hit = lambda ps: reduce(or_, [F.coalesce(F.col("sentence").rlike(f"(?iu){p}"), F.lit(False)) for p in ps])
     found = F.array_compact(F.array(*[F.when(hit(ps), F.lit(c)) for c, ps in lexicon.items()]))
     return sentences.select(*keys, "pos", F.explode_outer(found).alias("category")).filter("category is not null")

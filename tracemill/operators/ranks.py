@@ -23,14 +23,18 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, measures: dict[str
 
     Rows are first combined by value (map-side). Each group's values are cut to ranges at approximate quantiles; ranges
     give offsets, and ranks within a range come from a window over its distinct values only. Null values have no rank.
+
+    Three branches read the combined values. Each refers to all their columns (``whole``, never null), as branches with other
+    columns pruned would each compute the rows anew instead of sharing one shuffle.
     """
     rows = df.filter(F.col(value).isNotNull())
     values = rows.groupBy(*keys, value).agg(F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in measures.items()])
     parts = CUTS * CUTS
     flat = F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10 * parts)
-    cuts = values.groupBy(*keys).agg(flat.alias("flat")).select(*keys, F.transform(F.sequence(F.lit(0), F.lit(CUTS - 1)), lambda i: F.slice("flat", i * CUTS + 1, CUTS)).alias("cuts"))
+    whole = F.max(F.struct("n", *measures)).alias("whole")
+    cuts = values.groupBy(*keys).agg(flat.alias("flat"), whole).filter("whole is not null").select(*keys, F.transform(F.sequence(F.lit(0), F.lit(CUTS - 1)), lambda i: F.slice("flat", i * CUTS + 1, CUTS)).alias("cuts"))
     placed = values.join(cuts, keys).withColumns({"range": _range_of(F.col(value)), "mid": F.get(F.get("cuts", F.lit(CUTS // 2)), F.lit(0))}).drop("cuts")
-    totals = placed.groupBy(*keys, "range").agg(F.sum("n").alias("range_n"))
+    totals = placed.groupBy(*keys, "range").agg(F.sum("n").alias("range_n"), whole).filter("whole is not null").drop("whole")
     group = Window.partitionBy(*keys)  # over one row per range
     before = F.sum("range_n").over(group.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.withColumns({"offset": F.coalesce(before, F.lit(0)), "total": F.sum("range_n").over(group)}).drop("range_n")
