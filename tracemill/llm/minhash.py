@@ -231,8 +231,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
        however large, are one node from here on.
     3. Nodes that share a key form a bucket. Each bucket gives a star, edges from its smallest node to the others, so
        candidates grow with bucket sizes and not with their squares.
-    4. Edges are confirmed on full sets, each node's most promising edge first; then the edges between different
-       stars. Nodes of buckets that still hold several components of like sizes are sketched afresh, with new
+    4. Edges are confirmed on full sets. Nodes of buckets that still hold several components of like sizes are sketched afresh, with new
        permutations and bands of ``FINE_ROWS`` bins, which hold little but like nodes, and get stars around centres
        drawn by hash. An edge within a component can't change the result and isn't checked.
     5. Buckets of fine bands that then still hold several components are finished exactly (``_finish``), as centres are
@@ -281,18 +280,17 @@ def _components(scratch: Scratch, rows: DataFrame, shingle: int, percent: int) -
     grams = scratch.save(texts.select("node", "text", "n").mapInArrow(_sets(shingle), "node long, n long, grams binary"), "grams")
 
     def confirm(edges: DataFrame, name: str) -> DataFrame:
-        """The edges (u, v) with ``linked``; a node of many edges has its set copied, so that they meet it in several tasks."""
-        edges, sides = edges.select("u", "v"), {}
-        for end in ("u", "v"):
-            ends = edges.groupBy(end).agg(F.ceil(F.count("*") / HUB_EDGES).cast("int").alias(f"{end}_cuts"))  # only sets of these are moved
-            salts = F.explode(F.sequence(F.lit(0), F.col(f"{end}_cuts") - 1)).alias(f"{end}_salt")
-            sides[end] = grams.select(F.col("node").alias(end), F.col("grams").alias(f"{end}_set")).join(ends, end).select(end, f"{end}_set", salts)
-            edges = edges.join(ends, end).withColumn(f"{end}_salt", F.pmod(F.xxhash64("u", "v"), f"{end}_cuts").cast("int")).drop(f"{end}_cuts")
-        found = edges.join(sides["u"], ["u", "u_salt"]).join(sides["v"], ["v", "v_salt"])
+        """The edges (u, v) with ``linked``, of which v may be a hub: its set is copied, so that its edges meet it in several tasks."""
+        edges = edges.select("u", "v")
+        hubs = edges.groupBy("v").agg(F.ceil(F.count("*") / HUB_EDGES).cast("int").alias("cuts"))
+        b = grams.select(F.col("node").alias("v"), F.col("grams").alias("v_set")).join(hubs, "v").select("v", "v_set", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("salt"))
+        a = grams.select(F.col("node").alias("u"), F.col("grams").alias("u_set"))
+        edges = edges.join(hubs, "v").select("u", "v", F.pmod(F.xxhash64("u"), "cuts").cast("int").alias("salt"))
+        found = edges.join(a, "u").join(b, ["v", "salt"])
         return scratch.save(found.select("u", "v", "u_set", "v_set").mapInArrow(_confirm(percent), "u long, v long, linked boolean"), name)
 
     def stars(members: DataFrame, turn: int) -> DataFrame:
-        """Edges from each bucket's centre, its smallest node or in a later turn one drawn by hash, to its other members.
+        """Edges to each bucket's centre v, its smallest node or in a later turn one drawn by hash, from its other members u.
 
         Members have a ``part``: buckets of one part give no star, and no edge stays within a part.
         """
@@ -300,12 +298,7 @@ def _components(scratch: Scratch, rows: DataFrame, shingle: int, percent: int) -
         ends = [F.min("part").alias("lo"), F.max("part").alias("hi")]
         centre = members.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "part")).alias("c"), *ends).filter("lo < hi").select("key", "c")
         pairs = members.join(centre, "key").filter("part <> c.part and 100 * least(n, c.n) >= %d * greatest(n, c.n)" % percent)
-        return pairs.groupBy(F.greatest("node", "c.node").alias("u"), F.least("node", "c.node").alias("v")).agg(F.count("*").alias("shared"))
-
-    def between(pairs: DataFrame, homes: DataFrame) -> DataFrame:
-        """The pairs whose ends have different homes; a node without one is its own."""
-        at = lambda side: homes.select(F.col("node").alias(side), F.col("component").alias(f"{side}_home"))
-        return pairs.join(at("u"), "u", "left").join(at("v"), "v", "left").filter("coalesce(u_home, u) <> coalesce(v_home, v)").select("u", "v")
+        return pairs.select(F.col("node").alias("u"), F.col("c.node").alias("v")).distinct()
 
     def in_parts(members: DataFrame, parts: DataFrame) -> DataFrame:
         return members.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
@@ -316,10 +309,7 @@ def _components(scratch: Scratch, rows: DataFrame, shingle: int, percent: int) -
         return classed.join(_mixed(classed), ["key", "class"], "left_semi").select("node", "part").distinct()
 
     candidates = scratch.save(stars(buckets.withColumn("part", F.col("node")), 0), "stars")
-    best = candidates.groupBy("u").agg(F.max_by("v", F.struct("shared", -F.col("v"))).alias("v"))
-    links = confirm(best, "links-best").filter("linked").select("u", "v")
-    rest = scratch.save(between(candidates, links.toDF("node", "component")), "rest")
-    links = links.unionByName(confirm(rest, "links-rest").filter("linked").select("u", "v"))
+    links = confirm(candidates, "links").filter("linked").select("u", "v")
     parts = connected_components(scratch, links, "parts")
     open_ = scratch.save(open_nodes(in_parts(buckets, parts)), "open")
     if not open_.isEmpty():
@@ -336,7 +326,7 @@ def _components(scratch: Scratch, rows: DataFrame, shingle: int, percent: int) -
             links = links.unionByName(_finish(scratch, grams, left, confirm, percent))
             parts = connected_components(scratch, links, "parts-last")
 
-    scratch.drop("buckets", "candidates", "grams", "stars", "links-best", "rest", "links-rest", "open", "fine", "fine-mixed", "pairs", "links-fine", "left", *FINISH_TABLES)
+    scratch.drop("buckets", "candidates", "grams", "stars", "links", "open", "fine", "fine-mixed", "pairs", "links-fine", "left", *FINISH_TABLES)
     member = sketch.join(nodes.select("n", "k1", "k2", "node"), ["n", "k1", "k2"], "left")
     out = member.join(parts, "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "node", "doc_id")).cast("long")
