@@ -185,7 +185,7 @@ SHAPE = "doc_id long, text string, n_words long, hits array<struct<a:long,b:long
 def find_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Locate every benchmark window in every document.
 
-    A shard is about 1 MB of whole documents within a task: its suffix array (word suffixes, sorted by their first
+    A shard is about half a MB of whole documents within a task: its suffix array (word suffixes, sorted by their first
     ``window`` words) is searched for all distinct benchmark windows at once by binary search, and hits that follow each other
     in an item and in a document are joined to longest matches, which are then compared word by word. Suffixes that hold a word that no
     item has are left out of the arrays. Words are A-Z-lower-cased runs of ASCII letters and digits and non-ASCII characters.

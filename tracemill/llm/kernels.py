@@ -7,8 +7,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 MULT = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
-#: Bytes of text handled at once: temporaries are about 80 times this.
-BLOCK_BYTES = 1 << 20
+#: Bytes of text handled at once: temporaries are about 80 times this. Longer texts are taken in pieces of this size.
+BLOCK_BYTES = 1 << 19
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -108,7 +108,31 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.nda
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_sums(CODES[data]), starts, ends)
+    """64-bit hashes of words, a block of bytes at a time."""
+    if len(data) <= 2 * BLOCK_BYTES:
+        return span_hash(prefix_sums(CODES[data]), starts, ends)
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), BLOCK_BYTES)), len(starts)))
+    out = [starts[:0].view(U64)]
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        begin = int(starts[lo])
+        part = data[begin : int(ends[hi - 1])]
+        out.append(span_hash(prefix_sums(CODES[part]), starts[lo:hi] - begin, ends[lo:hi] - begin))
+    return np.concatenate(out)
+
+
+def pieces(data: np.ndarray, inside: np.ndarray, limit: int = BLOCK_BYTES):
+    """(begin, end) of pieces of about ``limit`` bytes that are cut behind bytes outside of ``inside`` only."""
+    begin, n = 0, len(data)
+    while begin < n:
+        end = min(begin + limit, n)
+        while end < n:  # to behind the next byte where a cut may be
+            ahead = np.flatnonzero(~inside[data[end - 1 : end - 1 + limit]])
+            if len(ahead):
+                end += int(ahead[0])
+                break
+            end = min(end + limit, n)
+        yield begin, end
+        begin = end
 
 
 def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:

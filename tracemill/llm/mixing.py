@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,14 +81,14 @@ def _words(text: str) -> Column:
 def _subtrees(shards: int, top: int, seed: int):
     """Runs of every source's draw list, one per shard that gets any: (rank, shard, begin, end)."""
 
-    def run(frames):
-        for frame in frames:
-            for node, quotas, begins in zip(frame["node"], frame["quotas"], frame["begins"]):
+    def run(batches):
+        for batch in batches:
+            for node, quotas, begins in zip(*(batch.column(c).to_pylist() for c in ("node", "quotas", "begins"))):
                 lo, hi = node * shards // top, (node + 1) * shards // top
                 counts = split_tree(np.asarray(quotas, np.int64), hi - lo, seed + 1 + int(node))
                 ends = np.asarray(begins, np.int64) + counts.cumsum(axis=0)
                 shard, rank = np.nonzero(counts)
-                yield pd.DataFrame({"rank": rank.astype(np.int32), "shard": (lo + shard).astype(np.int32), "begin": (ends - counts)[shard, rank], "end": ends[shard, rank]})
+                yield pa.RecordBatch.from_arrays([pa.array(rank.astype(np.int32)), pa.array((lo + shard).astype(np.int32)), pa.array((ends - counts)[shard, rank]), pa.array(ends[shard, rank])], names=["rank", "shard", "begin", "end"])
 
     return run
 
@@ -198,7 +199,7 @@ def plan_mix(
     counts = split_tree(lists, top, seed, [k * shards // top for k in range(top + 1)])
     begins = counts.cumsum(axis=0) - counts
     nodes = spark.createDataFrame([(k, counts[k].tolist(), begins[k].tolist()) for k in range(top)], "node int, quotas array<long>, begins array<long>")
-    dealt = nodes.repartition(min(top, 64)).mapInPandas(_subtrees(shards, top, seed), "rank int, shard int, begin long, end long")
+    dealt = nodes.repartition(min(top, 64)).mapInArrow(_subtrees(shards, top, seed), "rank int, shard int, begin long, end long")
     steps = [(i, int(quotas[i]["n"]), max(1, -(-int(lists[i]) // shards))) for i in range(len(sizes))]
     steps = F.broadcast(spark.createDataFrame(steps, "rank int, n long, step long"))
     dealt = dealt.join(steps.drop("n"), "rank").withColumn("coarse", F.explode(F.sequence(F.expr("begin div step"), F.expr("(end - 1) div step")))).drop("step")
@@ -212,7 +213,7 @@ def plan_mix(
     # Opened blocks: one per source at most, each of about block_words words.
     opened = F.broadcast(blocks.filter("state = 'cut'").select("rank", "block", "room"))
     opened = _placed(sized, targets, seed).join(opened, ["rank", "block"]).select("rank", "doc_id", "size", "ord", "room")
-    fitted = scratch.save(opened.groupBy("rank").applyInPandas(_fit, "rank int, doc_id long, size long, extra long"), "fitted")
+    fitted = scratch.save(opened.groupBy("rank").applyInArrow(_fit, "rank int, doc_id long, size long, extra long"), "fitted")
     return Mix(targets, blocks.drop("room"), fitted, shards, seed)
 
 
@@ -245,22 +246,24 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFram
     return drawn.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def _fit(block: pd.DataFrame) -> pd.DataFrame:
+def _fit(block: pa.Table) -> pa.Table:
     """Words to take of each document of an opened block: whole documents in permuted order while they fit.
 
     The first document that doesn't fit is cut to what room is left at the end. Repeated rows stand or fall together, uncut.
     """
-    block = block.assign(alike=1).groupby(["ord", "doc_id", "size", "rank", "room"], dropna=False, as_index=False, sort=True)["alike"].sum()
-    room, taken, cut = int(block["room"].iloc[0]) if len(block) else 0, [], None
-    for i, (size, alike) in enumerate(zip(block["size"], block["alike"])):
-        fits = 0 < size * alike <= room
-        room -= int(size * alike) * fits
-        taken.append(int(size) * fits)
-        if not fits and cut is None and alike == 1 and size > 0:
-            cut = i
+    alike = Counter(zip(*(block.column(c).to_pylist() for c in ("ord", "doc_id", "size"))))
+    rank, room = block.column("rank")[0].as_py(), block.column("room")[0].as_py()
+    out, cut = [], None
+    for (order, doc_id, size), n in sorted(alike.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or 0, x[0][2])):
+        fits = 0 < size * n <= room
+        room -= size * n * fits
+        if not fits and cut is None and n == 1 and size > 0:
+            cut = len(out)
+        out.append([doc_id, size, size * fits])
     if cut is not None and room > 0:
-        taken[cut] = min(room, int(block["size"].iloc[cut]))
-    return block.assign(extra=np.array(taken, dtype=np.int64))[["rank", "doc_id", "size", "extra"]]
+        out[cut][2] = min(room, out[cut][1])
+    doc_id, size, extra = zip(*out)
+    return pa.table({"rank": pa.array([rank] * len(out), pa.int32()), "doc_id": pa.array(doc_id, pa.int64()), "size": pa.array(size, pa.int64()), "extra": pa.array(extra, pa.int64())})
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
