@@ -345,3 +345,77 @@ def test_op9_long_text():
     scorer = Scorer(good, bad)
     start, end, worse = (scorer.difference(x) for x in (good[:100_000] + filler, filler + good[:100_000], filler + bad[:100_000]))
     assert start > 20 and abs(end - start) < 0.1 * start and worse < -20
+
+
+MEMORY = """
+import resource, sys
+import numpy as np, pyarrow as pa
+sys.path.insert(0, {root!r})
+from tracemill.llm import decontaminate, kernels, language, minhash, token_output, windows
+import public_tokenizers
+rng = np.random.default_rng(1)
+words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(5000)]
+text = pa.array([b" ".join(words[i] for i in rng.integers(0, 5000, 2_500_000)).decode()])
+batch = lambda **k: pa.RecordBatch.from_arrays(list(k.values()), names=list(k))
+token_output.encoder(public_tokenizers.path("word_bpe_49k.json"))
+before, size = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, text.nbytes / 1024
+for name in sys.argv[1:]:
+    if name == "op8":
+        list(minhash._sketch(4, 80)([batch(doc_id=pa.array([1]), text=text)]))
+    elif name in ("op2", "op4"):
+        unit = windows.Unit(100, 24, False, False) if name == "op2" else windows.Unit(35, 8, True, True)
+        for rows in windows._seeds(unit)([batch(key=pa.array([1]), text=text)]):
+            pass
+    elif name == "op10":
+        language.features(*list(kernels.text_blocks(text))[0][2:])
+    elif name == "op7":
+        from pyspark import TaskContext
+        TaskContext.get = classmethod(lambda cls: type("T", (), {{"partitionId": lambda self: 0}})())
+        for row in token_output._encode(public_tokenizers.path("word_bpe_49k.json"), 2)([batch(doc_id=pa.array([1]), text=text)]):
+            pass
+    print(name, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / size)
+"""
+
+
+@pytest.mark.parametrize("name", ["op2", "op4", "op7", "op8", "op10"])
+def test_memory_of_a_long_text(name):
+    """A text of 15 MB: temporaries stay within some multiples of it (they are about 80 times a block of half a MB)."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    out = subprocess.run([sys.executable, "-c", MEMORY.format(root=str(Path(__file__).resolve().parents[2])), name], capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert float(out.stdout.split()[-1]) < 30
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    """Texts of many pieces against the plain versions."""
+    import random
+
+    import numpy as np
+
+    from tracemill.llm import kernels, language, windows
+
+    monkeypatch.setattr(kernels, "BLOCK_BYTES", 300)
+    rng = random.Random(4)
+    made = " ".join(rng.choice(["alpha", "be", "gämma", "d" * 700, "eps", "z"]) for _ in range(900))
+    for unit in (windows.Unit(20, 6, False, False), windows.Unit(5, 2, True, True)):
+        found = {}
+        for big in (300, 1 << 20):
+            monkeypatch.setattr(kernels, "BLOCK_BYTES", big)
+            symbols, first = unit.symbols(np.frombuffer(made.encode(), np.uint8), np.array([0, len(made.encode())]))
+            rows = set()
+            for begin, codes, at in unit.parts(symbols, first):
+                mh, _, _, start, n = windows.window_seeds(codes, at, unit)
+                rows |= {(int(h), int(s) + begin + k) for h, s, m in zip(mh, start, n) for k in range(int(m))}
+            found[big] = rows
+        assert found[300] == found[1 << 20] and len(found[300]) == len(symbols) - unit.size + 1
+    features = {}
+    for big in (300, 1 << 20):
+        monkeypatch.setattr(kernels, "BLOCK_BYTES", big)
+        data = np.frombuffer(made.encode(), np.uint8)
+        features[big] = language.features(data, np.array([0, len(data)]))
+    assert np.allclose(features[300], features[1 << 20])
+    cuts = list(kernels.pieces(np.frombuffer(made.encode(), np.uint8), kernels.SPACE_WORDS, 300))
+    assert b"".join(made.encode()[a:b] for a, b in cuts) == made.encode() and all(made.encode()[b - 1 : b] == b" " for _, b in cuts[:-1])

@@ -45,21 +45,34 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Rows of hashed counts of 1-, 2- and 3-byte grams of each text, A-Z lower-cased: square roots, unit length."""
+    """Rows of hashed counts of 1-, 2- and 3-byte grams of each text, A-Z lower-cased: square roots, unit length.
+
+    A long text is counted in pieces, each with two bytes of the next, of which no gram of its own begins.
+    """
+    n, step = len(offs) - 1, K.BLOCK_BYTES
+    if n == 1 and len(data) > 2 * step:
+        out = sum(_counts(data[a : a + step + 2], np.array([0, min(step + 2, len(data) - a)]), step) for a in range(0, len(data), step))
+    else:
+        out = _counts(data, offs, len(data))
+    x = np.sqrt(out.reshape(n, DIMENSIONS).astype(np.float32))
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
+
+
+def _counts(data: np.ndarray, offs: np.ndarray, begins: int) -> np.ndarray:
+    """Hashed counts of the grams that begin before the byte ``begins``, text after text."""
     n = len(offs) - 1
     b = K.FOLD[data].astype(np.int64)
     own = np.repeat(np.arange(n, dtype=np.int64), np.diff(offs)) * DIMENSIONS
     size = np.diff(offs)
     room = np.repeat(offs[1:], size) - np.arange(len(b)) if len(b) else np.zeros(0, np.int64)  # bytes from here to the text's end
-    out = np.bincount(own + b, minlength=n * DIMENSIONS)
+    out = np.bincount((own + b)[:begins], minlength=n * DIMENSIONS)
     for k, (m1, m2) in ((2, (263, 0)), (3, (69_069, 331))):
         if len(b) >= k:
             h = b[: len(b) - k + 1] * m1 + b[1 : len(b) - k + 2] * 40_503 + (b[2:] * m2 if k == 3 else 0)
             h = ((h * 2_654_435_761) >> 15) & (DIMENSIONS - 1)
-            ok = room[: len(h)] >= k
+            ok = (room[: len(h)] >= k) & (np.arange(len(h)) < begins)
             out += np.bincount((own[: len(h)] + h)[ok], minlength=n * DIMENSIONS)
-    x = np.sqrt(out.reshape(n, DIMENSIONS).astype(np.float32))
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
+    return out
 
 
 class Model:

@@ -239,6 +239,8 @@ def _encode(path: str, end_id: int):
                 if special:
                     texts = [data[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:])]
                     found = [np.array(tool.whole(t.decode("utf-8")), np.uint32) if b"<|" in t else tool.encode(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
+                elif hi - lo == 1 and tool.by_units and len(data) > 2 * K.BLOCK_BYTES:  # a long text, cut at white space
+                    found = [np.concatenate([tool.encode(data[a:b], np.array([0, b - a]))[0] for a, b in K.pieces(data, CLASS != SPACE)])]
                 else:
                     ids, n = tool.encode(data, offs)
                     found = np.split(ids, np.cumsum(n)[:-1])

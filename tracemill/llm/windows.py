@@ -40,12 +40,25 @@ class Unit:
     mark_first: bool
 
     def symbols(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(one 64-bit code per symbol, first symbol of each text and the end)."""
+        """(symbols, first symbol of each text and the end): bytes, or 64-bit codes of words."""
         if not self.by_words:
-            return K.CODES[data], offs
+            return data, offs
         starts, ends, first = K.words(data, offs, K.SPACE_WORDS)
         return K.word_hashes(data, starts, ends), first
 
+    def codes(self, symbols: np.ndarray) -> np.ndarray:
+        """A 64-bit code per symbol."""
+        return symbols if self.by_words else K.CODES[symbols]
+
+    def parts(self, symbols: np.ndarray, first: np.ndarray):
+        """(begin, codes, first) of runs of symbols to be handled at once; runs of a long text hold each of its windows once."""
+        if len(first) > 2 or len(symbols) <= 2 * K.BLOCK_BYTES:
+            yield 0, self.codes(symbols), first
+            return
+        for a in range(0, len(symbols) - self.size + 1, K.BLOCK_BYTES):
+            run = self.codes(symbols[a : a + K.BLOCK_BYTES + self.size - 1])
+            yield a, run, np.array([0, len(run)])
+
 
 def keyed(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """(key, doc_id, text) with keys that are unique and ascend with doc_id.
@@ -67,15 +80,16 @@ def window_seeds(codes: np.ndarray, first: np.ndarray, unit: Unit) -> tuple[np.n
     sums = K.prefix_sums(codes)
     at = np.arange(len(codes) - unit.gram + 1)
     grams = K.span_hash(sums, at, at + unit.gram)
-    bits = np.uint64(max(1, int(len(codes)).bit_length()))
-    ranked = ((grams >> bits) << bits) | at.astype(np.uint64)  # hash, then place: the leftmost of equals wins
-    span, width = unit.size - unit.gram + 1, 1
-    while 2 * width <= span:
-        ranked = np.minimum(ranked[:-width], ranked[width:])
-        width *= 2
-    if width < span:
-        ranked = np.minimum(ranked[: len(ranked) - (span - width)], ranked[span - width :])
-    seed = (ranked & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    # Sliding minimum by doubling: the place of the least whole hash of a window, and of equals the leftmost, so that a
+    # window's seed depends on the window alone.
+    seed, least, span, width = at.astype(np.int32), grams, unit.size - unit.gram + 1, 1
+    while width < span:
+        step = min(width, span - width)
+        right = least[step:] < least[:-step]
+        seed = np.where(right, seed[step:], seed[:-step])
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    seed = seed.astype(np.int64)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(seed)]
     fits = np.arange(len(seed)) + unit.size <= first[1:][text]
     starts = np.flatnonzero(fits)
@@ -95,9 +109,9 @@ def _seeds(unit: Unit):
         for batch in batches:
             keys, found = K.column(batch, "key").to_numpy(), []
             for lo, hi, data, offs in K.text_blocks(K.column(batch, "text")):
-                codes, first = unit.symbols(data, offs)
-                mh, ph, text, start, n = window_seeds(codes, first, unit)
-                found.append((mh, ph, keys[lo:hi][text], start, n))
+                for begin, codes, first in unit.parts(*unit.symbols(data, offs)):
+                    mh, ph, text, start, n = window_seeds(codes, first, unit)
+                    found.append((mh, ph, keys[lo:hi][text], start + begin, n))
             if not found:
                 continue
             mh, ph, key, start, n = (np.concatenate(x) for x in zip(*found))
@@ -163,18 +177,16 @@ def _extract(unit: Unit):
             keys, lists = K.column(batch, "key").to_pylist(), K.column(batch, "pieces").to_pylist()
             out_mh, out_key, out_start, out_n, out_body = [], [], [], [], []
             for lo, hi, data, offs in K.text_blocks(K.column(batch, "text")):
-                codes, first = unit.symbols(data, offs)
-                raw = codes.tobytes() if unit.by_words else data.tobytes()
-                wide = 8 if unit.by_words else 1
-                sums = None
+                symbols, first = unit.symbols(data, offs)
+                raw, wide = symbols.tobytes(), symbols.itemsize
                 for i in range(lo, hi):
                     base = int(first[i - lo])
                     for piece in lists[i]:
                         a, n = base + piece["start"], piece["n"]
                         if piece["hot"]:
-                            sums = K.prefix_sums(codes) if sums is None else sums
-                            at = np.arange(a, a + n)
-                            runs = [(int(h), int(s), 1) for h, s in zip(K.span_hash(sums, at, at + unit.size).view(np.int64), at)]
+                            at = np.arange(n)
+                            sums = K.prefix_sums(unit.codes(symbols[a : a + n + unit.size - 1]))
+                            runs = [(int(h), int(s), 1) for h, s in zip(K.span_hash(sums, at, at + unit.size).view(np.int64), at + a)]
                         else:
                             runs = [(piece["mh"], a, n)]
                         for mh, s, k in runs:
