@@ -419,3 +419,32 @@ def test_long_texts_in_pieces(spark, monkeypatch):
     assert np.allclose(features[300], features[1 << 20])
     cuts = list(kernels.pieces(np.frombuffer(made.encode(), np.uint8), kernels.SPACE_WORDS, 300))
     assert b"".join(made.encode()[a:b] for a, b in cuts) == made.encode() and all(made.encode()[b - 1 : b] == b" " for _, b in cuts[:-1])
+
+
+def test_pieces_remembered_by_a_task(spark):
+    """Copies over many batches of one task: marks are right whatever the order of keys, and one row a piece goes on."""
+    import random
+
+    import pyarrow as pa
+
+    from tracemill.llm import substring_dedup, suffix_dedup, windows
+
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    made = [(i, " ".join(base if i % 3 else [f"x{rng.random()}" for _ in range(50)])) for i in range(90)]
+    rng.shuffle(made)
+    df = spark.createDataFrame(made, "doc_id long, text string").coalesce(1)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = rows(substring_dedup.repeated_words(spark, df, 9, 4), "doc_id", "n_words", "n_removed", "kept_sha256")
+        bytes_ = rows(suffix_dedup.repeated_bytes(spark, df, 30, 8), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert got == Counter(brute.repeated_words(made, 9)) and bytes_ == Counter(brute.repeated_bytes(made, 30))
+    unit = windows.Unit(9, 4, True, True)
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t])], names=["key", "text"]) for k, t in sorted(made)]
+    out = pa.Table.from_batches(list(windows._seeds(unit)(batches))).to_pylist()
+    copies = [k for k, t in made if t.startswith("w0")]
+    pieces = len({r["mh"] for r in out if r["n"] > 0 and r["key"] in copies})
+    assert sum(r["n"] > 0 for r in out if r["key"] in copies) == pieces < len(copies)

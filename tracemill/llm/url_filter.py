@@ -19,7 +19,7 @@ RULES = [
 #: Verdict of a url that no rule fits.
 DEFAULT = "allow"
 #: Urls of a domain in one task at least, and domains that can be larger than their share of all urls.
-DOMAIN_URLS, HOT_DOMAINS = 10_000, 100_000
+DOMAIN_URLS, HOT_DOMAINS = 1000, 100_000
 
 
 def url_parts(url):

@@ -102,10 +102,39 @@ def window_seeds(codes: np.ndarray, first: np.ndarray, unit: Unit) -> tuple[np.n
     return grams[seed[head]], K.span_hash(sums, begin, begin + n + unit.size - 1), text[head], begin - first[text[head]], n
 
 
+class Seen:
+    """First occurrences of pieces that a task has met: a table of fixed size, in which a new piece takes its slot's place.
+
+    What it forgets is combined after the shuffle as well; what it remembers leaves one row per task, however often a
+    piece occurs.
+    """
+
+    def __init__(self, slots: int = 1 << 18):
+        self.mask = np.uint64(slots - 1)
+        self.mh, self.ph = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.key, self.start, self.n = (np.zeros(slots, np.int64) for _ in range(3))
+        self.full, self.told = np.zeros(slots, bool), np.zeros(slots, bool)
+
+    def meet(self, mh, ph, key, start, n) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """(which of these distinct pieces stand after one met before, the ones met that weren't told to be repeated yet)."""
+        slot = (K.mix64(mh ^ ph) & self.mask).astype(np.int64)
+        known = self.full[slot] & (self.mh[slot] == mh) & (self.ph[slot] == ph)
+        later = known & ((key > self.key[slot]) | ((key == self.key[slot]) & (start > self.start[slot])))
+        first = np.unique(slot[later & ~self.told[slot]])
+        told = tuple(x[first] for x in (self.key, self.start, self.n))
+        self.told[first] = True
+        new = ~later
+        at = slot[new]
+        self.mh[at], self.ph[at], self.key[at], self.start[at], self.n[at] = (x[new] for x in (mh, ph, key, start, n))
+        self.full[at], self.told[at] = True, False
+        return later, told
+
+
 def _seeds(unit: Unit):
-    """Pieces of all texts. Equal pieces within a batch leave one row; the windows of the others are marks (n < 0)."""
+    """Pieces of all texts. Equal pieces that a task remembers leave one row; the windows of the others are marks (n < 0)."""
 
     def run(batches):
+        seen = Seen()
         for batch in batches:
             keys, found = K.column(batch, "key").to_numpy(), []
             for lo, hi, data, offs in K.text_blocks(K.column(batch, "text")):
@@ -121,6 +150,14 @@ def _seeds(unit: Unit):
             marked = same.copy()
             if unit.mark_first:
                 marked[:-1] |= same[1:]
+            head = np.flatnonzero(~same)
+            later, told = seen.meet(*(x[head] for x in (mh, ph, key, start, n)))
+            marked[head[later]] = True
+            same[head[later]] = True
+            if unit.mark_first:
+                key, start, n = (np.concatenate((x, t)) for x, t in zip((key, start, n), told))
+                mh, ph = (np.concatenate((x, np.zeros(len(told[0]), np.uint64))) for x in (mh, ph))
+                same, marked = (np.concatenate((x, np.ones(len(told[0]), bool))) for x in (same, marked))
             parts = [(mh[~same], ph[~same], key[~same], start[~same], n[~same]), (K.mix64(key[marked].view(np.uint64) + start[marked].astype(np.uint64) * np.uint64(K.MULT)), np.zeros(int(marked.sum()), np.uint64), key[marked], start[marked], -n[marked])]
             mh, ph, key, start, n = (np.concatenate(x) for x in zip(*parts))
             yield pa.RecordBatch.from_arrays([pa.array(mh.view(np.int64)), pa.array(ph.view(np.int64)), pa.array(key), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["mh", "ph", "key", "start", "n"])
