@@ -16,7 +16,7 @@ SQL = analysis.ORACLE_SQL | texts.ORACLE_SQL
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in "region nation events documents embeddings orders labels".split():
+    for t in "region nation customer events documents embeddings orders labels".split():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 

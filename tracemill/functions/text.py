@@ -230,6 +230,11 @@ def chosen_option(answer: Column, thinking: Column) -> Column:
     return F.coalesce(predicted_option(remove_repetitions(answer)), predicted_option(remove_repetitions(thinking)))
 
 
+def kept_answer(answer: Column, most: int = 2000) -> Column:
+    """P5: the first characters of an answer; the second generator keeps 3000."""
+    return F.substring(answer, 1, most)
+
+
 def options_text(options: Column) -> Column:
     """Lines "K) V" in order of the keys."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(options)), lambda e: F.concat(e["key"], F.lit(") "), e["value"])), "\n")

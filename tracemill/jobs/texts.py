@@ -186,6 +186,13 @@ def marker_tests(spark, sf_dir):
     return rounded(G.with_rho_p(correlations(spark, sf_dir)))
 
 
+@job()
+def marker_table(spark, sf_dir):
+    """The third pilot's table: correlations, p and densities of whole texts as reports round them."""
+    t = G.with_rho_p(correlations(spark, sf_dir).filter("region = 'all'"))
+    return t.select("model_name", "category", F.round("rho", 3).alias("rho"), F.round("p", 4).alias("p"), *[F.round(c, 2).alias(c) for c in ("mean_density_correct", "mean_density_incorrect")], "passes_rho")
+
+
 @job(RHO_SQL + f""" SELECT model_name, category, {r("max(rho) FILTER (region = 'early')", 'early_rho')}, {r("max(rho) FILTER (region = 'late')", 'late_rho')},
 CASE WHEN abs(max(rho) FILTER (region = 'early')) > abs(max(rho) FILTER (region = 'late')) THEN 'EARLY' ELSE 'LATE' END AS stronger FROM rho WHERE region <> 'all' GROUP BY ALL""")
 def early_or_late(spark, sf_dir):
@@ -269,26 +276,28 @@ def clean_traces(spark, sf_dir):
     return t.select("doc_id", F.length("thinking_text").alias("chars"), F.length("cleaned").alias("kept_chars"), F.md5(F.col("cleaned").cast("binary")).alias("digest"))
 
 
-@job("WITH " + T.TRACES + f" SELECT model_name, count(*) AS n_traces, count(*) FILTER (is_correct) AS n_correct, {r('avg(is_correct::INT)', 'accuracy')}, count(*) FILTER (starts_with(thinking_text, 'ERROR')) AS n_errors, {r('avg(thinking_chars)', 'mean_chars')}, {r('avg(length(left(thinking_text, 2000)))', 'mean_kept')} FROM traces GROUP BY ALL")
+@job("WITH " + T.TRACES + f" SELECT model_name, count(*) AS n_traces, count(*) FILTER (is_correct) AS n_correct, {r('avg(is_correct::INT)', 'accuracy')}, count(*) FILTER (starts_with(thinking_text, 'ERROR')) AS n_errors, {r('avg(thinking_chars)', 'mean_chars')}, {r('avg(length(left(thinking_text, 2000)))', 'mean_kept')}, {r('avg(length(left(thinking_text, 3000)))', 'mean_kept_long')} FROM traces GROUP BY ALL")
 def run_summary(spark, sf_dir):
     """G11, S8, P5, P6."""
     t = T.traces(spark, sf_dir).withColumns({"raw_output": F.col("thinking_text"), "predicted_option": F.lit(None).cast("string")})
     s = consensus.run_summary(t).drop("n_parsed")
-    kept = t.groupBy("model_name").agg(F.avg(F.length(F.substring("thinking_text", 1, 2000))).alias("mean_kept"))
+    kept = t.groupBy("model_name").agg(F.avg(F.length(X.kept_answer(F.col("thinking_text")))).alias("mean_kept"), F.avg(F.length(X.kept_answer(F.col("thinking_text"), 3000))).alias("mean_kept_long"))
     return rounded(s.join(kept, "model_name"))
 
 
 OPTIONS_SQL = "o AS (SELECT string_agg(chr(65 + r_regionkey) || ') ' || r_name, chr(10) ORDER BY r_regionkey) AS options_text FROM region)"
 
 
-@job("WITH " + OPTIONS_SQL + """ SELECT n_nationkey::BIGINT AS question_id, 'Where is ' || n_name || '?' || chr(10) || chr(10) || options_text AS prompt, chr(65 + n_regionkey) AS correct_answer, coalesce(r_name, '?') AS correct_text FROM nation CROSS JOIN o LEFT JOIN region ON r_regionkey = n_regionkey""")
+@job("WITH " + OPTIONS_SQL + """ SELECT c_custkey::BIGINT AS question_id, 'Where is ' || c_name || ' of ' || n_name || '?' || chr(10) || chr(10) || options_text AS prompt, chr(65 + n_regionkey) AS correct_answer, coalesce(r_name, '?') AS correct_text
+FROM customer JOIN nation ON n_nationkey = c_nationkey CROSS JOIN o LEFT JOIN region ON r_regionkey = n_regionkey""")
 def prompts(spark, sf_dir):
-    """P2, P3, J7 on fixed tables: questions about nations with regions as options (``trace_prompts`` grows with the tables)."""
+    """A question per customer with the regions as options."""
     letter = lambda c: F.char(F.lit(65) + F.col(c))
     options = T.read(spark, sf_dir, "region").agg(F.map_from_entries(F.collect_list(F.struct(letter("r_regionkey").alias("key"), F.col("r_name").alias("value")))).alias("options"))
-    q = T.read(spark, sf_dir, "nation").crossJoin(F.broadcast(options))  # one row
-    prompt = X.fill("Where is {name}?\n\n{options}", name=F.col("n_name"), options=X.options_text(F.col("options")))
-    return q.select(F.col("n_nationkey").cast("long").alias("question_id"), prompt.alias("prompt"), letter("n_regionkey").alias("correct_answer"), X.option_value(F.col("options"), letter("n_regionkey")).alias("correct_text"))
+    nations = T.read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").crossJoin(options)  # one row of options; a nation is a row of a fixed table
+    q = T.read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("n_nationkey")).join(F.broadcast(nations), "n_nationkey")
+    prompt = X.fill("Where is {name} of {nation}?\n\n{options}", name=F.col("c_name"), nation=F.col("n_name"), options=X.options_text(F.col("options")))
+    return q.select(F.col("c_custkey").cast("long").alias("question_id"), prompt.alias("prompt"), letter("n_regionkey").alias("correct_answer"), X.option_value(F.col("options"), letter("n_regionkey")).alias("correct_text"))
 
 
 @job("WITH " + T.TRACES + """, o AS (SELECT question_id, chr((65 + doc_id % 3)::INT) AS key, min(left(coalesce(thinking_text, ''), 40)) AS value, bool_or(is_correct) AS is_right FROM traces GROUP BY ALL)

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import text as X
+from tracemill.session import ship_package
 from tracemill.sources.traces import TRACE_SCHEMA, append_traces
 
 
 def cleaned(rows: DataFrame) -> DataFrame:
-    """Stateless work on traces, for streams and tables alike: the option predicted and lengths."""
+    """Stateless work on traces, for streams and tables alike: the option predicted (T4, repetitions removed) and lengths."""
+    ship_package(rows.sparkSession)
     return rows.withColumns({
-        "predicted_option": F.coalesce("predicted_option", X.predicted_option(F.col("final_answer")), X.predicted_option(F.col("thinking_text"))),
+        "predicted_option": F.coalesce("predicted_option", X.chosen_option(F.col("final_answer"), F.col("thinking_text"))),
         "thinking_char_count": F.coalesce("thinking_char_count", F.length("thinking_text")),
     })
 
