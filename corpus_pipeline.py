@@ -53,8 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written to the shared folder and read again by the next."""
-    scratch, docs = Scratch(spark, "pipeline"), read_table(spark, sf_dir, "documents")
+    """All stages on ``documents``, each written to the shared folder and read again by the next; what the next has read is dropped."""
+    scratch, docs, before = Scratch(spark, "pipeline"), read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        scratch.drop(*before)
+        before = [name]
+    out = STAGES[-1][1](spark, docs, sf_dir)  # reads its own files
+    scratch.drop(*before)
+    return out

@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tracemill.llm.queries import ORACLE_SQL, QUERIES
@@ -300,6 +301,67 @@ def test_op9(spark, edge):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
 
 
+def test_op9_scores_one_by_one(spark, edge):
+    """Scores of all rows against a plain loop with the fitted dictionaries and calibration."""
+    import math
+
+    import zstandard
+
+    from tracemill.llm.common import read_table
+    from tracemill.llm.quality import CHUNK_BYTES, LEVEL, fit_quality, held_out, score_quality
+
+    docs = read_table(spark, edge[0], "documents")
+    fit = fit_quality(spark, docs, read_table(spark, edge[0], "labels").filter(~held_out(F.col("doc_id"), 4, 2)))
+
+    def plain(text):
+        raw, total = (text or "").encode(), 0
+        for a in range(0, len(raw), CHUNK_BYTES):
+            size = [len(zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(raw[a : a + CHUNK_BYTES])) for d in (fit.bad, fit.good)]
+            total += size[0] - size[1]
+        return 1 / (1 + math.exp(-(fit.slope * (total / math.sqrt(len(raw)) if raw else 0.0) + fit.intercept)))
+
+    got = Counter((r.doc_id, round(r.score, 9)) for r in score_quality(spark, docs, fit).collect())
+    assert got == Counter((d, round(plain(t), 9)) for d, t in docs_of(edge))
+
+
+def test_op10_predictions_one_by_one(spark, edge):
+    """Predictions against grams counted one by one and every codeword's loss summed bit by bit."""
+    import math
+
+    from tracemill.llm.common import read_table
+    from tracemill.llm.language import DIMENSIONS, fit_languages, predict_languages
+
+    docs = read_table(spark, edge[0], "documents")
+    model = fit_languages(spark, docs)
+    got = {}
+    for r in predict_languages(spark, docs, model).collect():
+        got.setdefault(r.doc_id, set()).add((r.lang_pred, round(r.score, 3)))
+    for d, t in docs_of(edge)[:60]:
+        if d is None or t is None or not any(c.isalpha() for c in t) or len(t) > 3000:
+            continue
+        b, count = t.translate(brute.FOLD).encode(), Counter()
+        for i in range(len(b)):
+            count[b[i]] += 1
+            if i + 1 < len(b):
+                count[((b[i] * 263 + b[i + 1] * 40_503) * 2_654_435_761 >> 15) % DIMENSIONS] += 1
+            if i + 2 < len(b):
+                count[((b[i] * 69_069 + b[i + 1] * 40_503 + b[i + 2] * 331) * 2_654_435_761 >> 15) % DIMENSIONS] += 1
+        size = math.sqrt(sum(count.values()))
+        margin = [sum(math.sqrt(n) / size * float(model.weights[g, k]) for g, n in count.items()) + float(model.bias[k]) for k in range(model.code.shape[1])]
+        loss = [sum(math.log1p(math.exp(-m * int(c))) for m, c in zip(margin, word)) for word in model.code]
+        share = [math.exp(-4 * (x - min(loss)) / len(margin)) for x in loss]
+        best = loss.index(min(loss))
+        assert any(p == model.langs[best] and abs(s - share[best] / sum(share)) < 2e-3 for p, s in got[d]), d
+
+
+def test_op8_on_the_given_table(spark):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in QUERIES["op8_minhash"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == set(brute.near_components(pairs(table, "doc_id", "text")))
+
+
 def test_op9_held_out_accuracy(spark):
     import pyarrow.parquet as pq
 
