@@ -207,9 +207,13 @@ def _group(unit: Unit):
 
 
 def _extract(unit: Unit):
-    """The symbols of the listed pieces; those of hot seeds as single windows under their own hash."""
+    """The symbols of the listed pieces; those of hot seeds as single windows under their own hash.
+
+    Of windows that a task remembers (``Seen``) the later ones are marks (n < 0) and don't travel.
+    """
 
     def run(batches):
+        seen = Seen(1 << 16)
         for batch in batches:
             keys, lists = K.column(batch, "key").to_pylist(), K.column(batch, "pieces").to_pylist()
             out_mh, out_key, out_start, out_n, out_body = [], [], [], [], []
@@ -223,7 +227,16 @@ def _extract(unit: Unit):
                         if piece["hot"]:
                             at = np.arange(n)
                             sums = K.prefix_sums(unit.codes(symbols[a : a + n + unit.size - 1]))
-                            runs = [(int(h), int(s), 1) for h, s in zip(K.span_hash(sums, at, at + unit.size).view(np.int64), at + a)]
+                            hashes = K.span_hash(sums, at, at + unit.size)
+                            later, told = seen.meet(hashes, hashes, np.full(n, keys[i]), at + piece["start"], np.ones(n, np.int64))
+                            marks = [(keys[i], int(s) + piece["start"]) for s in at[later]]
+                            for k, s in marks + (list(zip(told[0].tolist(), told[1].tolist())) if unit.mark_first else []):
+                                out_mh.append(hash((k, s)))
+                                out_key.append(k)
+                                out_start.append(s)
+                                out_n.append(-1)
+                                out_body.append(b"")
+                            runs = [(int(h), int(s), 1) for h, s in zip(hashes[~later].view(np.int64), (at + a)[~later])]
                         else:
                             runs = [(piece["mh"], a, n)]
                         for mh, s, k in runs:
@@ -267,6 +280,10 @@ def _compare(unit: Unit, repeated: Callable):
             same = ([], [], [])
             bodies = K.column(batch, "body").to_pylist()
             for mh, key, start, n, body in zip(*(K.column(batch, c).to_pylist() for c in ("mh", "key", "start", "n")), bodies):
+                if n < 0:  # marked where it was read
+                    for x, y in zip(same, (key, start, -n)):
+                        x.append(y)
+                    continue
                 if mh != group:
                     if len(held) >= CHUNK:
                         found += flush()
