@@ -112,3 +112,11 @@ def test_append_of_repeated_and_null_keys(spark, tmp_path):
     assert {(r.question_id, r.raw_output) for r in spark.read.parquet(str(tmp_path / "o")).collect()} == {("q", "y"), (None, "z")}
     S.write_tables({"t": t}, str(tmp_path / "w"), "json")
     assert spark.read.json(str(tmp_path / "w" / "t")).count() == 3
+
+
+def test_long_runs_of_white_space(spark):
+    """Runs of white space cost their length, not its square."""
+    gap = " " * 300_000
+    made = f"One sentence of five words.{gap}\nAnother one of five words{gap}here. {gap}And the last one is short."
+    got = spark.createDataFrame([(made,)], "t string").select(X.sentences(F.col("t")).alias("s"), X.strip(F.col("t")).alias("x")).first()
+    assert [len(s.split()) for s in got.s] == [5, 6, 6] and got.x == made

@@ -15,7 +15,7 @@ DOT = "\u00a7DOT\u00a7"
 
 def strip(c: Column) -> Column:
     """Without white space, of any script, at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")  # each run of white space is tried once
 
 
 def word_count(c: Column) -> Column:
@@ -27,8 +27,8 @@ def word_count(c: Column) -> Column:
 _SHORT = "|".join(a[:-1] for a in ABBREVIATIONS if a.count(".") == 1)
 #: White space between sentences: a blank line, or after a stop white space before a capital letter or with a line end.
 _STOP = r"(?<=[.!?\u3002\uff01\uff1f])"
-_BETWEEN = rf"(?U)\s*\n\s*\n\s*|{_STOP}\s+(?=[A-Z\u4e00-\u9fff])|{_STOP}\s*\n\s*"
-_ITEMS = r"(?U)\s*\n\s*(?=\d+[.)]\s|-\s|\*\s|\u2022\s)"
+_BETWEEN = rf"(?U)(?<!\s)\s*\n\s*\n\s*|{_STOP}\s+(?=[A-Z\u4e00-\u9fff])|{_STOP}\s*\n\s*"
+_ITEMS = r"(?U)(?<!\s)\s*\n\s*(?=\d+[.)]\s|-\s|\*\s|\u2022\s)"
 
 
 def sentences(text: Column, min_words: int = PARAMS.min_words) -> Column:
