@@ -510,3 +510,15 @@ def test_pieces_remembered_by_a_task(spark):
     copies = [k for k, t in made if t.startswith("w0")]
     pieces = len({r["mh"] for r in out if r["n"] > 0 and r["key"] in copies})
     assert sum(r["n"] > 0 for r in out if r["key"] in copies) == pieces < len(copies)
+
+
+def test_least_places():
+    """Hashes that differ in their lowest bits only, and repeated ones."""
+    import numpy as np
+
+    from tracemill.llm.windows import least_places
+
+    rng = np.random.default_rng(3)
+    for hashes in (rng.integers(0, 6, 400).astype(np.uint64), rng.integers(0, 2**63, 400).astype(np.uint64), np.uint64(2**60) + rng.integers(0, 300, 400).astype(np.uint64)):
+        for span in (1, 2, 7, 50, 400):
+            assert least_places(hashes, span).tolist() == [i + int(hashes[i : i + span].argmin()) for i in range(400 - span + 1)]

@@ -72,6 +72,31 @@ def keyed(scratch: Scratch, docs: DataFrame) -> DataFrame:
     return scratch.save(rows.orderBy(F.asc_nulls_last("doc_id"), "text").select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed")
 
 
+def _sliding(values: np.ndarray, span: int) -> np.ndarray:
+    """Least value of every ``span`` values in a row, by doubling."""
+    width = 1
+    while width < span:
+        step = min(width, span - width)
+        values = np.minimum(values[:-step], values[step:])
+        width += step
+    return values
+
+
+def least_places(hashes: np.ndarray, span: int) -> np.ndarray:
+    """Place of the least of every ``span`` hashes in a row, and of equals the leftmost: it depends on these hashes alone.
+
+    Places are found with the hash's high bits in front of them; the whole hashes then tell whether the low bits that
+    made room matter, which hardly ever happens.
+    """
+    bits = np.uint64(max(1, int(len(hashes)).bit_length()))
+    places = np.arange(len(hashes), dtype=np.uint64)
+    found = (_sliding(((hashes >> bits) << bits) | places, span) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    least = _sliding(hashes, span)
+    for i in np.flatnonzero(hashes[found] != least).tolist():
+        found[i] = i + int(np.flatnonzero(hashes[i : i + span] == least[i])[0])
+    return found
+
+
 def window_seeds(codes: np.ndarray, first: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
     """(seed hash, piece hash, text, first window's start in the text, number of windows) of all pieces."""
     none = np.zeros(0, np.int64)
@@ -80,16 +105,7 @@ def window_seeds(codes: np.ndarray, first: np.ndarray, unit: Unit) -> tuple[np.n
     sums = K.prefix_sums(codes)
     at = np.arange(len(codes) - unit.gram + 1)
     grams = K.span_hash(sums, at, at + unit.gram)
-    # Sliding minimum by doubling: the place of the least whole hash of a window, and of equals the leftmost, so that a
-    # window's seed depends on the window alone.
-    seed, least, span, width = at.astype(np.int32), grams, unit.size - unit.gram + 1, 1
-    while width < span:
-        step = min(width, span - width)
-        right = least[step:] < least[:-step]
-        seed = np.where(right, seed[step:], seed[:-step])
-        least = np.minimum(least[:-step], least[step:])
-        width += step
-    seed = seed.astype(np.int64)
+    seed = least_places(grams, unit.size - unit.gram + 1)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(seed)]
     fits = np.arange(len(seed)) + unit.size <= first[1:][text]
     starts = np.flatnonzero(fits)
