@@ -9,6 +9,7 @@ from tracemill.llm.oracles import OP2_SQL, OP4_SQL, OP5_SQL, OP8_SQL
 from tracemill.llm.quality import op9_quality
 from tracemill.llm.substring_dedup import op4_substring_dedup
 from tracemill.llm.suffix_dedup import op2_suffix_dedup
+from tracemill.llm.token_counts import op12_token_counts
 from tracemill.llm.token_output import op7_token_output
 from tracemill.llm.url_filter import OP6_SQL, op6_url_filter
 
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
+    "op12_token_counts": op12_token_counts,
 }
 
 ORACLE_SQL = {
