@@ -12,6 +12,7 @@ from tracemill.llm.suffix_dedup import op2_suffix_dedup
 from tracemill.llm.token_counts import op12_token_counts
 from tracemill.llm.token_output import op7_token_output
 from tracemill.llm.url_filter import OP6_SQL, op6_url_filter
+from tracemill.llm.vector_codes import op13_vector_codes
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_language": op10_language,
     "op12_token_counts": op12_token_counts,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL = {
