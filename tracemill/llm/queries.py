@@ -1,5 +1,6 @@
 """Registered queries of this subpackage and their SQL."""
 
+from tracemill.llm.conversations import op11_conversations
 from tracemill.llm.decontaminate import op5_decontaminate
 from tracemill.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tracemill.llm.language import op10_language
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
+    "op11_conversations": op11_conversations,
     "op12_token_counts": op12_token_counts,
     "op13_vector_codes": op13_vector_codes,
 }
