@@ -39,8 +39,10 @@ def tables(seed=5, empty=False):
          "http://org/en/", None, "", "://", "://com/", "http://a.com?x=/en/", "http://example.com#/en/", "http://.example.com/en/", "http://example.com./en/", "http://é.com/ü/", "http://a.b.c.www.example.com/en/ /", "mailto:x", "http://com:80/", "http://EXAMPLE.com/EN/"]
     )] + [(None, "http://example.com/en/"), (3, "http://blog.example.com/en/")]
     labels = [(d[0], None if k % 17 == 0 else int(k % 5 != 0), 0) for k, d in enumerate(docs[:110])] + [(None, 1, 0), (99_999, 0, 1)]
+    turns = [(c, t, ["user", "assistant"][t % 2], f"Turn {t} of {c}.") for c in range(9) for t in range(c)] + [(None, None, None, None)]
+    vectors = [(i, [float(i % 5), 0.5, -0.25, i / 8], i % 3) for i in range(20)] + [(None, None, None)]
     if empty:
-        docs, bench, pages, labels = [], [], [], []
+        docs, bench, pages, labels, turns, vectors = [], [], [], [], [], []
     clash = ["key", "n", "start", "node", "part", "count", "block", "size", "rank", "keep_id", "len", "head", "body", "label", "salt", "text_sha256"]
     n = len(docs)
     documents = pa.table({
@@ -53,6 +55,8 @@ def tables(seed=5, empty=False):
         "benchmark": pa.table({"item_id": pa.array([b[0] for b in bench], pa.int64()), "text": pa.array([b[1] for b in bench], pa.string()), **more(len(bench))}),
         "pages": pa.table({"page_id": pa.array([p[0] for p in pages], pa.int64()), "url": pa.array([p[1] for p in pages], pa.string()), "html": pa.array([None] * len(pages), pa.string()), **more(len(pages))}),
         "labels": pa.table({"doc_id": pa.array([x[0] for x in labels], pa.int64()), "quality": pa.array([x[1] for x in labels], pa.int32()), "toxic": pa.array([x[2] for x in labels], pa.int32()), **more(len(labels))}),
+        "conversations": pa.table({"conv_id": pa.array([x[0] for x in turns], pa.int64()), "turn": pa.array([x[1] for x in turns], pa.int64()), "role": pa.array([x[2] for x in turns], pa.string()), "text": pa.array([x[3] for x in turns], pa.string()), **more(len(turns))}),
+        "embeddings": pa.table({"vec_id": pa.array([x[0] for x in vectors], pa.int64()), "embedding": pa.array([x[1] for x in vectors], pa.list_(pa.float32())), "label": pa.array([x[2] for x in vectors], pa.int32()), **more(len(vectors))}),
     }
 
 

@@ -1,7 +1,9 @@
-"""Vectorised text kernels that run inside Arrow batches: words, rolling hashes, byte blocks."""
+"""Vectorised text kernels that run inside Arrow batches: words, hashes of spans, byte blocks."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -18,36 +20,127 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-#: A 64-bit value for every byte.
-CODES = mix64(np.arange(1, 257, dtype=U64) * U64(MULT))
+#: Longer spans of bytes are hashed one by one.
+LONG_SPAN = 512
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
+
+
+def limbs(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number, zeros behind the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    two = padded[:-1].astype(np.uint16) | (padded[1:].astype(np.uint16) << np.uint16(8))
+    four = two[:-2].astype(np.uint32) | (two[2:].astype(np.uint32) << np.uint32(16))
+    return four[:-4].astype(U64) | (four[4:].astype(U64) << U64(32))
+
+
+def _begin(length) -> np.ndarray:
+    return mix64(np.asarray(length, dtype=U64) * U64(MULT) + U64(1))
+
+
+def byte_grams(limb: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the ``size`` bytes from every place that has so many, of ``limbs``; ``byte_hashes`` gives the same."""
+    n = max(len(limb) - size, 0)
+    out = np.repeat(_begin([size]), n)
+    for k in range(0, size, 8):
+        out = mix64(out ^ (limb[k : k + n] & _MASKS[min(size - k, 8)]))
+    return out
+
 
-_powers: dict[str, np.ndarray] = {}
+def byte_hashes(data: np.ndarray, limb: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: eight bytes at a time are mixed in, so none is a sum of its parts; long spans go through BLAKE2."""
+    length = ends - starts
+    out, k = _begin(length), 0
+    live = np.flatnonzero(length <= LONG_SPAN)
+    while len(live := live[length[live] > k]):
+        out[live] = mix64(out[live] ^ (limb[starts[live] + k] & _MASKS[np.minimum(length[live] - k, 8)]))
+        k += 8
+    for i in np.flatnonzero(length > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of MULT and of its inverse, 0 to n - 1 at least."""
-    have = _powers.get("up", np.zeros(0, U64))
-    if len(have) < n:
-        size = max(n, BLOCK_BYTES + 2)
-        for name, base in (("up", MULT), ("down", pow(MULT, -1, 1 << 64))):
-            steps = np.full(size, base, dtype=U64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+def word_grams(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of ``size`` 64-bit codes in a row from every place that has so many; ``code_hashes`` gives the same."""
+    n = max(len(codes) - size + 1, 0)
+    out = np.repeat(_begin([size]), n)
+    for k in range(size):
+        out = mix64(out ^ codes[k : k + n])
+    return out
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Sums s so that ``span_hash(s, i, j)`` is a hash of values[i:j]."""
-    up, _ = powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
+def code_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of 64-bit codes, mixed in one after the other."""
+    length = ends - starts
+    out, live, k = _begin(length), np.arange(len(length)), 0
+    while len(live := live[length[live] > k]):
+        out[live] = mix64(out[live] ^ codes[starts[live] + k])
+        k += 1
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end), equal for equal contents wherever they stand."""
-    down = powers(len(sums))[1]
-    return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, length: np.ndarray, step: int = 1) -> np.ndarray:
+    """Whether the spans of ``limbs`` a and b that begin at ``at`` and ``bt`` are equal; b may have the limb of every ``step``-th place only."""
+    same, live, k = np.ones(len(at), bool), np.arange(len(at)), 0
+    while len(live := live[length[live] > k]):
+        mask = _MASKS[np.minimum(length[live] - k, 8)]
+        equal = (a[at[live] + k] & mask) == (b[bt[live] + k // step] & mask)
+        same[live[~equal]] = False
+        live = live[equal]
+        k += 8
+    return same
+
+
+class UnitTable:
+    """Numbers for short spans of bytes. Spans are found by hash and then compared by content, so no two share a number.
+
+    ``find`` gives -1 to spans that are too long to be kept, and to one whose hash another span has.
+    """
+
+    def __init__(self, longest: int = 256):
+        self.longest = longest
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.slot = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.limbs = np.zeros(0, U64)  # of all spans kept, eight bytes in each
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each span, spans that stand for the numbers new to the table, in their order)."""
+        limb, length = limbs(data), ends - starts
+        out = np.full(len(starts), -1, np.int64)
+        short = np.flatnonzero(length <= self.longest)
+        keys, where, inverse = np.unique(byte_hashes(data, limb, starts[short], ends[short]), return_index=True, return_inverse=True)
+        where = short[where]  # the span that stands for each key
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        slot = np.full(len(keys), -1, np.int64)
+        slot[known] = self.slot[at[known]]
+        old = np.flatnonzero(known)
+        equal = self.lengths[slot[old]] == length[where[old]]
+        old, lost = old[equal], old[~equal]
+        wrong = ~same_bytes(limb, starts[where[old]], self.limbs, self.starts[slot[old]], length[where[old]], 8)
+        slot[lost] = slot[old[wrong]] = -1
+        new = np.flatnonzero(~known)
+        slot[new] = len(self) + np.arange(len(new))
+        picked = where[new]
+        kept = length[picked]
+        self.keys, self.slot = np.insert(self.keys, at[new], keys[new]), np.insert(self.slot, at[new], slot[new])
+        size = -(-kept // 8)
+        self.starts = np.concatenate((self.starts, len(self.limbs) + np.cumsum(size) - size))
+        self.lengths = np.concatenate((self.lengths, kept))
+        turn = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        self.limbs = np.concatenate((self.limbs, limb[np.repeat(starts[picked], size) + 8 * turn] & _MASKS[np.minimum(np.repeat(kept, size) - 8 * turn, 8)]))
+        mine = where[inverse]
+        equal = (length[mine] == length[short]) & same_bytes(limb, starts[short], limb, starts[mine], np.minimum(length[short], length[mine]))
+        out[short] = np.where(equal, slot[inverse], -1)
+        return out, picked
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
@@ -107,17 +200,22 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.nda
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def word_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """(first word, end word, bytes, their limbs, starts, ends) of runs of words, a block of bytes at a time."""
+    cuts = [0, len(starts)] if len(data) <= 2 * BLOCK_BYTES else np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), BLOCK_BYTES)), len(starts))).tolist()
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        if hi > lo:
+            begin = int(starts[lo])
+            part = data[begin : int(ends[hi - 1])]
+            yield lo, hi, part, limbs(part), starts[lo:hi] - begin, ends[lo:hi] - begin
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, a block of bytes at a time."""
-    if len(data) <= 2 * BLOCK_BYTES:
-        return span_hash(prefix_sums(CODES[data]), starts, ends)
-    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), BLOCK_BYTES)), len(starts)))
-    out = [starts[:0].view(U64)]
-    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        begin = int(starts[lo])
-        part = data[begin : int(ends[hi - 1])]
-        out.append(span_hash(prefix_sums(CODES[part]), starts[lo:hi] - begin, ends[lo:hi] - begin))
-    return np.concatenate(out)
+    """64-bit hashes of words."""
+    out = np.zeros(len(starts), U64)
+    for lo, hi, part, limb, s, e in word_blocks(data, starts, ends):
+        out[lo:hi] = byte_hashes(part, limb, s, e)
+    return out
 
 
 def pieces(data: np.ndarray, inside: np.ndarray, limit: int = BLOCK_BYTES):

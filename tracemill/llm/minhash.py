@@ -36,16 +36,15 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndar
     """(sorted distinct shingle hashes of all texts in turn, where each text's begin and the end)."""
     data = K.FOLD[data]
     starts, ends, first = K.words(data, offs, K.SPACE_WORDS)
-    sums = K.prefix_sums(K.word_hashes(data, starts, ends))
+    codes = K.word_hashes(data, starts, ends)
     parts, at = [], [0]
-    begin = np.arange(max(len(starts) - size + 1, 0))
-    grams = K.span_hash(sums, begin, begin + size)
+    grams = K.word_grams(codes, size)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= size:
             s = np.sort(grams[a : b - size + 1])
             s = s[np.concatenate(([True], s[1:] != s[:-1]))]
         elif b > a:
-            s = K.span_hash(sums, np.array([a]), np.array([b]))
+            s = K.word_grams(codes[a:b], b - a)
         else:
             s = grams[:0]
         parts.append(s)

@@ -144,7 +144,7 @@ def seed_places(data: np.ndarray, offs: np.ndarray, seeds: np.ndarray, unit: Uni
         at = np.arange(len(data) - unit.gram + 1)
         piece = np.repeat(np.arange(len(seeds)), np.diff(offs))[: len(at)]
         place = at - offs[piece]
-        hit = K.span_hash(K.prefix_sums(K.CODES[data]), at, at + unit.gram) == seeds.view(np.uint64)[piece]
+        hit = K.byte_grams(K.limbs(data), unit.gram) == seeds.view(np.uint64)[piece]
         hit &= (place >= np.diff(offs)[piece] - unit.size) & (at + unit.gram <= offs[piece + 1])
         found = np.flatnonzero(hit)[::-1]  # the first one is written last
         out[piece[found]] = place[found]

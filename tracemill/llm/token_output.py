@@ -58,8 +58,7 @@ class UnitEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
+        self.table, self.of = K.UnitTable(), np.zeros(0, np.int64)
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def whole(self, text: str) -> list[int]:
@@ -98,39 +97,38 @@ class UnitEncoder:
         starts, ends = edges[:-1], edges[1:]
         keep = inside[starts] if len(starts) else np.zeros(0, bool)
         starts, ends = starts[keep], ends[keep]
-        folded = K.FOLD[data]
         glued = np.concatenate(([0], np.cumsum(data >= 128)))
-        ascii_only = glued[ends] == glued[starts]
-        sums = K.prefix_sums(K.CODES[folded])
-        keys = K.span_hash(sums, starts, ends)
-        if not ascii_only.all():
-            raw = K.prefix_sums(K.CODES[data])
-            keys = np.where(ascii_only, keys, K.span_hash(raw, starts, ends) ^ np.uint64(1))
-        uniq, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        self._learn(uniq, starts[where], ends[where], data)
-        slot = self.at[np.searchsorted(self.keys, uniq)][inverse] if len(uniq) else np.zeros(0, np.int64)
+        mixed = np.flatnonzero(glued[ends] != glued[starts])
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[starts[mixed]] += 1
+        edge[ends[mixed]] -= 1
+        folded = np.where(np.cumsum(edge[:-1]) > 0, data, K.FOLD[data])  # in ASCII units case doesn't matter
+        slot = self._slots(folded, starts, ends)
         lengths = self.lengths[slot]
         ids = self.ids[np.repeat(self.starts[slot] - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))]
         total = np.concatenate(([0], np.cumsum(lengths)))
         return ids, np.diff(total[np.searchsorted(starts, offs)])
 
-    def _learn(self, uniq: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> None:
-        if len(self.keys) > CACHE_UNITS:
+    def _slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where each unit's ids are, after those of new units have been added; units that the table doesn't hold are added each."""
+        if len(self.starts) > CACHE_UNITS or len(self.ids) > 8 * CACHE_UNITS:
             self.clear()
-        at = np.searchsorted(self.keys, uniq)
-        known = np.zeros(len(uniq), dtype=bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == uniq[inside]
-        new = np.flatnonzero(~known)
-        if not len(new):
-            return
-        raw = data.tobytes()
-        found, lengths = self.many([raw[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist())])
-        begin = len(self.ids) + np.cumsum(lengths) - lengths
-        self.at = np.insert(self.at, at[new], len(self.starts) + np.arange(len(new)))
-        self.keys = np.insert(self.keys, at[new], uniq[new])
-        self.starts, self.lengths = np.concatenate((self.starts, begin)), np.concatenate((self.lengths, lengths))
-        self.ids = np.concatenate((self.ids, found))
+        number, new = self.table.find(data, starts, ends)
+        alone = np.flatnonzero(number < 0)
+        learn = np.concatenate((new, alone))
+        if len(learn):
+            raw = data.tobytes()
+            found, lengths = self.many([raw[s:e].decode() for s, e in zip(starts[learn].tolist(), ends[learn].tolist())])
+            begin = len(self.ids) + np.cumsum(lengths) - lengths
+            self.of = np.concatenate((self.of, len(self.starts) + np.arange(len(new))))
+            number_at = len(self.starts) + len(new) + np.arange(len(alone))
+            self.starts, self.lengths = np.concatenate((self.starts, begin)), np.concatenate((self.lengths, lengths))
+            self.ids = np.concatenate((self.ids, found))
+        held, out = number >= 0, np.empty(len(number), np.int64)
+        out[held] = self.of[number[held]]
+        if len(alone):
+            out[alone] = number_at
+        return out
 
 
 def _cuts_to_units(spec: dict) -> bool:

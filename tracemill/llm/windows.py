@@ -46,17 +46,24 @@ class Unit:
         starts, ends, first = K.words(data, offs, K.SPACE_WORDS)
         return K.word_hashes(data, starts, ends), first
 
-    def codes(self, symbols: np.ndarray) -> np.ndarray:
-        """A 64-bit code per symbol."""
-        return symbols if self.by_words else K.CODES[symbols]
+    def numbers(self, symbols: np.ndarray) -> np.ndarray:
+        """What grams are made of: the codes of words, or the eight bytes from each place."""
+        return symbols if self.by_words else K.limbs(symbols)
+
+    def grams(self, numbers: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of ``size`` symbols from every place."""
+        return K.word_grams(numbers, size) if self.by_words else K.byte_grams(numbers, size)
+
+    def hashes(self, symbols: np.ndarray, numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return K.code_hashes(numbers, starts, ends) if self.by_words else K.byte_hashes(symbols, numbers, starts, ends)
 
     def parts(self, symbols: np.ndarray, first: np.ndarray):
-        """(begin, codes, first) of runs of symbols to be handled at once; runs of a long text hold each of its windows once."""
+        """(begin, symbols, first) of runs of symbols to be handled at once; runs of a long text hold each of its windows once."""
         if len(first) > 2 or len(symbols) <= 2 * K.BLOCK_BYTES:
-            yield 0, self.codes(symbols), first
+            yield 0, symbols, first
             return
         for a in range(0, len(symbols) - self.size + 1, K.BLOCK_BYTES):
-            run = self.codes(symbols[a : a + K.BLOCK_BYTES + self.size - 1])
+            run = symbols[a : a + K.BLOCK_BYTES + self.size - 1]
             yield a, run, np.array([0, len(run)])
 
 
@@ -97,14 +104,13 @@ def least_places(hashes: np.ndarray, span: int) -> np.ndarray:
     return found
 
 
-def window_seeds(codes: np.ndarray, first: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
+def window_seeds(symbols: np.ndarray, first: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
     """(seed hash, piece hash, text, first window's start in the text, number of windows) of all pieces."""
     none = np.zeros(0, np.int64)
-    if len(codes) < unit.size:
+    if len(symbols) < unit.size:
         return none.view(np.uint64), none.view(np.uint64), none, none, none
-    sums = K.prefix_sums(codes)
-    at = np.arange(len(codes) - unit.gram + 1)
-    grams = K.span_hash(sums, at, at + unit.gram)
+    numbers = unit.numbers(symbols)
+    grams = unit.grams(numbers, unit.gram)
     seed = least_places(grams, unit.size - unit.gram + 1)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(seed)]
     fits = np.arange(len(seed)) + unit.size <= first[1:][text]
@@ -115,7 +121,7 @@ def window_seeds(codes: np.ndarray, first: np.ndarray, unit: Unit) -> tuple[np.n
     head = np.flatnonzero(np.concatenate(([True], (seed[1:] != seed[:-1]) | (text[1:] != text[:-1]))))
     n = np.diff(np.append(head, len(starts)))
     begin = starts[head]
-    return grams[seed[head]], K.span_hash(sums, begin, begin + n + unit.size - 1), text[head], begin - first[text[head]], n
+    return grams[seed[head]], unit.hashes(symbols, numbers, begin, begin + n + unit.size - 1), text[head], begin - first[text[head]], n
 
 
 class Seen:
@@ -154,8 +160,8 @@ def _seeds(unit: Unit):
         for batch in batches:
             keys, found = K.column(batch, "key").to_numpy(), []
             for lo, hi, data, offs in K.text_blocks(K.column(batch, "text")):
-                for begin, codes, first in unit.parts(*unit.symbols(data, offs)):
-                    mh, ph, text, start, n = window_seeds(codes, first, unit)
+                for begin, symbols, first in unit.parts(*unit.symbols(data, offs)):
+                    mh, ph, text, start, n = window_seeds(symbols, first, unit)
                     found.append((mh, ph, keys[lo:hi][text], start + begin, n))
             if not found:
                 continue
@@ -242,8 +248,7 @@ def _extract(unit: Unit):
                         a, n = base + piece["start"], piece["n"]
                         if piece["hot"]:
                             at = np.arange(n)
-                            sums = K.prefix_sums(unit.codes(symbols[a : a + n + unit.size - 1]))
-                            hashes = K.span_hash(sums, at, at + unit.size)
+                            hashes = unit.grams(unit.numbers(symbols[a : a + n + unit.size - 1]), unit.size)
                             later, told = seen.meet(hashes, hashes, np.full(n, keys[i]), at + piece["start"], np.ones(n, np.int64))
                             marks = [(keys[i], int(s) + piece["start"]) for s in at[later]]
                             for k, s in marks + (list(zip(told[0].tolist(), told[1].tolist())) if unit.mark_first else []):
