@@ -164,29 +164,57 @@ def test_op5_in_blocks(spark, edge):
 
 
 def test_op5_longest(spark):
-    """Longest matches and their places against all pairs of places."""
+    """For every test suffix that begins a match its longest one in the document, against all pairs of places."""
     import random
 
     from tracemill.llm.decontaminate import find_matches
 
     rng = random.Random(12)
     bench = [(i, " ".join(rng.choice("abc") for _ in range(n))) for i, n in enumerate([4, 9, 30, 30, 3, 0])]
-    docs = [(i, " ".join(rng.choice("abc") for _ in range(rng.choice([0, 2, 5, 40, 90])))) for i in range(40)]
-    found = find_matches(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), window=5)
-    got = {(r.doc_id, m["item"], m["item_start"], m["start"], m["words"]) for r in found.collect() for m in r.matches}
-    want = set()
+    docs = [(i, " ".join(rng.choice("abcd" if i % 3 else "abc") for _ in range(rng.choice([0, 2, 5, 40, 90])))) for i in range(40)] + [(50, "a " * 60), (51, f"{bench[2][1]} d {bench[3][1]}")]
+    found = find_matches(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), window=5, longest=True)
+    got = {(r.doc_id, m["item"], m["item_start"], m["words"]) for r in found.collect() for m in r.matches}
+    at = {(r.doc_id, m["item"], m["item_start"]): m["start"] for r in found.collect() for m in r.matches}
+    want, texts, tests = set(), dict(docs), dict(bench)
+
+    def common(w, v):
+        return next((n for n, (x, y) in enumerate(zip(w, v)) if x != y), min(len(w), len(v)))
+
     for d, t in docs:
         w = t.split()
         for i, u in bench:
-            v = u.split()
-            for p in range(len(w)):
-                for o in range(len(v)):
-                    n = 0
-                    while p + n < len(w) and o + n < len(v) and w[p + n] == v[o + n]:
-                        n += 1
-                    if n >= min(5, len(v)) and (p == 0 or o == 0 or w[p - 1] != v[o - 1]):
-                        want.add((d, str(i), o, p, n))
+            v, before = u.split(), 0
+            for o in range(len(v)):
+                n = max((common(w[p:], v[o:]) for p in range(len(w))), default=0)
+                n = n if n >= min(5, len(v)) and (len(v) >= 5 or o == 0) else 0
+                if n and before != n + 1:
+                    want.add((d, str(i), o, n))
+                before = n
     assert got == want and len(want) > 50
+    for d, i, o, n in got:
+        p = at[d, i, o]
+        assert texts[d].split()[p : p + n] == tests[int(i)].split()[o : o + n]
+
+
+def test_op5_one_repeated_word():
+    """Half a million equal words against an item of five thousand: linear in both."""
+    import time
+    import tracemalloc
+
+    import numpy as np
+
+    from tracemill.llm.decontaminate import TestSuffixes, shard
+
+    block = TestSuffixes(["0"], ["word " * 5000], 13)
+    data = np.frombuffer(b"word " * 500_000, np.uint8)
+    began = time.time()
+    tracemalloc.start()
+    for longest in (False, True):
+        count, hits, items, matches = shard(block, data, np.array([0, len(data)]), longest)
+        assert count.tolist() == [500_000] and hits == [[(0, 500_000)]] and items == [["0"]]
+    assert matches[0] == [{"item": "0", "item_start": 0, "start": matches[0][0]["start"], "words": 5000}]
+    assert time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
 
 
 def test_op7_repeated_ids_and_other_tokenizers(spark, edge):
