@@ -5,10 +5,12 @@ import tracemalloc
 from collections import Counter as Bag
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tracemill.llm import kernels
 from tracemill.llm import token_counts as T
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +21,11 @@ def tools():
     return T.load(PATH), T.Counter(PATH, T.prove_whole(PATH), T.unsettled())
 
 
+def count(counter, *texts):
+    found = counter.texts(pa.array(texts, pa.string())).tolist()
+    return found[0] if len(texts) == 1 else found
+
+
 def plain(tool, text):
     return len(tool.encode(text or "", add_special_tokens=False).ids)
 
@@ -36,7 +43,7 @@ def test_op12(spark, edge):
 @given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["<|endoftext|>", "<|", " ", "  \n", "don't", "'s", "'S", " 12345", " ", "\x1c", " ", "é́", "😀", "𞀀", "中文字", " \U00010940x", "࢏", "a՘ "])), max_size=12).map("".join))
 def test_same_as_library(tools, text):
     tool, counter = tools
-    assert counter.count(text) == plain(tool, text)
+    assert count(counter, text) == plain(tool, text)
 
 
 def test_settled_code_points_are_cut_alike(tools):
@@ -69,20 +76,27 @@ def test_long_texts(tools, monkeypatch):
     """Pieces give what the whole gives, a long word too, and a long text's temporaries are those of a piece."""
     tool, counter = tools
     rng = random.Random(3)
-    text = "".join(rng.choice(["word", " ", "  ", "\n\n", "x" * 300, "1", ".", "'s", "<|endoftext|>", "😀"]) for _ in range(3000))
-    monkeypatch.setattr(T, "PIECE_CHARS", 50)
-    assert counter.count(text) == plain(tool, text)
-    monkeypatch.undo()
+    text = "".join(rng.choice(["word", " ", "  ", "\n\n", "x" * 300, "1", ".", "'s", "<|endoftext|>", "😀", "\u3000", "é"]) for _ in range(3000))
+    with monkeypatch.context() as m:
+        m.setattr(kernels, "BLOCK_BYTES", 50)
+        assert count(counter, text) == plain(tool, text)
     long = "some words of a text " * 500_000
     tracemalloc.start()
-    assert counter.count(long) == 5 * 500_000 + 1
-    assert tracemalloc.get_traced_memory()[1] < 60e6
+    assert count(counter, long) == 5 * 500_000 + 1
+    assert tracemalloc.get_traced_memory()[1] < 200e6
     tracemalloc.stop()
 
 
 def test_what_is_remembered_is_bounded(monkeypatch):
-    monkeypatch.setattr(T, "MERGED", 10)
+    monkeypatch.setattr(T, "REMEMBERED", 10)
     counter = T.Counter(PATH, T.prove_whole(PATH), T.unsettled())
-    base = len(counter.lengths)
     words = [f"zq{i}qz" for i in range(100)]
-    assert all(counter.count(w) == plain(counter.tool, w) for w in words) and len(counter.lengths) <= base + 10
+    assert all(count(counter, w) == plain(counter.tool, w) for w in words) and len(counter.table) <= 12
+
+
+def test_units_of_equal_hash(monkeypatch):
+    """Units that share a hash are told apart by content."""
+    monkeypatch.setattr(kernels, "byte_hashes", lambda data, limb, starts, ends: (ends - starts).astype("uint64") % 3)
+    counter = T.Counter(PATH, T.prove_whole(PATH), T.unsettled())
+    texts = ["some words of many kinds, told apart", "others, of like length. and short", "", "words words"] * 2
+    assert count(counter, *texts) == [plain(counter.tool, t) for t in texts]

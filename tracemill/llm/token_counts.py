@@ -15,9 +15,8 @@ from tracemill.llm.common import Scratch, read_table
 
 #: Fixed value: how a byte-level BPE file with ``use_regex`` cuts a text to pre-tokens.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of a text that are cut to pre-tokens at once, and merged pre-tokens (of so many characters at most) that a worker remembers.
-PIECE_CHARS = 1 << 18
-MERGED, MERGED_CHARS = 500_000, 64
+#: Stretches of text that a worker remembers.
+REMEMBERED = 1_000_000
 
 
 def load(path: str):
@@ -64,66 +63,118 @@ def unsettled() -> str:
     return "[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(starts.tolist(), ends.tolist())) + "]"
 
 
-class Lengths(dict):
-    """Tokens of each pre-token: one for those proved whole, for others what the merges give, remembered up to a bound."""
+# Classes of bytes for cutting a text to stretches that are counted apart.
+SPACE, WORD, PUNCT, OTHER = 0, 1, 2, 3
+CLASS = np.full(256, OTHER, dtype=np.uint8)
+CLASS[33:127] = PUNCT
+for _lo, _hi in ((48, 57), (65, 90), (97, 122)):
+    CLASS[_lo : _hi + 1] = WORD
+CLASS[9:14] = CLASS[32] = SPACE
 
-    def __init__(self, whole: list[str], tool):
-        super().__init__(dict.fromkeys(whole, 1))
-        self.whole, self.tool, self.merged = whole, tool, 0
 
-    def __missing__(self, token: str) -> int:
-        n = len(self.tool.encode(token, add_special_tokens=False).ids)
-        if len(token) <= MERGED_CHARS:
-            if self.merged >= MERGED:
-                self.clear()
-                self.update(dict.fromkeys(self.whole, 1))
-                self.merged = 0
-            self[token] = n
-            self.merged += 1
-        return n
+def stretches(data: np.ndarray, offs: np.ndarray, fine: bool) -> np.ndarray:
+    """Where texts are cut, text ends included: no pre-token reaches over.
+
+    Before ASCII white space that follows a character that is none (white space beyond ASCII binds), and, if ``fine``, before
+    ASCII punctuation that follows an ASCII letter or digit. Other control characters bind.
+    """
+    kind = CLASS[data]
+    space = kind == SPACE
+    if (data >= 128).any():
+        wide = np.zeros(len(data), bool)
+        one, two, three = data[2:], data[1:-1], data[:-2]
+        wide[2:] = ((three == 0xE2) & (two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))) | ((three == 0xE2) & (two == 0x81) & (one == 0x9F)) | ((three == 0xE1) & (two == 0x9A) & (one == 0x80)) | ((three == 0xE3) & (two == 0x80) & (one == 0x80))
+        wide[1:] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+    else:
+        wide = np.zeros(len(data), bool)
+    ends = ~space & ~wide & ((kind != OTHER) | (data >= 128))
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = ends[:-1] & space[1:]
+    if fine:
+        cut[1:-1] |= (kind[:-1] == WORD) & (kind[1:] == PUNCT)
+    cut[offs] = True
+    return np.flatnonzero(cut)
 
 
 class Counter:
     """Counts the tokens of texts as the library gives them.
 
-    A text is cut at special strings and, so that temporaries stay small, before white space that follows another
-    character, where no pre-token reaches over. Stretches with code points younger than Unicode 3.2, on whose class
-    libraries differ, are encoded whole, from white space to white space.
+    Texts are cut to stretches (``stretches``), which a table of fixed size remembers with their counts. A new stretch is
+    cut at special strings and then to pre-tokens: those proved whole count one, the others as many as the merges give.
+    Stretches with code points younger than Unicode 3.2, on whose class libraries differ, are encoded whole.
     """
 
     def __init__(self, path: str, whole: list[str], new: str):
         import regex
 
-        self.tool, self.known = load(path), bool(whole)
-        self.lengths = Lengths(whole, self.tool)
-        self.cut, self.new, self.stretch, self.edge = regex.compile(PRE_TOKENS), regex.compile(new), regex.compile(r"\s*\S+|\s+"), regex.compile(r"\S\s")
-        marks = [regex.escape(t.content) for t in self.tool.get_added_tokens_decoder().values()]
-        self.mark = regex.compile("|".join(sorted(marks, key=len, reverse=True))) if marks else None
+        self.tool, self.known, self.whole = load(path), bool(whole), frozenset(whole)
+        self.cut, self.new = regex.compile(PRE_TOKENS), regex.compile(new)
+        self.specials = [t.content for t in self.tool.get_added_tokens_decoder().values()]
+        self.mark = regex.compile("|".join(regex.escape(t) for t in sorted(self.specials, key=len, reverse=True))) if self.specials else None
+        self.clear()
 
-    def whole_text(self, text: str) -> int:
-        return len(self.tool.encode(text, add_special_tokens=False).ids)
+    def clear(self) -> None:
+        self.table, self.counts = K.UnitTable(), np.zeros(0, np.int64)
 
-    def pieces(self, text: str):
-        begin = 0
-        while len(text) - begin > PIECE_CHARS:
-            found = self.edge.search(text, begin + PIECE_CHARS)
-            if not found:
-                break
-            yield text[begin : found.start() + 1]
-            begin = found.start() + 1
-        yield text[begin:]
+    def merged(self, text: str) -> int:
+        return len(self.tool.encode(text, add_special_tokens=False).ids)
 
     def plain(self, text: str) -> int:
-        """Tokens of a text without special strings."""
-        if not self.new.search(text):
-            return sum(map(self.lengths.__getitem__, self.cut.findall(text)))
-        return sum(self.whole_text(x) if self.new.search(x) else sum(map(self.lengths.__getitem__, self.cut.findall(x))) for x in self.stretch.findall(text))
+        """Tokens of a stretch without special strings."""
+        if self.new.search(text):
+            return self.merged(text)
+        return sum(1 if t in self.whole else self.merged(t) for t in self.cut.findall(text))
 
-    def count(self, text: str) -> int:
-        if not self.known:
-            return self.whole_text(text)
+    def stretch(self, text: str) -> int:
         parts = self.mark.split(text) if self.mark else [text]
-        return len(parts) - 1 + sum(self.plain(piece) for part in parts for piece in self.pieces(part) if piece)
+        return len(parts) - 1 + sum(self.plain(p) for p in parts if p)
+
+    def many(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Tokens of each text of a block."""
+        raw = data.tobytes()
+        if not self.known:
+            return np.array([self.merged(raw[a:b].decode()) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], np.int64)
+        edges = stretches(data, offs, not any(t.encode() in raw for t in self.specials))
+        starts, ends = edges[:-1], edges[1:]
+        if len(self.table) > REMEMBERED:
+            self.clear()
+        number, new = self.table.find(data, starts, ends)
+        learnt = [self.stretch(raw[a:b].decode()) for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+        self.counts = np.concatenate((self.counts, np.array(learnt, np.int64)))
+        held, each = number >= 0, np.zeros(len(number) + 1, np.int64)
+        each[:-1][held] = self.counts[number[held]]
+        for i in np.flatnonzero(~held).tolist():
+            each[i] = self.stretch(raw[starts[i] : ends[i]].decode())
+        total = np.concatenate(([0], np.cumsum(each[:-1])))
+        return np.diff(total[np.searchsorted(starts, offs)])
+
+    def texts(self, array: pa.Array) -> np.ndarray:
+        """Tokens of each text; a long one is taken in pieces, cut before white space as stretches are."""
+        out = [np.zeros(0, np.int64)]
+        for lo, hi, data, offs in K.text_blocks(array):
+            if hi - lo == 1 and self.known and len(data) > 2 * K.BLOCK_BYTES:
+                out.append(np.array([sum(int(self.many(data[a:b], np.array([0, b - a]))[0]) for a, b in pieces(data))]))
+            else:
+                out.append(self.many(data, offs))
+        return np.concatenate(out)
+
+
+def pieces(data: np.ndarray):
+    """(begin, end) of pieces of a long text that end where a stretch does."""
+    begin = 0
+    while begin < len(data):
+        end, step = begin + K.BLOCK_BYTES, K.BLOCK_BYTES
+        while end < len(data):  # looks further ahead until there is a cut
+            part = data[end - 4 : end + step]
+            found = stretches(part, np.array([0, len(part)]), False)
+            found = found[(found > 4) & (found < len(part))]
+            if len(found):
+                end += int(found[0]) - 4
+                break
+            end += step
+        end = min(end, len(data))
+        yield begin, end
+        begin = end
 
 
 _counters: dict[str, Counter] = {}
@@ -135,8 +186,7 @@ def _count(path: str, proof):
             _counters[path] = Counter(path, *proof.value)
         tool = _counters[path]
         for batch in batches:
-            texts = K.column(batch, "text")
-            yield pa.RecordBatch.from_arrays([K.column(batch, "doc_id"), K.column(batch, "n_bytes"), pa.array([tool.count(t.as_py()) for t in texts], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([K.column(batch, "doc_id"), K.column(batch, "n_bytes"), pa.array(tool.texts(K.column(batch, "text")))], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
