@@ -136,3 +136,71 @@ def test_mean_curve_longer_than_1000(spark):
     got = {r.g: (r.mean_sim, r.n_curves) for r in curves.mean_curve(spark.createDataFrame(rows, "g0 string, k string, idx long, sim double"), ["k"], ["g0"]).collect()}
     assert len(got) == n
     assert all(got[i][1] == 2 and abs(got[i][0] - (i % 7 + 2.0 * i / (n - 1)) / 2) < 1e-9 for i in range(n))
+
+
+def _laid(curves, points):
+    """A curve's values on a grid, place by place."""
+    n = len(curves)
+    if n == 1 or points == 1:
+        return [curves[0]] * points
+    out = []
+    for g in range(points):
+        i, rest = divmod(g * (n - 1), points - 1)
+        out.append(curves[i] + (curves[i + 1] - curves[i]) * rest / (points - 1) if rest else curves[i])
+    return out
+
+
+def test_mean_curve_against_every_place(spark):
+    """Groups of one point, of curves of like and unlike lengths, and a null group, with ranges of a few places."""
+    import random
+
+    rng = random.Random(8)
+    made = {("a", f"a{k}"): [rng.uniform(-1, 1) for _ in range(n)] for k, n in enumerate([1, 2, 3, 7, 50, 211, 211])}
+    made |= {("b", f"b{k}"): [rng.uniform(-1, 1)] for k in range(3)} | {(None, "n"): [0.5, 0.25], (None, "m"): [1.0, 2.0, 4.0]}
+    rows = [(g, k, i, x) for (g, k), c in made.items() for i, x in enumerate(c)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "g0 string, k string, idx int, sim double")
+    for size in (1 << 16, 5):
+        got = {(r.g0, r.g): (r.mean_sim, r.n_curves) for r in curves.mean_curve(frame, ["k"], ["g0"], size).collect()}
+        want = {}
+        for group in ("a", "b", None):
+            mine = [c for (g, _), c in made.items() if g == group]
+            laid = [_laid(c, max(map(len, mine))) for c in mine]
+            want |= {(group, i): (sum(x) / len(x), len(x)) for i, x in enumerate(zip(*laid))}
+        assert set(got) == set(want)
+        assert all(abs(got[k][0] - v) < 1e-9 and got[k][1] == n for k, (v, n) in want.items())
+
+
+def test_mean_curve_makes_no_grid_for_each_curve(spark):
+    """2,000 short curves and one of 20,000 points: rows are those of the curves, where a grid for each would have 40 million."""
+    short = spark.range(6000).selectExpr("'g' as g0", "concat('k', id div 3) as k", "id % 3 as idx", "cast(id % 7 as double) as sim")
+    long = spark.range(20_000).selectExpr("'g' as g0", "'long' as k", "id as idx", "cast(id % 5 as double) as sim")
+    df = curves.mean_curve(short.unionByName(long), ["k"], ["g0"])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+    rows = df.collect()
+    assert len(rows) == 20_000 and {r.n_curves for r in rows} == {2001}
+
+
+def test_running_variance_over_batches(spark):
+    """A trace over many Arrow batches, and traces next to each other, against sums over all vectors so far."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    made = {k: [[rng.uniform(-1, 1) for _ in range(3)] for _ in range(n)] for k, n in {"a": 1, "b": 5, "c": 300, None: 4}.items()}
+    rows = [(k, i, v) for k, vs in made.items() for i, v in enumerate(vs)] + [("d", 0, None)]
+    rng.shuffle(rows)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = curves.accumulated_variance(spark.createDataFrame(rows, "t string, pos int, vec array<double>"), ["t"])
+        got = {(r.t, r.pos): r.variance for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert "posexplode" not in df._jdf.queryExecution().toString() and len(got) == 310
+    for k, vs in made.items():
+        x = np.array(vs)
+        for i in range(len(vs)):
+            assert abs(got[k, i] - x[: i + 1].var(axis=0).sum()) < 1e-9

@@ -6,7 +6,8 @@ import re
 from pyspark.sql import functions as F
 
 from tracemill.functions import text as X
-from tracemill.operators import comparison, consensus, curves, markers
+from tracemill.operators import clusters, comparison, consensus, curves, markers
+from tracemill.stages import Stages, settled
 from tracemill.session import ship_package
 from tracemill.sources import traces as S
 
@@ -78,8 +79,9 @@ def test_marker_positions(spark):
 def test_clusters(spark):
     answers = [("q", a) for a in "abcdefgh"] + [("r", "x"), ("r", "y")]
     edges = [("q", *e) for e in ("hg", "gf", "fe", "ed", "dc")] + [("q", "b", "b"), ("r", "y", "z")]
-    found = consensus.equivalence_clusters(spark.createDataFrame(answers, "q string, a1 string"), spark.createDataFrame(edges, "q string, a string, b string"), "q", "a1")
-    assert {(r.q, r.a1): r.cluster for r in found.collect()} == {("q", a): "c" if a >= "c" else a for a in "abcdefgh"} | {("r", "x"): "x", ("r", "y"): "y"}
+    with Stages(spark, "clusters") as stages:
+        found = clusters.equivalence_clusters(stages, spark.createDataFrame(answers, "q string, a1 string"), spark.createDataFrame(edges, "q string, a string, b string"), "q", "a1").collect()
+    assert {(r.q, r.a1): r.cluster for r in found} == {("q", a): "c" if a >= "c" else a for a in "abcdefgh"} | {("r", "x"): "x", ("r", "y"): "y"}
 
 
 def test_group_sizes_and_short_traces(spark):

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill.functions import stats
 from tracemill.functions.stats import mann_whitney_p, spearman_p
 from tracemill.operators import comparison as G
 from tracemill.operators.ranks import average_ranks, rank_sums, spearman
@@ -76,3 +77,40 @@ def test_minus_one_is_left_out_of_every_feature(spark):
     f = spark.createDataFrame([("m", True, -1, 0.5), ("m", False, 3, -1.0)], "model_name string, is_correct boolean, a int, b double")
     got = {(r.feature, r.value) for r in G.long_features(f, ["model_name"], ["a", "b"]).collect()}
     assert got == {("a", 3.0), ("b", 0.5)}
+
+
+def _table_tail(u, n1, n2):
+    """The exact tail from the whole distribution, value by value."""
+    counts = [1]
+    few, many = sorted((n1, n2))
+    for i in range(1, few + 1):  # times (1 - q^(many + i)) / (1 - q^i)
+        counts = counts + [0] * (few * many + 1 - len(counts)) if len(counts) < few * many + 1 else counts
+        for k in range(few * many, many + i - 1, -1):
+            counts[k] -= counts[k - many - i]
+        for k in range(i, few * many + 1):
+            counts[k] += counts[k - i]
+    low = math.floor(min(u, n1 * n2 - u) + 1e-9)
+    return min(1.0, 2 * sum(counts[: low + 1]) / math.comb(n1 + n2, few))
+
+
+def test_exact_tail_against_the_whole_distribution():
+    for n1, n2 in [(2, 2), (3, 9), (5, 15), (8, 8), (8, 40), (7, 100), (1, 5)]:
+        for u in range(n1 * n2 + 1):
+            assert math.isclose(stats.exact_u_tail(u, n1, n2), _table_tail(u, n1, n2), rel_tol=1e-12), (u, n1, n2)
+
+
+def test_exact_tail_of_large_groups():
+    """8 against 10^8 in little memory; near the normal approximation, as it must be."""
+    import time
+    import tracemalloc
+
+    n1, n2 = 8, 10**8
+    mean, sd = n1 * n2 / 2, math.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
+    tracemalloc.start()
+    began = time.time()
+    for z in (0.0, 0.5, 1.0, 2.0, 3.0):
+        p = stats.exact_u_tail(float(round(mean + z * sd)), n1, n2)
+        assert abs(p - math.erfc(z / math.sqrt(2))) < 0.01
+    assert stats.exact_u_tail(0, n1, n2) == pytest.approx(2 * math.factorial(8) / n2**8, rel=1e-6)
+    assert tracemalloc.get_traced_memory()[1] < 100e6 and time.time() - began < 20
+    tracemalloc.stop()

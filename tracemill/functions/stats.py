@@ -3,26 +3,52 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
+from functools import cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 
 
+@cache
+def _denumerant(few: int) -> tuple[int, tuple[int, ...]]:
+    """(period, numerator) of 1 / ((1 - q)(1 - q)(1 - q^2) ... (1 - q^few)), written over (1 - q^period)^(few + 1)."""
+    period, top = math.lcm(*range(1, few + 1)), [1]
+    for part in [1, *range(1, few + 1)]:
+        wide = [0] * (len(top) + period - part)
+        for shift in range(0, period, part):
+            for i, x in enumerate(top):
+                wide[shift + i] += x
+        top = wide
+    return period, tuple(top)
+
+
+def _up_to(m: int, few: int) -> int:
+    """How many sequences of ``few`` multiplicities of 1, 2 ... few sum to ``m`` at most."""
+    if m < 0:
+        return 0
+    period, top = _denumerant(few)
+    return sum(top[j] * math.comb((m - j) // period + few, few) for j in range(m % period, min(len(top), m + 1), period))
+
+
+def count_at_most(k: int, few: int, many: int) -> int:
+    """Ways in which U of ``few`` values among ``many`` others is at most ``k``, without ties: an exact integer.
+
+    The generating function is the product of (1 - q^(many + i)) / (1 - q^i) for i = 1 .. few. Its numerator has at
+    most 2^few terms, and sums of the coefficients of what is left follow from a few binomials each, whatever the sizes.
+    """
+    terms = {0: 1}
+    for i in range(1, few + 1):
+        for e, x in list(terms.items()):
+            terms[e + many + i] = terms.get(e + many + i, 0) - x
+    return sum(x * _up_to(k - e, few) for e, x in terms.items())
+
+
 def exact_u_tail(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact probability of a U at least as far from its mean, without ties; 8 bytes for each of n1 * n2 values."""
-    counts = np.zeros(n1 * n2 + 1)
-    counts[0] = 1.0
+    """Two-sided exact probability of a U at least as far from its mean, without ties, in time and memory that don't grow with the larger group."""
     few, many = sorted((n1, n2))
-    # Generating function of U: product of (1 - q^(many + i)) / (1 - q^i) for i = 1 .. few.
-    for i in range(1, few + 1):
-        if many + i < len(counts):
-            counts[many + i :] -= counts[: -(many + i)].copy()
-        whole = np.zeros(-(-len(counts) // i) * i)
-        whole[: len(counts)] = counts
-        counts = whole.reshape(-1, i).cumsum(axis=0).ravel()[: len(counts)]
-    high = max(u, n1 * n2 - u)
-    return float(min(1.0, 2 * counts[math.ceil(high - 1e-9) :].sum() / counts.sum()))
+    low = math.floor(min(u, n1 * n2 - u) + 1e-9)  # by symmetry the lower tail
+    return float(min(Fraction(1), Fraction(2 * count_at_most(low, few, many), math.comb(n1 + n2, few))))
 
 
 def mann_whitney_p(u: float, n1: int, n2: int, ties: float) -> float:

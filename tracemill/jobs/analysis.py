@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.jobs import tables as T
-from tracemill.operators import consensus, coupling, curves, states
+from tracemill.operators import clusters, consensus, coupling, curves, states
 from tracemill.operators import comparison as G
 from tracemill.operators.ranks import quantiles, spearman
+from tracemill.stages import Stages
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -490,11 +491,28 @@ def equivalence_entropy(spark, sf_dir):
     e = T.read(spark, sf_dir, "events")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     pairs = e.select("user_id", F.col("event_type").alias("a"), F.lead("event_type").over(order).alias("b"), F.abs(F.col("value") - F.lead("value").over(order)).alias("gap"))
-    found = consensus.equivalence_clusters(e, pairs.filter("gap < 2"), "user_id", "event_type")
+    found = clusters.equivalence_clusters(Stages(spark, "clusters"), e, pairs.filter("gap < 2"), "user_id", "event_type")
     entropy = consensus.semantic_entropy(e.select("user_id", "event_type").join(found, ["user_id", "event_type"]), "user_id", "cluster")
     return rounded(entropy.withColumn("entropy", F.col("entropy") + 1e-9))  # off the sign of zero
 
 
+@job("""WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, lag(o_totalprice) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)),
+i AS (SELECT *, sum(CASE WHEN o_totalprice - before <= 10000 THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS island FROM o),
+n AS (SELECT o_custkey, island, count(*) AS n, min(o_orderkey) AS cluster FROM i GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY o_custkey) AS p FROM n)
+SELECT o_custkey AS customer, sum(n)::BIGINT AS n_answers, count(*) AS n_clusters, max(n) AS largest, sum(cluster)::BIGINT AS clusters, round(-sum(p * ln(p)) + 1e-9, 6) + 0.0 AS entropy FROM p GROUP BY o_custkey""")
+def order_clusters(spark, sf_dir):
+    """R6 on customers with any number of answers: orders are answers, alike where the next dearer one costs at most 10,000 more."""
+    o = T.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("answer"), F.col("o_totalprice").alias("price"))
+    order = Window.partitionBy("customer").orderBy("price", "answer")
+    pairs = o.select("customer", F.col("answer").alias("a"), F.lead("answer").over(order).alias("b"), (F.lead("price").over(order) - F.col("price")).alias("gap")).filter("gap <= 10000")
+    stages = Stages(spark, "clusters")
+    found = stages.save(clusters.equivalence_clusters(stages, o, pairs, "customer", "answer"), "clusters")
+    sizes = found.groupBy("customer", "cluster").agg(F.count("*").alias("n"))
+    shape = sizes.groupBy("customer").agg(F.sum("n").alias("n_answers"), F.max("n").alias("largest"), F.sum("cluster").alias("clusters"))
+    entropy = consensus.semantic_entropy(found, "customer", "cluster").withColumn("entropy", F.col("entropy") + 1e-9)  # off the sign of zero
+    return rounded(shape.join(entropy, "customer"))
+
+
 @job(FEATURE_SQL + """ SELECT model_name, count(*) AS n_traces, round(100.0 * count(*) FILTER (n_transitions > 0) / count(*), 0) AS pct_with_transitions, round(avg(n_transitions), 1) AS mean_transitions, round(avg(mean_sim), 3) AS mean_similarity FROM features GROUP BY model_name""")
 def transition_table(spark, sf_dir):
     """The first pilot's table as reports round it."""

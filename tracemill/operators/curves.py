@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracemill.config import PARAMS
+from tracemill.session import ship_package
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -137,32 +144,84 @@ def vector_features(steps: DataFrame, keys: list[str], pos: str = "pos", vec: st
     return features.join(drift, keys, "left").withColumn("mean_drift_to_final", F.coalesce("mean_drift_to_final", F.lit(0.0)))
 
 
+def _running_variance(keys: list[str], pos: str, vec: str):
+    """Rows sorted by trace and step, batch by batch, to the variance of the vectors so far; only the last trace's sums are carried on."""
+
+    def run(batches):
+        last, count, total, square = None, 0, None, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = list(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys)))
+            lists = batch.column(batch.schema.get_field_index(vec))
+            width = np.diff(lists.offsets.to_numpy())
+            flat, at, out = lists.flatten().to_numpy(zero_copy_only=False).astype(float), 0, np.zeros(len(names))
+            begin = 0
+            while begin < len(names):
+                end, n = begin + 1, int(width[begin])
+                while end < len(names) and names[end] == names[begin]:
+                    end += 1
+                if (width[begin:end] != n).any():
+                    raise ValueError("vectors of one trace differ in length")
+                x = flat[at : at + n * (end - begin)].reshape(end - begin, n)
+                at += x.size
+                if names[begin] != last or total is None:
+                    last, count, total, square = names[begin], 0, np.zeros(n), 0.0
+                sums, squares = total + np.cumsum(x, axis=0), square + np.cumsum((x * x).sum(axis=1))
+                seen = count + np.arange(1, end - begin + 1)
+                out[begin:end] = squares / seen - ((sums / seen[:, None]) ** 2).sum(axis=1)
+                count, total, square = int(seen[-1]), sums[-1], float(squares[-1])
+                begin = end
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in [*keys, pos]), pa.array(out)], names=[*keys, pos, "variance"])
+
+    return run
+
+
 def accumulated_variance(steps: DataFrame, keys: list[str], pos: str = "pos", vec: str = "vec") -> DataFrame:
-    """R2: variance of the first d step vectors around their mean, for each d: mean square norm minus squared norm of the mean."""
-    run = Window.partitionBy(*keys, "dim").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    long = steps.select(*keys, pos, F.posexplode(vec).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    var = F.avg(F.col("x") * F.col("x")).over(run) - F.avg("x").over(run) * F.avg("x").over(run)
-    return long.withColumn("v", var).groupBy(*keys, pos).agg(F.sum("v").alias("variance"))
+    """R2: variance of the first d step vectors around their mean, for each d: mean square norm minus squared norm of the mean.
+
+    A running sum of vectors over the sorted rows of each trace, in Arrow batches: one row in, one row out, and of a trace only its sums
+    are kept. Null vectors are left out; vectors of a trace must be of one length.
+    """
+    ship_package(steps.sparkSession)
+    rows = steps.select(*keys, pos, vec).filter(F.col(vec).isNotNull()).repartition(*keys).sortWithinPartitions(*keys, pos)
+    shape = StructType([rows.schema[c] for c in [*keys, pos]]).add("variance", "double")
+    return rows.mapInArrow(_running_variance(keys, pos, vec), shape)
+
+
+#: Grid places that are summed in one window; a longer grid is cut to ranges, whose totals are summed first.
+GRID_RANGE = 1 << 16
 
 
-def mean_curve(curve: DataFrame, keys: list[str], group: list[str]) -> DataFrame:
+def mean_curve(curve: DataFrame, keys: list[str], group: list[str], grid_range: int = GRID_RANGE) -> DataFrame:
     """Curves of a group laid on a grid as long as the group's longest, averaged by place.
 
-    Each curve stands between its own first and last point; grid points between two of its points are interpolated.
+    Each curve stands between its own first and last point; grid points between two of its points are interpolated. On the grid a
+    curve is a line from point to point: at each point its height and slope change, once. These changes are added up
+    by place, and two running sums give the sum of all curves at every place, so the work is that of the curves' own
+    lengths, whatever the longest is. (The longest curve has a point at every place.) Keys belong to one group each.
     """
-    sized = curve.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    longest = sized.groupBy(*group).agg(F.max("n").alias("points"))
-    nxt = F.lead("sim").over(Window.partitionBy(*keys).orderBy("idx"))
-    rows = sized.withColumn("next", nxt).join(longest, group)
-    # Grid points g with idx <= g * (n - 1) / (points - 1) < idx + 1; the last point closes the grid.
-    step = F.greatest(F.col("points") - 1, F.lit(1))
-    span = F.col("n") - 1
-    lo = F.ceil(F.try_divide(F.col("idx") * step, span))
-    hi = F.ceil(F.try_divide((F.col("idx") + 1) * step, span)) - 1
-    single = F.col("n") == 1
-    lo = F.when(single, F.lit(0)).when(F.col("next").isNull(), step).otherwise(lo)
-    hi = F.when(single, F.col("points") - 1).when(F.col("next").isNull(), F.col("points") - 1).otherwise(hi)
-    grid = rows.filter(hi >= lo).withColumn("g", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
-    x = F.col("g") * span / step - F.col("idx")
-    value = F.when(single | F.col("next").isNull(), F.col("sim")).otherwise(F.col("sim") + (F.col("next") - F.col("sim")) * x)
-    return grid.select(*group, "g", value.alias("v")).groupBy(*group, "g").agg(F.avg("v").alias("mean_sim"), F.count("*").alias("n_curves"))
+    order = Window.partitionBy(*keys).orderBy("idx")
+    rows = curve.select(*keys, *[g for g in group if g not in keys], "idx", "sim").withColumns({"n": F.count("*").over(Window.partitionBy(*keys)), "before": F.lag("sim").over(order), "next": F.lead("sim").over(order)})
+    sizes = rows.filter("before is null").groupBy(*group).agg(F.max("n").alias("points"), F.count("*").alias("n_curves"))
+    same = reduce(and_, [F.col(f"c.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group])
+    rows = rows.alias("c").join(sizes.alias("s"), same).select(*[F.col(f"c.{g}").alias(g) for g in group], "idx", "sim", "n", "before", "next", "points")
+    i, span, step = F.col("idx").cast("long"), F.col("n") - 1, F.col("points") - 1
+    g = F.when(span == 0, F.lit(0)).otherwise(F.expr("(cast(idx as long) * (points - 1) + n - 2) div greatest(n - 1, 1)"))  # the first place not before the point
+    ratio = F.try_divide(span.cast("double"), step.cast("double"))
+    slope = lambda a, b: F.coalesce((b - a) * ratio, F.lit(0.0))
+    after, ahead = slope(F.col("sim"), F.col("next")), slope(F.col("before"), F.col("sim"))
+    # A line through the point i with slope s has height sim - s * i / ratio at place 0.
+    base = lambda s: F.col("sim") - F.coalesce(F.try_divide(s * i, ratio), F.lit(0.0))
+    first = F.col("before").isNull()
+    height = F.when(first, base(after)).otherwise(base(after) - base(ahead))
+    turns = rows.filter((F.col("next").isNotNull()) | first).select(*group, g.cast("long").alias("g"), height.alias("a"), F.when(first, after).otherwise(after - ahead).alias("s"))
+    ends = rows.filter((F.col("next").isNull()) & ~first).select(*group, g.cast("long").alias("g"), F.lit(0.0).alias("a"), F.lit(0.0).alias("s"))  # the grid's last place
+    places = turns.unionByName(ends).groupBy(*group, "g").agg(F.sum("a").alias("a"), F.sum("s").alias("s")).withColumn("range", F.floor(F.col("g") / grid_range))
+    whole = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    offsets = places.groupBy(*group, "range").agg(F.sum("a").alias("a0"), F.sum("s").alias("s0")).withColumns({c: F.coalesce(F.sum(c).over(whole), F.lit(0.0)) for c in ("a0", "s0")})
+    inside = Window.partitionBy(*group, "range").orderBy("g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    on = reduce(and_, [F.col(f"p.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*group, "range"]])
+    summed = places.withColumns({"a": F.sum("a").over(inside), "s": F.sum("s").over(inside)}).alias("p").join(offsets.alias("o"), on).select(*[F.col(f"p.{c}").alias(c) for c in group], "g", (F.col("a") + F.col("a0") + (F.col("s") + F.col("s0")) * F.col("g")).alias("sum"))
+    same = reduce(and_, [F.col(f"c.{x}").eqNullSafe(F.col(f"s.{x}")) for x in group])
+    return summed.alias("c").join(sizes.alias("s"), same).select(*[F.col(f"c.{x}").alias(x) for x in group], "g", (F.col("sum") / F.col("n_curves")).alias("mean_sim"), "n_curves")
