@@ -91,3 +91,36 @@ EMBEDDED = VECTORS + """, emb AS (
 ), steps AS (
   SELECT 'm' || (trace_id % 3) AS model_name, trace_id || '-' || embedding_model AS user_id, is_correct, pos,
          list_dot_product(vec, nxt) / (sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(nxt, nxt))) AS sim FROM pairs WHERE nxt IS NOT NULL)"""
+
+
+#: What stands for outputs of four models: texts with think tags, headings, loops and boxed answers around them, by number.
+def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as raw outputs of four models, in eight forms so that every rule of T1-T4 has something to do."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    t, head = F.col("t"), F.substring("t", 1, 90)
+    loop = F.repeat(head, F.lit(4))
+    forms = [
+        F.concat(F.lit("<think>"), t, F.lit("</think>\nThe answer is B")), F.concat(t, F.lit("\n**Answer: (C)** it is")), F.concat(loop, F.lit("\n\nSo **D** then")),
+        F.concat(t, F.repeat(F.lit("\n### Final Answer\nA. as said"), F.lit(3))), F.concat(t, F.repeat(F.lit(r" \\boxed{E} "), F.lit(4))),
+        F.concat(F.lit("<think>"), loop, F.lit("</think> <|im_end|> It is \\boxed{A}")), F.concat(F.lit("<think>"), t), t,
+    ]
+    form = F.expr("(doc_id div 4) % 8")
+    raw = F.coalesce(*[F.when(form == i, c) for i, c in enumerate(forms)])
+    return d.select("doc_id", F.concat(F.lit("m"), F.col("doc_id") % 4).alias("model_name"), raw.alias("raw_output"))
+
+
+OUTPUTS = r"""outputs AS (SELECT doc_id, 'm' || (doc_id % 4) AS model_name, CASE (doc_id // 4) % 8
+  WHEN 0 THEN '<think>' || t || '</think>' || chr(10) || 'The answer is B' WHEN 1 THEN t || chr(10) || '**Answer: (C)** it is'
+  WHEN 2 THEN repeat(left(t, 90), 4) || chr(10) || chr(10) || 'So **D** then' WHEN 3 THEN t || repeat(chr(10) || '### Final Answer' || chr(10) || 'A. as said', 3)
+  WHEN 4 THEN t || repeat(' ' || chr(92) || chr(92) || 'boxed{E} ', 4) WHEN 5 THEN '<think>' || repeat(left(t, 90), 4) || '</think> <|im_end|> It is ' || chr(92) || 'boxed{A}'
+  WHEN 6 THEN '<think>' || t ELSE t END AS raw_output FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"""
+
+#: Settings of three of them (the fourth has none): think tags or not, and which order of steps.
+MODEL_SETTINGS = [("m0", False, False, 2000), ("m1", True, False, 2000), ("m2", True, True, 3000)]
+
+
+def model_settings(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(MODEL_SETTINGS, "model_name string, has_think_tags boolean, tags_first boolean, kept_chars int")
+
+
+SETTINGS = "settings AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {a}, {b}, {n})" for m, a, b, n in MODEL_SETTINGS) + ") s(model_name, has_think_tags, tags_first, kept_chars))"

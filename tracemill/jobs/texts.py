@@ -9,10 +9,9 @@ from tracemill.config import ABBREVIATIONS, COMMON_MARKERS, COMMON_STATES, PARAM
 from tracemill.functions import text as X
 from tracemill.jobs import tables as T
 from tracemill.jobs.analysis import feature_tests, r, rounded, transition_summary
-from tracemill.operators import consensus, coupling, curves, markers, sampling
+from tracemill.operators import coupling, curves, markers, sampling
 from tracemill.operators import comparison as G
-from tracemill.session import ship_package
-from tracemill.sources.traces import graded, merged, unseen
+from tracemill.sources.traces import merged, unseen
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -250,16 +249,6 @@ def predicted_options(spark, sf_dir):
     return T.traces(spark, sf_dir).select("doc_id", X.predicted_option(F.col("thinking_text")).alias("predicted_option"))
 
 
-@job()
-def graded_traces(spark, sf_dir):
-    """Outputs cleaned and split, options read from the answer and else from the thinking, and graded."""
-    ship_package(spark)
-    t = T.traces(spark, sf_dir).select("doc_id", "question_id", "model_name", X.remove_repetitions(X.drop_special_tokens(F.col("thinking_text"))).alias("raw"))
-    t = t.select("doc_id", "question_id", "model_name", X.split_thinking(F.col("raw"), F.lit(True)).alias("s"))
-    t = t.select("doc_id", "question_id", "model_name", X.chosen_option(F.col("s.answer"), F.col("s.thinking")).alias("predicted_option"))
-    return graded(t, trace_prompts(spark, sf_dir).select("question_id", "correct_answer")).select("doc_id", "model_name", "predicted_option", "correct_option", "is_correct")
-
-
 @job("WITH " + T.TRACES + r""", x AS (SELECT doc_id, thinking_text AS t, length(thinking_text) - length(string_split(thinking_text, chr(10) || chr(10))[-1]) - 2 AS b, instr(thinking_text, chr(10)) AS first_line FROM traces)
 SELECT doc_id, length(CASE WHEN b >= 0 THEN """ + STRIP.format("left(t, b)") + " ELSE t END) AS thinking_chars, length(" + STRIP.format("string_split(t, chr(10) || chr(10))[-1]") + ") AS answer_chars FROM x")
 def split_traces(spark, sf_dir):
@@ -268,23 +257,6 @@ def split_traces(spark, sf_dir):
     return t.select("doc_id", F.length("s.thinking").cast("long").alias("thinking_chars"), F.length("s.answer").cast("long").alias("answer_chars"))
 
 
-@job()
-def clean_traces(spark, sf_dir):
-    """Outputs without degenerate repetitions."""
-    ship_package(spark)
-    t = T.traces(spark, sf_dir).select("doc_id", "thinking_text", X.remove_repetitions(X.drop_special_tokens(F.col("thinking_text"))).alias("cleaned"))
-    return t.select("doc_id", F.length("thinking_text").alias("chars"), F.length("cleaned").alias("kept_chars"), F.md5(F.col("cleaned").cast("binary")).alias("digest"))
-
-
-@job("WITH " + T.TRACES + f" SELECT model_name, count(*) AS n_traces, count(*) FILTER (is_correct) AS n_correct, {r('avg(is_correct::INT)', 'accuracy')}, count(*) FILTER (starts_with(thinking_text, 'ERROR')) AS n_errors, {r('avg(thinking_chars)', 'mean_chars')}, {r('avg(length(left(thinking_text, 2000)))', 'mean_kept')}, {r('avg(length(left(thinking_text, 3000)))', 'mean_kept_long')} FROM traces GROUP BY ALL")
-def run_summary(spark, sf_dir):
-    """G11, S8, P5, P6."""
-    t = T.traces(spark, sf_dir).withColumns({"raw_output": F.col("thinking_text"), "predicted_option": F.lit(None).cast("string")})
-    s = consensus.run_summary(t).drop("n_parsed")
-    kept = t.groupBy("model_name").agg(F.avg(F.length(X.kept_answer(F.col("thinking_text")))).alias("mean_kept"), F.avg(F.length(X.kept_answer(F.col("thinking_text"), 3000))).alias("mean_kept_long"))
-    return rounded(s.join(kept, "model_name"))
-
-
 OPTIONS_SQL = "o AS (SELECT string_agg(chr(65 + r_regionkey) || ') ' || r_name, chr(10) ORDER BY r_regionkey) AS options_text FROM region)"
 
 

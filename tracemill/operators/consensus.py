@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,11 +58,12 @@ def semantic_entropy(answers: DataFrame, key: str, cluster: str) -> DataFrame:
     return n.withColumn("h", -p * F.ln(p)).groupBy(key).agg(F.sum("h").alias("entropy"), F.count("*").alias("n_clusters"))
 
 
-def run_summary(traces: DataFrame) -> DataFrame:
-    """Per model the traces, right, parsed and failed ones and the mean characters of thinking."""
+def run_summary(traces: DataFrame, **more: Column) -> DataFrame:
+    """Per model the traces, right, parsed and failed ones and the mean characters of thinking; ``more`` aggregates may be added."""
     return traces.groupBy("model_name").agg(
         F.count("*").alias("n_traces"), F.count_if("is_correct").alias("n_correct"), F.avg(F.col("is_correct").cast("double")).alias("accuracy"),
         F.count("predicted_option").alias("n_parsed"), F.count_if(F.col("raw_output").startswith("ERROR")).alias("n_errors"), F.avg("thinking_chars").alias("mean_chars"),
+        *[c.alias(k) for k, c in more.items()],
     )
 
 

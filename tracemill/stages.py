@@ -58,7 +58,7 @@ class Stages:
 
 
 def settled(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that later expressions read as they are: a generator of one row, which no rule inlines into its users."""
+    """Adds columns that later expressions read as they are: each goes through a generator of one row, which no rule looks through."""
     for name, column in columns.items():
-        df = df.select("*", F.explode(F.array(column)).alias(name))
+        df = df.withColumn("_settled", column).select("*", F.explode(F.array("_settled")).alias(name)).drop("_settled")
     return df
