@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tracemill.jobs import analysis, outputs, texts
+from tracemill.jobs import analysis, outputs, sentences, texts
 
 SF = "/root/testdata/sf0.001"
-JOBS = analysis.QUERIES | texts.QUERIES | outputs.QUERIES
-SQL = analysis.ORACLE_SQL | texts.ORACLE_SQL | outputs.ORACLE_SQL
+JOBS = analysis.QUERIES | texts.QUERIES | outputs.QUERIES | sentences.QUERIES
+SQL = analysis.ORACLE_SQL | texts.ORACLE_SQL | outputs.ORACLE_SQL | sentences.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")

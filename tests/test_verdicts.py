@@ -1,5 +1,7 @@
 """Verdicts and best-of rows against the tables that they sum up."""
 
+from collections import defaultdict
+
 from tracemill.jobs import analysis, texts
 
 SF = "/root/testdata/sf0.01"
@@ -7,8 +9,11 @@ SF = "/root/testdata/sf0.01"
 
 def test_three_verdicts(spark):
     got = {r.pilot: (r.n, r.passes) for r in texts.verdicts(spark, SF).collect()}
-    found = sum(r.pct_with_transitions > 50 for r in analysis.transition_summary(spark, SF).collect())
-    significant = sum(r.note is None and r.p < 0.05 for r in analysis.feature_tests(spark, SF).collect())
+    pairs = defaultdict(list)  # of model and embedding
+    for r in analysis.vector_features(spark, SF).collect():
+        pairs[r.model_name, r.embedding_model].append(r.n_transitions > 0)
+    found = sum(100 * sum(x) / len(x) > 50 for x in pairs.values())
+    significant = sum(r.significant for r in analysis.embedding_effects(spark, SF).collect())
     third = texts.verdict(spark, SF).first()
     assert got == {1: (found, found > 0), 2: (significant, significant > 0), 3: (third.models_with_signal, third.passes)}
 

@@ -140,13 +140,47 @@ COMPARE_SQL = """, ranked AS (
   SELECT *, CASE WHEN n_correct < 2 OR n_incorrect < 2 THEN 0.0 ELSE coalesce((correct_mean - incorrect_mean) / nullif(sqrt(((n_correct - 1) * v1 + (n_incorrect - 1) * v0) / (n_correct + n_incorrect - 2)), 0), 0.0) END AS cohens_d FROM compared)"""
 
 
+def erfc_sql(x: str) -> str:
+    """Complementary error function of a column, from a series of positive terms; 1 at and below 0, exact to 1e-12 where it matters."""
+    term = f"exp((2 * k + 1) * ln(greatest({x}, 1e-300)) + k * ln(2.0) - lgamma(2 * k + 3) + (k + 1) * ln(2.0) + lgamma(k + 2))"
+    return f"CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} > 6 THEN 0.0 ELSE greatest(0.0, 1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * list_sum(list_transform(generate_series(0, 200), lambda k: {term}))) END"
+
+
+def t_tail_sql(rho: str, n: str) -> str:
+    """Two-sided tail of Student's t of a rank correlation with n - 2 degrees of freedom, from the series of the incomplete beta function."""
+    a, y = f"(({n} - 2) / 2.0)", f"least({rho} * {rho}, 1 - 1e-15)"
+    term = f"exp(lgamma({a} + 0.5 + k) - lgamma({a} + 0.5) + lgamma(1.5) - lgamma(1.5 + k) + k * ln(greatest({y}, 1e-300)))"
+    return f"1 - exp(0.5 * ln(greatest({y}, 1e-300)) + {a} * ln(1 - {y}) + lgamma({a} + 0.5) - lgamma({a}) - lgamma(0.5)) * 2 * list_sum(list_transform(generate_series(0, 600), lambda k: {term}))"
+
+
+#: P from U in ``effect``: all orders of two small groups without ties are counted one by one, else the corrected normal tail.
+P_SQL = f""", need AS (SELECT DISTINCT n_correct AS n1, n_incorrect AS n2 FROM effect WHERE ties = 0 AND least(n_correct, n_incorrect) BETWEEN 2 AND 8 AND n_correct + n_incorrect <= 22),
+paths AS (SELECT n1, n2, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS v FROM need UNION ALL SELECT n1, n2, a + s, b + 1 - s, v + s * b FROM paths, (VALUES (0), (1)) way(s) WHERE CASE s WHEN 1 THEN a < n1 ELSE b < n2 END),
+orders_of AS (SELECT n1, n2, v, count(*) AS ways FROM paths WHERE a = n1 AND b = n2 GROUP BY ALL),
+counted AS (SELECT model_name, feature, least(1.0, 2.0 * sum(ways) FILTER (v >= greatest(u, n1 * n2 - u) - 1e-9) / sum(ways)) AS exact FROM effect JOIN orders_of ON n1 = n_correct AND n2 = n_incorrect WHERE ties = 0 GROUP BY ALL),
+spread AS (SELECT *, n_correct::DOUBLE * n_incorrect / 12 * (n_correct + n_incorrect + 1 - ties / nullif((n_correct + n_incorrect)::DOUBLE * (n_correct + n_incorrect - 1), 0)) AS var FROM effect),
+tail AS (SELECT *, (greatest(u, n_correct * n_incorrect - u) - n_correct * n_incorrect / 2.0 - 0.5) / sqrt(2 * nullif(var, 0)) AS x FROM spread),
+tested AS (SELECT t.*, CASE WHEN least(n_correct, n_incorrect) < 2 THEN 1.0 WHEN least(n_correct, n_incorrect) <= 8 AND ties = 0 THEN c.exact WHEN var <= 0 THEN 1.0 ELSE least(1.0, e.p) END AS p
+  FROM tail t LEFT JOIN counted c ON c.model_name = t.model_name AND c.feature = t.feature LEFT JOIN (SELECT model_name, feature, {erfc_sql('x')} AS p FROM tail) e ON e.model_name = t.model_name AND e.feature = t.feature)"""
+
+
+def tested(sql: str) -> str:
+    """SQL with p-values: its CTEs are recursive."""
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @job(LONG_SQL + COMPARE_SQL + f" SELECT model_name, feature, n_correct, n_incorrect, {', '.join(map(r, ['correct_mean', 'correct_std', 'incorrect_mean', 'incorrect_std', 'cohens_d', 'u', 'ties']))} FROM effect")
 def feature_comparison(spark, sf_dir):
     """G2, G4 and the statistic of G3 (E8, G14 are of the same form)."""
     return rounded(G.group_comparison(long_features(spark, sf_dir), ["model_name"]))
 
 
-@job()
+_SIGNIFICANT = "least(n_correct, n_incorrect) >= 2 AND p < 0.05"
+_NOTE = "CASE WHEN least(n_correct, n_incorrect) < 2 THEN 'insufficient_data' END"
+TESTED_SQL = tested(LONG_SQL + COMPARE_SQL + P_SQL)
+
+
+@job(TESTED_SQL + f" SELECT model_name, feature, n_correct, n_incorrect, {', '.join(map(r, ['correct_mean', 'correct_std', 'incorrect_mean', 'incorrect_std', 'cohens_d', 'u', 'ties', 'p']))}, {_SIGNIFICANT} AS significant, {_NOTE} AS note FROM tested")
 def feature_tests(spark, sf_dir):
     """With p-values."""
     return rounded(G.with_p(G.group_comparison(long_features(spark, sf_dir), ["model_name"])))
@@ -406,7 +440,7 @@ def mixed_examples(spark, sf_dir):
     return mixed.select("question_id", "n_correct", "n_wrong", "correct_models", "wrong_models").orderBy("question_id").limit(5)
 
 
-@job()
+@job(TESTED_SQL + f", b AS (SELECT model_name, count(*) FILTER ({_SIGNIFICANT}) AS n_significant FROM tested GROUP BY model_name) SELECT model_name, n_significant, row_number() OVER (ORDER BY n_significant DESC, model_name) AS place FROM b")
 def best_by_p(spark, sf_dir):
     """Models (of which there are few) by the number of significant features, first on ties."""
     best = feature_tests(spark, sf_dir).groupBy("model_name").agg(F.count_if("significant").alias("n_significant"))
@@ -444,13 +478,17 @@ def vector_comparison(spark, sf_dir):
     return rounded(embedded_comparison(spark, sf_dir))
 
 
-@job()
+VTESTED_SQL = tested(VLONG_SQL + COMPARE_SQL + P_SQL)
+_EMBEDDED = "split_part(model_name, '/', 1) AS model_name, split_part(model_name, '/', 2) AS embedding_model"
+
+
+@job(VTESTED_SQL + f" SELECT {_EMBEDDED}, feature, {r('cohens_d')}, {r('p')}, {_SIGNIFICANT} AS significant FROM tested")
 def embedding_effects(spark, sf_dir):
     """Model x embedding x feature with p-values and effect sizes."""
     return rounded(G.with_p(embedded_comparison(spark, sf_dir)).select("model_name", "embedding_model", "feature", "cohens_d", "p", "significant"))
 
 
-@job()
+@job(VTESTED_SQL + f", b AS (SELECT {_EMBEDDED}, count(*) FILTER ({_SIGNIFICANT}) AS n_significant, min(p) AS least_p, max(abs(cohens_d)) AS largest_d FROM tested GROUP BY tested.model_name) SELECT model_name, embedding_model, n_significant, {r('least_p')}, {r('largest_d')}, row_number() OVER (ORDER BY n_significant DESC, model_name, embedding_model) AS place FROM b")
 def best_embedding(spark, sf_dir):
     """Model and embedding by number of significant features, first in order on ties."""
     return rounded(G.effect_by_group(G.with_p(embedded_comparison(spark, sf_dir)), ["model_name", "embedding_model"]))
@@ -519,7 +557,7 @@ def transition_table(spark, sf_dir):
     return transition_summary(spark, sf_dir).select("model_name", "n_traces", F.round("pct_with_transitions", 0).alias("pct_with_transitions"), F.round("mean_transitions", 1).alias("mean_transitions"), F.round("mean_similarity", 3).alias("mean_similarity"))
 
 
-@job()
+@job(VTESTED_SQL + f" SELECT {_EMBEDDED}, feature, {', '.join(f'round({c}, 3) AS {c}' for c in ('correct_mean', 'correct_std', 'incorrect_mean', 'incorrect_std', 'cohens_d'))}, round(p, 4) AS p, {_SIGNIFICANT} AS significant FROM tested WHERE least(n_correct, n_incorrect) >= 2")
 def feature_table(spark, sf_dir):
     """The second pilot's table: means, deviations, p and effect as reports round them, without features of too few values."""
     t = G.with_p(embedded_comparison(spark, sf_dir)).filter("note is null")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tracemill.config import ABBREVIATIONS, COMMON_MARKERS, COMMON_STATES, PARAMS, whole_words
 from tracemill.functions import text as X
 from tracemill.jobs import tables as T
-from tracemill.jobs.analysis import feature_tests, r, rounded, transition_summary
-from tracemill.operators import coupling, curves, markers, sampling
+from tracemill.jobs.analysis import VECTOR_SQL, VTESTED_SQL, embedded_comparison, embedded_features, r, rounded, t_tail_sql
+from tracemill.operators import markers, sampling
 from tracemill.operators import comparison as G
 from tracemill.sources.traces import merged, unseen
 
@@ -105,37 +105,6 @@ def marker_positions(spark, sf_dir):
     return rounded(found.groupBy("doc_id", "category").agg(F.count("*").alias("n_sentences"), F.min("pos").alias("first"), F.max("pos").alias("last")))
 
 
-TEXT_COUPLING_SQL = POSITION_SQL + """, size AS (SELECT doc_id, count(*) AS n_sentences FROM w GROUP BY doc_id),
-sv AS (SELECT s.doc_id, s.pos, e.embedding::DOUBLE[] AS vec, lead(e.embedding::DOUBLE[]) OVER (PARTITION BY s.doc_id ORDER BY s.pos) AS nxt FROM w s JOIN embeddings e ON e.vec_id = (s.doc_id * 7 + s.pos) % 500),
-steps AS (SELECT doc_id AS user_id, pos, list_dot_product(vec, nxt) / (sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(nxt, nxt))) AS sim FROM sv WHERE nxt IS NOT NULL)""" + T.TRANSITIONS[len(T.STEPS):] + """,
-coupled AS (SELECT *, nxt - pos AS distance FROM (SELECT 'm' || (h.doc_id % 3) AS model_name, h.doc_id, h.category, h.pos, min(t.idx) AS nxt FROM hits h JOIN size s ON s.doc_id = h.doc_id AND n_sentences >= 5 JOIN curve t ON t.user_id = h.doc_id AND t.is_transition AND t.idx > h.pos GROUP BY ALL)),
-summary AS (SELECT model_name, category, count(*) AS n_events, avg(distance) AS mean_distance, count(*) FILTER (distance <= 3) AS within_near, 100.0 * count(*) FILTER (distance <= 3) / count(*) AS pct_within_near FROM coupled GROUP BY ALL)"""
-
-
-def text_coupled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Markers of texts with the next transition of their sentences' vectors, and the number of sentences."""
-    keys = ["model_name", "doc_id"]
-    sentences_, found = text_traces(spark, sf_dir)
-    vectors = T.read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    steps = sentences_.select(*keys, "pos", ((F.col("doc_id") * 7 + F.col("pos")) % 500).alias("vec_id")).join(vectors, "vec_id")
-    turns = curves.with_transitions(curves.similarity_curve(steps, keys), keys).filter("is_transition").select(*keys, F.col("idx").alias("pos"))
-    return coupling.coupling_events(found, turns, None, keys), sentences_.filter("pos = 0").select(*keys, "n_sentences")
-
-
-@job(TEXT_COUPLING_SQL + f" SELECT model_name, category, n_events, {r('mean_distance')}, within_near, {r('pct_within_near')} FROM summary")
-def text_coupling(spark, sf_dir):
-    """From texts and sentence vectors to the coupling of markers with transitions."""
-    return rounded(coupling.coupling_summary(text_coupled(spark, sf_dir)[0], ["model_name"]))
-
-
-@job(TEXT_COUPLING_SQL + f""", chance AS (SELECT 'm' || (doc_id % 3) AS model_name, 300.0 / avg(n_sentences) AS chance_pct FROM size GROUP BY 1)
-SELECT model_name, {r('pct_within_near')}, {r('chance_pct')}, {r('pct_within_near / greatest(chance_pct, 0.1)', 'lift')}, pct_within_near > 2 * chance_pct AS strong FROM summary JOIN chance USING (model_name) WHERE category = 'revise'""")
-def text_coupling_lift(spark, sf_dir):
-    """G13 on texts."""
-    events, sizes = text_coupled(spark, sf_dir)
-    return rounded(coupling.lift_over_chance(coupling.coupling_summary(events, ["model_name"]), sizes, ["model_name"]))
-
-
 _SCORE = {s: " + ".join(f"(list_contains(w, '{x}'))::INT" for x in ws) for s, ws in COMMON_STATES.items()}
 
 
@@ -179,13 +148,16 @@ def marker_calibration(spark, sf_dir):
     return rounded(correlations(spark, sf_dir))
 
 
-@job()
+RHO_P_SQL = RHO_SQL + f", pr AS (SELECT *, CASE WHEN n < 3 OR rho = 0 THEN 1.0 WHEN abs(rho) >= 1 THEN 0.0 ELSE {t_tail_sql('rho', 'n')} END AS p FROM rho)"
+
+
+@job(RHO_P_SQL + f" SELECT model_name, region, category, n, {r('rho')}, {r('mean_density_correct')}, {r('mean_density_incorrect')}, abs(rho) > 0.15 AS passes_rho, {r('p')} FROM pr")
 def marker_tests(spark, sf_dir):
     """With p-values."""
     return rounded(G.with_rho_p(correlations(spark, sf_dir)))
 
 
-@job()
+@job(RHO_P_SQL + " SELECT model_name, category, round(rho, 3) AS rho, round(p, 4) AS p, round(mean_density_correct, 2) AS mean_density_correct, round(mean_density_incorrect, 2) AS mean_density_incorrect, abs(rho) > 0.15 AS passes_rho FROM pr WHERE region = 'all'")
 def marker_table(spark, sf_dir):
     """The third pilot's table: correlations, p and densities of whole texts as reports round them."""
     t = G.with_rho_p(correlations(spark, sf_dir).filter("region = 'all'"))
@@ -227,11 +199,20 @@ def verdict(spark, sf_dir):
     return correlations(spark, sf_dir).agg(n.alias("models_with_signal"), (n >= PARAMS.models_passing).alias("passes"))
 
 
-@job()
+_PILOTS = [
+    VECTOR_SQL + " SELECT count(*) AS n FROM (SELECT model_name, embedding_model FROM vfeatures GROUP BY ALL HAVING 100.0 * count(*) FILTER (n_transitions > 0) / count(*) > 50)",
+    VTESTED_SQL + " SELECT count(*) AS n FROM tested WHERE least(n_correct, n_incorrect) >= 2 AND p < 0.05",
+]
+
+
+@job(" UNION ALL ".join(f"SELECT {k} AS pilot, n, n > 0 AS passes FROM ({q})" for k, q in enumerate(_PILOTS, 1)) + f" UNION ALL SELECT 3 AS pilot, n, n >= 2 AS passes FROM ({RHO_SQL} SELECT count(DISTINCT model_name) FILTER (region = 'all' AND abs(rho) > 0.15) AS n FROM rho)")
 def verdicts(spark, sf_dir):
-    """What counts for each of the three pilots, how many, and whether it passes."""
-    found = transition_summary(spark, sf_dir).agg(F.count_if(F.col("pct_with_transitions") > PARAMS.pct_with_transitions).alias("n"))
-    significant = feature_tests(spark, sf_dir).agg(F.count_if("significant").alias("n"))
+    """For each of the three pilots what counts, how many, and whether it passes: pairs of model and embedding with transitions in more than half of their
+    traces; significant ones of their twelve features; models with a marker signal."""
+    pair = ["model_name", "embedding_model"]
+    share = 100.0 * F.count_if(F.col("n_transitions") > 0) / F.count("*")
+    found = embedded_features(spark, sf_dir).groupBy(*pair).agg(share.alias("pct")).agg(F.count_if(F.col("pct") > PARAMS.pct_with_transitions).alias("n"))
+    significant = G.with_p(embedded_comparison(spark, sf_dir)).agg(F.count_if("significant").alias("n"))
     pilots = [found.select(F.lit(1).alias("pilot"), "n", (F.col("n") > 0).alias("passes")), significant.select(F.lit(2).alias("pilot"), "n", (F.col("n") > 0).alias("passes"))]
     pilots.append(verdict(spark, sf_dir).select(F.lit(3).alias("pilot"), F.col("models_with_signal").alias("n"), "passes"))
     return rounded(pilots[0].unionByName(pilots[1]).unionByName(pilots[2]))

@@ -50,6 +50,15 @@ def step_density(sentences: DataFrame, keys: list[str], lexicon: dict[str, list[
     return sentences.select(*keys, "pos", total.alias("markers"), X.word_count(F.col("sentence")).cast("long").alias("words")).withColumn("density", F.try_divide("markers", "words"))
 
 
+def density_at(densities: DataFrame, places: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """Each trace of ``places`` with the density (R3) of the sentence at its ``place``; traces without one (-1) drop out.
+
+    Keys are those of a trace, so both sides are dealt alike and the lookup is an equi-join on trace and place.
+    """
+    at = places.filter(F.col(place) >= 0).withColumn("pos", F.col(place))
+    return densities.withColumn("pos", F.col("pos").cast("long")).join(at, [*keys, "pos"]).drop("pos", "markers", "words")
+
+
 def marker_positions(sentences: DataFrame, keys: list[str], lexicon: dict[str, list[str]] = MARKERS) -> DataFrame:
     """(keys, pos, category) of every category that occurs in a sentence, however often; ``keys`` may name more columns to carry."""
     hit = lambda ps: reduce(or_, [F.coalesce(F.col("sentence").rlike(f"(?iu){p}"), F.lit(False)) for p in ps])
