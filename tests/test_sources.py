@@ -51,3 +51,69 @@ def test_stream(spark, tmp_path):
     append_stream(spark, str(source), out, mark).awaitTermination(120)
     got = spark.read.parquet(out).collect()
     assert sorted(r.question_id for r in got) == [f"q{i}" for i in range(5)] and {r.predicted_option for r in got} == {"B"}
+
+
+def rows_in(spark, path):
+    return sorted((r.model_name, r.question_id) for r in spark.read.parquet(path).collect())
+
+
+def test_stream_with_rows_that_were_there(spark, tmp_path):
+    """Rows of the target from before the stream, repeated keys in a file, rows without a prediction, and a null key."""
+    source, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    source.mkdir()
+    (tmp_path / "old.jsonl").write_text("\n".join(json.dumps(trace(f"q{i}", "m")) for i in range(2)))
+    old = S.read_traces(spark, str(tmp_path / "old.jsonl"))
+    assert S.append_traces(old, out) == 2
+    more = [trace("q1", "m"), trace("q2", "m"), trace("q2", "m") | {"raw_output": "other"}, trace("q1", "n"), {"question_id": "q5", "model_name": "n", "final_answer": "none", "thinking_text": "-"}]
+    (source / "1.json").write_text("\n".join(map(json.dumps, more)))
+    append_stream(spark, str(source), out, mark).awaitTermination(120)
+    want = [("m", "q0"), ("m", "q1"), ("m", "q2"), ("n", "q1"), ("n", "q5")]
+    assert rows_in(spark, out) == want
+    assert {r.is_correct for r in spark.read.parquet(out).filter("question_id = 'q5'").collect()} == {False}
+    assert spark.read.parquet(out).filter("is_correct is null").isEmpty()
+    append_stream(spark, str(source), out, mark).awaitTermination(120)  # nothing new
+    (source / "2.json").write_text("\n".join(map(json.dumps, more)))
+    append_stream(spark, str(source), out, mark).awaitTermination(120)  # all there
+    assert rows_in(spark, out) == want
+
+
+def test_stream_runs_a_batch_again(spark, tmp_path):
+    """A batch whose commit is lost is run again under its number: it replaces what it wrote, and the target isn't read."""
+    import os
+
+    source, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    source.mkdir()
+    (source / "1.json").write_text("\n".join(json.dumps(trace(f"q{i}", "m")) for i in range(4)))
+    append_stream(spark, str(source), out, mark).awaitTermination(120)
+    before = rows_in(spark, out)
+    last = max(int(f) for f in os.listdir(f"{mark}/commits") if f.isdigit())
+    for f in (f"{mark}/commits/{last}", f"{mark}/commits/.{last}.crc"):
+        if os.path.exists(f):
+            os.remove(f)
+    query = append_stream(spark, str(source), out, mark)
+    query.awaitTermination(120)
+    assert rows_in(spark, out) == before and len(before) == 4
+    plans = " ".join(str(p["sources"]) for p in query.recentProgress)
+    assert "out" not in plans.replace(str(tmp_path), "").split("/")
+
+
+def test_merge_in_place(spark, tmp_path):
+    from tracemill.sources.results import merge_results, read_results, versions
+
+    path, keys = str(tmp_path / "set"), ["m", "e"]
+    frame = lambda rows: spark.createDataFrame(rows, "m string, e string, n long")
+    got = lambda: sorted(map(tuple, read_results(spark, path).collect()), key=str)
+    assert read_results(spark, path) is None
+    merge_results(frame([("a", "x", 1), ("b", None, 2)]), path, keys)
+    held = read_results(spark, path)  # a reader of the first version
+    for _ in range(2):  # twice the same
+        merge_results(frame([("b", None, 3), ("c", "y", 4), ("c", "y", 5)]), path, keys)
+        assert got() == [("a", "x", 1), ("b", None, 3), ("c", "y", 5)]
+        if _ == 0:
+            assert sorted(map(tuple, held.collect()), key=str) == [("a", "x", 1), ("b", None, 2)]
+    assert versions(spark, path) == [2, 3]
+    (tmp_path / "set" / "v00000004").mkdir()  # a run that broke off
+    (tmp_path / "set" / "v00000004" / "part-0.parquet").write_text("half")
+    assert got() == [("a", "x", 1), ("b", None, 3), ("c", "y", 5)]
+    merge_results(frame([("a", "x", 9)]), path, keys)
+    assert got() == [("a", "x", 9), ("b", None, 3), ("c", "y", 5)]

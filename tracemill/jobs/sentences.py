@@ -162,7 +162,7 @@ def committed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sentence_table(spark, sf_dir, stages)
     places = curves.commitment(curve_of(spark, sf_dir, rows), KEYS, TAU)
     found = markers.density_at(markers.step_density(rows, [*KEYS, "lang"], LEXICON), places, KEYS, "commitment_point")
-    return G.with_modes(stages.save(found, "committed"))
+    return stages.save(G.with_modes(stages.save(found, "committed")), "modes")
 
 
 @job(COMMITMENT_SQL + f" SELECT doc_id, lang, is_correct, commitment_point, {r('normalized_commitment')}, {r('density')}, mode FROM modes")

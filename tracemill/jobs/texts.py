@@ -11,7 +11,9 @@ from tracemill.jobs import tables as T
 from tracemill.jobs.analysis import VECTOR_SQL, VTESTED_SQL, embedded_comparison, embedded_features, r, rounded, t_tail_sql
 from tracemill.operators import markers, sampling
 from tracemill.operators import comparison as G
-from tracemill.sources.traces import merged, unseen
+from tracemill.sources.results import merge_results
+from tracemill.sources.traces import unseen
+from tracemill.stages import Stages
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -287,11 +289,13 @@ def unseen_traces(spark, sf_dir):
 
 @job("SELECT user_id, coalesce(b.n, a.n) AS n, CASE WHEN b.n IS NULL THEN 'old' ELSE 'new' END AS version FROM (SELECT user_id, count(*) AS n FROM events GROUP BY ALL) a LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' AND value > 100 GROUP BY ALL) b USING (user_id)")
 def merged_results(spark, sf_dir):
-    """A later result set over an earlier one."""
+    """A later result set over an earlier one, in place."""
     e = T.read(spark, sf_dir, "events")
     old = e.groupBy("user_id").agg(F.count("*").alias("n")).withColumn("version", F.lit("old"))
     new = e.filter("event_type = 'error' and value > 100").groupBy("user_id").agg(F.count("*").alias("n")).withColumn("version", F.lit("new"))
-    return merged(old, new, ["user_id"])
+    path = f"{Stages(spark, 'results').root}/set"
+    merge_results(old, path, ["user_id"])
+    return merge_results(new, path, ["user_id"])
 
 
 @job("SELECT doc_id, len(list_filter(string_split(regexp_replace(regexp_replace(text, '\\n\\s*\\n', chr(1), 'g'), '\\s+((?:" + "|".join(sampling.PIVOTS) + ")\\b)', chr(1) || '\\1', 'g'), chr(1)), lambda s: len(regexp_extract_all(s, '\\S+')) >= 10)) AS n_steps, len(regexp_extract_all(text, '(?is)I (?:initially|first) thought\\b.{0,200}?\\bbut\\b')) AS n_abandoned FROM documents")

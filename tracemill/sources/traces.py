@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import and_
 
@@ -83,7 +84,7 @@ def unseen(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def append_traces(new: DataFrame, path: str) -> int:
-    """Append what is new, a directory per model; returns how many rows.
+    """Append what is new, as a batch of its own with a directory per model; returns how many rows.
 
     Of new rows with one key, the one whose other columns are largest in order is taken, so that reruns agree.
     """
@@ -98,7 +99,7 @@ def append_traces(new: DataFrame, path: str) -> int:
     new = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("row")).select(*keys, "row.*")
     n = new.count()
     if n:
-        new.write.mode("append").partitionBy("model_name").parquet(path)
+        new.write.mode("overwrite").partitionBy("model_name").parquet(f"{path}/batch={uuid.uuid4().hex}")
     return n
 
 
