@@ -6,7 +6,7 @@ from tracemill.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tracemill.llm.language import op10_language
 from tracemill.llm.minhash import op8_minhash
 from tracemill.llm.mixing import op3_mixing
-from tracemill.llm.oracles import OP2_SQL, OP4_SQL, OP5_SQL, OP8_SQL
+from tracemill.llm.oracles import OP2_SQL, OP4_SQL, OP5_SQL, OP8_SQL, OP11_SQL, OP13_SQL
 from tracemill.llm.quality import op9_quality
 from tracemill.llm.substring_dedup import op4_substring_dedup
 from tracemill.llm.suffix_dedup import op2_suffix_dedup
@@ -38,4 +38,6 @@ ORACLE_SQL = {
     "op5_decontaminate": OP5_SQL,
     "op6_url_filter": OP6_SQL,
     "op8_minhash": OP8_SQL,
+    "op11_conversations": OP11_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
