@@ -255,18 +255,18 @@ def prompts(spark, sf_dir):
     return q.select(F.col("c_custkey").cast("long").alias("question_id"), prompt.alias("prompt"), letter("n_regionkey").alias("correct_answer"), X.option_value(F.col("options"), letter("n_regionkey")).alias("correct_text"))
 
 
-@job("WITH " + T.TRACES + """, o AS (SELECT question_id, chr((65 + doc_id % 3)::INT) AS key, min(left(coalesce(thinking_text, ''), 40)) AS value, bool_or(is_correct) AS is_right FROM traces GROUP BY ALL)
-SELECT question_id, 'Question ' || question_id || ': which text is right?' || chr(10) || chr(10) || string_agg(key || ') ' || value, chr(10) ORDER BY key) AS prompt, min(key) FILTER (is_right) AS correct_answer, coalesce(min_by(value, key) FILTER (is_right), '?') AS correct_text FROM o GROUP BY question_id""")
+@job("WITH " + T.TRACES + """, o AS (SELECT question_id, chr((65 + doc_id % 3)::INT) AS key, min(coalesce(thinking_text, '')) AS value, bool_or(is_correct) AS is_right FROM traces GROUP BY ALL)
+SELECT question_id, md5('Question ' || question_id || ': which text is right?' || chr(10) || chr(10) || string_agg(key || ') ' || value, chr(10) ORDER BY key)) AS prompt_md5, min(key) FILTER (is_right) AS correct_answer, md5(coalesce(min_by(value, key) FILTER (is_right), '?')) AS correct_md5 FROM o GROUP BY question_id""")
 def trace_prompts(spark, sf_dir):
-    """A question per group of traces, its texts' heads as options; the first right one is the answer."""
-    # Texts are cut to their heads before they are moved.
-    heads = T.read(spark, sf_dir, "documents").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("value"))
+    """A question per group of traces, its whole texts as options; the first right one is the answer. Digests stand for the texts."""
+    texts = T.read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
     right = T.read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("is_right"))
-    t = heads.join(right, "doc_id", "left").withColumns({"question_id": F.expr("doc_id div 3"), "key": F.char(F.lit(65) + F.col("doc_id") % 3)})
+    t = texts.join(right, "doc_id", "left").withColumns({"question_id": F.expr("doc_id div 3"), "key": F.char(F.lit(65) + F.col("doc_id") % 3)})
     options = t.groupBy("question_id", "key").agg(F.min("value").alias("value"), F.bool_or(F.coalesce("is_right", F.lit(False))).alias("is_right"))
     q = options.groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("options"), F.min(F.when(F.col("is_right"), F.col("key"))).alias("correct_answer"))  # three options at most
     prompt = X.fill("Question {id}: which text is right?\n\n{options}", id=F.col("question_id").cast("string"), options=X.options_text(F.col("options")))
-    return q.select("question_id", prompt.alias("prompt"), "correct_answer", X.option_value(F.col("options"), F.col("correct_answer")).alias("correct_text"))
+    digest = lambda c: F.md5(c.cast("binary"))
+    return q.select("question_id", digest(prompt).alias("prompt_md5"), "correct_answer", digest(X.option_value(F.col("options"), F.col("correct_answer"))).alias("correct_md5"))
 
 
 @job("SELECT doc_id FROM documents ORDER BY md5('42-' || doc_id), doc_id LIMIT 20")
@@ -303,3 +303,12 @@ def reasoning_steps(spark, sf_dir):
     """R1, R11."""
     d = T.read(spark, sf_dir, "documents")
     return d.select("doc_id", F.size(sampling.reasoning_steps(F.col("text"))).cast("long").alias("n_steps"), sampling.abandoned(F.col("text")).cast("long").alias("n_abandoned"))
+
+
+@job("WITH " + T.TRACES + f""", a AS (SELECT model_name, len(regexp_extract_all(thinking_text || ' I first thought it, ' || CASE WHEN doc_id % 5 = 0 THEN 'but no' ELSE 'and so' END, '(?is)I (?:initially|first) thought\\b.{{0,200}}?\\bbut\\b')) AS n FROM traces)
+SELECT model_name, count(*) AS n_traces, sum(n)::BIGINT AS n_abandoned, {r('avg((n > 0)::INT)', 'share_abandoned')} FROM a GROUP BY ALL""")
+def abandoned_branches(spark, sf_dir):
+    """Per model the abandoned branches and the share of traces that have one; every text ends in a branch, of which some are abandoned."""
+    t = T.traces(spark, sf_dir)
+    ending = F.concat(F.lit(" I first thought it, "), F.when(F.col("doc_id") % 5 == 0, "but no").otherwise("and so"))
+    return rounded(sampling.abandoned_share(t.withColumn("text", F.concat("thinking_text", ending)), "text", ["model_name"]))

@@ -41,3 +41,9 @@ def reasoning_steps(text: Column, min_words: int = 10) -> Column:
 def abandoned(text: Column, phrase: str = r"I (?:initially|first) thought\b.{0,200}?\bbut\b") -> Column:
     """Number of branches that the writer gave up."""
     return F.coalesce(F.regexp_count(text, F.lit(f"(?is){phrase}")), F.lit(0))
+
+
+def abandoned_share(traces: DataFrame, text: str, group: list[str]) -> DataFrame:
+    """Traces of each group, their abandoned branches, and the share of traces that have one; a null text has none."""
+    n = F.coalesce(abandoned(F.col(text)), F.lit(0))
+    return traces.groupBy(*group).agg(F.count("*").alias("n_traces"), F.sum(n).cast("long").alias("n_abandoned"), F.avg((n > 0).cast("double")).alias("share_abandoned"))
