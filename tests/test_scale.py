@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.jobs import texts
+from tracemill.jobs import outputs, sentences, texts
 from tracemill.operators import comparison, coupling, curves
 from tracemill.operators.ranks import quantiles, rank_sums
 
@@ -53,11 +53,11 @@ def test_group_moments(spark):
         assert [r.correct_mean, r.correct_std, r.incorrect_mean, r.incorrect_std, r.cohens_d] == pytest.approx(want, rel=1e-7)
 
 
-@pytest.mark.parametrize("job", ["sentences", "sentence_states", "step_density", "text_coupling"])
+@pytest.mark.parametrize("job", ["sentences", "sentence_states", "step_density"])
 def test_texts_are_split_once(spark, job):
     plan = texts.QUERIES[job](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     cuts = plan.count("split(regexp_replace")  # the cut to sentences; list items are cut from those
-    assert cuts == (2 if job == "text_coupling" else 1)  # markers and vectors each read the sentences
+    assert cuts == 1
 
 
 @pytest.mark.parametrize("job,scans", [("marker_calibration", 2), ("feature_comparison", 1)])
@@ -66,3 +66,16 @@ def test_ranks_read_their_rows_once(spark, job, scans):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("FileScan") == scans
+
+
+@pytest.mark.parametrize("job", ["text_coupling", "text_coupling_lift", "sentence_trajectories", "sentence_contexts"])
+def test_a_query_splits_its_texts_before_all_else(spark, job):
+    """The sentences are read back from the table that the query has written: its plan holds no split."""
+    plan = sentences.QUERIES[job](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
+
+
+def test_graded_plan_is_short(spark):
+    """No step of T1-T4 is copied into its users: the plan that runs stays below 100 KB."""
+    for job in ("graded_traces", "model_outputs", "run_summary"):
+        assert len(outputs.QUERIES[job](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()) < 100_000
