@@ -229,6 +229,7 @@ def _mark(tests, longest: bool, only_hit: bool):
     """The words hit by a block of items in each document, the items that occur, and where; if ``only_hit`` of documents with a hit."""
 
     def run(batches):
+        K.begin("matches")
         block = tests.value
         for batch in batches:
             doc_id = K.column(batch, "doc_id")
@@ -303,6 +304,7 @@ def _clean(tests):
     """Batches without the rows whose text a block of items contaminates."""
 
     def run(batches):
+        K.begin("matches")
         block = tests.value
         for batch in batches:
             keep = []

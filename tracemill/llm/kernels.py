@@ -91,6 +91,22 @@ def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, len
     return same
 
 
+_caches: dict[str, object] = {}
+
+
+def remember(name: str, clear) -> None:
+    """A Python worker keeps something between tasks of operator ``name``; ``clear`` lets go of it."""
+    _caches[name] = clear
+
+
+def begin(name: str) -> None:
+    """A task of operator ``name`` begins: what this worker keeps for others goes, so that their memory doesn't add up."""
+    for other, clear in list(_caches.items()):
+        if other != name:
+            clear()
+    pa.default_memory_pool().release_unused()
+
+
 class UnitTable:
     """Numbers for short spans of bytes. Spans are found by hash and then compared by content, so no two share a number.
 
@@ -102,8 +118,8 @@ class UnitTable:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slot = np.zeros(0, U64), np.zeros(0, np.int64)
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.slot = np.zeros(0, U64), np.zeros(0, np.int32)
+        self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int16)
         self.limbs = np.zeros(0, U64)  # of all spans kept, eight bytes in each
 
     def __len__(self) -> int:
@@ -131,10 +147,10 @@ class UnitTable:
         slot[new] = len(self) + np.arange(len(new))
         picked = where[new]
         kept = length[picked]
-        self.keys, self.slot = np.insert(self.keys, at[new], keys[new]), np.insert(self.slot, at[new], slot[new])
+        self.keys, self.slot = np.insert(self.keys, at[new], keys[new]), np.insert(self.slot, at[new], slot[new].astype(np.int32))
         size = -(-kept // 8)
-        self.starts = np.concatenate((self.starts, len(self.limbs) + np.cumsum(size) - size))
-        self.lengths = np.concatenate((self.lengths, kept))
+        self.starts = np.concatenate((self.starts, (len(self.limbs) + np.cumsum(size) - size).astype(np.int32)))
+        self.lengths = np.concatenate((self.lengths, kept.astype(np.int16)))
         turn = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         self.limbs = np.concatenate((self.limbs, limb[np.repeat(starts[picked], size) + 8 * turn] & _MASKS[np.minimum(np.repeat(kept, size) - 8 * turn, 8)]))
         mine = where[inverse]

@@ -138,6 +138,7 @@ def fit_languages(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPL
 
 def _predict(model):
     def run(batches):
+        K.begin("language")
         m = model.value
         names = np.array([*m.langs, UNKNOWN], dtype=object)
         for batch in batches:
@@ -167,6 +168,7 @@ def predict_languages(spark: SparkSession, docs: DataFrame, model: Model) -> Dat
 
 def _keep_known(model, least: float, has_letter: str):
     def run(batches):
+        K.begin("language")
         m = model.value
         for batch in batches:
             letters, keep = K.column(batch, has_letter).to_numpy(zero_copy_only=False), []

@@ -101,6 +101,7 @@ def prefix_keys(s: np.ndarray, percent: int) -> np.ndarray:
 
 def _sketch(size: int, percent: int):
     def run(batches):
+        K.begin("shingles")
         for batch in batches:
             for lo, hi, data, offs in K.text_blocks(K.column(batch, "text")):
                 hashes, at = shingle_sets(data, offs, size)

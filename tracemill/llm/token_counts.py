@@ -182,6 +182,8 @@ _counters: dict[str, Counter] = {}
 
 def _count(path: str, proof):
     def run(batches):
+        K.begin("counts")
+        K.remember("counts", lambda: [c.clear() for c in _counters.values()])
         if path not in _counters:  # one for each Python worker
             _counters[path] = Counter(path, *proof.value)
         tool = _counters[path]

@@ -20,7 +20,7 @@ MAGIC = b"PFR1"
 BLOCK = 1024  # ids in one block
 PERCENTILE = 90  # share of a block's offsets that the packed width holds
 SEGMENT_IDS = 1 << 18  # ids after which a segment is closed
-CACHE_UNITS = 2_000_000  # units that a worker remembers between batches
+CACHE_UNITS = 1_000_000  # units that a worker remembers between batches
 
 # Classes of bytes for cutting a text to units that are encoded apart: white space, ASCII letters and digits, other
 # ASCII. The apostrophe and all other bytes bind to both sides, as contractions and combining marks reach over them.
@@ -58,8 +58,8 @@ class UnitEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.table, self.of = K.UnitTable(), np.zeros(0, np.int64)
-        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.table, self.of = K.UnitTable(), np.zeros(0, np.int32)
+        self.starts, self.lengths, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -104,7 +104,7 @@ class UnitEncoder:
         edge[ends[mixed]] -= 1
         folded = np.where(np.cumsum(edge[:-1]) > 0, data, K.FOLD[data])  # in ASCII units case doesn't matter
         slot = self._slots(folded, starts, ends)
-        lengths = self.lengths[slot]
+        lengths = self.lengths[slot].astype(np.int64)
         ids = self.ids[np.repeat(self.starts[slot] - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))]
         total = np.concatenate(([0], np.cumsum(lengths)))
         return ids, np.diff(total[np.searchsorted(starts, offs)])
@@ -120,9 +120,9 @@ class UnitEncoder:
             raw = data.tobytes()
             found, lengths = self.many([raw[s:e].decode() for s, e in zip(starts[learn].tolist(), ends[learn].tolist())])
             begin = len(self.ids) + np.cumsum(lengths) - lengths
-            self.of = np.concatenate((self.of, len(self.starts) + np.arange(len(new))))
+            self.of = np.concatenate((self.of, (len(self.starts) + np.arange(len(new))).astype(np.int32)))
             number_at = len(self.starts) + len(new) + np.arange(len(alone))
-            self.starts, self.lengths = np.concatenate((self.starts, begin)), np.concatenate((self.lengths, lengths))
+            self.starts, self.lengths = np.concatenate((self.starts, begin.astype(np.int32))), np.concatenate((self.lengths, lengths.astype(np.int32)))
             self.ids = np.concatenate((self.ids, found))
         held, out = number >= 0, np.empty(len(number), np.int64)
         out[held] = self.of[number[held]]
@@ -148,6 +148,7 @@ def encoder(path: str) -> UnitEncoder:
     """One encoder for each tokenizer file and Python worker."""
     if path not in _encoders:
         _encoders[path] = UnitEncoder(path)
+        K.remember("tokens", lambda: [e.clear() for e in _encoders.values()])
     return _encoders[path]
 
 
@@ -221,6 +222,7 @@ def _encode(path: str, end_id: int):
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
     def run(batches):
+        K.begin("tokens")
         tool, part, seq, before = encoder(path), TaskContext.get().partitionId(), 0, 0
         docs, counts, held, size = [], [], [], 0
 
