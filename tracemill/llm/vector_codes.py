@@ -15,32 +15,43 @@ from tracemill.llm.common import BROADCAST_ROWS, Scratch, read_table
 
 SCALE = 1024
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
-#: Vectors searched at once, and dimensions that are summed for all entries before any is dropped.
-BLOCK_ROWS, FIRST = 2048, 4
+#: Vectors searched at once, dimensions after which entries are looked at, and the share of entries from which on they are dropped one by one.
+BLOCK_ROWS, GROUP, SHARE = 2048, 4, 1 / 3
 
 
 def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index and squared distance of each row's nearest entry, the lower index on ties.
 
-    Dimensions come in descending variance over the codebook. The entry that leads after the first of them is completed and
-    is the best so far; then, dimension by dimension, all (row, entry) pairs whose sum strictly exceeds their row's best
-    are dropped by a mask. What is left at the end is complete, and an entry as near as the best is never dropped.
+    Dimensions come in descending variance over the codebook. After each few of them the entry that leads is completed, which may be
+    the best so far, and a mask tells which (row, entry) pairs strictly exceed their row's best. While most pairs are alive, sums go
+    on for all of them; then the others are dropped, and more after each further dimension. What is left at the end is
+    complete, and an entry as near as the best is never dropped.
     """
+    if not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.argsort(-book.var(axis=0), kind="stable")
-    x, book = x[:, order], book[:, order]
-    sums = np.zeros((len(x), len(book)), dtype=np.int64)
-    for d in range(min(FIRST, x.shape[1])):
-        sums += (x[:, d, None] - book[None, :, d]) ** 2
-    best = ((x - book[sums.argmin(axis=1)]) ** 2).sum(axis=1)
-    row, entry = np.nonzero(sums <= best[:, None])
-    sums = sums[row, entry]
-    for d in range(FIRST, x.shape[1]):
-        sums += (x[row, d] - book[entry, d]) ** 2
+    most = int(max(np.abs(x).max(), np.abs(book).max()))
+    kind = np.int32 if (2 * most + 1) ** 2 * x.shape[1] < 1 << 31 else np.int64
+    x, book = (np.ascontiguousarray(a[:, order].T.astype(kind)) for a in (x, book))
+    width, n, entries = len(x), x.shape[1], book.shape[1]
+    sums, best, d, alive = np.zeros((n, entries), kind), np.full(n, np.iinfo(kind).max, kind), 0, None
+    while d < width and (alive is None or alive.mean() > SHARE):
+        for d in range(d, min(d + GROUP, width)):  # noqa: B020
+            apart = x[d][:, None] - book[d][None, :]
+            sums += apart * apart
+        d += 1
+        best = np.minimum(best, ((x - book[:, sums.argmin(axis=1)]) ** 2).sum(axis=0, dtype=kind))
+        alive = sums <= best[:, None]
+    at = np.flatnonzero(alive)
+    row, entry, sums = at // entries, at % entries, sums.ravel()[at]
+    for d in range(d, width):  # noqa: B020
+        apart = x[d][row] - book[d][entry]
+        sums += apart * apart
         stay = sums <= best[row]
         row, entry, sums = row[stay], entry[stay], sums[stay]
-    least = np.minimum.reduceat(sums, np.searchsorted(row, np.arange(len(x)))) if len(x) else sums
+    least = np.minimum.reduceat(sums, np.searchsorted(row, np.arange(n)))
     hit = np.flatnonzero(sums == least[row])
-    return entry[hit[np.searchsorted(row[hit], np.arange(len(x)))]], least
+    return entry[hit[np.searchsorted(row[hit], np.arange(n))]], least.astype(np.int64)
 
 
 def _vectors(batch: pa.RecordBatch, width: int):
@@ -66,7 +77,9 @@ def _sums(books):
                 for p in range(parts):
                     mine = x[:, p * size : (p + 1) * size]
                     at, _ = nearest(mine, book[p])
-                    np.add.at(total[p], at, mine)
+                    by_entry = np.argsort(at, kind="stable")
+                    found, first = np.unique(at[by_entry], return_index=True)
+                    total[p][found] += np.add.reduceat(mine[by_entry], first, axis=0)
                     count[p] += np.bincount(at, minlength=entries)
         part, entry = np.nonzero(count)
         if len(part):
