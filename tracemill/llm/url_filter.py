@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracemill.llm.common import BROADCAST_ROWS, fold_az, read_table
+from tracemill.llm.common import Scratch, fold_az, read_table
 
 #: (host, path prefix, verdict) of the contract's rules.
 RULES = [
@@ -18,8 +18,9 @@ RULES = [
 ]
 #: Verdict of a url that no rule fits.
 DEFAULT = "allow"
-#: Urls of a domain in one task at least, and domains that can be larger than their share of all urls.
-DOMAIN_URLS, HOT_DOMAINS = 1000, 100_000
+#: Urls that one range of the sweep holds, about.
+RANGE_URLS = 200_000
+RULE_LIST = "array<struct<host:string,path:string,verdict:string>>"
 
 
 def url_parts(url):
@@ -35,6 +36,11 @@ def host_key(host):
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
 
+def host_of(key):
+    """The host of a key."""
+    return F.array_join(F.reverse(F.split(F.substring(key, 1, F.length(key) - 1), r"\.", -1)), ".")
+
+
 def rule_table(spark: SparkSession, rules) -> DataFrame:
     """Rules as a table (host, path, verdict), from a list or from a table."""
     if isinstance(rules, DataFrame):
@@ -44,71 +50,57 @@ def rule_table(spark: SparkSession, rules) -> DataFrame:
 
 
 def boundaries(rules: DataFrame) -> DataFrame:
-    """The sweep's events: at every start and end of a host's interval, the stack of rules that is active after it.
+    """The sweep's events: (key, level, rules) at the start and the end of each host's interval.
 
-    The interval of key ``com.example.`` is [``com.example.``, ``com.example/``): "/" follows "." in byte order.
-    Intervals nest or are apart, so the stack inside one is its own rules over those of its ancestors, and the stack
-    after its end is that of its ancestors. Ancestors come from an equi-join on the prefixes of a key.
+    The interval of key ``com.example.`` is [``com.example.``, ``com.example/``): "/" follows "." in byte order. Intervals of
+    one level (number of labels) are apart, and those of different levels nest or are apart. A start puts its rules in its
+    level's place of the stack and an end empties that place.
     """
     keyed = rules.select(host_key(F.col("host")).alias("key"), F.struct(F.col("host"), F.col("path"), F.col("verdict")).alias("rule"))
-    own = keyed.groupBy("key").agg(F.collect_list("rule").alias("rules"))
-    labels = F.split("key", r"\.", -1)
-    prefix = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "."), F.lit(".")))
-    up = own.select("key", F.explode(prefix).alias("ancestor")).join(own.select(F.col("key").alias("ancestor"), "rules"), "ancestor")
-    start = up.groupBy("key").agg(F.flatten(F.collect_list("rules")).alias("stack"))
-    over = up.filter("ancestor <> key").groupBy("key").agg(F.flatten(F.collect_list("rules")).alias("stack"))
-    end = own.select("key").join(over, "key", "left").select(
-        F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("/")).alias("key"),
-        F.coalesce("stack", F.expr("cast(array() as array<struct<host:string,path:string,verdict:string>>)")).alias("stack"),
-    )
-    return start.select("key", "stack").unionByName(end)
-
+    own = keyed.groupBy("key").agg(F.collect_set("rule").alias("rules")).withColumn("level", F.size(F.split("key", r"\.", -1)) - 1)
+    ends = own.select(F.expr("concat(substring(key, 1, length(key) - 1), '/')").alias("key"), "level", F.slice("rules", 1, 0).alias("rules"))
+    return own.select("key", "level", "rules").unionByName(ends)
 
-def _domain(key):
-    """First two labels of a host's key or of an interval's end: the domain that is swept by itself."""
-    return F.regexp_extract(F.translate(key, "/", "."), r"^[^.]*\.(?:[^.]*\.)?", 0)
 
-
-def url_filter(spark: SparkSession, pages: DataFrame, rules=RULES, default: str = DEFAULT) -> DataFrame:
+def url_filter(spark: SparkSession, pages: DataFrame, rules=RULES, default: str = DEFAULT, range_urls: int = RANGE_URLS) -> DataFrame:
     """Judge each url by the longest rule that fits.
 
-    Urls and interval boundaries are merged in key order within a domain (the first two labels of the reversed host); each
-    url takes the stack of the last boundary at or before its key, or where there is none the stack of its first label,
-    whose interval holds the whole domain. Of that stack the longest rule whose path starts the url's path decides (total
-    length of host and path, then the longer host, then text order). A domain with many urls is dealt to several tasks,
-    each with a copy of that domain's boundaries, so a host that holds a third of all rows is spread and no url is dropped or
-    sampled. Domains with more than 1 / ``HOT_DOMAINS`` of the urls are fewer than that, so their table is broadcast; rules
-    of a single label are broadcast up to ``BROADCAST_ROWS``, all others travel through the shuffle.
+    Urls and the boundaries of all rules are sorted by key to ranges of about ``range_urls`` rows, where urls of one host are in
+    no order, so a host that holds a third of all rows takes many ranges. Each range is swept with a stack that has a place for
+    every level of the rules: a url meets what the boundaries at or before its key left there. The stack at the beginning of
+    a range comes from the last boundaries of the ranges before it, by a window of one row a range. Of the stack the longest rule whose
+    path starts the url's path decides (total length of host and path, then the longer host, then text order). Ranges are
+    written before they are swept, so that all who read them see the same; no rule table is broadcast.
 
     Returns page_id, host, path, rule, verdict, one row per input row. Null urls, urls without ``://`` and urls that
-    no rule fits have rule null and the ``default`` verdict; repeated rows and null page_ids are kept as they are. An empty
-    table gives no rows; other columns are ignored.
+    no rule fits have rule null and the ``default`` verdict; repeated rows and null page_ids are kept as they are; of equal rules one
+    counts. Empty tables give no rows, and without rules all urls have the default; other columns are ignored.
     """
+    scratch = Scratch(spark, "urls")
     host, path = url_parts(F.col("url"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host"))).withColumn("domain", _domain(F.col("key")))
-    counts = urls.groupBy("domain").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(DOMAIN_URLS, total // HOT_DOMAINS)
-    hot = F.broadcast(counts.filter(F.col("n") > least).select("domain", F.ceil(F.col("n") / least).cast("int").alias("cuts")))
-    swept = boundaries(rule_table(spark, rules)).withColumn("domain", _domain(F.col("key")))
-    single = swept.filter("key = domain and length(key) - length(replace(key, '.', '')) = 1").select(F.col("key").alias("label"), F.col("stack").alias("label_stack"))
-    if single.count() <= BROADCAST_ROWS:
-        single = F.broadcast(single)
-
-    stack = swept.schema["stack"].dataType
-    urls = urls.join(hot, "domain", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.coalesce("cuts", F.lit(1))).cast("int")).select(
-        "domain", "salt", "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast(stack).alias("stack")
-    )
-    events = swept.join(hot, "domain", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1))).select(
-        "domain", "salt", "key", F.lit(0).alias("kind"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "stack"
-    )
-    sweep = Window.partitionBy("domain", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = urls.unionByName(events).withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
-    found = found.withColumn("label", F.concat(F.substring_index("key", ".", 1), F.lit("."))).join(single, "label", "left")
-    fits = F.filter(F.coalesce("active", "label_stack"), lambda r: F.col("path").startswith(r["path"]))
+    urls = pages.select("page_id", path.alias("path"), host_key(host).alias("key"), F.lit(1).alias("kind"), F.monotonically_increasing_id().alias("tie"))
+    events = scratch.save(boundaries(rule_table(spark, rules)), "boundaries")
+    levels = sorted(r["level"] for r in events.select("level").distinct().collect())  # at most the labels of a host
+    places = [f"place_{n}" for n in levels]
+    events = events.select("key", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("tie"), *[F.when(F.col("level") == n, F.col("rules")).alias(p) for n, p in zip(levels, places)])
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // range_urls))
+    cut = urls.unionByName(events, allowMissingColumns=True).repartitionByRange(n, "key", "kind", "tie").drop("tie")
+    ranges = scratch.save(cut.withColumn("range", F.spark_partition_id()), "ranges")
+
+    lasts = [F.max_by(p, F.when(F.col(p).isNotNull(), F.col("key"))).alias(p) for p in places]
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    left = spark.range(n).select(F.col("id").cast("int").alias("range"))
+    if places:
+        left = left.join(ranges.filter("kind = 0").groupBy("range").agg(*lasts), "range", "left")
+    left = left.select("range", F.lit("").alias("key"), F.lit(-1).alias("kind"), *[F.last(p, ignorenulls=True).over(before).alias(p) for p in places])
+    sweep = Window.partitionBy("range").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    none = F.array().cast(RULE_LIST)
+    stack = F.concat(none, *[F.coalesce(F.last(p, ignorenulls=True).over(sweep), none) for p in places])
+    found = ranges.unionByName(left, allowMissingColumns=True).withColumn("stack", stack).filter("kind = 1")
+    fits = F.filter("stack", lambda r: F.col("path").startswith(r["path"]))
     ranked = F.transform(fits, lambda r: F.struct((F.length(r["host"]) + F.length(r["path"])).alias("size"), F.length(r["host"]).alias("host_size"), r["host"].alias("host"), r["path"].alias("path"), r["verdict"].alias("verdict")))
     return found.withColumn("best", F.array_max(ranked)).select(
-        "page_id", "host", "path",
+        "page_id", host_of(F.col("key")).alias("host"), "path",
         F.when(F.col("best").isNotNull(), F.concat("best.host", "best.path")).alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
     )
