@@ -145,7 +145,7 @@ def test_shares_and_tree():
     assert shares([100, 100, 100], [5, 2, 1]) == pytest.approx([187.5, 75, 37.5])
     assert shares([10, 190], [5, 1]) == pytest.approx([30, 170])
     assert shares([0, 5], [5, 2]) == [0, 5] and shares([], []) == []
-    counts = split_tree(np.array([7, 0, 100, 1]), 8, 3)
+    counts = np.stack(list(split_tree(np.array([7, 0, 100, 1]), 8, 3)))
     assert (counts.sum(axis=0) == [7, 0, 100, 1]).all() and (counts >= 0).all() and counts.sum(axis=1).max() <= 14
 
 

@@ -21,8 +21,9 @@ BLOCK_WORDS = 50_000
 #: Words in one output shard, about 50 MB of text, unless there would be more shards than the bound.
 SHARD_WORDS = 1 << 23
 MAX_SHARDS = 1 << 18
-#: Nodes of the splitting tree that the driver draws; each one's subtree is drawn in a task.
-TOP_NODES = 256
+#: Nodes of the splitting tree that the driver draws, and their quotas (a number for each node and source); each one's subtree
+#: is drawn in a task.
+TOP_NODES, TOP_QUOTAS = 256, 1 << 22
 #: Blocks of a source that one window orders: a source's blocks are cut to strata of the permuted order first.
 STRATUM_BLOCKS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,32 +47,25 @@ def shares(sizes: list[int], weights: list[float], max_epochs: float = MAX_EPOCH
     return targets
 
 
-def split_tree(quotas: np.ndarray, shards: int, seed: int, edges: list[int] | None = None) -> np.ndarray:
-    """Deal exact block quotas (one per source) out to shards: (shards x sources) counts.
+def split_tree(quotas: np.ndarray, shards: int, seed: int, edges: list[int] | None = None):
+    """Deal exact block quotas (one per source) out to shards: each shard's counts, in order.
 
     A node holds a run of shards and a vector of quotas; its left half gets a multivariate-hypergeometric draw of as
-    many blocks as its share of the shards, its right half the rest. Column sums are the quotas. With ``edges`` the shards
-    are runs of smaller ones, the k-th of edges[k] to edges[k + 1], and get shares by that.
+    many blocks as its share of the shards, its right half the rest. Sums over shards are the quotas. With ``edges`` the shards
+    are runs of smaller ones, the k-th of edges[k] to edges[k + 1], and get shares by that. Only one path of the tree is held.
     """
-    edges = list(range(shards + 1)) if edges is None else edges
-    out = np.zeros((shards, len(quotas)), dtype=np.int64)
+    edges = range(shards + 1) if edges is None else edges
     stack = [(0, shards, np.asarray(quotas, dtype=np.int64))]
     while stack:
         lo, hi, q = stack.pop()
         if hi - lo == 1:
-            out[lo] = q
+            yield q
             continue
-        mid, total = (lo + hi) // 2, int(q.sum())
+        mid = (lo + hi) // 2
+        take = int(q.sum()) * (edges[mid] - edges[lo]) // (edges[hi] - edges[lo])
         rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
-        take = total * (edges[mid] - edges[lo]) // (edges[hi] - edges[lo])
-        left = np.zeros_like(q)
-        rest, need = total, take
-        for i, n in enumerate(q):  # the marginals of the multivariate draw, one source at a time
-            rest -= int(n)
-            left[i] = rng.hypergeometric(int(n), rest, need) if need and n else 0
-            need -= int(left[i])
-        stack += [(lo, mid, left), (mid, hi, q - left)]
-    return out
+        left = rng.multivariate_hypergeometric(q, take, method="marginals") if take else np.zeros_like(q)
+        stack += [(mid, hi, q - left), (lo, mid, left)]
 
 
 def _words(text: str) -> Column:
@@ -85,10 +79,11 @@ def _subtrees(shards: int, top: int, seed: int):
         for batch in batches:
             for node, quotas, begins in zip(*(batch.column(c).to_pylist() for c in ("node", "quotas", "begins"))):
                 lo, hi = node * shards // top, (node + 1) * shards // top
-                counts = split_tree(np.asarray(quotas, np.int64), hi - lo, seed + 1 + int(node))
-                ends = np.asarray(begins, np.int64) + counts.cumsum(axis=0)
-                shard, rank = np.nonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(rank.astype(np.int32)), pa.array((lo + shard).astype(np.int32)), pa.array((ends - counts)[shard, rank]), pa.array(ends[shard, rank])], names=["rank", "shard", "begin", "end"])
+                ends = np.asarray(begins, np.int64)
+                for shard, counts in enumerate(split_tree(np.asarray(quotas, np.int64), hi - lo, seed + 1 + int(node)), lo):
+                    rank, ends = np.flatnonzero(counts), ends + counts
+                    columns = [pa.array(rank.astype(np.int32)), pa.array(np.full(len(rank), shard, np.int32)), pa.array((ends - counts)[rank]), pa.array(ends[rank])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["rank", "shard", "begin", "end"])
 
     return run
 
@@ -195,10 +190,11 @@ def plan_mix(
     taken = F.count(F.when(F.col("state") != "out", 1))
     quotas = {r["rank"]: r for r in table.groupBy("rank").agg(F.count("*").alias("n"), taken.alias("m")).collect()}  # one row per source
     lists = np.array([quotas[i]["n"] * whole[i] + quotas[i]["m"] for i in range(len(sizes))], dtype=np.int64)
-    top = min(shards, TOP_NODES)
-    counts = split_tree(lists, top, seed, [k * shards // top for k in range(top + 1)])
+    top = max(1, min(shards, TOP_NODES, TOP_QUOTAS // max(1, len(lists))))
+    counts = np.stack(list(split_tree(lists, top, seed, [k * shards // top for k in range(top + 1)])))
     begins = counts.cumsum(axis=0) - counts
-    nodes = spark.createDataFrame([(k, counts[k].tolist(), begins[k].tolist()) for k in range(top)], "node int, quotas array<long>, begins array<long>")
+    lists_of = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
+    nodes = spark.createDataFrame(pa.table({"node": pa.array(np.arange(top, dtype=np.int32)), "quotas": lists_of(counts), "begins": lists_of(begins)})) if len(lists) else spark.createDataFrame([], "node int, quotas array<long>, begins array<long>")
     dealt = nodes.repartition(min(top, 64)).mapInArrow(_subtrees(shards, top, seed), "rank int, shard int, begin long, end long")
     steps = [(i, int(quotas[i]["n"]), max(1, -(-int(lists[i]) // shards))) for i in range(len(sizes))]
     steps = F.broadcast(spark.createDataFrame(steps, "rank int, n long, step long"))
@@ -233,13 +229,20 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFram
     """The mix itself: the documents' columns once per draw, each shard in a partition of its own and shuffled within.
 
     A cut document, one per source at most, comes as its first words joined by spaces. Every row is decided by its own doc_id,
-    source and size, also where doc_ids repeat or are missing. Documents travel in a struct, so that no column of theirs can
-    clash; texts are moved once, to their shard.
+    source and size, also where doc_ids repeat or are missing. Decisions are made without texts, one for all rows that are alike
+    in these three, and joined to the documents once: up to ``BROADCAST_ROWS`` of them are broadcast, and then texts move to their shard
+    only. Documents travel in a struct, so that no column of theirs can clash.
     """
     scratch = Scratch(spark, "mixed")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _words("text").alias("size"))
+    sized = scratch.save(sized, "sized")
+    mix = plan_mix(spark, sized, **options)
+    drawn = mix.decide(sized.filter("size > 0").distinct()).filter("draws is not null").select(F.col("doc_id").alias("m_doc_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "draws")
+    drawn = scratch.save(drawn, "drawn")
+    drawn = F.broadcast(drawn) if drawn.count() <= BROADCAST_ROWS else drawn
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _words("text").alias("size"))
-    mix = plan_mix(spark, scratch.save(rows.drop("row"), "sized"), **options)
-    drawn = mix.decide(rows).select("row", "size", F.explode("draws").alias("draw"))
+    alike = F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size"))
+    drawn = rows.join(drawn, alike).select("row", "size", F.explode("draws").alias("draw"))
     drawn = drawn.repartitionById(mix.shards, F.col("draw.shard")).sortWithinPartitions("draw.shard", "draw.place")
     cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("draw.words").cast("int")), " ")
     text = F.when(F.col("draw.words") >= F.col("size"), F.col("row.text")).otherwise(cut)
