@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from tracemill.llm import kernels as K
 from tracemill.llm.common import Scratch, read_table
 
-#: Labelled rows that fitting reads at most, for each class: half build the dictionary, half calibrate.
-SAMPLE_ROWS = 3000
-#: Bytes of a class's dictionary, and characters that one labelled text adds to it.
-DICTIONARY_BYTES = 1 << 20
+#: Labelled rows that fitting reads at most, for each class: one in four builds the dictionary, the others calibrate.
+SAMPLE_ROWS = 2000
+DICTIONARY_SHARE = 4
+#: Characters that one labelled text adds to the dictionary, so that it has about a million at most.
 PIECE_CHARS = 2000
 LEVEL = 6
 #: Bytes that are compressed at once: zstandard drops a dictionary when a text has moved past its window, about 2 MB at this level.
@@ -90,13 +90,13 @@ def _differences(scorer, extra: list[str]):
 
 
 def fit_quality(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, piece_chars: int = PIECE_CHARS, dictionary_bytes: int = DICTIONARY_BYTES
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, piece_chars: int = PIECE_CHARS
 ) -> Scorer:
     """Dictionaries and calibration from the labelled rows given (doc_id, quality).
 
-    Of each class at most about ``sample_rows`` rows are used, chosen by a hash of doc_id: one half gives pieces of
-    ``piece_chars`` characters from hashed places to the class's dictionary, which ends at ``dictionary_bytes``, the other
-    half, unseen by the dictionaries, calibrates. Calibration rows are weighted so that the classes have their shares of all labels.
+    Of each class at most about ``sample_rows`` rows are used, chosen by a hash of doc_id: one in ``DICTIONARY_SHARE`` gives a piece
+    of ``piece_chars`` characters from a hashed place to the class's dictionary, and all these pieces are in it; the others,
+    unseen by the dictionaries, calibrate. Calibration rows are weighted so that the classes have their shares of all labels.
     Labels that are null and rows without text count as unlabelled; repeated labels count once. With one class or none the score
     is 0.5 or that class's share.
     """
@@ -107,15 +107,15 @@ def fit_quality(
     bound = F.when(F.col("quality") == 1, F.lit(min(1.0, sample_rows / max(counts.get(1, 0), 1)))).otherwise(F.lit(min(1.0, sample_rows / max(counts.get(0, 0), 1))))
     sample = labels.filter(pick < bound * (1 << 30))
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id")  # about 2 * sample_rows rows
-    rows = rows.withColumn("half", F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(2)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(DICTIONARY_SHARE)))
     place = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.greatest(F.lit(1), F.length("text") - piece_chars + 1)).cast("int") + 1
-    pieces = rows.filter("half = 0").select("quality", F.col("text").substr(place, F.lit(piece_chars)).alias("piece"), F.xxhash64(F.lit(10), "doc_id").alias("turn"))
+    pieces = rows.filter("part = 0").select("quality", F.col("text").substr(place, F.lit(piece_chars)).alias("piece"), F.xxhash64(F.lit(10), "doc_id").alias("turn"))
     content = {0: [], 1: []}
     for r in sorted(pieces.collect(), key=lambda r: r["turn"]):
         content[r["quality"]].append(r["piece"].encode())
-    good, bad = (b"\n".join(content[k])[:dictionary_bytes] for k in (1, 0))
+    good, bad = (b"\n".join(content[k]) for k in (1, 0))
     scorer = Scorer(good, bad)
-    seen = rows.filter("half = 1").select("doc_id", "text", "quality").mapInArrow(_differences(spark.sparkContext.broadcast(scorer), ["quality"]), "doc_id long, quality int, difference double").select("quality", "difference").collect()
+    seen = rows.filter("part > 0").select("doc_id", "text", "quality").mapInArrow(_differences(spark.sparkContext.broadcast(scorer), ["quality"]), "doc_id long, quality int, difference double").select("quality", "difference").collect()
     y = np.array([r["quality"] for r in seen], dtype=float)
     x = np.array([r["difference"] for r in seen])
     if len(set(y)) < 2:
