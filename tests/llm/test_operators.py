@@ -550,3 +550,25 @@ def test_least_places():
     for hashes in (rng.integers(0, 6, 400).astype(np.uint64), rng.integers(0, 2**63, 400).astype(np.uint64), np.uint64(2**60) + rng.integers(0, 300, 400).astype(np.uint64)):
         for span in (1, 2, 7, 50, 400):
             assert least_places(hashes, span).tolist() == [i + int(hashes[i : i + span].argmin()) for i in range(400 - span + 1)]
+
+
+def test_rounds_over_few_edges_take_few_tasks(spark):
+    from tracemill.llm.common import Scratch
+    from tracemill.llm.components import connected_components
+
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    edges = spark.createDataFrame([(k + 1, k) for k in range(12)] + [(100 + k, 100) for k in range(1, 40)], "u long, v long")
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few-edges", "")
+        got = {r.node: r.component for r in connected_components(Scratch(spark, "t"), edges, "few").collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: 0 for k in range(13)} | {100 + k: 100 for k in range(40)}
+    stages = {s for j in tracker.getJobIdsForGroup("few-edges") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i) < 500

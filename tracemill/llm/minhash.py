@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemill.llm import kernels as K
-from tracemill.llm.common import BROADCAST_ROWS, Scratch, fresh, read_table, row_keyed, without_ids
+from tracemill.llm.common import Scratch, fresh, if_few, read_table, row_keyed, without_ids
 from tracemill.llm.components import connected_components
 
 BINS = 128  # one-permutation bins: BANDS bands of ROWS bins
@@ -275,18 +275,20 @@ def _components(scratch: Scratch, rows: DataFrame, shingle: int, percent: int) -
     buckets = scratch.save(buckets.join(shared, "key", "left_semi"), "buckets")
 
     ids = scratch.save(buckets.select("node", "n").distinct(), "candidates")
-    few = ids.count() <= BROADCAST_ROWS
-    texts = rows.withColumnRenamed("doc_id", "node").join(F.broadcast(ids) if few else ids, "node")
+    hint, packed = if_few(ids)  # for tables of candidates
+    texts = rows.withColumnRenamed("doc_id", "node").join(hint(ids), "node")
     grams = scratch.save(texts.select("node", "text", "n").mapInArrow(_sets(shingle), "node long, n long, grams binary"), "grams")
 
     def confirm(edges: DataFrame, name: str) -> DataFrame:
-        """The edges (u, v) with ``linked``, of which v may be a hub: its set is copied, so that its edges meet it in several tasks."""
-        edges = edges.select("u", "v")
-        hubs = edges.groupBy("v").agg(F.ceil(F.count("*") / HUB_EDGES).cast("int").alias("cuts"))
+        """The written edges (u, v) with ``linked``, of which v may be a hub: its set is copied, so that its edges meet it in several tasks.
+
+        Where edges are few they go to the sets, and only sets that have edges are shuffled, once."""
+        edges, (few, packed) = edges.select("u", "v"), if_few(edges)
+        hubs = few(packed(edges.groupBy("v").agg(F.ceil(F.count("*") / HUB_EDGES).cast("int").alias("cuts"))))
         b = grams.select(F.col("node").alias("v"), F.col("grams").alias("v_set")).join(hubs, "v").select("v", "v_set", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("salt"))
         a = grams.select(F.col("node").alias("u"), F.col("grams").alias("u_set"))
         edges = edges.join(hubs, "v").select("u", "v", F.pmod(F.xxhash64("u"), "cuts").cast("int").alias("salt"))
-        found = edges.join(a, "u").join(b, ["v", "salt"])
+        found = few(edges).join(a, "u").join(b, ["v", "salt"])
         return scratch.save(found.select("u", "v", "u_set", "v_set").mapInArrow(_confirm(percent), "u long, v long, linked boolean"), name)
 
     def stars(members: DataFrame, turn: int) -> DataFrame:
@@ -301,7 +303,7 @@ def _components(scratch: Scratch, rows: DataFrame, shingle: int, percent: int) -
         return pairs.select(F.col("node").alias("u"), F.col("c.node").alias("v")).distinct()
 
     def in_parts(members: DataFrame, parts: DataFrame) -> DataFrame:
-        return members.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
+        return members.join(hint(parts), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
 
     def open_nodes(members: DataFrame) -> DataFrame:
         """(node, part) of the members that meet another part of like size in one of their buckets."""
@@ -311,24 +313,24 @@ def _components(scratch: Scratch, rows: DataFrame, shingle: int, percent: int) -
     candidates = scratch.save(stars(buckets.withColumn("part", F.col("node")), 0), "stars")
     links = confirm(candidates, "links").filter("linked").select("u", "v")
     parts = connected_components(scratch, links, "parts")
-    open_ = scratch.save(open_nodes(in_parts(buckets, parts)), "open")
+    open_ = scratch.save(packed(open_nodes(in_parts(buckets, parts))), "open")
     if not open_.isEmpty():
-        fine = grams.join(open_, "node").select("node", "n", "part", "grams").mapInArrow(_fine_keys(1), "node long, n long, part long, keys array<long>")
+        fine = grams.join(hint(open_), "node").select("node", "n", "part", "grams").mapInArrow(_fine_keys(1), "node long, n long, part long, keys array<long>")
         fine = scratch.save(fine.select(F.explode("keys").alias("key"), "node", "n", "part"), "fine")
         mixed = fine.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-        fine = scratch.save(fine.select("key", "node").join(mixed, "key", "left_semi").join(ids.select("node", "n"), "node").join(open_, "node").select("key", "node", "n", "part"), "fine-mixed")
+        fine = scratch.save(fine.select("key", "node").join(mixed, "key", "left_semi").join(hint(ids.select("node", "n")), "node").join(hint(open_), "node").select("key", "node", "n", "part"), "fine-mixed")
         pairs = scratch.save(stars(fine, 1), "pairs")
         links = links.unionByName(confirm(pairs, "links-fine").filter("linked").select("u", "v"))
         parts = connected_components(scratch, links, "parts-fine")
         crowded = fine.groupBy("key").agg(F.count("*").alias("size")).filter("size > 2").select("key")  # of two members, one was the centre
-        left = scratch.save(open_nodes(in_parts(fine.join(crowded, "key", "left_semi").drop("part"), parts)), "left")
+        left = scratch.save(packed(open_nodes(in_parts(fine.join(crowded, "key", "left_semi").drop("part"), parts))), "left")
         if not left.isEmpty():
             links = links.unionByName(_finish(scratch, grams, left, confirm, percent))
             parts = connected_components(scratch, links, "parts-last")
 
     scratch.drop("buckets", "candidates", "grams", "stars", "links", "open", "fine", "fine-mixed", "pairs", "links-fine", "left", *FINISH_TABLES)
     member = sketch.join(nodes.select("n", "k1", "k2", "node"), ["n", "k1", "k2"], "left")
-    out = member.join(parts, "node", "left")
+    out = member.join(hint(parts), "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "node", "doc_id")).cast("long")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -343,16 +345,18 @@ def _families(scratch: Scratch, many: DataFrame) -> DataFrame:
     """
     volume = F.sum("n") * F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES))
     groups = scratch.save(many.groupBy("key", "class").agg(F.min("node").alias("first"), volume.alias("copied")), "large-keys")
-    edges = many.join(groups, ["key", "class"]).select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
-    family = connected_components(scratch, edges, "families").withColumnRenamed("component", "family")
-    members = many.select("node", "n", "part").distinct().join(family, "node")
-    by_key = groups.join(family, groups["first"] == family["node"]).groupBy("family").agg(F.sum("copied").alias("by_key"))
-    whole = scratch.save(members.groupBy("family").agg(volume.alias("copied")).join(by_key, "family").filter("copied <= by_key").select("family"), "whole-families")
-    alone = many.join(family.join(whole, "family", "left_anti").select("node"), "node", "left_semi").select(*many.columns)
-    return alone.unionByName(members.join(whole, "family").select(F.col("family").alias("key"), F.lit(-1).alias("class"), "node", "n", "part", F.lit(True).alias("lead")))
+    edges = many.join(if_few(groups)[0](groups), ["key", "class"]).select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
+    family = connected_components(scratch, scratch.save(edges, "family-edges"), "families").withColumnRenamed("component", "family")
+    hint, packed = if_few(family)
+    members = many.select("node", "n", "part").distinct().join(hint(family), "node")
+    by_key = groups.join(hint(family), groups["first"] == family["node"]).groupBy("family").agg(F.sum("copied").alias("by_key"))
+    whole = members.groupBy("family").agg(volume.alias("copied")).join(by_key, "family").filter("copied <= by_key").select("family")
+    whole = scratch.save(packed(whole), "whole-families")
+    alone = many.join(hint(family.join(hint(whole), "family", "left_anti").select("node")), "node", "left_semi").select(*many.columns)
+    return alone.unionByName(members.join(hint(whole), "family").select(F.col("family").alias("key"), F.lit(-1).alias("class"), "node", "n", "part", F.lit(True).alias("lead")))
 
 
-FINISH_TABLES = ("open-sets", "rare", "rare-shared", "rare-pairs", "links-rare", "large-keys", "whole-families", "large", "links-blocks")
+FINISH_TABLES = ("open-sets", "rare", "rare-shared", "rare-pairs", "links-rare", "large-keys", "family-edges", "whole-families", "large", "links-blocks")
 
 
 def _finish(scratch: Scratch, grams: DataFrame, open_: DataFrame, confirm, percent: int) -> DataFrame:
@@ -365,7 +369,7 @@ def _finish(scratch: Scratch, grams: DataFrame, open_: DataFrame, confirm, perce
     sides that count all common shingles at once, by key or by family of keys (``_families``). Only members outside the
     most frequent part are a left side.
     """
-    sets = scratch.save(grams.join(open_, "node"), "open-sets")
+    sets = scratch.save(grams.join(if_few(open_)[0](open_), "node"), "open-sets")
     long = sets.select("node", "n", "part", "grams").mapInArrow(_shingle_rows, "node long, n long, part long, key long")
     common = long.groupBy("key").agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key", "size")
     own = Window.partitionBy("node")
